@@ -46,6 +46,11 @@ def text_bytes(values: list) -> list[bytes]:
     return [b"" if v is None else v.encode("utf-8") for v in values]
 
 
+def let(value, use):
+    """``use`` of a value that is worked out once: inside a lambda, a plain expression would be worked out for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 #: Words as the corpus operators see them: A-Z lower-cased, split on ASCII white space.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 

@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import language_id, media_jpeg, sentencepiece_codec
+from lexweave.llm import decontamination, language_id, line_dedup, media_jpeg, sentencepiece_codec, url_filters, warc_archive
 from lexweave.llm._common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Rules of op1 and the canonical URLs that it blocks besides.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+BLOCKED_URLS = ["cheap-pills.example.com/", "spam-farm.example.org/"]
+
 
 def default_model_path() -> str:
     """The public tokenizer's file; only queries use it, operators take a path."""
@@ -20,6 +24,10 @@ def default_model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(read_table(spark, sf_dir, "pages"), url_filters.listing(spark, URL_RULES, BLOCKED_URLS))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = docs.withColumn("held_out", language_id.held_out(F.col("doc_id")))
@@ -27,23 +35,93 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(held, model, keep=("doc_id", "held_out"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc_archive.archive_and_read(read_table(spark, sf_dir, "pages"))
+    return read.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return sentencepiece_codec.encode_texts(docs, default_model_path(), ids=False, digests=True)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = media_jpeg.write_media(read_table(spark, sf_dir, "documents"))
     return media_jpeg.media_features(media)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_contained(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_url_filters": op1_url_filters,
         "op2_language_id": op2_language_id,
+        "op3_warc": op3_warc,
         "op5_sentencepiece": op5_sentencepiece,
+        "op7_line_dedup": op7_line_dedup,
         "op8_media_columns": op8_media_columns,
+        "op9_decontamination": op9_decontamination,
     }
 
 
+OP1_SQL = """
+WITH rules(rule, rh, rp, action) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+  ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+listed(lh, lp) AS (VALUES ('cheap-pills.example.com', '/'), ('spam-farm.example.org', '/')),
+cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+judged AS (SELECT p.*, (SELECT max_by(rule, length(rule)) FROM rules WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS rule,
+  EXISTS (SELECT 1 FROM listed WHERE (host = lh OR ends_with(host, '.' || lh)) AND starts_with(path, lp)) AS listed FROM parts p)
+SELECT j.page_id, host, path, j.rule, coalesce(r.action, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed
+FROM judged j LEFT JOIN rules r ON r.rule = j.rule
+"""
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON f.payload_digest = p.payload_digest
+"""
+
+OP7_SQL = r"""
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+raw AS (SELECT doc_id, unnest(range(len(lines))) AS pos, unnest(lines) AS line FROM split),
+worded AS (SELECT doc_id, pos, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM raw),
+ranked AS (SELECT *, len(w) AS n, row_number() OVER (ORDER BY doc_id, pos) AS o FROM worded),
+firsts AS (SELECT w, n, min(o) AS o FROM ranked WHERE n > 0 GROUP BY ALL),
+kept AS (SELECT row_number() OVER () AS id, w, n, o FROM firsts WHERE n >= 8),
+del AS (SELECT id, o, n, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS k FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM kept)),
+full_ AS (SELECT id, o, n, array_to_string(w, ' ') AS k FROM kept),
+near AS (SELECT a.id FROM del a JOIN (SELECT k, n, i, min(o) AS o FROM del GROUP BY ALL) b ON a.k = b.k AND a.n = b.n AND a.i = b.i WHERE b.o < a.o
+  UNION SELECT CASE WHEN a.o < b.o THEN b.id ELSE a.id END FROM del a JOIN full_ b ON a.k = b.k AND a.n = b.n + 1),
+gone AS (SELECT r.doc_id, r.pos FROM ranked r JOIN firsts f ON f.w = r.w LEFT JOIN kept k ON k.w = r.w
+  WHERE r.n > 0 AND (r.o > f.o OR k.id IN (SELECT id FROM near)))
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(r.line, chr(10) ORDER BY r.pos) FILTER (WHERE g.pos IS NULL), '') END AS text, CAST(count(g.pos) AS INTEGER) AS lines_removed
+FROM documents d LEFT JOIN raw r ON r.doc_id = d.doc_id LEFT JOIN gone g ON g.doc_id = r.doc_id AND g.pos = r.pos GROUP BY d.doc_id, d.text
+"""
+
+_WORDS_SQL = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+OP9_SQL = f"""
+WITH items AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark), docs AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+sized AS (SELECT item_id, w, least(len(w), 5) AS k FROM items WHERE len(w) > 0),
+item_shingles AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM sized)),
+counted AS (SELECT item_id, count(*) AS n FROM item_shingles GROUP BY 1),
+widths AS (SELECT DISTINCT k FROM sized),
+doc_shingles AS (SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, widths)),
+shared AS (SELECT doc_id, item_id, count(*) AS n FROM doc_shingles d JOIN item_shingles i ON d.k = i.k AND d.s = i.s GROUP BY ALL)
+SELECT doc_id, s.item_id, CAST(s.n AS INTEGER) AS n_shared, CAST(c.n AS INTEGER) AS n_item FROM shared s JOIN counted c ON c.item_id = s.item_id WHERE 100 * s.n >= 80 * c.n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filters": OP1_SQL, "op3_warc": OP3_SQL, "op7_line_dedup": OP7_SQL, "op9_decontamination": OP9_SQL}
