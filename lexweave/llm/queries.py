@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import decontamination, language_id, line_dedup, media_jpeg, sentencepiece_codec, url_filters, warc_archive
+from lexweave.llm import decontamination, language_id, line_dedup, media_jpeg, ngram_jaccard, sentencepiece_codec, url_filters, warc_archive
 from lexweave.llm._common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contained(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_url_filters": op1_url_filters,
@@ -68,6 +72,7 @@ def queries() -> dict[str, Query]:
         "op7_line_dedup": op7_line_dedup,
         "op8_media_columns": op8_media_columns,
         "op9_decontamination": op9_decontamination,
+        "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 
 
@@ -122,6 +127,16 @@ shared AS (SELECT doc_id, item_id, count(*) AS n FROM doc_shingles d JOIN item_s
 SELECT doc_id, s.item_id, CAST(s.n AS INTEGER) AS n_shared, CAST(c.n AS INTEGER) AS n_item FROM shared s JOIN counted c ON c.item_id = s.item_id WHERE 100 * s.n >= 80 * c.n
 """
 
+OP10_SQL = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT *, least(len(w), 5) AS k FROM docs WHERE len(w) > 0))),
+sizes AS (SELECT d.doc_id, count(s.s) AS n FROM documents d LEFT JOIN shingles s ON s.doc_id = d.doc_id GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT s.a, s.b FROM shared s JOIN sizes x ON x.doc_id = s.a JOIN sizes y ON y.doc_id = s.b WHERE 100 * s.n >= 80 * (x.n + y.n - s.n)),
+reach(doc_id, id) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.id)
+SELECT r.doc_id, any_value(z.n) AS n_shingles, min(r.id) AS component_id FROM reach r JOIN sizes z ON z.doc_id = r.doc_id GROUP BY 1
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op3_warc": OP3_SQL, "op7_line_dedup": OP7_SQL, "op9_decontamination": OP9_SQL}
+    return {"op1_url_filters": OP1_SQL, "op3_warc": OP3_SQL, "op7_line_dedup": OP7_SQL, "op9_decontamination": OP9_SQL, "op10_ngram_jaccard": OP10_SQL}
