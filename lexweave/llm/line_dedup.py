@@ -21,25 +21,37 @@ empty; rows with equal id and equal text are one document and keep the same line
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lexweave.llm._common import WORD_SPLIT, let, materialize
+from lexweave.llm._common import let, materialize
 
 #: A list of candidate lines (24 bytes each) is broadcast up to this many rows, and joined by shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 
 
+#: White space inside a line, besides the space.
+_OTHER_SPACE = "\t\x0b\x0c\r"
+
+
 def line_words(line: Column) -> Column:
-    return F.filter(F.split(line, WORD_SPLIT), lambda w: w != "")
+    other = reduce(lambda a, b: a | b, [F.contains(line, F.lit(c)) for c in _OTHER_SPACE])
+    spaced = F.when(other, F.translate(line, _OTHER_SPACE, " " * len(_OTHER_SPACE))).otherwise(line)
+    return F.array_remove(F.split(spaced, " "), "")
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """One row for each line: document key, place, line."""
+    return docs.select("_id", "_th", F.posexplode(F.split("_text", "\n")).alias("_pos", "_line"))
 
 
 def _exploded(docs: DataFrame) -> DataFrame:
-    """One row for each line that is not blank: document key, place, words."""
-    lines = docs.select("_id", "_th", F.posexplode(F.split("_text", "\n")).alias("_pos", "_line"))
-    return lines.select("_id", "_th", "_pos", line_words(F.col("_line")).alias("_w")).where(F.size("_w") > 0)
+    """The lines that are not blank, as words."""
+    return _lines(docs).select("_id", "_th", "_pos", line_words(F.col("_line")).alias("_w")).where(F.size("_w") > 0)
 
 
 def _order() -> Column:
@@ -99,7 +111,7 @@ def near_lines(occurrences: DataFrame, docs: DataFrame, min_words: int) -> DataF
         wanted = candidates
     wanted = wanted.select("_h1", "_h2", "_o", F.col("_o.id").alias("_id"), F.col("_o.th").alias("_th"), F.col("_o.pos").alias("_pos"))
     on = [F.col("l._id").eqNullSafe(F.col("c._id")), F.col("l._th") == F.col("c._th"), F.col("l._pos") == F.col("c._pos")]
-    texts = _exploded(docs).alias("l").join(wanted.alias("c"), on).select("c._h1", "c._h2", "c._o", "l._w")
+    texts = _lines(docs).alias("l").join(wanted.alias("c"), on).select("c._h1", "c._h2", "c._o", line_words(F.col("l._line")).alias("_w"))
     texts = materialize(texts.dropDuplicates(["_h1", "_h2"]), "line-texts")
 
     line = ["_h1", "_h2", "_o"]
