@@ -43,7 +43,9 @@ PARITY_WORDS = 16
 #: Rounds of comparing the classes of a group with one of them, another in each round.
 STAR_ROUNDS = 3
 BROADCAST_ROWS = 1_000_000
-MAX_WORDS_KEPT = 1_000_000
+#: Words whose hashes a task keeps, and rows that it holds as Python objects at a time.
+MAX_WORDS_KEPT = 150_000
+PIECE = 250
 _GOLDEN, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -53,6 +55,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = PIECE) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 class ShingleHasher:
     """Sorted distinct 64-bit hashes of a text's shingles; hashes of frequent words are kept, up to a bound."""
 
@@ -133,7 +141,7 @@ def signatures(u: np.ndarray, instance: int, parts: int) -> np.ndarray:
 def _set_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ShingleHasher(width)
-        for batch in batches:
+        for batch in pieces(batches):
             n, d1, d2, marks = [], [], [], []
             for t in text_bytes(batch.column(2).to_pylist()):
                 u = hasher.hashes(t)
@@ -151,23 +159,21 @@ def _set_rows(width: int):
 def _signature_rows(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, bands = ShingleHasher(width), Bands(percent)
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                cids, sigs, tags = [], [], []
-                piece = batch.slice(begin, 500)
-                for cid, t in zip(piece.column(0).to_pylist(), text_bytes(piece.column(1).to_pylist()), strict=True):
-                    u = hasher.hashes(t)
-                    own = bands.of(len(u))
-                    for which, instance in enumerate((own, own - 1)):
-                        if instance < 0:
-                            continue
-                        spare = bands.spare(instance)
-                        s = signatures(u, instance, bands.differences(instance) + 1 + spare)
-                        sigs.append(s)
-                        cids.append(np.full(len(s), cid, np.int64))
-                        tags.append(np.full(len(s), 2 * spare + which, np.int32))
-                if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, cids, tags)], ["_sig", "_cid", "_tag"])
+        for batch in pieces(batches):
+            cids, sigs, tags = [], [], []
+            for cid, t in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1).to_pylist()), strict=True):
+                u = hasher.hashes(t)
+                own = bands.of(len(u))
+                for which, instance in enumerate((own, own - 1)):
+                    if instance < 0:
+                        continue
+                    spare = bands.spare(instance)
+                    s = signatures(u, instance, bands.differences(instance) + 1 + spare)
+                    sigs.append(s)
+                    cids.append(np.full(len(s), cid, np.int64))
+                    tags.append(np.full(len(s), 2 * spare + which, np.int32))
+            if sigs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, cids, tags)], ["_sig", "_cid", "_tag"])
 
     return run
 
@@ -175,7 +181,7 @@ def _signature_rows(width: int, percent: int):
 def _full_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ShingleHasher(width)
-        for batch in batches:
+        for batch in pieces(batches):
             sets = [hasher.hashes(t).tobytes() for t in text_bytes(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["_cid", "_set"])
 
@@ -183,7 +189,7 @@ def _full_sets(width: int):
 
 
 def _exploded_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         for cid, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             u = np.frombuffer(data, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), cid, np.int64)), pa.array(u), pa.array(np.full(len(u), len(u), np.int64))], ["_cid", "_token", "_n"])
@@ -191,7 +197,7 @@ def _exploded_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             a, b, keep = batch.column(2).to_pylist(), batch.column(3).to_pylist(), []
             for x, y in zip(a, b, strict=True):
                 u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
