@@ -283,21 +283,29 @@ class _Join:
         return links.unionByName(self.similar(rest))
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` (the smallest id that links lead to, its own included) of every row."""
+def _component_rows(df: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     docs = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
     join = _Join(docs, width, percent)
     found = components(join.links()).withColumnsRenamed({"id": "_cid", "component": "_comp"})
     classes = join.classes.select("_cid", "_n", "_d1", "_d2", "_least").join(found, "_cid", "left").withColumn("_comp", F.coalesce("_comp", "_cid"))
     lowest = classes.groupBy("_comp").agg(F.min("_least").alias("_component_id"))
     named = classes.join(lowest, "_comp").select("_n", "_d1", "_d2", "_component_id")
-    joined = join.rows.select("_id", "_n", "_d1", "_d2").join(named, ["_n", "_d1", "_d2"], "left")
+    joined = join.rows.select("_id", "_th", "_n", "_d1", "_d2").join(named, ["_n", "_d1", "_d2"], "left")
     own = F.when(F.col("_n") > 0, F.col("_component_id")).otherwise(F.col("_id"))
-    return joined.select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), own.alias("component_id"))
+    return joined.select("_id", "_th", "_n", own.alias("_component_id"))
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` (the smallest id that links lead to, its own included) of every row."""
+    found = _component_rows(df, id_col, text_col, width, percent)
+    return found.select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), F.col("_component_id").alias("component_id"))
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its component; every column kept.  Rows with a null id stay only if they link with nothing."""
-    found = jaccard_components(df, id_col, text_col, width, percent)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of ``df`` whose id is the smallest of its component; every column kept.
+
+    Rows with equal id and text are one document and stay together; a row with a null id goes if it links with one that has an id.
+    """
+    gone = _component_rows(df, id_col, text_col, width, percent).where(~F.col("_id").eqNullSafe(F.col("_component_id")))
+    gone = gone.select(F.col("_id").alias("_gone_id"), F.col("_th").alias("_gone_th")).distinct()
+    return df.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text_col) == F.col("_gone_th")), "left_anti")

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import decontamination, language_id, line_dedup, media_jpeg, ngram_jaccard, sentencepiece_codec, url_filters, warc_archive
+from lexweave.llm import decontamination, html_extraction, language_id, license_scan, line_dedup, media_jpeg, ngram_jaccard, sentencepiece_codec, url_filters, warc_archive
 from lexweave.llm._common import read_table
+from lexweave.llm.license_templates import TEMPLATES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,11 +41,19 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"), TEMPLATES)
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return sentencepiece_codec.encode_texts(docs, default_model_path(), ids=False, digests=True)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs)
@@ -68,7 +77,9 @@ def queries() -> dict[str, Query]:
         "op1_url_filters": op1_url_filters,
         "op2_language_id": op2_language_id,
         "op3_warc": op3_warc,
+        "op4_license_scan": op4_license_scan,
         "op5_sentencepiece": op5_sentencepiece,
+        "op6_html_extraction": op6_html_extraction,
         "op7_line_dedup": op7_line_dedup,
         "op8_media_columns": op8_media_columns,
         "op9_decontamination": op9_decontamination,
