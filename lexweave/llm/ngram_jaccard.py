@@ -14,7 +14,8 @@ shingles have 64 bits, and every link between different sets is found.
    that many documents share) is *hot*.  As similar sets agree on m + 1 parts, a set with at most m hot signatures in
    an instance agrees with each partner on one that is not hot, so hot groups are needed for the others only.
 4. Those others (*deep* classes) are joined exactly among themselves by their rarest shingles: similar sets share one
-   of their ``s - ceil(0.8 s) + 1`` rarest.
+   of their ``s - ceil(0.8 s) + 1`` rarest, and a pair counts only if so many shingles can still be common behind the
+   place of the shared one.
 5. Candidates are compared with one class of their group, in a few rounds with another each; what is then still in
    different components of one group is compared too.  No pair inside a component is made, so a group of mutual copies costs a star.
 6. A pair is dropped early if the parities of 1024 buckets differ in more places than similar sets can; the others are
@@ -41,7 +42,7 @@ from lexweave.llm._components import components
 HOT = 8
 PARITY_WORDS = 16
 #: Rounds of comparing the classes of a group with one of them, another in each round.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 BROADCAST_ROWS = 1_000_000
 #: Words whose hashes a task keeps, and rows that it holds as Python objects at a time.
 MAX_WORDS_KEPT = 150_000
@@ -243,7 +244,14 @@ class _Join:
         place = F.row_number().over(Window.partitionBy("_cid").orderBy("_df", "_token"))
         prefix = tokens.join(frequent, "_token").withColumn("_place", place)
         prefix = prefix.where(F.col("_place") <= F.col("_n") - F.ceil(F.col("_n") * self.percent / F.lit(100)) + 1).where("_df > 1")
-        return materialize(usual.unionByName(prefix.select(F.col("_token").alias("_key"), "_cid")).distinct(), "candidate-groups")
+        usual = usual.distinct().join(self.sketches.select("_cid", "_n"), "_cid").withColumn("_place", F.lit(0))
+        columns = ["_key", "_cid", "_n", "_place"]
+        return materialize(usual.select(columns).unionByName(prefix.withColumnRenamed("_token", "_key").select(columns)), "candidate-groups")
+
+    def reachable(self, a: str, b: str):
+        """Can sets of these sizes whose rarest common shingle stands at these places share enough?  Place 0: unknown."""
+        rest = F.least(F.col(f"{a}_n") - F.col(f"{a}_place"), F.col(f"{b}_n") - F.col(f"{b}_place"))
+        return 1 + rest >= F.ceil((F.col(f"{a}_n") + F.col(f"{b}_n")) * self.percent / F.lit(100 + self.percent))
 
     def similar(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a < b) whose sets are similar enough."""
@@ -261,25 +269,26 @@ class _Join:
 
     def links(self) -> DataFrame:
         """Links that connect whatever similar sets are connected: stars first, then what stars leave open."""
-        groups = self.groups()
-        open_ = groups.withColumn("_comp", F.col("_cid"))
+        open_ = self.groups().withColumn("_comp", F.col("_cid"))
         links = tried = None
         for r in range(STAR_ROUNDS):
-            centre = open_.groupBy("_key").agg(F.min(F.struct(F.xxhash64("_cid", F.lit(r)).alias("h"), F.col("_cid").alias("c"), "_comp")).alias("_centre"))
-            spokes = open_.join(centre, "_key").where(F.col("_comp") != F.col("_centre._comp"))
-            stars = spokes.select(F.least("_cid", "_centre.c").alias("a"), F.greatest("_cid", "_centre.c").alias("b")).distinct()
+            # few rarer shingles before the shared one: a text close to what its group has in common
+            first = F.col("_place") if r % 2 == 0 else F.lit(0)
+            centre = open_.groupBy("_key").agg(F.min(F.struct(first.alias("p"), F.xxhash64("_cid", F.lit(r)).alias("h"), F.col("_cid").alias("c"), "_comp", "_n", "_place")).alias("_x"))
+            centre = centre.select("_key", *[F.col(f"_x.{c}").alias(f"_x{c}") for c in ("c", "_comp", "_n", "_place")])
+            members = open_.withColumnsRenamed({"_n": "_m_n", "_place": "_m_place"})
+            spokes = members.join(centre, "_key").where((F.col("_comp") != F.col("_x_comp")) & self.reachable("_m", "_x"))
+            stars = spokes.select(F.least("_cid", "_xc").alias("a"), F.greatest("_cid", "_xc").alias("b")).distinct()
             stars = materialize(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "star-pairs")
             own = self.similar(stars)
             tried = stars if tried is None else tried.unionByName(stars)
             links = own if links is None else links.unionByName(own)
             found = components(links).withColumnsRenamed({"id": "_cid", "component": "_found"})
-            labelled = open_.select("_key", "_cid").join(found, "_cid", "left").select("_key", "_cid", F.coalesce("_found", "_cid").alias("_comp"))
+            labelled = open_.drop("_comp").join(found, "_cid", "left").withColumn("_comp", F.coalesce("_found", "_cid")).drop("_found")
             mixed = labelled.groupBy("_key").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo < _hi").select("_key")
             open_ = materialize(labelled.join(mixed, "_key", "left_semi"), "open-groups")
-        sized = open_.join(self.sketches.select("_cid", "_n"), "_cid")
-        one, two = (sized.select("_key", F.col("_cid").alias(c), F.col("_comp").alias(f"_comp_{c}"), F.col("_n").alias(f"_n_{c}")) for c in "ab")
-        near = F.least("_n_a", "_n_b") * 100 >= F.greatest("_n_a", "_n_b") * self.percent
-        rest = one.join(two, "_key").where((F.col("a") < F.col("b")) & (F.col("_comp_a") != F.col("_comp_b")) & near).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+        one, two = (open_.select("_key", F.col("_cid").alias(c), *[F.col(x).alias(f"{c}{x}") for x in ("_comp", "_n", "_place")]) for c in "ab")
+        rest = one.join(two, "_key").where((F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & self.reachable("a", "b")).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
         return links.unionByName(self.similar(rest))
 
 
