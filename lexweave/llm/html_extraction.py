@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexweave.llm._common import materialize
+from lexweave.llm._common import materialize, pieces
 from lexweave.llm.url_filters import host_of, path_of
 
 #: Element names by role.
@@ -201,7 +201,7 @@ def main_text(lines: list[tuple[str, bool]], gone: list[int]) -> str:
 
 
 def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         hashes, content = [], []
         for page in batch.column(batch.num_columns - 1).to_pylist():
             lines = page_lines(page or "")
@@ -212,7 +212,7 @@ def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _difference_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         gone = [deleted_lines(a, c, [p or [], n or []]) for a, c, p, n in zip(*(batch.column(x).to_pylist() for x in ("_lines", "_content", "_prev", "_next")), strict=True)]
         keys = [batch.column(i) for i in range(3)]
         yield pa.RecordBatch.from_arrays([*keys, pa.array(gone, pa.list_(pa.int32()))], ["_pid", "_purl", "_pth", "_gone"])
@@ -254,7 +254,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     joined = base.join(gone, same, "left").select("_id", "_url", "_html", "_gone")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = [main_text(page_lines(h or ""), g or []) for h, g in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             deleted = [len(g or []) for g in batch.column(3).to_pylist()]
             arrays = [batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64()), pa.array(deleted, pa.int32())]

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexweave.llm._common import pieces
+
 UNKNOWN = "und"
 MAX_LANGUAGES = 400
 #: A-Z to a-z, other ASCII but letters to spaces; bytes of other characters stay.
@@ -121,7 +123,7 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text", keep: t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
-        for batch in batches:
+        for batch in pieces(batches):
             found = [own.predict(v.as_py()) for v in batch.column(n)]
             langs, scores, out = zip(*found, strict=True) if found else ((), (), ())
             arrays = [*batch.columns[:n], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())]

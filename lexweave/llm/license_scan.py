@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lexweave.llm._common import pieces
+
 GRAM = 3
 WINDOW = 3
 MAX_INDEX = 5_000_000
@@ -153,7 +155,7 @@ def scan_licenses(df: DataFrame, templates: list[tuple[str, str]], text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, kept = index.value, {}
-        for batch in batches:
+        for batch in pieces(batches):
             rows: list[tuple] = []
             which: list[int] = []
             for i, value in enumerate(batch.column(n)):

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm._common import materialize, text_bytes
+from lexweave.llm._common import materialize, pieces, text_bytes
 from lexweave.llm._components import components
 
 HOT = 8
@@ -44,9 +44,8 @@ PARITY_WORDS = 16
 #: Rounds of comparing the classes of a group with one of them, another in each round.
 STAR_ROUNDS = 2
 BROADCAST_ROWS = 1_000_000
-#: Words whose hashes a task keeps, and rows that it holds as Python objects at a time.
+#: Words whose hashes a task keeps.
 MAX_WORDS_KEPT = 150_000
-PIECE = 250
 _GOLDEN, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -56,12 +55,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = PIECE) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for begin in range(0, batch.num_rows, rows):
-            yield batch.slice(begin, rows)
-
-
 class ShingleHasher:
     """Sorted distinct 64-bit hashes of a text's shingles; hashes of frequent words are kept, up to a bound."""
 

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lexweave.llm._common import pieces
+
 MARK = "▁"
 LONG_CHUNK = 256
 #: Field 3 (normalizer) of a model holding field 3 (add_dummy_prefix) = 0; appended fields override earlier ones.
@@ -38,7 +40,7 @@ def crossing_pieces(pieces: list[str]) -> list[str]:
 class ChunkTable:
     """Segments of distinct marked words: word -> (ids, the ids in decimal joined by commas)."""
 
-    def __init__(self, model: bytes, max_chunks: int = 400_000):
+    def __init__(self, model: bytes, max_chunks: int = 150_000):
         import sentencepiece
 
         self.whole = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -104,7 +106,7 @@ def _load(model_path: str) -> bytes:
         return f.read()
 
 
-def encode_texts(df: DataFrame, model_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True, digests: bool = False, max_chunks: int = 400_000) -> DataFrame:
+def encode_texts(df: DataFrame, model_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True, digests: bool = False, max_chunks: int = 150_000) -> DataFrame:
     """Encode and decode every text.
 
     Returns ``keep`` and ``n_tokens``, with ``ids`` also ``token_ids`` and ``decoded``, with ``digests`` also
@@ -121,7 +123,7 @@ def encode_texts(df: DataFrame, model_path: str, text_col: str = "text", keep: t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model.value, max_chunks)
-        for batch in batches:
+        for batch in pieces(batches):
             counts, all_ids, texts, said, back = [], [], [], [], []
             for value in batch.column(n_keep):
                 text = value.as_py() or ""

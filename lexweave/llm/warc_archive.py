@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexweave.llm._common import new_folder
+from lexweave.llm._common import new_folder, pieces
 
 FILE_BYTES = 256 << 20
 RANGE_GAP = 64 << 10
@@ -93,7 +93,7 @@ def write_archive(planned: DataFrame, folder: str, date: str = "2026-01-01T00:00
         filesystem.create_dir(root, recursive=True)
         out, name, at = None, "", 0
         try:
-            for batch in batches:
+            for batch in pieces(batches):
                 files, offsets, lengths = [], [], []
                 for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     page_id, url, payload, digest, refers_to = row
@@ -145,8 +145,8 @@ def read_records(selected: DataFrame, folder: str, payloads: bool = True) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, root = _filesystem(folder)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 1000):
-                rows = batch.slice(begin, 1000).to_pylist()
+            for piece in pieces([batch], 1000):
+                rows = piece.to_pylist()
                 found: list[list] = [[] for _ in fields]
                 by_file: dict[str, list[dict]] = {}
                 for r in rows:
