@@ -6,13 +6,16 @@ the questions' words.  Words that match nothing are compared with the tokens of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions import fixed
 from lexweave.functions import text as X
 
-_NONE = F.array().cast("array<string>")
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
 
 
 def title_tokens(titles: DataFrame) -> DataFrame:
@@ -59,12 +62,12 @@ def analyze(queries: DataFrame, titles: DataFrame, reference: DataFrame | None =
     if reference is not None:
         own = own.join(_matched(queries, reference, "other"), "query_id", "left")
     else:
-        own = own.withColumns({"other_ids": _NONE, "other_titles": _NONE, "other_terms": _NONE, "other_corrections": no_map})
+        own = own.withColumns({"other_ids": _none(), "other_titles": _none(), "other_terms": _none(), "other_corrections": no_map})
     for c in ("case_ids", "case_titles", "case_terms", "other_titles"):
-        own = own.withColumn(c, F.coalesce(c, _NONE))
+        own = own.withColumn(c, F.coalesce(c, _none()))
     own = own.withColumn("article_refs", X.article_refs(F.col("query"))).withColumn("articles", X.articles_of(F.col("article_refs")))
     named = F.size("case_ids") > 0
-    unknown = F.when(named, _NONE).otherwise(F.col("other_titles"))
+    unknown = F.when(named, _none()).otherwise(F.col("other_titles"))
     form = F.col("query").rlike(f"(?U){fixed.CASE_FORM}")
     cue = F.regexp_extract("query", f"(?i)({fixed.INTERPRETATION})", 1)
     own = own.withColumns({"unknown_case_titles": unknown, "_form": form, "_cue": cue})
@@ -77,7 +80,7 @@ def analyze(queries: DataFrame, titles: DataFrame, reference: DataFrame | None =
 
     pairs = F.array_sort(F.map_entries("corrections"))
     names = F.flatten(F.transform(F.when(named, F.col("case_titles")).otherwise(F.col("unknown_case_titles")), X.tokens))
-    ignored = F.when(F.col("_form") & ~named & (F.size("unknown_case_titles") == 0), _NONE).otherwise(F.concat(names, X.string_array(["v", "vs", "versus"]), F.map_keys("corrections")))
+    ignored = F.when(F.col("_form") & ~named & (F.size("unknown_case_titles") == 0), _none()).otherwise(F.concat(names, X.string_array(["v", "vs", "versus"]), F.map_keys("corrections")))
     content = F.array_except(F.array_distinct(X.tokens(F.col("query"))), F.concat(X.string_array(fixed.QUERY_STOPWORDS), ignored))
     corrected = F.aggregate(pairs, F.col("query"), lambda q, p: F.regexp_replace(q, F.concat(F.lit(r"(?i)\b"), p["key"], F.lit(r"\b")), p["value"]))
 
