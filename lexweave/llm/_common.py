@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,11 +44,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Arrow batches hold up to so many bytes where the session does not say otherwise; the usual 64 MB are several hundred as Python objects.
+BATCH_BYTES = "8m"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are small enough for long texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, "1b") == "1b":  # not set
+        df.sparkSession.conf.set(key, BATCH_BYTES)
+    return df
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in pieces, so that a task holds few rows as Python objects at a time."""
+    """Arrow batches in pieces, so that a task holds few rows as Python objects at a time; at its end it gives memory back."""
     for batch in batches:
         for begin in range(0, batch.num_rows, rows):
             yield batch.slice(begin, rows)
+    del batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def text_bytes(values: list) -> list[bytes]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexweave.llm._common import materialize, pieces
+from lexweave.llm._common import bounded_batches, materialize, pieces
 from lexweave.llm.url_filters import host_of, path_of
 
 #: Element names by role.
@@ -235,7 +235,7 @@ BROADCAST_ROWS = 500_000
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id``, ``url``, ``text``, ``n_chars`` and ``n_deleted`` (lines deleted by differencing) of every page."""
-    base = pages.select(pages[id_col].alias("_id"), pages[url_col].alias("_url"), F.xxhash64(html_col).alias("_th"), pages[html_col].alias("_html"))
+    base = bounded_batches(pages).select(pages[id_col].alias("_id"), pages[url_col].alias("_url"), F.xxhash64(html_col).alias("_th"), pages[html_col].alias("_html"))
     id_type = base.schema["_id"].dataType.simpleString()
     keyed = base.select("_id", "_url", "_th", host_of(F.col("_url")).alias("_host"), path_of(F.col("_url")).alias("_path"), "_html").where(F.col("_html").isNotNull() & (F.col("_host") != ""))
     hashed = keyed.mapInArrow(_hash_rows, f"_id {id_type}, _url string, _th long, _host string, _path string, _lines array<long>, _content array<boolean>")

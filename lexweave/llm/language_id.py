@@ -24,9 +24,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lexweave.llm._common import pieces
+from lexweave.llm._common import bounded_batches
 
 UNKNOWN = "und"
 MAX_LANGUAGES = 400
@@ -114,19 +113,21 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
 
 
 def predict(df: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """``keep`` (every column but the results', if not given) with ``lang_pred``, ``score`` and ``rejected``."""
-    new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-    names = [c for c in (keep or df.columns) if c not in {f.name for f in new}]
-    schema = T.StructType([df.schema[c] for c in names] + new)
+    """``keep`` (every column but the results', if not given) with ``lang_pred``, ``score`` and ``rejected``.
+
+    Only the text goes to Python and only the verdict comes back; the other columns wait in the JVM.
+    """
+    new = ["lang_pred", "score", "rejected"]
+    names = [c for c in (keep or df.columns) if c not in new]
     shipped = df.sparkSession.sparkContext.broadcast(model)
-    n = len(names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("lang_pred string, score double, rejected boolean")
+    def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shipped.value
-        for batch in pieces(batches):
-            found = [own.predict(v.as_py()) for v in batch.column(n)]
+        for array in texts:
+            found = [own.predict(v.as_py()) for v in array]
             langs, scores, out = zip(*found, strict=True) if found else ((), (), ())
-            arrays = [*batch.columns[:n], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays, [f.name for f in schema])
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())], names=new)
 
-    return df.select(*[df[c] for c in names], df[text_col].alias("_text_to_judge")).mapInArrow(run, schema)
+    judged = bounded_batches(df).select(*[df[c] for c in names], judge(df[text_col]).alias("_verdict"))
+    return judged.select(*names, "_verdict.lang_pred", "_verdict.score", "_verdict.rejected")

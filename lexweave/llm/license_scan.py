@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lexweave.llm._common import pieces
+from lexweave.llm._common import bounded_batches, pieces
 
 GRAM = 3
 WINDOW = 3
@@ -185,4 +185,4 @@ def scan_licenses(df: DataFrame, templates: list[tuple[str, str]], text_col: str
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32()), strict=True)]
                 yield pa.RecordBatch.from_arrays([c.take(pa.array(which)) for c in batch.columns[:n]] + columns, schema.names)
 
-    return df.select(*[df[c] for c in keep], df[text_col]).mapInArrow(run, schema)
+    return bounded_batches(df).select(*[df[c] for c in keep], df[text_col]).mapInArrow(run, schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lexweave.llm._common import new_folder, text_bytes
+from lexweave.llm._common import bounded_batches, new_folder, text_bytes
 
 UNIT = 192
 SIDE = 65535 // 8
@@ -367,7 +367,7 @@ def write_media(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([len(v) for v in values[a:b]], pa.int64()), pa.array(files, pa.binary())], schema.names)
 
     path = new_folder(df.sparkSession, "media")
-    df.select(*[df[c] for c in keep], df[text_col]).mapInArrow(run, schema).write.option("compression", "none").parquet(path)
+    bounded_batches(df).select(*[df[c] for c in keep], df[text_col]).mapInArrow(run, schema).write.option("compression", "none").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 

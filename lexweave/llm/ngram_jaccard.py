@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm._common import materialize, pieces, text_bytes
+from lexweave.llm._common import bounded_batches, materialize, pieces, text_bytes
 from lexweave.llm._components import components
 
 HOT = 8
@@ -286,7 +286,7 @@ class _Join:
 
 
 def _component_rows(df: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    docs = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
+    docs = bounded_batches(df).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
     join = _Join(docs, width, percent)
     found = components(join.links()).withColumnsRenamed({"id": "_cid", "component": "_comp"})
     classes = join.classes.select("_cid", "_n", "_d1", "_d2", "_least").join(found, "_cid", "left").withColumn("_comp", F.coalesce("_comp", "_cid"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexweave.llm._common import new_folder, pieces
+from lexweave.llm._common import bounded_batches, new_folder, pieces
 
 FILE_BYTES = 256 << 20
 RANGE_GAP = 64 << 10
@@ -114,7 +114,7 @@ def write_archive(planned: DataFrame, folder: str, date: str = "2026-01-01T00:00
             if out is not None:
                 out.close()
 
-    planned.mapInArrow(run, schema).write.parquet(f"{folder}/index")
+    bounded_batches(planned).mapInArrow(run, schema).write.parquet(f"{folder}/index")
     return planned.sparkSession.read.schema(schema).parquet(f"{folder}/index")
 
 
