@@ -69,29 +69,25 @@ def tokens(text: Column) -> Column:
     return F.flatten(F.transform(found, lambda t: _expand(F.regexp_replace(t, r"\s", ""))))
 
 
-def _strip_suffix(word: Column, suffixes: list[str], least: int, restore: dict[str, str]) -> Column:
-    out = word
-    for s in reversed(suffixes):
-        fits = F.endswith(word, F.lit(s)) & (F.length(word) - len(s) >= least)
-        if s == "s" and least == 3:
-            fits = fits & ~F.endswith(word, F.lit("ss"))
-        cut = F.substring(word, F.lit(1), F.length(word) - len(s))
-        out = F.when(fits, F.concat(cut, F.lit(restore[s])) if s in restore else cut).otherwise(out)
-    return out
+def _without_suffix(word: Column, least: int, to_y: list[str], rest: list[str]) -> Column:
+    """The longest ending off that leaves ``least`` letters.  One pattern each, so that a lambda works a word out once."""
+    y = "|".join(to_y)
+    plain = F.regexp_replace(word, rf"^(.{{{least},}}?)(?:{'|'.join(rest)})$", "$1")
+    return F.when(word.rlike(rf"^.{{{least},}}(?:{y})$"), F.regexp_replace(word, rf"(?:{y})$", "y")).otherwise(plain)
 
 
 def light_stem(word: Column) -> Column:
     """Common English endings off; for coverage checks, never for the index."""
-    cut = _strip_suffix(word, fixed.LIGHT_SUFFIXES, 3, {"ied": "y", "ies": "y"})
-    cut = F.when((F.length(word) > 4) & ~word.rlike(r"\d$"), cut).otherwise(word)
-    return F.when((F.length(cut) > 4) & F.endswith(cut, F.lit("e")), F.substring(cut, F.lit(1), F.length(cut) - 1)).otherwise(cut)
+    rest = ["(?<!s)s" if s == "s" else s for s in fixed.LIGHT_SUFFIXES if s not in ("ied", "ies")]
+    cut = F.when((F.length(word) > 4) & ~word.rlike(r"\d$"), _without_suffix(word, 3, ["ied", "ies"], rest)).otherwise(word)
+    return F.regexp_replace(cut, "^(.{4,})e$", "$1")
 
 
 def claim_stem(word: Column) -> Column:
     """Endings off for claim checks; tokens with digits and short ones stay."""
-    cut = _strip_suffix(word, fixed.CLAIM_SUFFIXES, 4, {"ied": "y", "ies": "y", "ural": "ure"})
-    cut = F.when((F.length(cut) > 4) & F.endswith(cut, F.lit("e")), F.substring(cut, F.lit(1), F.length(cut) - 1)).otherwise(cut)
-    return F.when(word.rlike(r"\d") | (F.length(word) <= 4), word).otherwise(cut)
+    rest = [s for s in fixed.CLAIM_SUFFIXES if s not in ("ied", "ies", "ural")]
+    cut = F.when(word.rlike("^.{4,}ural$"), F.regexp_replace(word, "ural$", "ure")).otherwise(_without_suffix(word, 4, ["ied", "ies"], rest))
+    return F.when(word.rlike(r"\d") | (F.length(word) <= 4), word).otherwise(F.regexp_replace(cut, "^(.{4,})e$", "$1"))
 
 
 def is_one_typo(word: Column, name: Column) -> Column:
@@ -131,12 +127,11 @@ def mentions_article(text: Column, article: Column) -> Column:
 def coverage(terms: Column, text: Column, matched_articles: Column) -> Column:
     """Share of the terms that the text holds as they are, as word forms, or as a matched article."""
 
-    def share(own):
-        forms = F.array_union(own, F.transform(own, light_stem))
+    def share(forms):
         hits = F.filter(terms, lambda t: F.array_contains(forms, t) | F.array_contains(forms, light_stem(t)) | F.array_contains(matched_articles, F.upper(t)))
         return F.size(hits) / F.size(terms)
 
-    return F.when(F.size(terms) == 0, F.lit(1.0)).otherwise(let(tokens(text), share))
+    return F.when(F.size(terms) == 0, F.lit(1.0)).otherwise(let(let(F.array_distinct(tokens(text)), lambda own: F.array_union(own, F.transform(own, light_stem))), share))
 
 
 def canonical_quote(text: Column) -> Column:
