@@ -46,9 +46,9 @@ class LanguageModel:
     """Dictionaries by language, in order of preference at ties."""
 
     dictionaries: dict[str, list[bytes]]
-    level: int = 6
+    level: int = 12
     block: int = 4096
-    short: int = 4096
+    short: int = 1024
     min_margin: float = 0.001
     _ready: list = field(default_factory=list, repr=False)
 
