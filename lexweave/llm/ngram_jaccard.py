@@ -233,9 +233,9 @@ class _Join:
         deep = materialize(deep, "deep-classes")
         tokens = self.texts(deep).mapInArrow(_full_sets(self.width), "_cid long, _set binary").mapInArrow(_exploded_sets, "_cid long, _token long, _n long").distinct()
         tokens = materialize(tokens, "deep-tokens")
-        frequent = tokens.groupBy("_token").agg(F.count("*").alias("_df"))
+        frequency = F.count("*").over(Window.partitionBy("_token"))
         place = F.row_number().over(Window.partitionBy("_cid").orderBy("_df", "_token"))
-        prefix = tokens.join(frequent, "_token").withColumn("_place", place)
+        prefix = tokens.withColumn("_df", frequency).withColumn("_place", place)
         prefix = prefix.where(F.col("_place") <= F.col("_n") - F.ceil(F.col("_n") * self.percent / F.lit(100)) + 1).where("_df > 1")
         usual = usual.distinct().join(self.sketches.select("_cid", "_n"), "_cid").withColumn("_place", F.lit(0))
         columns = ["_key", "_cid", "_n", "_place"]
