@@ -31,9 +31,9 @@ def first_relevant(questions: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def _rates(ks: tuple[int, ...]) -> list[Column]:
-    hits = [F.round(F.avg(F.when(F.col("first_rank") <= k, 1.0).otherwise(0.0)), 3).alias(f"hit_at_{k}") for k in ks]
+    hits = [F.bround(F.avg(F.when(F.col("first_rank") <= k, 1.0).otherwise(0.0)), 3).alias(f"hit_at_{k}") for k in ks]
     top = max(ks)
-    return [F.count("*").alias("n"), *hits, F.round(F.avg(F.when(F.col("first_rank") <= top, 1.0 / F.col("first_rank")).otherwise(0.0)), 3).alias(f"mrr_at_{top}")]
+    return [F.count("*").alias("n"), *hits, F.bround(F.avg(F.when(F.col("first_rank") <= top, 1.0 / F.col("first_rank")).otherwise(0.0)), 3).alias(f"mrr_at_{top}")]
 
 
 def summary(ranks: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
@@ -49,9 +49,9 @@ def score_separation(top_scores: DataFrame) -> DataFrame:
     floor = top_scores.agg(F.min(F.when(answerable, F.col("score"))).alias("_floor"))
     both = top_scores.crossJoin(F.broadcast(floor))  # one row
     return both.agg(
-        F.round(F.min(F.when(answerable, F.col("score"))), 3).alias("answerable_min"), F.round(F.avg(F.when(answerable, F.col("score"))), 3).alias("answerable_mean"), F.round(F.max(F.when(answerable, F.col("score"))), 3).alias("answerable_max"),
-        F.round(F.min(F.when(~answerable, F.col("score"))), 3).alias("out_of_scope_min"), F.round(F.avg(F.when(~answerable, F.col("score"))), 3).alias("out_of_scope_mean"), F.round(F.max(F.when(~answerable, F.col("score"))), 3).alias("out_of_scope_max"),
-        F.round(F.avg(F.when(~answerable, (F.col("score") < F.col("_floor")).cast("double"))), 3).alias("separated_share"),
+        F.bround(F.min(F.when(answerable, F.col("score"))), 3).alias("answerable_min"), F.bround(F.avg(F.when(answerable, F.col("score"))), 3).alias("answerable_mean"), F.bround(F.max(F.when(answerable, F.col("score"))), 3).alias("answerable_max"),
+        F.bround(F.min(F.when(~answerable, F.col("score"))), 3).alias("out_of_scope_min"), F.bround(F.avg(F.when(~answerable, F.col("score"))), 3).alias("out_of_scope_mean"), F.bround(F.max(F.when(~answerable, F.col("score"))), 3).alias("out_of_scope_max"),
+        F.bround(F.avg(F.when(~answerable, (F.col("score") < F.col("_floor")).cast("double"))), 3).alias("separated_share"),
     )
 
 
@@ -59,8 +59,8 @@ def answer_rates(answers: DataFrame) -> DataFrame:
     """Shares of answerable questions answered and of others refused, with the exceptions."""
     answered, answerable = F.col("status").isin("answered", "partial"), F.col("kind") != "out_of_scope"
     return answers.agg(
-        F.round(F.avg(F.when(answerable, answered.cast("double"))), 3).alias("answered_share"),
-        F.round(F.avg(F.when(~answerable, (~answered).cast("double"))), 3).alias("refused_share"),
+        F.bround(F.avg(F.when(answerable, answered.cast("double"))), 3).alias("answered_share"),
+        F.bround(F.avg(F.when(~answerable, (~answered).cast("double"))), 3).alias("refused_share"),
         F.array_sort(F.collect_list(F.when(answerable & ~answered, F.col("query_id")))).alias("not_answered"),
         F.array_sort(F.collect_list(F.when(~answerable & answered, F.col("query_id")))).alias("not_refused"),
     )

@@ -380,10 +380,10 @@ def oracle_sql() -> dict[str, str]:
         "hybrid_topk": f"{_LISTS}, {_fused(1.0, 1.0)} SELECT r.query_id, r.row, r.rank, one.rank AS bm25_rank, two.rank AS dense_rank FROM ranked r LEFT JOIN one ON one.query_id = r.query_id AND one.row = r.row LEFT JOIN two ON two.query_id = r.query_id AND two.row = r.row",
         "first_relevant_rank": f"{_JUDGED} SELECT query_id, kind, first_rank FROM ranks",
         "retrieval_summary": f"""{_JUDGED}, own AS (SELECT kind AS "group", first_rank FROM ranks WHERE kind <> 'out_of_scope' UNION ALL SELECT 'all', first_rank FROM ranks WHERE kind <> 'out_of_scope')
-          SELECT "group", count(*) AS n, {', '.join(f'round(avg(CASE WHEN first_rank <= {k} THEN 1.0 ELSE 0.0 END), 3) AS hit_at_{k}' for k in (1, 5, 10))}, round(avg(CASE WHEN first_rank <= 10 THEN 1.0 / first_rank ELSE 0.0 END), 3) AS mrr_at_10 FROM own GROUP BY 1""",
+          SELECT "group", count(*) AS n, {', '.join(f'round_even(avg(CASE WHEN first_rank <= {k} THEN 1.0 ELSE 0.0 END), 3) AS hit_at_{k}' for k in (1, 5, 10))}, round_even(avg(CASE WHEN first_rank <= 10 THEN 1.0 / first_rank ELSE 0.0 END), 3) AS mrr_at_10 FROM own GROUP BY 1""",
         "score_separation": f"""WITH {_INDEX}, {_bm25_sql('hits', 1)}, {_KINDS}, own AS (SELECT kind <> 'out_of_scope' AS a, score FROM hits JOIN kinds USING (query_id)), f AS (SELECT min(score) AS floor FROM own WHERE a)
-          SELECT round(min(score) FILTER (a), 3) AS answerable_min, round(avg(score) FILTER (a), 3) AS answerable_mean, round(max(score) FILTER (a), 3) AS answerable_max, round(min(score) FILTER (NOT a), 3) AS out_of_scope_min,
-          round(avg(score) FILTER (NOT a), 3) AS out_of_scope_mean, round(max(score) FILTER (NOT a), 3) AS out_of_scope_max, round(avg(CAST(score < floor AS DOUBLE)) FILTER (NOT a), 3) AS separated_share FROM own, f""",
+          SELECT round_even(min(score) FILTER (a), 3) AS answerable_min, round_even(avg(score) FILTER (a), 3) AS answerable_mean, round_even(max(score) FILTER (a), 3) AS answerable_max, round_even(min(score) FILTER (NOT a), 3) AS out_of_scope_min,
+          round_even(avg(score) FILTER (NOT a), 3) AS out_of_scope_mean, round_even(max(score) FILTER (NOT a), 3) AS out_of_scope_max, round_even(avg(CAST(score < floor AS DOUBLE)) FILTER (NOT a), 3) AS separated_share FROM own, f""",
         "running_lines": f"WITH {_PAGES} SELECT 'D' || doc_id AS document_id, key, count(DISTINCT p) AS pages FROM keyed WHERE at_edge GROUP BY doc_id, key HAVING count(DISTINCT p) > 1",
         "latest_version": f"WITH {_REGISTRY_SQL} SELECT document_id, CAST(max(document_version) AS INTEGER) AS document_version, max_by(title, document_version) AS title FROM registry GROUP BY 1",
         "current_versions": f"WITH {_REGISTRY_SQL} SELECT document_id, CAST(document_version AS INTEGER) AS document_version FROM registry WHERE replaced_by IS NULL",

@@ -28,10 +28,10 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_pointer(spark: SparkSession, root: str, value: dict) -> None:
-    """Replace ``root/_current`` by a rename, on any file system that Spark can write."""
+    """Replace ``root/CURRENT`` by a rename, on any file system that Spark can write."""
     fs, _, jvm = _fs(spark, root)
     path = jvm.org.apache.hadoop.fs.Path
-    temp, final = path(f"{root}/_pointer-{uuid.uuid4().hex}"), path(f"{root}/_current")
+    temp, final = path(f"{root}/POINTER-{uuid.uuid4().hex}"), path(f"{root}/CURRENT")
     out = fs.create(temp)
     out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
     out.close()
@@ -42,10 +42,10 @@ def write_pointer(spark: SparkSession, root: str, value: dict) -> None:
 
 def read_pointer(spark: SparkSession, root: str) -> dict:
     fs, _, jvm = _fs(spark, root)
-    final = jvm.org.apache.hadoop.fs.Path(f"{root}/_current")
+    final = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
     if not fs.exists(final):
         raise IndexNotFoundError(root)
-    return json.loads(spark.read.text(f"{root}/_current").first()[0])
+    return json.loads(spark.read.text(f"{root}/CURRENT").first()[0])
 
 
 def publish(tables: dict[str, DataFrame], root: str, meta: dict | None = None, bucket: dict[str, list[str]] | None = None) -> str:
