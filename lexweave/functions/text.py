@@ -63,10 +63,18 @@ def _expand(token: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Index and query terms in text order; null gives an empty array.  Texts must be NFKC-stable (see ``nfkc``)."""
-    lowered = F.regexp_replace(_repair_numbers(F.lower(F.coalesce(text, F.lit("")))), fixed.FIRST_CLAUSE, "$1(1)")
-    found = F.regexp_extract_all(lowered, F.lit(rf"{fixed.REFERENCE}|[\p{{L}}\p{{N}}]+"), F.lit(0))
-    return F.flatten(F.transform(found, lambda t: _expand(F.regexp_replace(t, r"\s", ""))))
+    """Index and query terms in text order; null gives an empty array.  Texts must be NFKC-stable (see ``nfkc``).
+
+    Texts without a reference, nearly all, take one pattern and one filter; the others are expanded token by token.
+    """
+
+    def found(lowered):
+        words = F.regexp_extract_all(lowered, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+        mixed = F.regexp_extract_all(lowered, F.lit(rf"{fixed.REFERENCE}|[\p{{L}}\p{{N}}]+"), F.lit(0))
+        expanded = F.flatten(F.transform(mixed, lambda t: _expand(F.regexp_replace(t, r"\s", ""))))
+        return F.when(lowered.rlike(fixed.REFERENCE), expanded).otherwise(F.filter(words, lambda t: ~t.isin(fixed.STOPWORDS)))
+
+    return let(F.regexp_replace(_repair_numbers(F.lower(F.coalesce(text, F.lit("")))), fixed.FIRST_CLAUSE, "$1(1)"), found)
 
 
 def _without_suffix(word: Column, least: int, to_y: list[str], rest: list[str]) -> Column:

@@ -20,7 +20,7 @@ BROADCAST_TERMS = 1_000_000
 def term_frequencies(chunks: DataFrame, row: str = "row", text: str = "text") -> DataFrame:
     """row, term, tf and len (terms of the chunk, repeated ones included)."""
     own = chunks.select(F.col(row).alias("row"), X.tokens(F.col(text)).alias("_t")).withColumn("len", F.size("_t"))
-    return own.select("row", "len", F.explode("_t").alias("term")).groupBy("row", "term").agg(F.count("*").cast("int").alias("tf"), F.first("len").alias("len"))
+    return own.select("row", "len", F.explode("_t").alias("term")).groupBy("row", "len", "term").agg(F.count("*").cast("int").alias("tf")).select("row", "term", "tf", "len")
 
 
 def chunk_lengths(chunks: DataFrame, row: str = "row", text: str = "text") -> DataFrame:
@@ -34,7 +34,8 @@ def document_frequency(postings: DataFrame) -> DataFrame:
 def build(chunks: DataFrame, row: str = "row", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Postings with df, and the one-row statistics (n, avgdl).  Chunks without terms count in both statistics."""
     tf = term_frequencies(chunks, row, text)
-    stats = chunk_lengths(chunks, row, text).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+    total = tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("_all"))  # lengths add up to all occurrences, so the texts are read once
+    stats = chunks.agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("n", F.try_divide(F.col("_all"), F.col("n")).alias("avgdl"))
     return tf.join(document_frequency(tf), "term"), stats
 
 

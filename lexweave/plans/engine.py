@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import asdict, dataclass, field, replace
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.operators import answers, bm25, chunking, dense, fusion, ingest, selection, understanding
+from lexweave.operators import answers, bm25, chunking, dense, evaluation, fusion, ingest, selection, understanding
+from lexweave.operators.tables import snapshot
 from lexweave.sources import sinks
 from lexweave.sources.scans import PAGE_SCHEMA, REGISTRY_SCHEMA, PdfParser, read_or_empty, scan_files, scan_pages
 
@@ -105,8 +105,18 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, embedder: dense.Embedder | None = None):
         self.spark, self.root, self.settings, self.embedder = spark, root.rstrip("/"), settings or Settings(), embedder
-        self._corpora: dict[str, Corpus] = {}
-        self._versions: dict[str, int] = {}
+        try:
+            saved = sinks.read_pointer(spark, f"{self.root}/corpora")
+        except sinks.IndexNotFoundError:
+            saved = {}
+        self._corpora = {k: Corpus(**v) for k, v in saved.items()}
+
+    def _save(self) -> None:
+        sinks.write_pointer(self.spark, f"{self.root}/corpora", {k: asdict(v) for k, v in self._corpora.items()})
+
+    def _set(self, corpus: Corpus, status: str, reason: str | None = None) -> None:
+        corpus.status, corpus.reason = status, reason
+        self._save()
 
     # corpora
 
@@ -116,6 +126,7 @@ class Engine:
         if corpus_id in self._corpora:
             raise CorpusExistsError(corpus_id)
         self._corpora[corpus_id] = Corpus(corpus_id, title)
+        self._save()
         return self._corpora[corpus_id]
 
     def get_corpus(self, corpus_id: str) -> Corpus:
@@ -135,12 +146,13 @@ class Engine:
         fs, p, _ = sinks._fs(self.spark, f"{self.root}/{corpus_id}")
         fs.delete(p, True)
         del self._corpora[corpus_id]
+        self._save()
 
     def recover(self) -> None:
         """At start: what was processing when the driver ended has failed."""
         for c in self._corpora.values():
             if c.status == "processing":
-                c.status, c.reason = "failed", "The build was interrupted."
+                self._set(c, "failed", "The build was interrupted.")
 
     # tables
 
@@ -170,8 +182,6 @@ class Engine:
             raise CorpusError(f"{twice[0]['document_id']} stands twice in one call")
         registry, old = self.registry(corpus_id), self.pages(corpus_id)
         planned = ingest.plan_ingest(registry, incoming).withColumns({"corpus_id": F.lit(corpus_id), "ingestion_date": F.current_timestamp(), "replaced_by": F.lit(None).cast("string")})
-        from lexweave.operators.tables import snapshot
-
         planned = snapshot(planned)
         new = planned.where("outcome IN ('added', 'new_version')")
         if not new.isEmpty():
@@ -179,7 +189,7 @@ class Engine:
                 F.lit(corpus_id).alias("corpus_id"), "document_id", "document_version", "page_number", "text", (F.trim(F.coalesce("text", F.lit(""))) == "").alias("is_empty"), "page_label", F.lit(None).cast("string").alias("extraction_error")
             )
             sinks.publish({"registry": ingest.apply_ingest(registry, planned), "pages": old.unionByName(own)}, f"{self.root}/{corpus_id}/documents")
-            corpus.status = "uploaded"
+            self._set(corpus, "uploaded")
         return planned.select("document_id", "document_version", "outcome", "error")
 
     def add_directory(self, corpus_id: str, path: str, parser: PdfParser, source_type: str = "user_document", glob: str = "*.pdf") -> DataFrame:
@@ -196,7 +206,7 @@ class Engine:
         corpus = self.get_corpus(corpus_id)
         if corpus.status == "processing":
             raise CorpusBusyError(corpus_id)
-        corpus.status, corpus.reason = "processing", None
+        self._set(corpus, "processing")
         try:
             registry, pages = self.registry(corpus_id), self.pages(corpus_id)
             if registry.isEmpty():
@@ -214,9 +224,9 @@ class Engine:
             postings, stats = bm25.build(chunks)
             vectors = dense.embed(chunks, self.embedder) if self.embedder else None
             sinks.save_indexes(chunks, postings, stats, vectors, root, chunking.index_fingerprint(chunks), self.embedder.name if self.embedder else None)
-            corpus.status = "ready"
+            self._set(corpus, "ready")
         except Exception as e:
-            corpus.status, corpus.reason = "failed", str(e).splitlines()[0][:300]
+            self._set(corpus, "failed", str(e).splitlines()[0][:300])
             raise
         return corpus
 
@@ -273,6 +283,15 @@ class Engine:
         rows = self.query_many(corpus_id, self.spark.createDataFrame([("q", question)], "query_id string, query string"), **settings).collect()
         return rows[0].asDict(True)
 
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    def evaluate(self, corpus_id: str, questions: DataFrame, modes: tuple[str, ...] = ("bm25", "dense", "hybrid"), ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+        """hit@k and MRR of each mode over evaluation questions (id, kind, question, relevant_documents, relevant_articles)."""
+        own = questions.select(F.col("id").alias("query_id"), F.col("question").alias("query"), "kind", "relevant_documents", "relevant_articles")
+        chunks = sinks.load_indexes(self.spark, f"{self.root}/{corpus_id}/index")["chunks"].select("row", "document_id", "source_type", "article_number")
+        out = None
+        for mode in modes:
+            hits = fusion.materialize_hits(self.retrieve(corpus_id, own.select("query_id", "query"), mode), chunks).join(own, "query_id")
+            relevant = evaluation.is_relevant(*map(F.col, ("kind", "relevant_documents", "relevant_articles", "document_id", "source_type", "article_number")))
+            ranks = evaluation.first_relevant(own.select("query_id", "kind"), hits.select("query_id", "rank", relevant.alias("relevant")))
+            part = evaluation.summary(ranks, ks).withColumn("mode", F.lit(mode))
+            out = part if out is None else out.unionByName(part)
+        return out

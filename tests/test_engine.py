@@ -40,6 +40,10 @@ def test_from_documents_to_answers(spark, tmp_path):
     assert own.add_documents("demo", *documents(spark, "\n".join(["New words", *ACT]))).where("outcome = 'new_version' AND document_version = 2").count() == 1
     own.build_corpus("demo")
     assert own.counts("demo").first().documents == 2
+    assert E.Engine(spark, str(tmp_path)).get_corpus("demo").status == "ready"
+    asked = spark.createDataFrame([("a", "provision", "equality before law", None, ["14"]), ("b", "case", "passport impounded", ["man"], None), ("c", "out_of_scope", "rivers", None, None)], "id string, kind string, question string, relevant_documents array<string>, relevant_articles array<string>")
+    rates = {(r.mode, r.group): r for r in own.evaluate("demo", asked).collect()}
+    assert rates["bm25", "all"].n == 2 and rates["bm25", "all"].hit_at_1 == 1.0 and len(rates) == 9
     assert [c.corpus_id for c in own.list_corpora()] == ["demo"]
     own.delete_corpus("demo")
     with pytest.raises(E.CorpusNotFoundError):
