@@ -139,6 +139,7 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = materialize(near_lines(occurrences, keyed, min_words), "near-lines").withColumn("_near", F.lit(True))
     groups = occurrences.groupBy("_h1", "_h2").agg(F.min(_order()).alias("_o"), F.count("*").alias("_c"))
     marked = groups.join(near, ["_h1", "_h2"], "left").where("_c > 1 OR _near").select("_h1", "_h2", "_o", "_near")
+    marked = materialize(marked, "marked-lines")  # a table of its own: Spark can split a frequent line's occurrences in the join
     gone = occurrences.select("_h1", "_h2", "_id", "_th", "_pos").join(marked, ["_h1", "_h2"]).where(F.col("_near").isNotNull() | (_order() > F.col("_o")))
     return docs, gone.groupBy("_id", "_th").agg(F.collect_set("_pos").alias("_gone"))
 
