@@ -20,9 +20,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm._common import ascii_lower
+from lexweave.llm._common import ascii_lower, materialize
 
 BROADCAST_BYTES = 64 << 20
+BROADCAST_ROWS = 200_000
 BLOCK_WORDS = 8
 BITS_PER_KEY = 16
 
@@ -103,6 +104,7 @@ def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url", keep: tuple
         F.max_by(F.when(F.col("is_rule"), F.struct("entry", "action")), F.when(F.col("is_rule"), F.length("entry"))).alias("_rule"),
         F.max(~F.col("is_rule")).alias("_listed"),
     )
-    judged = base.join(best, ["host", "path"], "left")
+    best = materialize(best, "url-verdicts")  # a table of its own: broadcast if it is small, else a join that Spark can split
+    judged = base.join(F.broadcast(best) if best.count() <= BROADCAST_ROWS else best, ["host", "path"], "left")
     verdict = F.coalesce(F.col("_rule.action"), F.when(F.col("_listed"), F.lit("block")), F.lit(default))
     return judged.select(*keep, "host", "path", F.col("_rule.entry").alias("rule"), verdict.alias("verdict"), F.coalesce("_listed", F.lit(False)).alias("listed"))
