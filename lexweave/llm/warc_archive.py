@@ -25,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexweave.llm._common import bounded_batches, new_folder, pieces
+from lexweave.llm._common import bounded_batches, materialize, new_folder, pieces
 
 FILE_BYTES = 256 << 20
+#: Digests that several payloads share are broadcast up to so many, about 80 MB.
+BROADCAST_ROWS = 500_000
 RANGE_GAP = 64 << 10
 RANGE_BYTES = 8 << 20
 STRETCH = 16 << 20
@@ -76,7 +78,8 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     base = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), F.coalesce(pages[payload_col], F.lit("")).alias("payload"))
     base = base.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
     shared = base.where(F.octet_length("payload") >= revisit_from).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n")
-    planned = base.join(shared, "digest", "left")
+    shared = materialize(shared, "shared-payloads")  # a table of its own: broadcast if it is small, else a join that Spark can split
+    planned = base.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "digest", "left")
     return planned.select("id", "url", "payload", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
