@@ -14,7 +14,7 @@ from lexweave.operators.tables import snapshot
 from lexweave.sources import sinks
 from lexweave.sources.scans import PAGE_SCHEMA, REGISTRY_SCHEMA, PdfParser, read_or_empty, scan_files, scan_pages
 
-RESERVED = "constitutional-core"
+RESERVED = "core"
 
 
 class CorpusError(Exception):

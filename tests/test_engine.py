@@ -50,6 +50,23 @@ def test_from_documents_to_answers(spark, tmp_path):
         own.get_corpus("demo")
 
 
+def test_directory_and_command_line(spark, tmp_path, capsys):
+    from lexweave.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "air.txt").write_text("Airships are lighter than air.\fThey were filled with hydrogen.")
+    (tmp_path / "in" / "bad.txt").write_bytes(b"\xff\xff")
+    root = str(tmp_path / "root")
+    main([root, "create", "ships", "Ships"])
+    main([root, "add", "ships", str(tmp_path / "in")])
+    main([root, "build", "ships"])
+    main([root, "query", "ships", "What filled airships with hydrogen?"])
+    main([root, "list"])
+    said = capsys.readouterr().out
+    assert "failed" in said and "hydrogen" in said and "air.txt" in said and '"status": "ready"' in said
+    main([root, "delete", "ships"])
+
+
 def test_failed_build_says_why(spark, tmp_path):
     own = E.Engine(spark, str(tmp_path))
     own.create_corpus("empty", "x")
