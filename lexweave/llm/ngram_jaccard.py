@@ -13,8 +13,8 @@ shingles have 64 bits, and every link between different sets is found.
 3. Groups.  A signature shared by at most ``HOT`` classes gives candidates.  A more frequent one (empty parts, passages
    that many documents share) is *hot*.  As similar sets agree on m + 1 parts, a set with at most m hot signatures in
    an instance agrees with each partner on one that is not hot, so hot groups are needed for the others only.
-4. Those others (*deep* classes) are joined exactly among themselves by their rarest shingles: similar sets share one
-   of their ``s - ceil(0.8 s) + 1`` rarest, and a pair counts only if so many shingles can still be common behind the
+4. Those others (*deep* classes) are joined exactly among themselves by their rarest shingles, as a fixed number of
+   buckets counts them: similar sets share one of their ``s - ceil(0.8 s) + 1`` rarest, and a pair counts only if so many shingles can still be common behind the
    place of the shared one.
 5. Candidates are compared with one class of their group, in a few rounds with another each; what is then still in
    different components of one group is compared too.  No pair inside a component is made, so a group of mutual copies costs a star.
@@ -41,6 +41,8 @@ from lexweave.llm._components import components
 
 HOT = 8
 PARITY_WORDS = 16
+#: Shingles of deep classes are counted in so many buckets (2 MB); any order of shingles keeps the join exact, this one keeps it small.
+BUCKET_BITS = 18
 #: Rounds of comparing the classes of a group with one of them, another in each round.
 STAR_ROUNDS = 2
 BROADCAST_ROWS = 1_000_000
@@ -182,11 +184,33 @@ def _full_sets(width: int):
     return run
 
 
-def _exploded_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
-        for cid, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            u = np.frombuffer(data, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), cid, np.int64)), pa.array(u), pa.array(np.full(len(u), len(u), np.int64))], ["_cid", "_token", "_n"])
+def _bucket(u: np.ndarray) -> np.ndarray:
+    return (mix(u) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets of shingles that a task has met twice or more, with their counts."""
+    counts = np.zeros(1 << BUCKET_BITS, np.int64)
+    for batch in batches:
+        for data in batch.column(1):
+            np.add.at(counts, _bucket(np.frombuffer(data.as_py(), np.uint64)), 1)
+    met = np.flatnonzero(counts > 1)
+    yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(counts[met])], ["bucket", "count"])
+
+
+def _prefixes(shipped, percent: int):
+    """The rarest shingles of each set, by their bucket's count and then their hash, with their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shipped.value
+        for batch in batches:
+            for cid, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                u = np.frombuffer(data.as_py(), np.uint64)
+                n = len(u)
+                first = u[np.lexsort((u, counts[_bucket(u)]))][: n + percent * n // -100 + 1]
+                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(np.full(len(first), cid, np.int64)), pa.array(np.full(len(first), n, np.int64)), pa.array(np.arange(1, len(first) + 1, dtype=np.int32))], ["_key", "_cid", "_n", "_place"])
+
+    return run
 
 
 def _verify(percent: int):
@@ -231,15 +255,15 @@ class _Join:
         usual = shared.where(F.col("_c") <= HOT).select(F.col("_sig").alias("_key"), "_cid")
         deep = shared.where(F.col("_c") > HOT).groupBy("_cid", "_tag").agg(F.count("*").alias("_hot")).where(F.col("_hot") > F.shiftright("_tag", 1)).select("_cid").distinct()
         deep = materialize(deep, "deep-classes")
-        tokens = self.texts(deep).mapInArrow(_full_sets(self.width), "_cid long, _set binary").mapInArrow(_exploded_sets, "_cid long, _token long, _n long").distinct()
-        tokens = materialize(tokens, "deep-tokens")
-        frequency = F.count("*").over(Window.partitionBy("_token"))
-        place = F.row_number().over(Window.partitionBy("_cid").orderBy("_df", "_token"))
-        prefix = tokens.withColumn("_df", frequency).withColumn("_place", place)
-        prefix = prefix.where(F.col("_place") <= F.col("_n") - F.ceil(F.col("_n") * self.percent / F.lit(100)) + 1).where("_df > 1")
+        sets = materialize(self.texts(deep).mapInArrow(_full_sets(self.width), "_cid long, _set binary").dropDuplicates(["_cid"]), "deep-sets")
+        met = sets.mapInArrow(_bucket_counts, "bucket long, count long").groupBy("bucket").agg(F.sum("count").alias("count"))
+        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+        for r in met.toLocalIterator():  # a row for each bucket at most
+            counts[r["bucket"]] = r["count"]
+        prefix = sets.mapInArrow(_prefixes(sets.sparkSession.sparkContext.broadcast(counts), self.percent), "_key long, _cid long, _n long, _place int")
         usual = usual.distinct().join(self.sketches.select("_cid", "_n"), "_cid").withColumn("_place", F.lit(0))
         columns = ["_key", "_cid", "_n", "_place"]
-        return materialize(usual.select(columns).unionByName(prefix.withColumnRenamed("_token", "_key").select(columns)), "candidate-groups")
+        return materialize(usual.select(columns).unionByName(prefix), "candidate-groups")
 
     def reachable(self, a: str, b: str):
         """Can sets of these sizes whose rarest common shingle stands at these places share enough?  Place 0: unknown."""
