@@ -3,8 +3,8 @@
 Each language has a few raw-content zstandard dictionaries made of labelled text.  A text is compressed with every
 language's dictionaries, in blocks of ``block`` bytes so that the dictionary counts along the whole text, and the
 language with the smallest total wins.  The relative margin to the second smallest is the score; a text whose score
-is under ``min_margin`` is rejected.  Short texts are measured against ``shards`` dictionaries of each language, long
-ones against the first.
+is under ``min_margin`` is rejected.  Short texts are searched more deeply, and against ``shards`` dictionaries of each
+language; for long ones the first dictionary tells as much.
 
 Fitting uses a bounded sample: for each language the ``sample_rows`` distinct labelled texts of smallest hash, and of
 each at most ``piece_bytes`` normalised bytes at a place given by the hash.  Everything else reads whole texts.
@@ -46,7 +46,8 @@ class LanguageModel:
     """Dictionaries by language, in order of preference at ties."""
 
     dictionaries: dict[str, list[bytes]]
-    level: int = 12
+    level: int = 6
+    short_level: int = 12
     block: int = 4096
     short: int = 1024
     min_margin: float = 0.001
@@ -59,20 +60,20 @@ class LanguageModel:
         if not self._ready:
             import zstandard
 
-            for name, contents in self.dictionaries.items():
-                own = []
-                for content in contents:
-                    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                    d.precompute_compress(level=self.level)
-                    own.append(zstandard.ZstdCompressor(level=self.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
-                self._ready.append((name, own))
+            def ready(content: bytes, level: int):
+                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(level=level)
+                return zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+            self._ready += [(name, [ready(c, self.short_level) for c in contents], ready(contents[0], self.level)) for name, contents in self.dictionaries.items()]
         return self._ready
 
     def sizes(self, data: bytes) -> list[tuple[int, str]]:
         """Compressed bytes by language."""
+        if len(data) < self.short:
+            return [(sum(len(c.compress(data)) for c in many), name) for name, many, _ in self._compressors()]
         blocks = [data[i : i + self.block] for i in range(0, len(data), self.block)]
-        many = len(data) < self.short
-        return [(sum(len(c.compress(b)) for c in (own if many else own[:1]) for b in blocks), name) for name, own in self._compressors()]
+        return [(sum(len(one.compress(b)) for b in blocks), name) for name, _, one in self._compressors()]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score from 0 to 1, and whether the text is rejected."""
