@@ -58,8 +58,8 @@ def item_sketches(items: DataFrame, width: int, threshold_percent: int) -> DataF
     return sized.select(F.xxhash64("_w").alias("_item"), "_w", "_width", "_set", F.slice("_hashes", 1, missing + 1).alias("_sketch"))
 
 
-def find_contained(docs: DataFrame, items: DataFrame, width: int = 5, threshold_percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """A row for each document and item whose shingles it contains: ``doc_id``, ``item_id``, ``n_shared``, ``n_item``."""
+def _contained(docs: DataFrame, items: DataFrame, width: int, threshold_percent: int, id_col: str, text_col: str, item_id_col: str, item_text_col: str) -> DataFrame:
+    """``_doc``, ``_th`` (hash of the text), ``_item``, ``n_shared``, ``n_item`` of each text that contains an item."""
     named = items.select(F.col(item_id_col).alias("_item_id"), F.col(item_text_col).alias("_text"))
     sketches = materialize(item_sketches(named, width, threshold_percent), "item-sketches")
     widths = sorted(r[0] for r in sketches.select("_width").distinct().collect())
@@ -79,20 +79,27 @@ def find_contained(docs: DataFrame, items: DataFrame, width: int = 5, threshold_
     candidates = materialize(candidates, "contained-candidates")
 
     sets = sketches.select("_item", "_width", "_set")
-    if sketches.count() <= 20_000:
+    if sketches.agg(F.coalesce(F.sum(F.size("_set")), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_ROWS:
         sets = F.broadcast(sets)
     wanted = candidates.select(F.col("_doc").alias("_d"), F.col("_th").alias("_t"), "_item")
     held = base.join(wanted, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t"))).join(sets, "_item")
     found = F.lit(None).cast("array<string>")
     for k in widths:
         found = F.when(F.col("_width") == k, F.array_intersect(F.col("_set"), shingles(F.col("_w"), k))).otherwise(found)
-    counted = held.select("_doc", "_item", "_set", "_width", w.alias("_w")).select("_doc", "_item", F.size(found).alias("n_shared"), F.size("_set").alias("n_item"))
-    matched = counted.where(F.col("n_shared") * 100 >= F.col("n_item") * threshold_percent).groupBy("_doc", "_item").agg(F.max("n_shared").alias("n_shared"), F.max("n_item").alias("n_item"))
-    ids = named.select(F.xxhash64(words(F.col("_text"))).alias("_item"), F.col("_item_id")).where(F.size(words(F.col("_text"))) > 0).distinct()
+    counted = held.select("_doc", "_th", "_item", "_set", "_width", w.alias("_w")).select("_doc", "_th", "_item", F.size(found).alias("n_shared"), F.size("_set").alias("n_item"))
+    return counted.where(F.col("n_shared") * 100 >= F.col("n_item") * threshold_percent)
+
+
+def find_contained(docs: DataFrame, items: DataFrame, width: int = 5, threshold_percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """A row for each document and item whose shingles it contains: ``doc_id``, ``item_id``, ``n_shared``, ``n_item``."""
+    matched = _contained(docs, items, width, threshold_percent, id_col, text_col, item_id_col, item_text_col)
+    matched = matched.groupBy("_doc", "_item").agg(F.max("n_shared").alias("n_shared"), F.max("n_item").alias("n_item"))
+    w = words(F.col(item_text_col))
+    ids = items.select(F.xxhash64(w).alias("_item"), F.col(item_id_col).alias("_item_id")).where(F.size(w) > 0).distinct()
     return matched.join(ids, "_item").select(F.col("_doc").alias("doc_id"), F.col("_item_id").alias("item_id"), "n_shared", "n_item")
 
 
-def drop_contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of ``df`` that contain no item, every column kept."""
-    hit = find_contained(df, items, id_col=id_col, text_col=text_col, **settings).select(F.col("doc_id").alias("_hit")).distinct()
-    return df.join(hit, F.col(id_col).eqNullSafe(F.col("_hit")), "left_anti")
+def drop_contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold_percent: int = 80, item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that contain no item, every column kept; of rows with one id, only those whose own text holds one go."""
+    hit = _contained(df, items, width, threshold_percent, id_col, text_col, item_id_col, item_text_col).select(F.col("_doc").alias("_hit"), F.col("_th").alias("_hit_th")).distinct()
+    return df.join(hit, F.col(id_col).eqNullSafe(F.col("_hit")) & (F.xxhash64(text_col) == F.col("_hit_th")), "left_anti")

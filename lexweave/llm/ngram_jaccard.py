@@ -258,7 +258,7 @@ class _Join:
         sets = materialize(self.texts(deep).mapInArrow(_full_sets(self.width), "_cid long, _set binary").dropDuplicates(["_cid"]), "deep-sets")
         met = sets.mapInArrow(_bucket_counts, "bucket long, count long").groupBy("bucket").agg(F.sum("count").alias("count"))
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
-        for r in met.toLocalIterator():  # a row for each bucket at most
+        for r in met.collect():  # a row for each bucket at most
             counts[r["bucket"]] = r["count"]
         prefix = sets.mapInArrow(_prefixes(sets.sparkSession.sparkContext.broadcast(counts), self.percent), "_key long, _cid long, _n long, _place int")
         usual = usual.distinct().join(self.sketches.select("_cid", "_n"), "_cid").withColumn("_place", F.lit(0))
