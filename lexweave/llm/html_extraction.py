@@ -2,8 +2,8 @@
 
 Pages of a host are ordered by URL path, and each is paired with the page before and the page behind it.  The text
 lines of a pair are aligned by longest common subsequence, and lines that a page shares with a neighbour are deleted.
-Two exceptions keep articles whole: lines inside the page's own ``article`` or ``main`` element are its content even
-if a neighbour has them too, and a neighbour that shares four fifths of both pages' lines is a copy, which says
+All other lines are the text.  Two exceptions keep articles whole: lines inside the page's own ``article`` or ``main``
+element are its content even if a neighbour has them too, and a neighbour that shares four fifths of both pages' lines is a copy, which says
 nothing about furniture.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments that the
 markup names are left out before.
 
@@ -196,8 +196,7 @@ def deleted_lines(lines: list[int], content: list[bool], neighbours: list[list[i
 
 def main_text(lines: list[tuple[str, bool]], gone: list[int]) -> str:
     left = set(gone)
-    inside = [t for t, c in lines if c]
-    return "\n".join(inside or [t for i, (t, _) in enumerate(lines) if i not in left])
+    return "\n".join(t for i, (t, _) in enumerate(lines) if i not in left)
 
 
 def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -40,6 +40,13 @@ def test_copies_and_articles_stay_whole(spark):
     assert all("A\nB" in t and "Home" in t for _, t in got[2:]) and len(got) == 5
 
 
+def test_text_beside_an_article_stays(spark):
+    card = "<html><body><div>Menu line</div><article>Teaser {0}</article><div><p>The text {0}.</p><p>More of {0}.</p></div><div>Imprint</div></body></html>"
+    rows = [(i, f"http://h/{i}", card.format(i)) for i in range(3)]
+    for r in H.extract(spark.createDataFrame(rows, SCHEMA)).collect():
+        assert (r.text, r.n_deleted) == (f"Teaser {r.page_id}\nThe text {r.page_id}.\nMore of {r.page_id}.", 2)
+
+
 def test_empty(spark):
     assert H.extract(spark.createDataFrame([], SCHEMA)).count() == 0
 
