@@ -1,15 +1,15 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages of a host are ordered by URL path, and each is paired with the page before and the page behind it.  The text
-lines of a pair are aligned by longest common subsequence, and lines that a page shares with a neighbour are deleted.
-All other lines are the text.  Two exceptions keep articles whole: lines inside the page's own ``article`` or ``main``
-element are its content even if a neighbour has them too, and a neighbour that shares four fifths of both pages' lines is a copy, which says
-nothing about furniture.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments that the
+Pages of a host are ordered by URL path, and each is paired with the nearest page before and behind it whose lines differ
+from its own: copies, pages with the same lines in the same order, say nothing about furniture, so copies next to each
+other count as one page.  The text lines of a pair are aligned by longest common subsequence, and lines that a page
+shares with a neighbour are deleted.  All other lines are the text.  Lines inside the page's own ``article`` or ``main``
+element are its content even if a neighbour has them too.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments that the
 markup names are left out before.
 
 Only line hashes move between machines.  The order of all pages comes from a range-partitioned sort of their keys,
-which gives every page a number; neighbours then meet in a join by number, so a host with a third of all pages is no
-hot key.  The text itself is read in place, twice.
+which gives every run of copies a number; runs then meet in a join by number, so a host with a third of all pages is no
+hot key.  A run is differenced once for all its pages.  The text itself is read in place, twice.
 
 Defined results: a null or empty page has no text; pages without a URL have no neighbours; pages with equal id, URL
 and html are one page, and each of its rows gets the result.
@@ -50,7 +50,6 @@ _TAG = re.compile(r"<(?:!--|[!?][^>]*>|/?[a-zA-Z][^\s/>]*)")
 _REST = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*>""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _DEPTH = 5000
-COPY_SHARE = 0.8
 
 
 def _named_furniture(name: str, attributes: str, inside: bool) -> bool:
@@ -181,17 +180,9 @@ def shared_lines(a: list[int], b: list[int]) -> list[int]:
     return found[::-1]
 
 
-def deleted_lines(lines: list[int], content: list[bool], neighbours: list[list[int]]) -> list[int]:
-    """Places of the lines that a neighbour shares, but for the page's own content and copies of the page."""
-    gone: set[int] = set()
-    for other in neighbours:
-        if not other or not lines:
-            continue
-        same = shared_lines(lines, other)
-        if len(same) >= COPY_SHARE * max(len(lines), len(other)):
-            continue
-        gone.update(i for i in same if not content[i])
-    return sorted(gone)
+def neighbours_lines(lines: list[int], neighbours: list[list[int]]) -> list[int]:
+    """Places of the lines that a neighbour shares."""
+    return sorted({i for other in neighbours for i in shared_lines(lines, other)})
 
 
 def main_text(lines: list[tuple[str, bool]], gone: list[int]) -> str:
@@ -210,22 +201,40 @@ def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], "_lines", "_content"])
 
 
+def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers the runs of rows with equal host and lines in a sorted partition, from 0, and marks the first row of each."""
+    run, last = -1, None
+    for batch in pieces(batches):
+        runs, first = [], []
+        for key in zip(batch.column("_host").to_pylist(), batch.column("_lines").to_pylist(), strict=True):
+            first.append(key != last)
+            run += first[-1]
+            last = key
+            runs.append(run)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(runs, pa.int64()), pa.array(first, pa.bool_())], [*batch.schema.names, "_run", "_first"])
+
+
 def _difference_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
-        gone = [deleted_lines(a, c, [p or [], n or []]) for a, c, p, n in zip(*(batch.column(x).to_pylist() for x in ("_lines", "_content", "_prev", "_next")), strict=True)]
-        keys = [batch.column(i) for i in range(3)]
-        yield pa.RecordBatch.from_arrays([*keys, pa.array(gone, pa.list_(pa.int32()))], ["_pid", "_purl", "_pth", "_gone"])
+        same = [neighbours_lines(a, [p or [], n or []]) for a, p, n in zip(*(batch.column(x).to_pylist() for x in ("_lines", "_prev", "_next")), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("_rank"), pa.array(same, pa.list_(pa.int32()))], ["_of", "_same"])
 
 
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """``df`` in a shared table with ``_rank``: 0, 1, 2, ... in the order of ``order``, by a range-partitioned sort."""
+def numbered_runs(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` in a shared table with ``_rank``, the number 0, 1, 2, ... of a row's run of equal ``_host`` and ``_lines`` in the order of ``order``, and ``_first``: is it the first row of its run."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = materialize(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id()), name)
-    part = F.shiftright("_mid", 33)
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_count"))  # a row for each partition of the sort
-    starts = sizes.select("_part", (F.sum("_count").over(Window.orderBy("_part")) - F.col("_count")).alias("_start"))
-    return placed.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("_rank", F.col("_start") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_start", "_mid")
+    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema.fields)
+    placed = materialize(placed.mapInArrow(_run_rows, f"{schema}, _run long, _first boolean"), name)
+    # a row for each partition of the sort; its first run may go on from the partition before
+    key = F.struct("_host", F.xxhash64("_lines"), F.md5(F.array_join("_lines", ",")))
+    ends = placed.where("_first").groupBy("_part").agg((F.max("_run") + 1).alias("_count"), F.min_by(key, "_run").alias("_begin"), F.max_by(key, "_run").alias("_end"))
+    by_part = Window.orderBy("_part")
+    ends = ends.withColumn("_goes_on", F.coalesce(F.col("_begin") == F.lag("_end").over(by_part), F.lit(False)))
+    starts = ends.select("_part", "_goes_on", (F.sum(F.col("_count") - F.col("_goes_on").cast("long")).over(by_part) - F.col("_count")).alias("_start"))
+    joined = placed.join(F.broadcast(starts), "_part")
+    return joined.withColumn("_first", F.col("_first") & ~(F.col("_goes_on") & (F.col("_run") == 0))).withColumn("_rank", F.col("_start") + F.col("_run")).drop("_part", "_start", "_run", "_goes_on")
 
 
 #: Deletions are broadcast up to this many pages, and joined by shuffle beyond.
@@ -239,13 +248,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     keyed = base.select("_id", "_url", "_th", host_of(F.col("_url")).alias("_host"), path_of(F.col("_url")).alias("_path"), "_html").where(F.col("_html").isNotNull() & (F.col("_host") != ""))
     hashed = keyed.mapInArrow(_hash_rows, f"_id {id_type}, _url string, _th long, _host string, _path string, _lines array<long>, _content array<boolean>")
     hashed = hashed.dropDuplicates(["_id", "_url", "_th"])
-    ranked = materialize(numbered(hashed, ["_host", "_path", "_url", "_id", "_th"], "page-order"), "page-lines")
-    other = ranked.select("_host", F.col("_rank").alias("_r"), "_lines")
-    prev = other.select(F.col("_host").alias("_h0"), (F.col("_r") + 1).alias("_r0"), F.col("_lines").alias("_prev"))
-    following = other.select(F.col("_host").alias("_h1"), (F.col("_r") - 1).alias("_r1"), F.col("_lines").alias("_next"))
-    open_ = ranked.where(F.exists("_content", lambda c: ~c))
-    paired = open_.join(prev, (F.col("_rank") == F.col("_r0")) & (F.col("_host") == F.col("_h0")), "left").join(following, (F.col("_rank") == F.col("_r1")) & (F.col("_host") == F.col("_h1")), "left")
-    gone = paired.select("_id", "_url", "_th", "_lines", "_content", "_prev", "_next").mapInArrow(_difference_rows, f"_pid {id_type}, _purl string, _pth long, _gone array<int>")
+    ranked = materialize(numbered_runs(hashed, ["_host", "_path", "_url", "_id", "_th"], "page-order"), "page-lines")
+    runs = ranked.where("_first").select("_rank", "_host", "_lines")
+    prev = runs.select(F.col("_host").alias("_h0"), (F.col("_rank") + 1).alias("_r0"), F.col("_lines").alias("_prev"))
+    following = runs.select(F.col("_host").alias("_h1"), (F.col("_rank") - 1).alias("_r1"), F.col("_lines").alias("_next"))
+    outside = ranked.where(F.exists("_content", lambda c: ~c))  # pages with a line that can go
+    paired = runs.join(outside.select("_rank").distinct(), "_rank", "left_semi")
+    paired = paired.join(prev, (F.col("_rank") == F.col("_r0")) & (F.col("_host") == F.col("_h0")), "left").join(following, (F.col("_rank") == F.col("_r1")) & (F.col("_host") == F.col("_h1")), "left")
+    same_lines = paired.select("_rank", "_lines", "_prev", "_next").mapInArrow(_difference_rows, "_of long, _same array<int>")
+    same_lines = materialize(same_lines.where(F.size("_same") > 0), "shared-lines")
+    if same_lines.count() <= BROADCAST_ROWS:
+        same_lines = F.broadcast(same_lines)
+    open_ = outside.join(same_lines, F.col("_rank") == F.col("_of"))
+    gone = open_.select(F.col("_id").alias("_pid"), F.col("_url").alias("_purl"), F.col("_th").alias("_pth"), F.filter("_same", lambda i: ~F.get("_content", i)).alias("_gone"))
     gone = materialize(gone.where(F.size("_gone") > 0), "deleted-lines")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)

@@ -47,6 +47,29 @@ def test_text_beside_an_article_stays(spark):
         assert (r.text, r.n_deleted) == (f"Teaser {r.page_id}\nThe text {r.page_id}.\nMore of {r.page_id}.", 2)
 
 
+def test_long_templates_go(spark):
+    furniture = ["\n".join(f"<div>Menu {i}</div>" for i in range(10)), "\n".join(f"<div>Foot {i}</div>" for i in range(10))]
+    rows = [(i, f"http://h/{i}", page(*[f"Text {i} {k}" for k in range(4)], furniture=furniture)) for i in range(5)]
+    for r in H.extract(spark.createDataFrame(rows, SCHEMA)).collect():
+        assert (r.text, r.n_deleted) == ("\n".join(f"Text {r.page_id} {k}" for k in range(4)), 20)
+
+
+def test_runs_of_copies_meet_the_pages_around_them(spark):
+    rows = [(i, f"http://h/{i:03}", page("First page alone." if i == 0 else "Last page alone." if i == 60 else "The copied text.", "More." if i == 0 else f"Copy {i // 30}.")) for i in range(61)]
+    for r in H.extract(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect():
+        assert r.n_deleted >= 2 and "Home" not in r.text and "free" not in r.text, r
+        assert r.text.endswith("More." if r.page_id == 0 else f"Copy {r.page_id // 30}."), r
+
+
+def test_numbers_of_runs(spark):
+    lines = [[0], [1], [1], [1], [1], [1], [2], [2], [1], [3], [3], [3], [3], [3], [3], [3]]
+    rows = [(i, "g" if i == 15 else "h", x) for i, x in enumerate(lines)]
+    df = spark.createDataFrame(rows, "_id long, _host string, _lines array<long>")
+    got = sorted(H.numbered_runs(df, ["_id"], "test-runs").collect(), key=lambda r: r._id)
+    assert [r._rank for r in got] == [0, 1, 1, 1, 1, 1, 2, 2, 3, 4, 4, 4, 4, 4, 4, 5]
+    assert [r._id for r in got if r._first] == [0, 1, 6, 8, 9, 15]
+
+
 def test_empty(spark):
     assert H.extract(spark.createDataFrame([], SCHEMA)).count() == 0
 
