@@ -1,4 +1,4 @@
-"""Text functions as native column expressions; nothing here leaves the JVM but ``nfkc``."""
+"""Text functions as native column expressions; nothing here leaves the JVM."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexweave.functions import fixed
 
@@ -20,12 +19,10 @@ def string_array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(texts):
-    """Unicode compatibility composition, which Spark has no function for; only for tables that need it."""
-    import unicodedata
-
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def nfkc(text: Column) -> Column:
+    """Unicode compatibility composition, by the ICU library that Spark ships; plain ASCII is stable and passes as it is."""
+    composed = F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True))
+    return F.when(F.coalesce(text.rlike(r"[^\x00-\x7F]"), F.lit(False)), composed).otherwise(text)
 
 
 def count_tokens(text: Column) -> Column:
@@ -63,7 +60,7 @@ def _expand(token: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Index and query terms in text order; null gives an empty array.  Texts must be NFKC-stable (see ``nfkc``).
+    """Index and query terms of the NFKC form in text order; null gives an empty array.
 
     Texts without a reference, nearly all, take one pattern and one filter; the others are expanded token by token.
     """
@@ -74,7 +71,7 @@ def tokens(text: Column) -> Column:
         expanded = F.flatten(F.transform(mixed, lambda t: _expand(F.regexp_replace(t, r"\s", ""))))
         return F.when(lowered.rlike(fixed.REFERENCE), expanded).otherwise(F.filter(words, lambda t: ~t.isin(fixed.STOPWORDS)))
 
-    return let(F.regexp_replace(_repair_numbers(F.lower(F.coalesce(text, F.lit("")))), fixed.FIRST_CLAUSE, "$1(1)"), found)
+    return let(F.regexp_replace(_repair_numbers(F.lower(nfkc(F.coalesce(text, F.lit(""))))), fixed.FIRST_CLAUSE, "$1(1)"), found)
 
 
 def _without_suffix(word: Column, least: int, to_y: list[str], rest: list[str]) -> Column:

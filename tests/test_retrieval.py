@@ -37,6 +37,12 @@ def test_twins_go_by_row_and_nothing_matches_nothing(spark):
     assert [(r.query_id, r.row) for r in got] == [(1, 1), (1, 4)]
 
 
+def test_composed_questions_find_decomposed_texts(spark):
+    own = spark.createDataFrame([(0, "the cafe\u0301 act"), (1, "other words"), (2, "more words")], "row long, text string")
+    q = spark.createDataFrame([(1, "café"), (2, "ＯＴＨＥＲ")], "query_id long, query string")
+    assert sorted((r.query_id, r.row) for r in bm25.search(own, q).collect()) == [(1, 0), (2, 1)]
+
+
 def ranked(spark, rows):
     return spark.createDataFrame(rows, "query_id long, row long, rank int, score double")
 

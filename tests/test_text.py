@@ -23,6 +23,15 @@ def test_tokens(spark):
     assert [prose.tokenize(t) for t, _ in TOKENS] == [w for _, w in TOKENS]
 
 
+COMPOSED = [("ＡＲＴＩＣＬＥ １９（１）（ｇ）", ["article", "19", "19(1)", "19(1)(g)"]), ("ﬁnd cafe\u0301 x² ½", ["find", "café", "x2", "1", "2"]), ("ｔｈｅ plain", ["plain"])]
+
+
+def test_tokens_of_the_composed_form(spark):
+    assert column(spark, [t for t, _ in COMPOSED], X.tokens) == [w for _, w in COMPOSED]
+    assert [prose.tokenize(t) for t, _ in COMPOSED] == [w for _, w in COMPOSED]
+    assert column(spark, ["e\u0301", "plain", None], X.nfkc) == ["é", "plain", None]
+
+
 def test_tokens_agree_with_python(spark):
     alphabet = "liо10 (2)aZ.é-"
     import random
