@@ -1,11 +1,17 @@
 """License scans: winnowed fingerprints of templates pick candidates, banded alignment reports coverage and spans.
 
 Templates are cut into runs of ``GRAM`` words, winnowed (the smallest hash of each window of ``WINDOW`` runs stays)
-and kept in an inverted index from fingerprint to template and place.  Every run of a document is looked up; hits of a
-template on neighbouring diagonals form a candidate, and any stretch of a template of GRAM + WINDOW - 1 words that a
-text holds unchanged makes one.  A candidate is aligned with the template inside a band around its diagonal; the
-matched words give the coverage, and the first and last of them the span.  A match is reported from ``min_coverage``
-up, unless its span lies inside that of a match of more words.
+and kept in an inverted index from fingerprint to template and place; templates of up to ``SHORT`` words keep all runs.
+Every run of a document is looked up; hits of a template on neighbouring diagonals form a candidate, and any stretch of
+a template of GRAM + WINDOW - 1 words that a text holds unchanged makes one.  A candidate is aligned with the template
+inside a band around its diagonal; the matched words give the coverage, and the first and last of them the span.
+
+Hits outside the matches of their template are chained in text order, whatever stands or is missing between them, and
+the text around a chain is aligned with the whole template: this finds templates that a long insertion or omission has
+split.  Of an insertion only the parts next to the chain's hits are aligned.
+
+A match is reported from ``min_coverage`` up, unless its span lies inside that of a match of more words; text inserted
+into a split match is not inside it.
 
 The index is made from the templates alone, checked against ``MAX_INDEX`` and shipped to the tasks; documents are
 scanned whole and in place, without a shuffle.  Words are runs of letters, digits and bytes outside ASCII, with A-Z
@@ -28,6 +34,7 @@ from lexweave.llm._common import bounded_batches, pieces
 
 GRAM = 3
 WINDOW = 3
+SHORT = 32
 MAX_INDEX = 5_000_000
 MAX_WORDS_KEPT = 150_000
 #: A-Z to a-z, other ASCII but letters and digits to spaces; bytes of other characters stay.
@@ -86,7 +93,7 @@ class LicenseIndex:
             if not own:
                 continue
             grams = _grams(np.array(own, np.uint64))
-            rows += [(int(grams[p]), len(names), int(p)) for p in winnow(grams)]
+            rows += [(int(grams[p]), len(names), int(p)) for p in (range(len(grams)) if len(own) <= SHORT else winnow(grams))]
             names.append(name)
             words.append(own)
         if len(rows) > MAX_INDEX:
@@ -101,26 +108,137 @@ class LicenseIndex:
         hit = np.flatnonzero(right > left)
         if not len(hit):
             return []
-        by: dict[int, list[int]] = {}
+        by: dict[int, list[tuple[int, int]]] = {}
         for p in hit.tolist():
             for t, place in self.owners[left[p] : right[p]].tolist():
-                by.setdefault(t, []).append(p - place)
-        found = []
-        for t, diagonals in by.items():
+                by.setdefault(t, []).append((p, place))
+        found, split = [], []
+        for t, hits in by.items():
             template = self.templates[t]
-            band = max(3, len(template) // 8)
-            diagonals.sort()
+            band = _band(template)
+            diagonals = sorted(p - place for p, place in hits)
             begin = previous = diagonals[0]
+            whole = []
             for d in [*diagonals[1:], None]:
                 if d is not None and d - begin <= band:
                     previous = d
                     continue
                 matched, first, last = align(template, words, (begin + previous) // 2, band)
                 if matched >= min_coverage * len(template):
-                    found.append((t, matched, first, last))
+                    whole.append((t, matched, first, last))
                 if d is not None:
                     begin = previous = d
-        return _outermost(found)
+            found += whole
+            split += [(t, *m) for m in split_matches(template, words, _outside(hits, whole), min_coverage)]
+        out = _outermost(found)
+        kept = []
+        for i, m in enumerate(split):
+            others = [(x[0], x[1], x[2], x[3]) for x in out] + [(x[0], x[1], a, b) for k, x in enumerate(split) if k != i for a, b in x[4]]
+            if not any(a <= m[2] and m[3] <= b and (n, -t) > (m[1], -m[0]) for t, n, a, b in others):
+                kept.append(m)
+        inside = [(t, n, a, b) for t, n, _, _, parts in kept for a, b in parts]
+        out = [m for m in out if not any(a <= m[2] and m[3] <= b and (n, -t) > (m[1], -m[0]) for t, n, a, b in inside)]
+        return sorted([*out, *[m[:4] for m in kept]], key=lambda m: (m[2], -m[3], -m[1], m[0]))
+
+
+def _band(template: list[int]) -> int:
+    return max(3, len(template) // 8)
+
+
+def _outside(hits: list[tuple[int, int]], matches: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """The hits, in text order, that do not start inside a match."""
+    spans = sorted((m[2], m[3]) for m in matches)
+    out, k, until = [], 0, -1
+    for p, place in hits:
+        while k < len(spans) and spans[k][0] <= p:
+            until = max(until, spans[k][1])
+            k += 1
+        if p > until:
+            out.append((p, place))
+    return out
+
+
+def chain(hits: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
+    """Hits in increasing order of text and of template that cover the most template words, the latest start of equals."""
+    if not hits:
+        return []
+    none = (0, -1, -1)  # words covered, start in the text, last hit
+    at, tree, before, best = [none] * size, [none] * (size + 1), [-1] * len(hits), none
+    i = 0
+    while i < len(hits):
+        p, new = hits[i][0], []
+        while i < len(hits) and hits[i][0] == p:
+            place = hits[i][1]
+            top, k = none, place - GRAM + 1
+            while k > 0:
+                top, k = max(top, tree[k]), k & (k - 1)
+            top = max([(top[0] + GRAM, *top[1:]), *[(at[place - g][0] + g, *at[place - g][1:]) for g in range(1, GRAM) if place >= g and at[place - g] != none]])
+            before[i] = top[2]
+            new.append((place, (top[0], top[1] if top[2] >= 0 else p, i)))
+            i += 1
+        for place, value in new:
+            if value > at[place]:
+                at[place] = value
+                best = value if value[:2] > best[:2] else best
+                k = place + 1
+                while k <= size:
+                    tree[k], k = max(tree[k], value), k + (k & -k)
+    out, k = [], best[2]
+    while k >= 0:
+        out.append(hits[k])
+        k = before[k]
+    return out[::-1]
+
+
+def full_length(template: list[int], text: list[int]) -> list[int]:
+    """Length of the longest common subsequence of the template and each start of the text (bit-parallel)."""
+    masks: dict[int, int] = {}
+    for k, x in enumerate(template):
+        masks[x] = masks.get(x, 0) | 1 << k
+    full = v = (1 << len(template)) - 1
+    out, n = [], 0
+    for x in text:
+        m = masks.get(x)
+        if m:
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+            n = len(template) - v.bit_count()
+        out.append(n)
+    return out
+
+
+def split_matches(template: list[int], words: np.ndarray, hits: list[tuple[int, int]], min_coverage: float) -> list[tuple[int, int, int, list[tuple[int, int]]]]:
+    """Matches along chains of hits: matched words, first and last word of the text, and the parts of the text between insertions."""
+    band, found = _band(template), []
+    while hits:
+        own = chain(hits, len(template))
+        # text to align: around the hits, without the inner part of long insertions
+        parts, keep = [], []
+        begin = max(0, own[0][0] - own[0][1] - band)
+        head = own[0][0]
+        for (p, place), (q, after) in zip(own, own[1:], strict=False):
+            reach = max(0, after - place - GRAM) + band
+            if q - p - GRAM > 2 * reach:
+                keep.append((begin, p + GRAM + reach))
+                parts.append((head, p + GRAM - 1))
+                begin, head = q - reach, q
+        p, place = own[-1]
+        keep.append((begin, min(len(words), p + len(template) - place + band)))
+        parts.append((head, p + GRAM - 1))
+        places = [k for a, b in keep for k in range(a, b)]
+        text = [int(words[k]) for k in places]
+        lengths = full_length(template, text)
+        matched = lengths[-1]
+        if matched < min_coverage * len(template):
+            break
+        last = lengths.index(matched)
+        back = full_length(template[::-1], text[last::-1]).index(matched)
+        first, last = places[last - back], places[last]
+        parts[0], parts[-1] = (min(first, parts[0][0]), parts[0][1]), (parts[-1][0], max(last, parts[-1][1]))
+        found.append((matched, first, last, parts))
+        gone = set(own)
+        hits = [h for h in hits if h not in gone and not any(a <= h[0] <= b for a, b in parts)]
+    return found
 
 
 def _outermost(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:

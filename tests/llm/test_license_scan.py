@@ -50,6 +50,50 @@ def test_alignment_equals_full_alignment():
             assert lcs(t, x[first : last + 1]) == matched
 
 
+def scanned(text, templates=TEMPLATES):
+    """(template, matched, text of the span) of each match."""
+    import numpy as np
+    import xxhash
+
+    parts = L.fold(text).split()
+    found = L.LicenseIndex.build(templates).scan(np.array([xxhash.xxh3_64_intdigest(w) for w in parts], np.uint64), 0.8)
+    return [(t, n, b" ".join(parts[a : b + 1]).decode()) for t, n, a, b in found]
+
+
+def test_large_gaps_and_insertions_equal_full_alignment():
+    foreign = [f"foreign{i}" for i in range(3000)]
+    for t, (_, text) in enumerate(TEMPLATES):
+        own = L.fold(text).decode().split()
+        n = len(own)
+        if n < 30:
+            continue
+        for cut in (n // 3, n // 2):
+            for size in (11, n // 4, 400, 3000):
+                long = own[:cut] + foreign[:size] + own[cut:]
+                assert (t, n, " ".join(long)) in scanned(" ".join(["before", *long, "behind"])), (t, cut, size)
+            gap = own[:cut] + own[cut + n // 6 :]
+            got = [m for m in scanned(" ".join(["before", *gap, "behind"])) if m[0] == t]
+            assert [m[1] for m in got] == [lcs(own, gap)] == [n - n // 6], (t, cut)
+            assert all(m[0] != t for m in scanned(" ".join(own[:cut] + foreign[:50] + own[cut + n // 4 :]))), (t, cut)
+
+
+def test_notices_inside_an_insertion_and_two_split_copies():
+    own = L.fold(TEMPLATES[0][1]).decode().split()
+    text = " ".join(own[:80] + [f"x{i}" for i in range(60)] + ["all rights reserved"] + [f"y{i}" for i in range(60)] + own[80:])
+    got = scanned(text + " and " + text)
+    assert [m[1] for m in got if m[0] == 0] == [163, 163] and sum(m[2] == "all rights reserved" for m in got) == 2
+
+
+def test_every_run_of_a_short_template_is_known():
+    own = [f"w{i}" for i in range(8)]
+    for missing in range(8):
+        text = ["a", "b", *own[:missing], "other", *own[missing + 1 :], "c"]
+        assert [m[:2] for m in scanned(" ".join(text), [("short", " ".join(own))])] == [(0, 7)], missing
+    for missing in (0, 1, 3, 4):
+        text = ["a", "b", *own[:missing], "other", *own[missing + 1 : 5], "c"]
+        assert [m[:2] for m in scanned(" ".join(text), [("short", " ".join(own[:5]))])] == [(0, 4)], missing
+
+
 def test_winnowing_guarantee():
     import numpy as np
 
