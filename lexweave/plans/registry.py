@@ -275,19 +275,33 @@ def claim_support(s, d):
     return claims.check_claims(rows)
 
 
+def _titles(s, d) -> DataFrame:
+    """Whole texts stand in for titles."""
+    return _t(s, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("document_id"), F.col("text").alias("title"))
+
+
 def question_analysis(s, d):
-    titles = _t(s, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("document_id"), F.substring("text", 1, 60).alias("title"))
-    return understanding.analyze(_questions(s, d), titles)
+    return understanding.analyze(_questions(s, d), _titles(s, d))
+
+
+def _citing_questions(s, d) -> DataFrame:
+    """The passages, and for each a further question, of a negative id, for the article of its number."""
+    own = _questions(s, d)
+    return own.unionByName(own.select((-1 - F.col("query_id")).alias("query_id"), F.concat(F.lit("Article "), "query_id").alias("query")))
 
 
 def evidence_selection(s, d):
+    """Documents of src0 are articles of a constitution, numbered in turn; all others are judgments, known by their titles."""
     docs = _t(s, d, "documents")
+    article = F.col("source") == "src0"
     none = F.lit(None).cast("string")
-    chunks = docs.select(F.col("doc_id").alias("row"), F.concat(F.lit("c"), "doc_id").alias("chunk_id"), F.concat(F.lit("d"), "doc_id").alias("document_id"), F.lit(1).alias("document_version"), F.when(F.col("source") == "src0", "constitutional_text").otherwise("judgment").alias("source_type"), "text",
-                         *[none.alias(c) for c in ("article_number", "article_title", "heading", "opinion_author", "division", "case_name", "page_label_start", "page_label_end", "part", "chapter")], F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.lit("u").alias("source_url"))
-    registry = chunks.select("document_id", "document_version", F.col("document_id").alias("title"), F.lit(None).cast("date").alias("source_date"))
-    analysis = understanding.analyze(_questions(s, d), registry.limit(0).select("document_id", "title"))
-    hits = _bm25(s, d, 50).select("query_id", F.concat(F.lit("c"), "row").alias("chunk_id"), "rank", "score", F.col("rank").alias("bm25_rank"), F.col("score").alias("bm25_score"), F.lit(None).cast("int").alias("dense_rank"), F.lit(None).cast("double").alias("dense_score"))
+    chunks = docs.select(F.col("doc_id").alias("row"), F.concat(F.lit("c"), "doc_id").alias("chunk_id"), F.concat(F.lit("d"), "doc_id").alias("document_id"), F.lit(1).alias("document_version"), F.when(article, "constitutional_text").otherwise("judgment").alias("source_type"), "text",
+                         F.when(article, F.floor(F.col("doc_id") / 20).cast("string")).alias("article_number"), F.when(~article, F.col("text")).alias("case_name"),
+                         *[none.alias(c) for c in ("article_title", "heading", "opinion_author", "division", "page_label_start", "page_label_end", "part", "chapter")], F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.lit("u").alias("source_url"))
+    registry = chunks.select("document_id", "document_version", F.col("text").alias("title"), F.lit(None).cast("date").alias("source_date"))
+    judgments = chunks.where("source_type = 'judgment'").select("document_id")
+    analysis = understanding.analyze(_citing_questions(s, d), _titles(s, d).join(judgments, "document_id", "left_semi"))
+    hits = bm25.search(_chunks(s, d), _citing_questions(s, d), 50).select("query_id", F.concat(F.lit("c"), "row").alias("chunk_id"), "rank", "score", F.col("rank").alias("bm25_rank"), F.col("score").alias("bm25_score"), F.lit(None).cast("int").alias("dense_rank"), F.lit(None).cast("double").alias("dense_score"))
     return analysis, chunks, selection.select_evidence(analysis, hits, chunks, registry)
 
 

@@ -163,3 +163,11 @@ def test_entry_without_the_llm_folder(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'bm25_topk' in q and not any(k.startswith('op') and k[2].isdigit() or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/usr/local/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_titles_are_whole_and_lookups_act_in_the_registered_queries(spark, tiny):
+    docs = {f"d{r.doc_id}": r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
+    asked = registry.question_analysis(spark, tiny).select("case_document_ids", "case_titles").collect()
+    assert any(r.case_titles for r in asked) and all(t == docs[i] for r in asked for i, t in zip(r.case_document_ids, r.case_titles, strict=True))
+    evidence = registry.evidence_selection(spark, tiny)[2].select("is_provision", "is_named_case", "origin").collect()
+    assert any(r.is_provision for r in evidence) and any(r.is_named_case for r in evidence) and {r.origin for r in evidence} > {"retrieval"}
