@@ -49,7 +49,6 @@ _UNLESS = frozenset("with has no without".split())
 _TAG = re.compile(r"<(?:!--|[!?][^>]*>|/?[a-zA-Z][^\s/>]*)")
 _REST = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*>""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
-_DEPTH = 5000
 
 
 def _named_furniture(name: str, attributes: str, inside: bool) -> bool:
@@ -75,6 +74,7 @@ def page_lines(page: str) -> list[tuple[str, bool]]:
     out: list[tuple[str, bool]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool]] = []
+    stops: list[int] = []  # places in the stack of p, li and structure, which end a search for an open p or li
     opened: dict[str, int] = {}
     skipping = containers = 0
     at, end = 0, len(page)
@@ -89,6 +89,8 @@ def page_lines(page: str) -> list[tuple[str, bool]]:
     def pop() -> str:
         nonlocal skipping, containers
         name, skips = stack.pop()
+        if stops and stops[-1] == len(stack):
+            stops.pop()
         opened[name] -= 1
         skipping -= skips
         containers -= name in _CONTAINERS
@@ -137,19 +139,20 @@ def page_lines(page: str) -> list[tuple[str, bool]]:
         if name in _VOID or attributes.endswith("/>"):
             continue
         if opened.get("p") and name in _BLOCKS or name == "li" and opened.get("li"):
-            for i in range(len(stack) - 1, -1, -1):
+            for i in reversed(stops):
                 if stack[i][0] == "p" or stack[i][0] == name == "li":
                     while len(stack) > i:
                         pop()
                     break
                 if stack[i][0] in _STRUCTURE:
                     break
-        if len(stack) < _DEPTH:
-            skips = name in _FURNITURE or name == "header" and not containers or bool(attributes.strip("/> \t\r\n")) and _named_furniture(name, attributes, containers > 0)
-            stack.append((name, skips))
-            opened[name] = opened.get(name, 0) + 1
-            skipping += skips
-            containers += name in _CONTAINERS
+        skips = name in _FURNITURE or name == "header" and not containers or bool(attributes.strip("/> \t\r\n")) and _named_furniture(name, attributes, containers > 0)
+        if name in ("p", "li") or name in _STRUCTURE:
+            stops.append(len(stack))
+        stack.append((name, skips))
+        opened[name] = opened.get(name, 0) + 1
+        skipping += skips
+        containers += name in _CONTAINERS
     flush()
     return out
 

@@ -20,6 +20,12 @@ def test_broken_markup():
     assert H.page_lines("a < b &amp c") == [("a < b & c", False)]
 
 
+def test_furniture_below_many_open_elements():
+    deep = "<b>" * 20_000
+    assert H.page_lines(f"{deep}<nav>menu</nav><div class='ad'>buy</div>text<article>own</article>") == [("text", False), ("own", True)]
+    assert H.page_lines("<ul><li>" + "<i>" * 20_000 + "<ul>" + "<li>x</li>" * 20_000)[:2] == [("x", False)] * 2
+
+
 def test_differencing(spark):
     rows = [(i, f"http://h.org/a/{i}", page(f"Text of page {i} alone.", f"More of {i}.")) for i in range(6)]
     rows += [(50, "http://other.org/a/1", page("Lonely page.")), (60, None, page("No url.")), (61, "http://h.org/a/9", None), (62, "", "")]
