@@ -148,6 +148,8 @@ class Image:
 
     @property
     def units(self) -> tuple[int, int]:
+        if len(self.components) == 1:  # its blocks are not interleaved, whatever its sampling
+            return -(-self.width // 8), -(-self.height // 8)
         h, v = max(c[1] for c in self.components), max(c[2] for c in self.components)
         return -(-self.width // (8 * h)), -(-self.height // (8 * v))
 

@@ -119,6 +119,16 @@ def test_decoder_reads_other_files(restart):
     assert thumb[0, 0] == np.clip(want[0, 0, 0] * 16 // 8 + 128, 0, 255) and thumb[1, 0] == np.clip(want[0, 2, 0] * 16 // 8 + 128, 0, 255)
 
 
+def test_sampling_of_a_single_component_does_not_count():
+    seg = lambda marker, body: bytes([255, marker]) + (len(body) + 2).to_bytes(2, "big") + body
+    tables = b"\0" + bytes([0, 2] + [0] * 14) + b"\0\3" + b"\x10" + bytes([1] + [0] * 15) + b"\0"
+    for factors in (0x11, 0x22, 0x41):
+        head = b"\xff\xd8" + seg(0xDB, b"\0" + bytes([8] * 64)) + seg(0xC0, bytes([8, 0, 16, 0, 24, 1, 1, factors, 0])) + seg(0xC4, tables) + seg(0xDA, bytes([1, 1, 0, 0, 63, 0]))
+        bits = "011000" * 6 + "1111"  # six blocks, the DC of each four over that before
+        image = M.parse_markers(head + int(bits, 2).to_bytes(5, "big") + b"\xff\xd9")
+        assert M.dc_thumbnail(image, M.decode_scans([image])[0]).tolist() == [[132, 136, 140], [144, 148, 152]], factors
+
+
 def test_payloads_round_trip():
     r = random.Random(1)
     values = [b"", b"a", b"x" * 192, bytes(range(256)), r.randbytes(5000), b"\xff" * 1000, r.randbytes(192 * 8200)]
