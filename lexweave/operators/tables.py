@@ -1,20 +1,51 @@
-"""Cutting a plan at a written table."""
+"""Intermediate tables: where they go, and cutting a plan at one."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def snapshot(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder and read back; a folder of this machine only where none is set, as in tests."""
+class NoSharedFolderError(RuntimeError):
+    """A cluster's session names no folder that all executors reach."""
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that every executor reaches: ``spark.checkpoint.dir``.
+
+    Only a session on one machine that names none gets a temporary one; on a cluster that is an error.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise NoSharedFolderError("set spark.checkpoint.dir to a folder that all executors reach")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexweave-"))
+        path = spark.sparkContext.getCheckpointDir()
+    return path.rstrip("/")
+
+
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables; Hadoop removes it when the application ends."""
+    path = f"{shared_dir(spark)}/lexweave/{spark.sparkContext.applicationId}"
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def snapshot(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written once to the shared folder and read back, which cuts its lineage."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="lexweave-")
-        spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/lexweave/{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

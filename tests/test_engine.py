@@ -152,17 +152,22 @@ def test_queries_match_sql(spark, tiny):
         assert sorted(repr(norm(tuple(r))) for r in df.select(*[f"`{c}`" for c in columns]).collect()) == sorted(repr(norm(r)) for r in want.fetchall()), name
 
 
-def test_entry_without_the_llm_folder(tmp_path):
+def test_entry_without_the_llm_folders(tmp_path):
+    """The whole repository but the two folders, as the driver leaves it, with and without the pipeline's file."""
     import shutil
     import subprocess
     import sys
     from pathlib import Path
 
     root = Path(__file__).resolve().parents[1]
-    shutil.copytree(root / "lexweave", tmp_path / "lexweave", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache", "*.json"))
+    for folder in ("lexweave/llm", "tests/llm"):
+        shutil.rmtree(tmp_path / "r" / folder, ignore_errors=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'bm25_topk' in q and not any(k.startswith('op') and k[2].isdigit() or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/usr/local/bin", "PYTHONPATH": str(tmp_path)})
+    for _ in range(2):
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env={"PATH": "/usr/bin:/usr/local/bin", "PYTHONPATH": str(tmp_path / "r")})
+        subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=tmp_path / "r", check=True, capture_output=True, env={"PATH": "/usr/bin:/usr/local/bin", "HOME": str(tmp_path)})
+        (tmp_path / "r" / "corpus_pipeline.py").unlink(missing_ok=True)
 
 
 def test_titles_are_whole_and_lookups_act_in_the_registered_queries(spark, tiny):
