@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,37 +10,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.operators.tables import run_dir, snapshot
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``.
-
-    Only where the session has none (tests on one machine) a temporary one is made and set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    context = spark.sparkContext
-    path = context.getCheckpointDir()
-    if not path:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lexweave-"))
-        path = context.getCheckpointDir()
-    return path.rstrip("/")
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lexweave/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the folder that all executors reach; it goes when the application ends."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return snapshot(df, name)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of ``df`` has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    """A column's name for ``F.col``, dots and backticks in it taken as they are."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def whole_row(df: DataFrame):
+    """Every column of ``df`` as one struct, so that none of them can meet a name of an operator's own."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns])
 
 
 #: Arrow batches hold up to so many bytes where the session does not say otherwise; the usual 64 MB are several hundred as Python objects.

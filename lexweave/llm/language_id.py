@@ -1,19 +1,19 @@
 """Language identification by compression with per-language dictionaries.
 
-Each language has a few raw-content zstandard dictionaries made of labelled text.  A text is compressed with every
-language's dictionaries, in blocks of ``block`` bytes so that the dictionary counts along the whole text, and the
-language with the smallest total wins.  The relative margin to the second smallest is the score; a text whose score
-is under ``min_margin`` is rejected.  Short texts are searched more deeply, and against ``shards`` dictionaries of each
-language; for long ones the first dictionary tells as much.
+Each language has ``shards`` raw-content zstandard dictionaries made of labelled text.  A text is compressed with all of
+every language's dictionaries, in blocks of ``block`` bytes so that the dictionary counts along the whole text, and the
+language with the smallest total wins.  The relative margin to the second smallest is the score; a text whose score is
+under ``min_margin`` is rejected.  All texts, short and long, meet the same dictionaries with the same match search.
 
-Fitting uses a bounded sample: for each language the ``sample_rows`` distinct labelled texts of smallest hash, and of
-each at most ``piece_bytes`` normalised bytes at a place given by the hash.  Everything else reads whole texts.
-Prediction is a map over rows: no shuffle, and the dictionaries (languages x shards x 128 KB at the defaults) are the
-only data shipped to tasks.
+Fitting uses a bounded sample: for each language the ``sample_rows`` distinct labelled texts of smallest hash for a
+dictionary, and of each at most ``piece_bytes`` normalised bytes at a place given by the hash.  Everything else reads
+whole texts.  Prediction is a map over rows: no shuffle, and the dictionaries (languages x shards x 128 KB at the
+defaults) are the only data shipped to tasks.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; with nothing learned so
 is every text.  Ties go to the language with more labelled distinct texts, then by name.  Repeated rows get repeated
-results; other columns are not read.
+results; an empty table gives an empty result.  Other columns are not read; of those that are kept, any named like a
+result is replaced by it.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lexweave.llm._common import bounded_batches
+from lexweave.llm._common import bounded_batches, free_names, quoted
 
 UNKNOWN = "und"
 MAX_LANGUAGES = 400
@@ -34,7 +35,8 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else
 
 
 def normalise(text: str) -> bytes:
-    return b" ".join(text.lower().encode("utf-8").translate(_FOLD).split())
+    """Lower-case words between single spaces, with one before the first and behind the last."""
+    return b" %b " % b" ".join(text.lower().encode("utf-8").translate(_FOLD).split())
 
 
 def has_letter(text: str) -> bool:
@@ -46,11 +48,8 @@ class LanguageModel:
     """Dictionaries by language, in order of preference at ties."""
 
     dictionaries: dict[str, list[bytes]]
-    level: int = 6
-    short_level: int = 12
     block: int = 4096
-    short: int = 1024
-    min_margin: float = 0.001
+    min_margin: float = 0.01
     _ready: list = field(default_factory=list, repr=False)
 
     def __getstate__(self):
@@ -60,20 +59,21 @@ class LanguageModel:
         if not self._ready:
             import zstandard
 
-            def ready(content: bytes, level: int):
+            # greedy search for matches of four bytes or more, with tables that hold a whole dictionary
+            search = zstandard.ZstdCompressionParameters(window_log=18, hash_log=16, chain_log=17, search_log=1, min_match=4, target_length=16, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+            def ready(content: bytes):
                 d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=level)
-                return zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+                d.precompute_compress(compression_params=search)
+                return zstandard.ZstdCompressor(dict_data=d, compression_params=search)
 
-            self._ready += [(name, [ready(c, self.short_level) for c in contents], ready(contents[0], self.level)) for name, contents in self.dictionaries.items()]
+            self._ready += [(name, [ready(c).compress for c in contents]) for name, contents in self.dictionaries.items()]
         return self._ready
 
     def sizes(self, data: bytes) -> list[tuple[int, str]]:
-        """Compressed bytes by language."""
-        if len(data) < self.short:
-            return [(sum(len(c.compress(data)) for c in many), name) for name, many, _ in self._compressors()]
+        """Compressed bytes by language, over all its dictionaries."""
         blocks = [data[i : i + self.block] for i in range(0, len(data), self.block)]
-        return [(sum(len(one.compress(b)) for b in blocks), name) for name, _, one in self._compressors()]
+        return [(sum(len(compress(b)) for compress in many for b in blocks), name) for name, many in self._compressors()]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score from 0 to 1, and whether the text is rejected."""
@@ -92,13 +92,14 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = 256, piece_bytes: int = 512, shards: int = 3, **settings) -> LanguageModel:
     """Learn dictionaries from labelled rows; ``sample_rows`` is for each dictionary of a language."""
-    rows = labelled.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where(F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}")).withColumn("h", F.xxhash64("t"))
+    rows = labelled.select(F.col(quoted(text_col)).alias("t"), F.col(quoted(lang_col)).alias("l")).where(F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}")).withColumn("h", F.xxhash64("t"))
     keys = rows.select("l", "h").distinct().persist()
     try:
         counts = {r["l"]: r["n"] for r in keys.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES + 1).collect()}
         if len(counts) > MAX_LANGUAGES:
             raise ValueError(f"more than {MAX_LANGUAGES} labels: not languages")
-        picked = [(name, r["h"]) for name in counts for r in keys.where(F.col("l") == name).orderBy("h").limit(sample_rows * shards).collect()]
+        first = F.row_number().over(Window.partitionBy("l").orderBy("h"))  # Spark cuts each partition to the limit before the shuffle
+        picked = [(r["l"], r["h"]) for r in keys.withColumn("k", first).where(F.col("k") <= sample_rows * shards).collect()]
     finally:
         keys.unpersist()
     if not picked:
@@ -109,7 +110,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     pieces = rows.join(chosen, ["l", "h"]).select("l", "h", F.substr("t", start, F.lit(wide)).alias("p")).groupBy("l", "h").agg(F.first("p").alias("p")).collect()
     by: dict[str, list[tuple[int, bytes]]] = {name: [] for name in counts}
     for r in pieces:
-        by[r["l"]].append((r["h"], normalise(r["p"])[:piece_bytes]))
+        by[r["l"]].append((r["h"], normalise(r["p"]).strip()[:piece_bytes]))
     return LanguageModel({name: [b"\n".join(p for _, p in sorted(own)[k::shards]) or b" " * 8 for k in range(shards)] for name, own in by.items()}, **settings)
 
 
@@ -119,7 +120,7 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text", keep: t
     Only the text goes to Python and only the verdict comes back; the other columns wait in the JVM.
     """
     new = ["lang_pred", "score", "rejected"]
-    names = [c for c in (keep or df.columns) if c not in new]
+    names = [c for c in (keep or df.columns) if c.lower() not in new]
     shipped = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("lang_pred string, score double, rejected boolean")
@@ -130,5 +131,7 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text", keep: t
             langs, scores, out = zip(*found, strict=True) if found else ((), (), ())
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())], names=new)
 
-    judged = bounded_batches(df).select(*[df[c] for c in names], judge(df[text_col]).alias("_verdict"))
-    return judged.select(*names, "_verdict.lang_pred", "_verdict.score", "_verdict.rejected")
+    kept = [F.col(quoted(c)) for c in names]
+    (verdict,) = free_names(df, "_verdict")
+    judged = bounded_batches(df).select(*kept, judge(F.col(quoted(text_col))).alias(verdict))
+    return judged.select(*kept, *[F.col(f"{verdict}.{c}") for c in new])
