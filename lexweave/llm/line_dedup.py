@@ -1,14 +1,16 @@
 """Line deduplication with a deletion-neighbourhood join, in DataFrame functions only.
 
 A line is its words (split on ASCII white space).  A line is deleted if an earlier line anywhere in the corpus is equal
-to it or, where both have at least ``min_words`` words, at edit distance 1 in words (one word replaced, inserted or
-deleted).  Earlier means by document id, then by place in the document.  Deciding against *any* earlier line, deleted
+to it or near it: one word replaced, inserted or deleted, and at least ``similarity_percent`` % of the words of the
+longer line the same, so at 80 % lines of five words and more, and of four words next to one of five.  (One word of a
+shorter line is over a fifth of it: no edit is within the bound there, and the search for equal lines finds all.)
+Earlier means by document id, then by place in the document.  Deciding against *any* earlier line, deleted
 itself or not, makes the result independent of the order in which work is done.
 
 Steps:
 
 1. Equal lines are counted by a 128-bit hash of their words, map-side combined, so copies shrink to one row each.
-2. Halves: an edit leaves either the first or the second half of the words as they are.  Only distinct lines that
+2. Halves: an edit leaves either the first or the second part of the words, cut in the middle, as they are.  Only distinct lines that
    share such a half with another line can have a near one; the rest leave here.
 3. Deletion neighbourhood: the remaining lines emit a hashed key for each word left out, and one for the whole.  Keys
    come from running XORs over positioned word hashes, so a line of n words costs n rows and no quadratic work.
@@ -16,7 +18,9 @@ Steps:
    variant equal to a whole line.  The best partner of each line is verified word by word.
 
 Defined results: blank lines stay and are never compared; a null text stays null; a text whose lines all go becomes
-empty; rows with equal id and equal text are one document and keep the same lines; a null id is later than any other.
+empty; rows with equal id and equal text are one document and keep the same lines; a null id is later than any other;
+an empty table gives an empty result.  Other columns pass through whatever their names; one named ``lines_removed`` is
+replaced by the result's.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lexweave.llm._common import let, materialize
+from lexweave.llm._common import let, materialize, quoted, whole_row
 
 #: A list of candidate lines (24 bytes each) is broadcast up to this many rows, and joined by shuffle beyond.
 BROADCAST_ROWS = 1_000_000
@@ -51,7 +55,9 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _exploded(docs: DataFrame) -> DataFrame:
     """The lines that are not blank, as words."""
-    return _lines(docs).select("_id", "_th", "_pos", line_words(F.col("_line")).alias("_w")).where(F.size("_w") > 0)
+    # the words come out of the generator, so that the filter does not work them out a second time
+    split = F.transform(F.split("_text", "\n"), line_words)
+    return docs.select("_id", "_th", F.posexplode(split).alias("_pos", "_w")).where(F.size("_w") > 0)
 
 
 def _order() -> Column:
@@ -63,18 +69,28 @@ def _hashed(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"_h1": F.xxhash64("_w"), "_h2": F.xxhash64(F.lit(7), F.col("_w")), "_n": F.size("_w")})
 
 
-def _halves(min_words: int) -> Column:
-    """Keys of a line's outer halves, for partners with as many words or one more, and with one fewer."""
+def least_words(similarity_percent: int) -> int:
+    """Words that the longer of two lines must have for one edit to leave them similar enough."""
+    if not 0 <= similarity_percent < 100:
+        raise ValueError("the similarity must be from 0 to 99")
+    return -(-100 // (100 - similarity_percent))
+
+
+def _halves(least: int) -> Column:
+    """Keys of a line's parts before and behind its middle, for partners with as many words or one more, and with one fewer."""
     n, out = F.col("_n"), []
     for fewer in (0, 1):
         m = n - fewer
         half = F.floor(m / 2).cast("int")
-        out += [F.xxhash64(m, F.lit("a"), F.slice("_w", 1, half)), F.xxhash64(m, F.lit("z"), F.slice("_w", n - half + 1, half))]
-    return F.when(n > min_words, F.array(*out)).when(n == min_words, F.array(*out[:2]))
+        out += [F.xxhash64(m, F.lit("a"), F.slice("_w", 1, half)), F.xxhash64(m, F.lit("z"), F.slice("_w", half + fewer + 1, m - half))]
+    return F.when(n >= least, F.array(*out)).when(n == least - 1, F.array(*out[:2]))
+
 
+def variants(lines: DataFrame, line_key: list[str], least: int) -> DataFrame:
+    """The deletion neighbourhood: ``line_key``, ``_key`` of the remaining words, their number ``_len``, and ``_at``, the place of the word left out (-1: none).
 
-def variants(lines: DataFrame, line_key: list[str]) -> DataFrame:
-    """The deletion neighbourhood: ``line_key``, ``_key`` of the remaining words, their number ``_len``, and ``_at``, the place of the word left out (-1: none)."""
+    A line of under ``least`` words has no edit within the bound but to a longer one: it is a variant of itself alone.
+    """
     words = lines.select(*line_key, "_n", F.posexplode("_w").alias("_i", "_word"))
     words = words.select(*line_key, "_n", "_i", F.xxhash64("_word", "_i").alias("_f"), F.xxhash64(F.col("_word"), F.col("_i") - 1).alias("_g"))
     own = Window.partitionBy(*line_key).orderBy("_i")
@@ -85,7 +101,8 @@ def variants(lines: DataFrame, line_key: list[str]) -> DataFrame:
     last = F.col("_i") == F.col("_n") - 1
     without = F.struct(F.col("_b").bitwiseXOR(F.col("_z")).alias("_key"), (F.col("_n") - 1).alias("_len"), F.col("_i").alias("_at"))
     whole = F.struct(F.col("_b").bitwiseXOR(F.col("_f")).alias("_key"), F.col("_n").alias("_len"), F.lit(-1).alias("_at"))
-    return running.select(*line_key, F.explode(F.when(last, F.array(without, whole)).otherwise(F.array(without))).alias("_v")).select(*line_key, "_v.*")
+    own_variants = F.when(F.col("_n") < least, F.when(last, F.array(whole))).when(last, F.array(without, whole)).otherwise(F.array(without))
+    return running.select(*line_key, F.explode(own_variants).alias("_v")).select(*line_key, "_v.*")
 
 
 def within_one_edit(a: Column, b: Column, at: Column, whole: Column) -> Column:
@@ -98,8 +115,8 @@ def within_one_edit(a: Column, b: Column, at: Column, whole: Column) -> Column:
     return F.when(same_size, without(a) == without(b)).when(whole, a == without(b)).otherwise(without(a) == b)
 
 
-def near_lines(occurrences: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
-    """Hashes of the lines that have an earlier line at edit distance 1."""
+def near_lines(occurrences: DataFrame, docs: DataFrame, least: int) -> DataFrame:
+    """Hashes of the lines that have an earlier line within the bound; ``least`` as in ``least_words``."""
     firsts = occurrences.where(F.col("_halves").isNotNull()).groupBy("_h1", "_h2").agg(F.min(_order()).alias("_o"), F.any_value("_halves").alias("_halves"))
     keys = firsts.select("_h1", "_h2", "_o", F.explode("_halves").alias("_half"))
     shared = keys.groupBy("_half").agg(F.min("_h1").alias("_lo"), F.max("_h1").alias("_hi")).where("_lo <> _hi").select("_half")
@@ -115,7 +132,7 @@ def near_lines(occurrences: DataFrame, docs: DataFrame, min_words: int) -> DataF
     texts = materialize(texts.dropDuplicates(["_h1", "_h2"]), "line-texts")
 
     line = ["_h1", "_h2", "_o"]
-    made = materialize(variants(texts.withColumn("_n", F.size("_w")), line), "line-variants")
+    made = materialize(variants(texts.withColumn("_n", F.size("_w")), line, least), "line-variants")
     least = made.groupBy("_key", "_len").agg(F.count("*").alias("_c"), F.min(F.when(F.col("_at") < 0, F.col("_o"))).alias("_whole"), F.min(F.when(F.col("_at") >= 0, F.struct("_o", "_at"))).alias("_part")).where("_c > 1")
     placed = made.where("_at >= 0").groupBy("_key", "_len", "_at").agg(F.count("*").alias("_c"), F.min("_o").alias("_same")).where("_c > 1").drop("_c")
     met = made.join(least, ["_key", "_len"]).select(
@@ -130,27 +147,26 @@ def near_lines(occurrences: DataFrame, docs: DataFrame, min_words: int) -> DataF
     return pairs.where(within_one_edit(F.col("_a"), F.col("_b"), F.col("_p.at"), F.col("_p.whole"))).select("_h1", "_h2")
 
 
-def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Keyed documents and, by document, the places of the lines to delete."""
-    docs = df.withColumns({"_id": F.col(id_col), "_th": F.xxhash64(text_col), "_text": F.col(text_col)})
-    keyed = docs.select("_id", "_th", "_text")
-    occurrences = _hashed(_exploded(keyed)).withColumn("_halves", _halves(min_words))
+def removed_lines(keyed: DataFrame, similarity_percent: int = 80) -> DataFrame:
+    """By document (``_id``, ``_th``), the places ``_gone`` of the lines to delete; ``keyed`` also has ``_text``."""
+    least = least_words(similarity_percent)
+    occurrences = _hashed(_exploded(keyed)).withColumn("_halves", _halves(least))
     occurrences = materialize(occurrences.drop("_w"), "lines")
-    near = materialize(near_lines(occurrences, keyed, min_words), "near-lines").withColumn("_near", F.lit(True))
+    near = materialize(near_lines(occurrences, keyed, least), "near-lines").withColumn("_near", F.lit(True))
     groups = occurrences.groupBy("_h1", "_h2").agg(F.min(_order()).alias("_o"), F.count("*").alias("_c"))
     marked = groups.join(near, ["_h1", "_h2"], "left").where("_c > 1 OR _near").select("_h1", "_h2", "_o", "_near")
     marked = materialize(marked, "marked-lines")  # a table of its own: Spark can split a frequent line's occurrences in the join
     gone = occurrences.select("_h1", "_h2", "_id", "_th", "_pos").join(marked, ["_h1", "_h2"]).where(F.col("_near").isNotNull() | (_order() > F.col("_o")))
-    return docs, gone.groupBy("_id", "_th").agg(F.collect_set("_pos").alias("_gone"))
+    return gone.groupBy("_id", "_th").agg(F.collect_set("_pos").alias("_gone"))
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity_percent: int = 80) -> DataFrame:
     """Every row and column of ``df``, with the repeated lines taken out of its text, and ``lines_removed``."""
-    columns = [c for c in df.columns if c != "lines_removed"]
-    docs, gone = removed_lines(df, id_col, text_col, min_words)
-    gone = gone.withColumnRenamed("_id", "_gid").withColumnRenamed("_th", "_gth")
+    text = F.col(quoted(text_col))
+    docs = df.select(whole_row(df).alias("_row"), F.col(quoted(id_col)).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"))
+    gone = removed_lines(docs.select("_id", "_th", "_text"), similarity_percent).withColumnsRenamed({"_id": "_gid", "_th": "_gth"})
     joined = docs.join(gone, F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_th") == F.col("_gth")), "left")
     rest = let(F.split("_text", "\n"), lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.get(lines, i)), "\n"))
-    text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(rest)
-    out = [text.cast(T.StringType()).alias(c) if c == text_col else F.col(c) for c in columns]
+    left = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(rest).cast(T.StringType())
+    out = [left.alias(c) if c == text_col else F.col(f"_row.{quoted(c)}").alias(c) for c in df.columns if c.lower() != "lines_removed"]
     return joined.select(*out, F.coalesce(F.size("_gone"), F.lit(0)).alias("lines_removed"))

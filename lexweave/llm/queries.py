@@ -114,8 +114,8 @@ raw AS (SELECT doc_id, unnest(range(len(lines))) AS pos, unnest(lines) AS line F
 worded AS (SELECT doc_id, pos, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM raw),
 ranked AS (SELECT *, len(w) AS n, row_number() OVER (ORDER BY doc_id, pos) AS o FROM worded),
 firsts AS (SELECT w, n, min(o) AS o FROM ranked WHERE n > 0 GROUP BY ALL),
-kept AS (SELECT row_number() OVER () AS id, w, n, o FROM firsts WHERE n >= 8),
-del AS (SELECT id, o, n, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS k FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM kept)),
+kept AS (SELECT row_number() OVER () AS id, w, n, o FROM firsts WHERE n >= 4),
+del AS (SELECT id, o, n, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS k FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM kept WHERE n >= 5)),
 full_ AS (SELECT id, o, n, array_to_string(w, ' ') AS k FROM kept),
 near AS (SELECT a.id FROM del a JOIN (SELECT k, n, i, min(o) AS o FROM del GROUP BY ALL) b ON a.k = b.k AND a.n = b.n AND a.i = b.i WHERE b.o < a.o
   UNION SELECT CASE WHEN a.o < b.o THEN b.id ELSE a.id END FROM del a JOIN full_ b ON a.k = b.k AND a.n = b.n + 1),
