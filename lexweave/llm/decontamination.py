@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm._common import let, materialize, words
+from lexweave.llm._common import free_names, let, materialize, quoted, words
 
 BROADCAST_ROWS = 2_000_000
 
@@ -60,14 +60,15 @@ def item_sketches(items: DataFrame, width: int, threshold_percent: int) -> DataF
 
 def _contained(docs: DataFrame, items: DataFrame, width: int, threshold_percent: int, id_col: str, text_col: str, item_id_col: str, item_text_col: str) -> DataFrame:
     """``_doc``, ``_th`` (hash of the text), ``_item``, ``n_shared``, ``n_item`` of each text that contains an item."""
-    named = items.select(F.col(item_id_col).alias("_item_id"), F.col(item_text_col).alias("_text"))
+    named = items.select(F.col(quoted(item_id_col)).alias("_item_id"), F.col(quoted(item_text_col)).alias("_text"))
     sketches = materialize(item_sketches(named, width, threshold_percent), "item-sketches")
     widths = sorted(r[0] for r in sketches.select("_width").distinct().collect())
     keyed = sketches.select("_item", "_width", F.explode("_sketch").alias("_h"))
     if keyed.count() <= BROADCAST_ROWS:
         keyed = F.broadcast(keyed)
 
-    base = docs.select(F.col(id_col).alias("_doc"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
+    text = F.col(quoted(text_col))
+    base = docs.select(F.col(quoted(id_col)).alias("_doc"), F.xxhash64(text).alias("_th"), text.alias("_text")).where(F.col("_text").isNotNull())
     w = words(F.col("_text"))
     probes = None
     for k in widths:
@@ -94,12 +95,13 @@ def find_contained(docs: DataFrame, items: DataFrame, width: int = 5, threshold_
     """A row for each document and item whose shingles it contains: ``doc_id``, ``item_id``, ``n_shared``, ``n_item``."""
     matched = _contained(docs, items, width, threshold_percent, id_col, text_col, item_id_col, item_text_col)
     matched = matched.groupBy("_doc", "_item").agg(F.max("n_shared").alias("n_shared"), F.max("n_item").alias("n_item"))
-    w = words(F.col(item_text_col))
-    ids = items.select(F.xxhash64(w).alias("_item"), F.col(item_id_col).alias("_item_id")).where(F.size(w) > 0).distinct()
+    w = words(F.col(quoted(item_text_col)))
+    ids = items.select(F.xxhash64(w).alias("_item"), F.col(quoted(item_id_col)).alias("_item_id")).where(F.size(w) > 0).distinct()
     return matched.join(ids, "_item").select(F.col("_doc").alias("doc_id"), F.col("_item_id").alias("item_id"), "n_shared", "n_item")
 
 
 def drop_contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold_percent: int = 80, item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that contain no item, every column kept; of rows with one id, only those whose own text holds one go."""
-    hit = _contained(df, items, width, threshold_percent, id_col, text_col, item_id_col, item_text_col).select(F.col("_doc").alias("_hit"), F.col("_th").alias("_hit_th")).distinct()
-    return df.join(hit, F.col(id_col).eqNullSafe(F.col("_hit")) & (F.xxhash64(text_col) == F.col("_hit_th")), "left_anti")
+    one, two = free_names(df, "_hit", "_hit_th")
+    hit = _contained(df, items, width, threshold_percent, id_col, text_col, item_id_col, item_text_col).select(F.col("_doc").alias(one), F.col("_th").alias(two)).distinct()
+    return df.join(hit, F.col(quoted(id_col)).eqNullSafe(F.col(one)) & (F.xxhash64(F.col(quoted(text_col))) == F.col(two)), "left_anti")

@@ -3,8 +3,9 @@
 Templates are cut into runs of ``GRAM`` words, winnowed (the smallest hash of each window of ``WINDOW`` runs stays)
 and kept in an inverted index from fingerprint to template and place; templates of up to ``SHORT`` words keep all runs.
 Every run of a document is looked up; hits of a template on neighbouring diagonals form a candidate, and any stretch of
-a template of GRAM + WINDOW - 1 words that a text holds unchanged makes one.  A candidate is aligned with the template
-inside a band around its diagonal; the matched words give the coverage, and the first and last of them the span.
+a template of GRAM + WINDOW - 1 words that a text holds unchanged makes one.  A candidate whose stretch of text has
+enough in common with the template, by the length of their longest common subsequence, is aligned with it inside a band
+around its diagonal; the matched words give the coverage, and the first and last of them the span.
 
 Hits outside the matches of their template are chained in text order, whatever stands or is missing between them, and
 the text around a chain is aligned with the whole template: this finds templates that a long insertion or omission has
@@ -28,9 +29,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexweave.llm._common import bounded_batches, pieces
+from lexweave.llm._common import bounded_batches, pieces, quoted
 
 GRAM = 3
 WINDOW = 3
@@ -123,9 +125,13 @@ class LicenseIndex:
                 if d is not None and d - begin <= band:
                     previous = d
                     continue
-                matched, first, last = align(template, words, (begin + previous) // 2, band)
-                if matched >= min_coverage * len(template):
-                    whole.append((t, matched, first, last))
+                middle = (begin + previous) // 2
+                near = words[max(0, middle - band) : max(0, middle + band + len(template))].tolist()
+                # what the whole stretch has in common bounds what a band of it can have
+                if near and full_length(template, near)[-1] >= min_coverage * len(template):
+                    matched, first, last = align(template, words, middle, band)
+                    if matched >= min_coverage * len(template):
+                        whole.append((t, matched, first, last))
                 if d is not None:
                     begin = previous = d
             found += whole
@@ -303,4 +309,4 @@ def scan_licenses(df: DataFrame, templates: list[tuple[str, str]], text_col: str
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32()), strict=True)]
                 yield pa.RecordBatch.from_arrays([c.take(pa.array(which)) for c in batch.columns[:n]] + columns, schema.names)
 
-    return bounded_batches(df).select(*[df[c] for c in keep], df[text_col]).mapInArrow(run, schema)
+    return bounded_batches(df).select(*[F.col(quoted(c)) for c in keep], F.col(quoted(text_col))).mapInArrow(run, schema)

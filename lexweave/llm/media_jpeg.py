@@ -7,8 +7,13 @@ Huffman-decodes all intervals of a batch of images in lockstep, one numpy step f
 restart markers are one interval and decode right, but slowly.  ``dc_thumbnail`` builds the luminance thumbnail from
 the DC coefficients alone, one pixel for each block.
 
+Of files with a scan for each component, the luminance scan is read.
+
 Defined results: a null text is the empty text, whose payload is 192 spaces; equal texts have equal media and
-features; files that are not baseline JPEG raise ``JpegError``.
+features; an empty table gives an empty result; other columns are not read, whatever their names.  A media value that
+this module did not write has dimensions and a thumbnail hash but no payload; one that is no baseline JPEG has neither,
+and the reason stands in ``error``; a null value has nulls throughout.  No row ends the job: the functions that take
+single files raise ``JpegError``, the DataFrame ones do not.
 """
 
 from __future__ import annotations
@@ -22,9 +27,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexweave.llm._common import bounded_batches, new_folder, text_bytes
+from lexweave.llm._common import bounded_batches, new_folder, quoted, text_bytes
 
 UNIT = 192
 SIDE = 65535 // 8
@@ -161,7 +167,24 @@ class Image:
         return tuple(i for i, c in enumerate(self.components) for _ in range(c[1] * c[2]))
 
 
+def _scan_end(data: bytes, at: int) -> int:
+    """Where the next marker that is neither a stuffed byte nor a restart begins."""
+    while (at := data.find(b"\xff", at)) >= 0:
+        if at + 1 < len(data) and data[at + 1] not in (0, 0xFF) and not 0xD0 <= data[at + 1] <= 0xD7:
+            return at
+        at += 1
+    return len(data)
+
+
 def parse_markers(data: bytes) -> Image:
+    """What the markers say; whatever is wrong with them is a ``JpegError``."""
+    try:
+        return _parse(data)
+    except (struct.error, IndexError, KeyError, ValueError) as e:
+        raise e if isinstance(e, JpegError) else JpegError(f"broken markers ({type(e).__name__})") from None
+
+
+def _parse(data: bytes) -> Image:
     if data[:2] != b"\xff\xd8":
         raise JpegError("no start of image")
     at, quant, huffman, restart, comment, frame = 2, {}, {}, 0, b"", None
@@ -192,16 +215,26 @@ def parse_markers(data: bytes) -> Image:
             frame = (wide, high, [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)])
         elif 0xC2 <= marker <= 0xCF and marker != 0xC8 and marker != 0xCC:
             raise JpegError("not a baseline image")
+        elif marker == 0xD9:
+            break
         elif marker == 0xDD:
             restart = struct.unpack(">H", body)[0]
         elif marker == 0xFE:
             comment = body
         elif marker == 0xDA:
-            if not frame or body[0] != len(frame[2]):
-                raise JpegError("the scan must hold every component")
+            if not frame or not frame[2]:
+                raise JpegError("a scan without a frame")
+            wide, high, components = frame
             chosen = {body[1 + 2 * i]: (body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])}
-            end = data.rfind(b"\xff\xd9")
-            return Image(*frame, quant, huffman, [chosen[c[0]] for c in frame[2]], restart, comment, data[at + 2 + size : end if end > 0 else len(data)])
+            end = _scan_end(data, at + 2 + size)
+            if len(chosen) < len(components) and set(chosen) == {components[0][0]}:  # luminance alone
+                _, h, v, _ = components[0]
+                wide, high = -(-wide * h // max(c[1] for c in components)), -(-high * v // max(c[2] for c in components))
+                components = components[:1]
+            if set(chosen) == {c[0] for c in components}:
+                return Image(wide, high, components, quant, huffman, [chosen[c[0]] for c in components], restart, comment, data[at + 2 + size : end])
+            at = end
+            continue
         at += 2 + size
     raise JpegError("no scan")
 
@@ -332,25 +365,75 @@ def thumbnail_hash(pixels: np.ndarray) -> str:
     return np.packbits(bits).tobytes().hex()
 
 
+def payload_of(image: Image, coefficients: np.ndarray) -> bytes | None:
+    """The stored bytes; None if the file holds none."""
+    if not image.comment.startswith(b"payload=") or not image.comment[8:].isdigit():
+        return None
+    return _BACK[np.clip(coefficients, -128, 128).ravel() + 128].tobytes()[: int(image.comment[8:])]
+
+
+def read_images(files: list[bytes]) -> list[tuple[Image, np.ndarray] | JpegError]:
+    """Parsed image and coefficients of each file, or why it cannot be read.  All are decoded in lockstep; only if one is broken, each by itself."""
+    out: list = []
+    for f in files:
+        try:
+            out.append(parse_markers(f))
+        except JpegError as e:
+            out.append(e)
+    good = [i for i, x in enumerate(out) if isinstance(x, Image)]
+    try:
+        decoded = decode_scans([out[i] for i in good])
+    except (JpegError, KeyError, IndexError, ValueError):
+        decoded = []
+        for i in good:
+            try:
+                decoded += decode_scans([out[i]])
+            except (JpegError, KeyError, IndexError, ValueError) as e:
+                decoded.append(JpegError(str(e) or type(e).__name__))
+    for i, c in zip(good, decoded, strict=True):
+        out[i] = c if isinstance(c, JpegError) else (out[i], c)
+    return out
+
+
 def read_payloads(files: list[bytes]) -> list[tuple[Image, np.ndarray, bytes]]:
     """Parsed image, coefficients and stored bytes of each file that ``encode_payloads`` wrote."""
-    images = [parse_markers(f) for f in files]
     out = []
-    for image, c in zip(images, decode_scans(images), strict=True):
-        if not image.comment.startswith(b"payload="):
+    for found in read_images(files):
+        if isinstance(found, JpegError):
+            raise found
+        payload = payload_of(*found)
+        if payload is None:
             raise JpegError("the file holds no payload")
-        out.append((image, c, _BACK[c.ravel() + 128].tobytes()[: int(image.comment[8:])]))
+        out.append((*found, payload))
     return out
 
 
-def _slices(values: list[bytes], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def _feature_row(data: bytes | None, found) -> tuple:
+    """payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, width, height, feature, error."""
+    if data is None:
+        return (None,) * 9
+    own = (len(data), hashlib.sha256(data).hexdigest())
+    if isinstance(found, JpegError):
+        return (None, None, None, *own, None, None, None, str(found))
+    image, coefficients = found
+    payload = payload_of(image, coefficients)
+    said = (None, None, None) if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+    try:
+        feature, error = f"{image.width}x{image.height}:{thumbnail_hash(dc_thumbnail(image, coefficients))}", None
+    except (KeyError, ValueError) as e:  # no quantisation table
+        feature, error = None, f"no thumbnail ({type(e).__name__})"
+    return (*said, *own, image.width, image.height, feature, error)
+
+
+def _slices(values: list, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Stretches of about ``most`` bytes, so that memory does not follow the batch."""
     begin = total = 0
     for i, v in enumerate(values):
-        if total and total + len(v) > most:
+        size = len(v) if v is not None else 0
+        if total and total + size > most:
             yield begin, i
             begin, total = i, 0
-        total += len(v)
+        total += size
     if begin < len(values):
         yield begin, len(values)
 
@@ -369,25 +452,25 @@ def write_media(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([len(v) for v in values[a:b]], pa.int64()), pa.array(files, pa.binary())], schema.names)
 
     path = new_folder(df.sparkSession, "media")
-    bounded_batches(df).select(*[df[c] for c in keep], df[text_col]).mapInArrow(run, schema).write.option("compression", "none").parquet(path)
+    bounded_batches(df).select(*[F.col(quoted(c)) for c in keep], F.col(quoted(text_col))).mapInArrow(run, schema).write.option("compression", "none").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def media_features(media: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
-    """Features from the stored bytes alone: dimensions, thumbnail hash, digests of the payload and of the file."""
-    fields = [T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("feature", T.StringType())]
-    schema = T.StructType([media.schema[c] for c in keep] + fields)
+    """Features from the stored bytes alone: dimensions, thumbnail hash, digests of the payload and of the file, and what was wrong."""
+    kinds = {"payload_bytes": T.LongType(), "payload_sha256": T.StringType(), "tail_crc32": T.LongType(), "media_bytes": T.LongType(), "media_sha256": T.StringType(), "width": T.IntegerType(), "height": T.IntegerType(), "feature": T.StringType(), "error": T.StringType()}
+    schema = T.StructType([media.schema[c] for c in keep] + [T.StructField(k, v) for k, v in kinds.items()])
+    arrow = [pa.string() if v == T.StringType() else pa.int32() if v == T.IntegerType() else pa.int64() for v in kinds.values()]
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             files = [v.as_py() for v in batch.column(n)]
             for a, b in _slices(files, 2_500_000):
-                rows = []
-                for f, (image, c, payload) in zip(files[a:b], read_payloads(files[a:b]), strict=True):
-                    pixels = dc_thumbnail(image, c)
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(f), hashlib.sha256(f).hexdigest(), image.width, image.height, f"{image.width}x{image.height}:{thumbnail_hash(pixels)}"))
+                some = [f for f in files[a:b] if f is not None]
+                found = iter(read_images(some))
+                rows = [_feature_row(f, None if f is None else next(found)) for f in files[a:b]]
                 columns = [c.slice(a, b - a) for c in batch.columns[:n]]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(v, pa.string() if f.dataType == T.StringType() else pa.int32() if f.dataType == T.IntegerType() else pa.int64()) for v, f in zip(zip(*rows, strict=True), fields, strict=True)], schema.names)
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), arrow, strict=True)], schema.names)
 
-    return media.select(*[media[c] for c in keep], media["media"]).mapInArrow(run, schema)
+    return media.select(*[F.col(quoted(c)) for c in keep], media["media"]).mapInArrow(run, schema)

@@ -10,8 +10,8 @@ shingles have 64 bits, and every link between different sets is found.
    the instance of its band and of the band below.  Two similar sets of an instance differ in at most k shingles.  The
    shingle domain is partitioned by hash into k + 1 + m parts, and a signature is the content of one part: the subset
    enumeration of PartEnum with one part to a subset.  Similar sets agree on at least m + 1 parts.
-3. Groups.  A signature shared by at most ``HOT`` classes gives candidates.  A more frequent one (empty parts, passages
-   that many documents share) is *hot*.  As similar sets agree on m + 1 parts, a set with at most m hot signatures in
+3. Groups.  A signature shared by at most ``HOT`` classes gives candidates.  A more frequent one (passages that many
+   documents share) is *hot*, and so is every empty part, which is therefore never sent.  As similar sets agree on m + 1 parts, a set with at most m hot signatures in
    an instance agrees with each partner on one that is not hot, so hot groups are needed for the others only.
 4. Those others (*deep* classes) are joined exactly among themselves by their rarest shingles, as a fixed number of
    buckets counts them: similar sets share one of their ``s - ceil(0.8 s) + 1`` rarest, and a pair counts only if so many shingles can still be common behind the
@@ -36,10 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm._common import bounded_batches, materialize, pieces, text_bytes
+from lexweave.llm._common import bounded_batches, free_names, materialize, pieces, quoted, text_bytes
 from lexweave.llm._components import components
 
 HOT = 8
+#: Tag of a row that says that a class has too many empty parts.
+DEEP = -1
 PARITY_WORDS = 16
 #: Shingles of deep classes are counted in so many buckets (2 MB); any order of shingles keeps the join exact, this one keeps it small.
 BUCKET_BITS = 18
@@ -127,11 +129,13 @@ class Bands:
 
 
 def signatures(u: np.ndarray, instance: int, parts: int) -> np.ndarray:
-    """The hashed content of each part of the domain."""
+    """The hashed content of each part of the domain that holds a shingle; an empty part is the same for all sets and tells nothing."""
     h = mix(u ^ _GOLDEN)
+    at = (h % np.uint64(parts)).astype(np.int64)
     content = np.zeros(parts, np.uint64)
-    np.add.at(content, (h % np.uint64(parts)).astype(np.int64), mix(h * _GOLDEN))
-    return mix(content + np.full(1, instance + 1, np.uint64) * _MIX2 + np.arange(parts, dtype=np.uint64) * _GOLDEN).view(np.int64)
+    np.add.at(content, at, mix(h * _GOLDEN))
+    held = np.flatnonzero(np.bincount(at, minlength=parts))
+    return mix(content[held] + np.full(1, instance + 1, np.uint64) * _MIX2 + held.astype(np.uint64) * _GOLDEN).view(np.int64)
 
 
 def _set_rows(width: int):
@@ -163,11 +167,16 @@ def _signature_rows(width: int, percent: int):
                 for which, instance in enumerate((own, own - 1)):
                     if instance < 0:
                         continue
-                    spare = bands.spare(instance)
-                    s = signatures(u, instance, bands.differences(instance) + 1 + spare)
+                    spare, parts = bands.spare(instance), bands.differences(instance) + 1
+                    s = signatures(u, instance, parts + spare)
+                    spare -= parts + spare - len(s)  # empty parts are hot without being counted
+                    if spare < 0:
+                        s = np.append(s, np.int64(cid))
                     sigs.append(s)
                     cids.append(np.full(len(s), cid, np.int64))
-                    tags.append(np.full(len(s), 2 * spare + which, np.int32))
+                    tags.append(np.full(len(s), 2 * max(spare, 0) + which, np.int32))
+                    if spare < 0:
+                        tags[-1][-1] = DEEP
             if sigs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, cids, tags)], ["_sig", "_cid", "_tag"])
 
@@ -251,9 +260,10 @@ class _Join:
         from pyspark.sql.window import Window
 
         signed = self.texts().mapInArrow(_signature_rows(self.width, self.percent), "_sig long, _cid long, _tag int")
-        shared = materialize(signed.withColumn("_c", F.count("*").over(Window.partitionBy("_sig"))).where("_c > 1"), "signatures")
-        usual = shared.where(F.col("_c") <= HOT).select(F.col("_sig").alias("_key"), "_cid")
-        deep = shared.where(F.col("_c") > HOT).groupBy("_cid", "_tag").agg(F.count("*").alias("_hot")).where(F.col("_hot") > F.shiftright("_tag", 1)).select("_cid").distinct()
+        shared = materialize(signed.withColumn("_c", F.count("*").over(Window.partitionBy("_sig"))).where(f"_c > 1 OR _tag = {DEEP}"), "signatures")
+        usual = shared.where((F.col("_c") <= HOT) & (F.col("_tag") != DEEP)).select(F.col("_sig").alias("_key"), "_cid")
+        hot = F.when(F.col("_tag") == DEEP, F.lit(1)).when(F.col("_c") > HOT, F.lit(1)).otherwise(F.lit(0))
+        deep = shared.groupBy("_cid", "_tag").agg(F.sum(hot).alias("_hot")).where((F.col("_hot") > 0) & (F.col("_hot") > F.shiftright("_tag", 1))).select("_cid").distinct()
         deep = materialize(deep, "deep-classes")
         sets = materialize(self.texts(deep).mapInArrow(_full_sets(self.width), "_cid long, _set binary").dropDuplicates(["_cid"]), "deep-sets")
         met = sets.mapInArrow(_bucket_counts, "bucket long, count long").groupBy("bucket").agg(F.sum("count").alias("count"))
@@ -310,7 +320,8 @@ class _Join:
 
 
 def _component_rows(df: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    docs = bounded_batches(df).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
+    text = F.col(quoted(text_col))
+    docs = bounded_batches(df).select(F.col(quoted(id_col)).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"))
     join = _Join(docs, width, percent)
     found = components(join.links()).withColumnsRenamed({"id": "_cid", "component": "_comp"})
     classes = join.classes.select("_cid", "_n", "_d1", "_d2", "_least").join(found, "_cid", "left").withColumn("_comp", F.coalesce("_comp", "_cid"))
@@ -333,5 +344,6 @@ def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows with equal id and text are one document and stay together; a row with a null id goes if it links with one that has an id.
     """
     gone = _component_rows(df, id_col, text_col, width, percent).where(~F.col("_id").eqNullSafe(F.col("_component_id")))
-    gone = gone.select(F.col("_id").alias("_gone_id"), F.col("_th").alias("_gone_th")).distinct()
-    return df.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text_col) == F.col("_gone_th")), "left_anti")
+    one, two = free_names(df, "_gone_id", "_gone_th")
+    gone = gone.select(F.col("_id").alias(one), F.col("_th").alias(two)).distinct()
+    return df.join(gone, F.col(quoted(id_col)).eqNullSafe(F.col(one)) & (F.xxhash64(F.col(quoted(text_col))) == F.col(two)), "left_anti")

@@ -22,9 +22,10 @@ from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexweave.llm._common import bounded_batches, pieces
+from lexweave.llm._common import bounded_batches, pieces, quoted
 
 MARK = "▁"
 LONG_CHUNK = 256
@@ -144,4 +145,4 @@ def encode_texts(df: DataFrame, model_path: str, text_col: str = "text", keep: t
                 columns += [pa.array(said, pa.string()), pa.array(back, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
-    return bounded_batches(df).select(*[df[c] for c in keep], df[text_col]).mapInArrow(run, T.StructType(fields))
+    return bounded_batches(df).select(*[F.col(quoted(c)) for c in keep], F.col(quoted(text_col))).mapInArrow(run, T.StructType(fields))

@@ -1,16 +1,20 @@
 """URL filters: a blocked Bloom filter in front of an exact hash join.
 
-Listed entries are canonical URLs ``host + path prefix`` (``example.net/en/``).  An entry fits a URL whose host is the
-entry's or a subdomain of it and whose path starts with the entry's path.  A URL therefore has one candidate for each
-*shape* (number of host labels, length of the path) that occurs in the list, and a list of any length has few shapes.
-
-Distinct URLs are expanded to candidates; a blocked Bloom filter (256-bit blocks, eight bits in one block for a key)
-passes possible hits; an exact hash join with the list removes the false positives; the longest rule wins.  The filter
-is an ordinary table of blocks, made by a map-side combined ``bit_or``; it and the list are broadcast only up to
-``BROADCAST_BYTES`` by count, and joined by shuffle beyond.
+Listed entries are canonical URLs ``host + path prefix`` (``example.net/en/``); A-Z in an entry's host count as
+lower-case.  An entry fits a URL whose host is the entry's or a subdomain of it and whose path starts with the entry's
+path.  The longest entry wins, of equally long ones that with the longer host, then ``block`` before ``allow``, then
+the entry that sorts last: the order of the list never matters.
+
+Distinct URLs are expanded to the host suffixes that have as many labels as a listed host, which are few.  Suffixes
+that are listed bring the lengths of their own paths, so a URL has one candidate for each path length of its own host
+and not for each in the list.  A blocked Bloom filter (256-bit blocks, eight bits in one block for a key) passes
+possible hits among the candidates; an exact hash join with the list removes the false positives.  The filter is an
+ordinary table of blocks, made by a map-side combined ``bit_or``; it, the hosts and the list are broadcast only up to
+``BROADCAST_BYTES`` by their own size, and joined by shuffle beyond.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and no rule; repeated rows get
-repeated verdicts; an empty list leaves every URL with the default verdict.
+repeated verdicts; an empty list leaves every URL with the default verdict, an empty table gives an empty result.
+Columns other than the URL and the kept ones are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,10 +24,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm._common import ascii_lower, materialize
+from lexweave.llm._common import ascii_lower, materialize, quoted
 
-BROADCAST_BYTES = 64 << 20
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 BLOCK_WORDS = 8
 BITS_PER_KEY = 16
 
@@ -82,29 +85,40 @@ def listing(spark: SparkSession, rules: list[tuple[str, str]], blocked: list[str
     return spark.createDataFrame(rows, "entry string, action string, is_rule boolean")
 
 
+def canonical_entries(listed: DataFrame) -> DataFrame:
+    """Distinct entries with their parts: ``entry`` as listed, ``key`` (lower-case host and path), ``site``, ``chars`` of the path, ``labels`` of the host."""
+    entries = listed.where(F.col("entry").isNotNull()).select("entry", "action", "is_rule").distinct()
+    slash = F.instr("entry", "/")
+    site = ascii_lower(F.when(slash > 0, F.substring_index("entry", "/", 1)).otherwise(F.col("entry")))
+    prefix = F.when(slash > 0, F.substr("entry", slash)).otherwise(F.lit(""))
+    named = entries.withColumns({"site": site, "prefix": prefix})
+    return named.select("entry", "action", "is_rule", "site", F.length("prefix").alias("chars"), F.size(F.split("site", r"\.")).alias("labels"), F.concat("site", "prefix").alias("key"))
+
+
 def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = "allow") -> DataFrame:
     """``keep``, host, path, the longest fitting ``rule`` and its ``verdict``; without a rule, ``block`` for a listed URL, else the default.
 
     ``listed`` has ``entry`` (``host/path-prefix``), ``action`` and ``is_rule``.
     """
-    entries = listed.groupBy("entry", "is_rule").agg(F.max("action").alias("action"))
-    slash = F.instr("entry", "/")
-    shape = (F.size(F.split(F.when(slash > 0, F.substring_index("entry", "/", 1)).otherwise(F.col("entry")), r"\.")).alias("labels"), F.when(slash > 0, F.length("entry") - slash + 1).otherwise(F.lit(0)).alias("chars"))
-    shapes = [(r["labels"], r["chars"]) for r in entries.select(*shape).distinct().collect()]
-    size = entries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("entry")), F.lit(0)).alias("bytes")).first()
-
-    base = pages.select(*[pages[c] for c in keep], pages[url_col].alias("_url"))
-    base = base.withColumns({"host": host_of(F.col("_url")), "path": path_of(F.col("_url"))})
-    sites = base.where(F.col("host") != "").groupBy("host", "path").agg(F.lit(1).alias("_"))
-    made = [F.concat(F.substring_index("host", ".", -labels), F.substring("path", 1, chars)) for labels, chars in shapes]
-    candidates = sites.select("host", "path", F.explode(F.array_distinct(F.array(*made) if made else F.array().cast("array<string>"))).alias("entry"))
-    hits = possible_hits(candidates, "entry", entries, size["n"])
-    exact = hits.join(_sized(entries, size["bytes"] + 32 * size["n"]), "entry")
-    best = exact.groupBy("host", "path").agg(
-        F.max_by(F.when(F.col("is_rule"), F.struct("entry", "action")), F.when(F.col("is_rule"), F.length("entry"))).alias("_rule"),
-        F.max(~F.col("is_rule")).alias("_listed"),
-    )
+    entries = materialize(canonical_entries(listed), "url-entries")
+    labels = sorted(r["labels"] for r in entries.select("labels").distinct().collect())  # a host has 127 labels at most
+    size = entries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("entry") + F.octet_length("key") + F.octet_length("site")), F.lit(0)).alias("bytes")).first()
+    n_bytes = size["bytes"] + 100 * size["n"]
+    sites = entries.groupBy("site").agg(F.collect_set("chars").alias("lengths"))  # path lengths of a host: bounded by the longest URL
+
+    url = F.col(quoted(url_col))
+    base = pages.select(F.struct(*[F.col(quoted(c)) for c in keep]).alias("_keep"), host_of(url).alias("host"), path_of(url).alias("path"))
+    urls = base.where(F.col("host") != "").groupBy("host", "path").agg(F.lit(1).alias("_"))
+    made = [F.substring_index("host", ".", -n) for n in labels]
+    suffixes = urls.select("host", "path", F.explode(F.array_distinct(F.array(*made) if made else F.array().cast("array<string>"))).alias("site"))
+    lengths = suffixes.join(_sized(sites, n_bytes), "site").select("host", "path", "site", F.explode("lengths").alias("chars"))
+    candidates = lengths.where(F.length("path") >= F.col("chars")).select("host", "path", F.concat("site", F.substring("path", F.lit(1), F.col("chars"))).alias("key"))
+    hits = possible_hits(candidates, "key", entries, size["n"])
+    exact = hits.join(_sized(entries, n_bytes), "key")
+    rank = F.struct(F.length("key").alias("long"), F.length("site").alias("host_long"), (F.col("action") == "block").alias("blocks"), "entry", "action")
+    best = exact.groupBy("host", "path").agg(F.max(F.when(F.col("is_rule"), rank)).alias("_rule"), F.max(~F.col("is_rule")).alias("_listed"))
     best = materialize(best, "url-verdicts")  # a table of its own: broadcast if it is small, else a join that Spark can split
-    judged = base.join(F.broadcast(best) if best.count() <= BROADCAST_ROWS else best, ["host", "path"], "left")
+    wide = best.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + F.coalesce(F.octet_length("_rule.entry"), F.lit(0)) + 80), F.lit(0)).alias("bytes")).first()["bytes"]
+    judged = base.join(_sized(best, wide), ["host", "path"], "left")
     verdict = F.coalesce(F.col("_rule.action"), F.when(F.col("_listed"), F.lit("block")), F.lit(default))
-    return judged.select(*keep, "host", "path", F.col("_rule.entry").alias("rule"), verdict.alias("verdict"), F.coalesce("_listed", F.lit(False)).alias("listed"))
+    return judged.select(*[F.col(f"_keep.{quoted(c)}").alias(c) for c in keep], "host", "path", F.col("_rule.entry").alias("rule"), verdict.alias("verdict"), F.coalesce("_listed", F.lit(False)).alias("listed"))

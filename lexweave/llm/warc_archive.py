@@ -8,7 +8,8 @@ rows, deals them by stretches of a file, sorts them by offset and reads neighbou
 Of pages with equal payloads of at least ``revisit_from`` bytes, that with the smallest id is a response and the rest
 are revisits of it; shorter ones are all responses.  Defined results: a null payload is empty; of repeated rows with
 the smallest id each is a response; a null id is larger than any other, and pages with equal payloads and only null
-ids are all responses; a null URL has no target header.  Record bodies are checked against their digest when read.
+ids are all responses; a null URL has no target header; an empty table gives an empty index.  When read, a record's id,
+target, digest and reference must be the index's, and its body must have its digest.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexweave.llm._common import bounded_batches, materialize, new_folder, pieces
+from lexweave.llm._common import bounded_batches, materialize, new_folder, pieces, quoted
 
 FILE_BYTES = 256 << 20
 #: Digests that several payloads share are broadcast up to so many, about 80 MB.
@@ -75,7 +76,7 @@ def parse_record(data: bytes) -> tuple[dict[str, str], int, bytes]:
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_from: int = 100) -> DataFrame:
     """id, url, payload, digest, and the id that a revisit refers to."""
-    base = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), F.coalesce(pages[payload_col], F.lit("")).alias("payload"))
+    base = pages.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(url_col)).alias("url"), F.coalesce(F.col(quoted(payload_col)), F.lit("")).alias("payload"))
     base = base.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
     shared = base.where(F.octet_length("payload") >= revisit_from).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n")
     shared = materialize(shared, "shared-payloads")  # a table of its own: broadcast if it is small, else a join that Spark can split
@@ -163,7 +164,9 @@ def read_records(selected: DataFrame, folder: str, payloads: bool = True) -> Dat
                                 member = data[r["offset"] - start : r["offset"] - start + r["length"]]
                                 headers, length, payload = parse_record(zlib.decompress(member, 31))
                                 kind, digest = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha256:")
-                                if digest != r["digest"] or headers["WARC-Record-ID"] != record_id(r["id"]):
+                                refers_to = record_id(r["refers_to"]) if r["refers_to"] is not None else None
+                                target = _clean(r["url"]) if r["url"] is not None else None
+                                if digest != r["digest"] or headers["WARC-Record-ID"] != record_id(r["id"]) or headers.get("WARC-Refers-To") != refers_to or headers.get("WARC-Target-URI") != target:
                                     raise ValueError(f"{name} at {r['offset']}: the record is not the index's")
                                 if kind == "response" and (len(payload) != length or hashlib.sha256(payload).hexdigest() != digest):
                                     raise ValueError(f"{name} at {r['offset']}: the payload does not match its digest")

@@ -64,3 +64,12 @@ def test_empty_tables(spark, docs):
 def test_no_python(spark, docs):
     plan = D.find_contained(docs([(1, "a b")]), spark.createDataFrame([(1, "a b c d e")], "item_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_columns_of_any_name_pass_through(spark):
+    item = "one two three four five six seven eight"
+    df = spark.createDataFrame([(1, f"before {item} behind", 1, 2, 3), (2, "nothing of it", 1, 2, 3)], "doc_id long, text string, _hit int, _HIT_TH int, _item int")
+    items = spark.createDataFrame([(7, item, 0)], "item_id long, text string, _w int")
+    out = D.drop_contaminated(df, items)
+    assert out.columns == df.columns and [r.doc_id for r in out.collect()] == [2]
+    assert [(r.doc_id, r.item_id) for r in D.find_contained(df, items).collect()] == [(1, 7)]

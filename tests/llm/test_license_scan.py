@@ -102,3 +102,47 @@ def test_winnowing_guarantee():
         h = np.array([r.randrange(50) for _ in range(r.randrange(1, 40))], np.uint64)
         places = L.winnow(h, 3).tolist()
         assert all(any(p in places for p in range(i, min(i + 3, len(h)))) for i in range(max(1, len(h) - 2)))
+
+
+def test_recall_against_an_exhaustive_scan(spark, tiny):
+    """Texts in which some window holds four fifths of a template in order, found by trying every window."""
+    import numpy as np
+    import xxhash
+
+    from lexweave.llm.license_templates import TEMPLATES
+
+    index = L.LicenseIndex.build(TEMPLATES)
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    scanned = {(r.doc_id, r.template) for r in L.scan_licenses(docs, TEMPLATES).collect()}
+    inside = {}
+    for r in L.scan_licenses(docs, TEMPLATES).collect():
+        inside.setdefault(r.doc_id, []).append((r.start, r.end))
+    truth = set()
+    for r in docs.collect():
+        words = np.array([xxhash.xxh3_64_intdigest(w) for w in L.fold(r.text or "").split()], np.uint64)
+        for t, template in enumerate(index.templates):
+            need, wide = 0.8 * len(template), len(template) + len(template) // 4
+            held = np.concatenate([[0], np.cumsum(np.isin(words, np.array(template, np.uint64)))])
+            for p in range(max(1, len(words) - wide + 1)):
+                if held[min(len(words), p + wide)] - held[p] >= need and L.full_length(template, words[p : p + wide].tolist())[-1] >= need:
+                    truth.add((r.doc_id, t))
+                    break
+    longest = {}
+    for d, t in truth:
+        longest[d] = max(longest.get(d, 0), len(index.templates[t]))
+    missed = [(d, t) for d, t in truth - scanned if d not in inside]
+    assert len(truth) >= 5 and not missed, missed
+    # shorter templates may lie inside longer ones, and of equally long ones the first is reported
+    assert all(any((d, t) in scanned for t in range(len(index.templates)) if (d, t) in truth and len(index.templates[t]) == longest[d]) for d in longest)
+
+
+def test_a_long_text_of_one_phrase_is_quick():
+    import time
+
+    import numpy as np
+    import xxhash
+
+    index = L.LicenseIndex.build([("MIT", "permission is hereby granted to any person obtaining a copy of the software to deal in the software without any restriction")])
+    words = np.array([xxhash.xxh3_64_intdigest(w) for w in b"in the software ".split() * 7000], np.uint64)
+    began = time.time()
+    assert index.scan(words, 0.8) == [] and time.time() - began < 5

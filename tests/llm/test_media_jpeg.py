@@ -162,3 +162,27 @@ def test_rows(spark, docs):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-16:]))
     assert len({(r.media_sha256, r.feature) for r in got if r.doc_id in (1, 2)}) == 1
     assert M.media_features(M.write_media(docs([]))).count() == 0
+
+
+def test_foreign_broken_and_null_media_end_no_job(spark, docs):
+    own = M.encode_payloads([M.padded(b"some text")])[0]
+    foreign = own.replace(M._segment(0xFE, b"payload=192"), M._segment(0xFE, b"someone else's"))
+    rows = [(1, own), (2, None), (3, foreign), (4, b""), (5, own[:200]), (6, b"\x89PNG"), (7, own), (8, own[: len(own) // 2] + b"\xff\xd9")]
+    got = {r.doc_id: r for r in M.media_features(spark.createDataFrame(rows, "doc_id long, media binary"), keep=("doc_id",)).collect()}
+    assert got[1].payload_bytes == got[7].payload_bytes == 192 and got[1].error is None
+    assert got[3].payload_bytes is None and got[3].feature == got[1].feature and got[3].error is None
+    assert got[2].media_bytes is None and got[2].error is None
+    assert all(got[i].error and got[i].feature is None and got[i].media_bytes == len(rows[i - 1][1]) for i in (4, 5, 6, 8))
+
+
+def test_a_scan_for_each_component():
+    """Luminance in a scan of its own, the other components in others."""
+    own = M.encode_payloads([M.padded(bytes(range(192)))])[0]
+    image = M.parse_markers(own)
+    grey = M.Image(image.width, image.height, image.components[:1], image.quant, image.huffman, image.selectors[:1], image.restart, b"", image.scan)
+    head = own[: own.index(b"\xff\xda")]
+    one = b"\xff\xda" + bytes([0, 8, 1, 1, 0, 0, 63, 0])
+    split = head + b"\xff\xda" + bytes([0, 8, 1, 2, 0, 0, 63, 0]) + image.scan + one + image.scan + b"\xff\xd9"
+    found = M.parse_markers(split)
+    assert (found.components, found.scan, found.units) == (grey.components, image.scan, grey.units)
+    assert (M.decode_scans([found])[0] == M.decode_scans([grey])[0]).all()

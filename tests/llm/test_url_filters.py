@@ -1,6 +1,7 @@
 import random
 
 from lexweave.llm import queries, url_filters
+from lexweave.llm import url_filters as U
 
 URLS = [
     (1, "http://a.example.net/en/1"), (2, "HTTPS://Example.NET/en/"), (3, "https://example.net"), (4, "https://x.net/?q"), (5, "http://www.example.com/de/9#x"),
@@ -53,3 +54,28 @@ def test_empty(spark):
     assert url_filters.judge(none, url_filters.listing(spark, queries.URL_RULES, [])).count() == 0
     pages = spark.createDataFrame(URLS, "page_id long, url string")
     assert {r.verdict for r in url_filters.judge(pages, spark.createDataFrame([], "entry string, action string, is_rule boolean")).collect()} == {"allow"}
+
+
+def test_the_order_of_the_list_does_not_matter(spark):
+    pages = spark.createDataFrame([(1, "http://x.A.B.net/xx/1"), (2, "http://b.net/xx/1"), (3, "http://a.b.net/x"), (None, None)], "page_id long, url string").selectExpr("*", "1 AS host", "2 AS `key`", "3 AS _keep")
+    rules = [("b.net/xx/", "allow"), ("A.b.Net/x", "block"), ("b.net/xx/", "block"), ("net/", "allow")]
+    want = {1: ("A.b.Net/x", "block"), 2: ("b.net/xx/", "block"), 3: ("A.b.Net/x", "block"), None: (None, "allow")}
+    for own in (rules, rules[::-1]):
+        got = U.judge(pages, U.listing(spark, own, ["B.NET/xx/"]))
+        assert {r.page_id: (r.rule, r.verdict) for r in got.collect()} == want
+    assert U.judge(pages, U.listing(spark, rules, []).where("false")).where("verdict = 'allow' AND rule IS NULL").count() == 4
+
+
+def test_many_path_lengths(spark):
+    import random
+
+    r = random.Random(2)
+    names = ["a.org", "b.a.org", "c.net", "net"]
+    listed = [(f"{r.choice(names)}/{'x' * r.randrange(60)}", r.choice(["allow", "block"])) for _ in range(200)]
+    pages = [(i, f"http://{r.choice(['', 'w.', 'v.w.'])}{r.choice(names)}/{'x' * r.randrange(60)}") for i in range(300)]
+    got = {p.page_id: (p.rule, p.verdict) for p in U.judge(spark.createDataFrame(pages, "page_id long, url string"), U.listing(spark, listed, [])).collect()}
+    for i, url in pages:
+        host, path = url[7:].split("/", 1)
+        fits = [(len(e), len(e.split("/")[0]), a == "block", e, a) for e, a in listed if (host == e.split("/")[0] or host.endswith("." + e.split("/")[0])) and ("/" + path).startswith("/" + e.split("/", 1)[1])]
+        best = max(fits, default=None)
+        assert got[i] == ((best[3], best[4]) if best else (None, "allow"))
