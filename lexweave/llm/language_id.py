@@ -24,7 +24,6 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lexweave.llm._common import bounded_batches, free_names, quoted
 
@@ -90,6 +89,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _least_hashes(keys: DataFrame, counts: dict[str, int], most: int) -> list[tuple[str, int]]:
+    """The ``most`` smallest hashes of each language.
+
+    Hashes are spread evenly, so a cut at twice the share that is needed leaves about twice as many rows to collect and
+    needs no language in one task; where it leaves too few, it is moved.
+    """
+    out, wide = [], 2.0
+    left = dict(counts)
+    while left:
+        cut = F.create_map(*[F.lit(x) for name, n in left.items() for x in (name, min(1.0, wide * most / n))])
+        found: dict[str, list[int]] = {name: [] for name in left}
+        for r in keys.where(F.col("h") / F.lit(2.0**64) + 0.5 <= cut[F.col("l")]).collect():
+            found[r["l"]].append(r["h"])
+        for name, own in found.items():
+            if len(own) >= min(most, left[name]):
+                out += [(name, h) for h in sorted(own)[:most]]
+                del left[name]
+        wide *= 4
+    return out
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = 256, piece_bytes: int = 512, shards: int = 3, **settings) -> LanguageModel:
     """Learn dictionaries from labelled rows; ``sample_rows`` is for each dictionary of a language."""
     rows = labelled.select(F.col(quoted(text_col)).alias("t"), F.col(quoted(lang_col)).alias("l")).where(F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}")).withColumn("h", F.xxhash64("t"))
@@ -98,8 +118,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
         counts = {r["l"]: r["n"] for r in keys.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES + 1).collect()}
         if len(counts) > MAX_LANGUAGES:
             raise ValueError(f"more than {MAX_LANGUAGES} labels: not languages")
-        first = F.row_number().over(Window.partitionBy("l").orderBy("h"))  # Spark cuts each partition to the limit before the shuffle
-        picked = [(r["l"], r["h"]) for r in keys.withColumn("k", first).where(F.col("k") <= sample_rows * shards).collect()]
+        picked = _least_hashes(keys, counts, sample_rows * shards)
     finally:
         keys.unpersist()
     if not picked:
