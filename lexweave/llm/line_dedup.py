@@ -9,7 +9,8 @@ itself or not, makes the result independent of the order in which work is done.
 
 Steps:
 
-1. Equal lines are counted by a 128-bit hash of their words, map-side combined, so copies shrink to one row each.
+1. Equal lines are counted by two 64-bit hashes, of their words before and behind the middle, map-side combined, so
+   copies shrink to one row each.
 2. Halves: an edit leaves either the first or the second part of the words, cut in the middle, as they are.  Only distinct lines that
    share such a half with another line can have a near one; the rest leave here.
 3. Deletion neighbourhood: the remaining lines emit a hashed key for each word left out, and one for the whole.  Keys
@@ -55,18 +56,28 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _exploded(docs: DataFrame) -> DataFrame:
     """The lines that are not blank, as words."""
-    # the words come out of the generator, so that the filter does not work them out a second time
-    split = F.transform(F.split("_text", "\n"), line_words)
-    return docs.select("_id", "_th", F.posexplode(split).alias("_pos", "_w")).where(F.size("_w") > 0)
+    solid = _lines(docs).where(F.btrim("_line", F.lit(" " + _OTHER_SPACE)) != "")
+    return solid.select("_id", "_th", "_pos", line_words(F.col("_line")).alias("_w"))
 
 
 def _order() -> Column:
     return F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_th").alias("th"), F.col("_pos").alias("pos"))
 
 
+def _part_keys(size: Column, fewer: int) -> tuple[Column, Column]:
+    """Hashes of a line's words before and behind the middle of a line of ``fewer`` words less than ``size``."""
+    m = size - fewer
+    half = F.floor(m / 2).cast("int")
+    # a newline is no word, so the two never meet
+    return F.xxhash64(m, F.slice("_w", 1, half)), F.xxhash64(m, F.lit("\n"), F.slice("_w", half + fewer + 1, m - half))
+
+
 def _hashed(lines: DataFrame) -> DataFrame:
-    """128-bit hash and number of words of each line."""
-    return lines.withColumns({"_h1": F.xxhash64("_w"), "_h2": F.xxhash64(F.lit(7), F.col("_w")), "_n": F.size("_w")})
+    """A line's identity, ``_h1`` and ``_h2`` of its two parts (64 bits each), its number of words, and the parts ``_a``, ``_z`` that a partner of one word fewer has."""
+    first, second = _part_keys(F.size("_w"), 0)
+    named = lines.withColumns({"_n": F.size("_w"), "_h1": first, "_h2": second})
+    first, second = _part_keys(F.col("_n"), 1)
+    return named.withColumns({"_a": first, "_z": second})
 
 
 def least_words(similarity_percent: int) -> int:
@@ -77,13 +88,8 @@ def least_words(similarity_percent: int) -> int:
 
 
 def _halves(least: int) -> Column:
-    """Keys of a line's parts before and behind its middle, for partners with as many words or one more, and with one fewer."""
-    n, out = F.col("_n"), []
-    for fewer in (0, 1):
-        m = n - fewer
-        half = F.floor(m / 2).cast("int")
-        out += [F.xxhash64(m, F.lit("a"), F.slice("_w", 1, half)), F.xxhash64(m, F.lit("z"), F.slice("_w", half + fewer + 1, m - half))]
-    return F.when(n >= least, F.array(*out)).when(n == least - 1, F.array(*out[:2]))
+    """Keys of a line's parts, for partners with as many words or one more, and with one fewer."""
+    return F.when(F.col("_n") >= least, F.array("_h1", "_h2", "_a", "_z")).when(F.col("_n") == least - 1, F.array("_h1", "_h2"))
 
 
 def variants(lines: DataFrame, line_key: list[str], least: int) -> DataFrame:
@@ -117,9 +123,9 @@ def within_one_edit(a: Column, b: Column, at: Column, whole: Column) -> Column:
 
 def near_lines(occurrences: DataFrame, docs: DataFrame, least: int) -> DataFrame:
     """Hashes of the lines that have an earlier line within the bound; ``least`` as in ``least_words``."""
-    firsts = occurrences.where(F.col("_halves").isNotNull()).groupBy("_h1", "_h2").agg(F.min(_order()).alias("_o"), F.any_value("_halves").alias("_halves"))
-    keys = firsts.select("_h1", "_h2", "_o", F.explode("_halves").alias("_half"))
-    shared = keys.groupBy("_half").agg(F.min("_h1").alias("_lo"), F.max("_h1").alias("_hi")).where("_lo <> _hi").select("_half")
+    firsts = occurrences.where(F.col("_n") >= least - 1).groupBy("_n", "_h1", "_h2").agg(F.min(_order()).alias("_o"), F.any_value("_a").alias("_a"), F.any_value("_z").alias("_z"))
+    keys = firsts.select("_h1", "_h2", "_o", F.explode(_halves(least)).alias("_half"))
+    shared = keys.groupBy("_half").agg(*[f(c).alias(f"{c}_{f.__name__}") for c in ("_h1", "_h2") for f in (F.min, F.max)]).where("_h1_min <> _h1_max OR _h2_min <> _h2_max").select("_half")
     candidates = keys.join(shared, "_half").groupBy("_h1", "_h2").agg(F.any_value("_o").alias("_o"))
     candidates = materialize(candidates.select("_h1", "_h2", "_o"), "line-candidates")
     if candidates.count() <= BROADCAST_ROWS:
@@ -150,8 +156,7 @@ def near_lines(occurrences: DataFrame, docs: DataFrame, least: int) -> DataFrame
 def removed_lines(keyed: DataFrame, similarity_percent: int = 80) -> DataFrame:
     """By document (``_id``, ``_th``), the places ``_gone`` of the lines to delete; ``keyed`` also has ``_text``."""
     least = least_words(similarity_percent)
-    occurrences = _hashed(_exploded(keyed)).withColumn("_halves", _halves(least))
-    occurrences = materialize(occurrences.drop("_w"), "lines")
+    occurrences = materialize(_hashed(_exploded(keyed)).drop("_w"), "lines")
     near = materialize(near_lines(occurrences, keyed, least), "near-lines").withColumn("_near", F.lit(True))
     groups = occurrences.groupBy("_h1", "_h2").agg(F.min(_order()).alias("_o"), F.count("*").alias("_c"))
     marked = groups.join(near, ["_h1", "_h2"], "left").where("_c > 1 OR _near").select("_h1", "_h2", "_o", "_near")
