@@ -44,8 +44,13 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def snapshot(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` written once to the shared folder and read back, which cuts its lineage."""
+    """``df`` written once to the shared folder and read back, which cuts its lineage.
+
+    Spark removes a plan's shuffle files when the driver collects the plan as garbage, which may be long after; so the
+    driver collects here, and a chain of tables holds the shuffles of one plan on disk and not of all.
+    """
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
