@@ -79,6 +79,18 @@ def embed(chunks: DataFrame, embedder: Embedder, row: str = "row", text: str = "
     return chunks.select(F.col(row).alias("row"), F.col(text)).mapInArrow(run, f"row {chunks.schema[row].dataType.simpleString()}, embedding array<float>")
 
 
+def embed_queries(queries: DataFrame, embedder: Embedder, instruction: str = "") -> DataFrame:
+    """query_id and embedding of each question, by the model's own way for questions and behind its instruction."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            vectors = unit_rows(np.asarray([embedder.embed_query(instruction + (t or "")) for t in texts], np.float32).reshape(len(texts), -1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors.tolist(), pa.list_(pa.float32()))], ["query_id", "embedding"])
+
+    return queries.select("query_id", "query").mapInArrow(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, embedding array<float>")
+
+
 def embed_missing(chunks: DataFrame, cached: DataFrame, embedder: Embedder, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """Vectors of all chunks: cached ones of the same model and size are used again, the rest computed."""
     own = cached.where((F.col("model") == embedder.name) & (F.size("embedding") == embedder.dim)).select(F.col(key).alias("row"), "embedding")
@@ -89,7 +101,8 @@ def embed_missing(chunks: DataFrame, cached: DataFrame, embedder: Embedder, key:
 
 
 def top_rows(vectors: DataFrame, queries: DataFrame, top_n: int = 20, dim: int | None = None) -> DataFrame:
-    """query_id, row, score, rank of the nearest rows of each query (columns row/query_id and embedding)."""
+    """query_id, row, score, rank of the nearest rows of each query (columns row/query_id and embedding); a null vector is near nothing."""
+    vectors, queries = vectors.where("embedding IS NOT NULL"), queries.where("embedding IS NOT NULL")
     sizes = queries.select(F.size("embedding").alias("d")).distinct().limit(2).collect()
     if len(sizes) > 1 or (dim is not None and sizes and sizes[0]["d"] != dim):
         raise ValueError("queries and index differ in dimension")

@@ -113,3 +113,15 @@ def known_cases(documents: DataFrame, library: DataFrame) -> DataFrame:
     words = documents.select("document_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("opening"), F.lit("[a-z]+"), F.lit(0)))).alias("token"))
     met = words.join(names, "token").groupBy("document_id", "case_id").agg(F.count("*").alias("_met"))
     return met.join(needed, "case_id").where("_met = _need").select("document_id", "case_id")
+
+
+def opening_texts(chunks: DataFrame, chars: int = 1000) -> DataFrame:
+    """document_id and the opening of its first chunk."""
+    return chunks.groupBy("document_id").agg(F.substring(F.min_by("text", "chunk_index"), 1, chars).alias("opening"))
+
+
+def identified_titles(chunks: DataFrame, library: DataFrame) -> DataFrame:
+    """document_id and title of uploaded documents that are known cases; of several the one of the smallest id."""
+    uploads = opening_texts(chunks.where("source_type = 'user_document'"))
+    found = known_cases(uploads, library).groupBy("document_id").agg(F.min("case_id").alias("case_id"))
+    return found.join(library.select(F.col("document_id").alias("case_id"), "title"), "case_id").select("document_id", "title")

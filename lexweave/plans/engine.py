@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import logging
 import re
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.operators import answers, bm25, chunking, dense, evaluation, fusion, ingest, selection, understanding
+from lexweave.functions import prose
+from lexweave.operators import answers, bm25, chunking, claims, dense, evaluation, fusion, generation, ingest, selection, understanding
 from lexweave.operators.tables import snapshot
 from lexweave.sources import sinks
-from lexweave.sources.scans import PAGE_SCHEMA, REGISTRY_SCHEMA, PdfParser, read_or_empty, scan_files, scan_pages
+from lexweave.sources.scans import PAGE_SCHEMA, REGISTRY_SCHEMA, PdfParser, accept_uploads, inspect_pdf, read_or_empty, scan_files, scan_pages, within_limits
 
 RESERVED = "core"
+log = logging.getLogger("lexweave")
 
 
 class CorpusError(Exception):
@@ -65,8 +71,65 @@ class RetrievalSettings:
             raise ValueError("one weight must be over 0")
 
 
+@dataclass(frozen=True)
+class CorpusSettings:
+    default: str = "core"
+
+
+@dataclass(frozen=True)
+class PathSettings:
+    """Folders below the engine's root."""
+
+    uploads: str = "uploads"
+    indexes: str = "index"
+
+
+@dataclass(frozen=True)
+class LoggingSettings:
+    level: str = "INFO"
+
+
+@dataclass(frozen=True)
+class UploadSettings:
+    max_bytes: int = 20 << 20
+    max_documents: int = 20
+    max_total: int = 200 << 20
+    max_pages: int = 500
+    extensions: tuple[str, ...] = (".pdf",)
+
+
+@dataclass(frozen=True)
+class EmbeddingSettings:
+    query_instruction: str = ""
+
+
+@dataclass(frozen=True)
+class RerankingSettings:
+    enabled: bool = False
+    candidates: int = 30
+
+
+@dataclass(frozen=True)
+class LLMSettings:
+    provider: str = "none"
+    model: str = ""
+    retries: int = 1
+    timeout_seconds: float = 60.0
+    temperature: float = 0.0
+    max_output_tokens: int = 1024
+
+
 @dataclass(frozen=True)
 class Settings:
+    corpus: CorpusSettings = field(default_factory=CorpusSettings)
+    paths: PathSettings = field(default_factory=PathSettings)
+    logging: LoggingSettings = field(default_factory=LoggingSettings)
+    uploads: UploadSettings = field(default_factory=UploadSettings)
+    embedding: EmbeddingSettings = field(default_factory=EmbeddingSettings)
+    reranking: RerankingSettings = field(default_factory=RerankingSettings)
+    generation: generation.ContextLimits = field(default_factory=generation.ContextLimits)
+    llm: LLMSettings = field(default_factory=LLMSettings)
+    validation: claims.SupportLimits = field(default_factory=claims.SupportLimits)
     chunking: chunking.ChunkLimits = field(default_factory=chunking.ChunkLimits)
     retrieval: RetrievalSettings = field(default_factory=RetrievalSettings)
     evidence: selection.EvidenceLimits = field(default_factory=selection.EvidenceLimits)
@@ -98,6 +161,7 @@ class Corpus:
     title: str
     status: str = "uploaded"  # uploaded, processing, ready, failed
     reason: str | None = None
+    report: dict | None = None  # of the last build: chunks, and vectors used again
 
 
 class Engine:
@@ -110,6 +174,9 @@ class Engine:
         except sinks.IndexNotFoundError:
             saved = {}
         self._corpora = {k: Corpus(**v) for k, v in saved.items()}
+        self._builds: dict[str, Future] = {}
+        self._worker: ThreadPoolExecutor | None = None
+        log.setLevel(self.settings.logging.level)
 
     def _save(self) -> None:
         sinks.write_pointer(self.spark, f"{self.root}/corpora", {k: asdict(v) for k, v in self._corpora.items()})
@@ -117,6 +184,7 @@ class Engine:
     def _set(self, corpus: Corpus, status: str, reason: str | None = None) -> None:
         corpus.status, corpus.reason = status, reason
         self._save()
+        log.info("corpus %s: %s%s", corpus.corpus_id, status, f" ({reason})" if reason else "")
 
     # corpora
 
@@ -185,21 +253,61 @@ class Engine:
         planned = snapshot(planned)
         new = planned.where("outcome IN ('added', 'new_version')")
         if not new.isEmpty():
+            if "extraction_error" not in pages.columns:
+                pages = pages.withColumn("extraction_error", F.lit(None).cast("string"))
             own = pages.join(new.select("document_id", "document_version"), "document_id").select(
-                F.lit(corpus_id).alias("corpus_id"), "document_id", "document_version", "page_number", "text", (F.trim(F.coalesce("text", F.lit(""))) == "").alias("is_empty"), "page_label", F.lit(None).cast("string").alias("extraction_error")
+                F.lit(corpus_id).alias("corpus_id"), "document_id", "document_version", "page_number", "text", (F.trim(F.coalesce("text", F.lit(""))) == "").alias("is_empty"), "page_label", "extraction_error"
             )
             sinks.publish({"registry": ingest.apply_ingest(registry, planned), "pages": old.unionByName(own)}, f"{self.root}/{corpus_id}/documents")
             self._set(corpus, "uploaded")
         return planned.select("document_id", "document_version", "outcome", "error")
 
+    def add_document(self, corpus_id: str, document: dict, pages: list[tuple[str, str | None]]) -> dict:
+        """One document (document_id, source_type, title, source_url, source_date, file_sha256) with the (text, label) of its pages; returns what became of it."""
+        columns = "document_id string, source_type string, title string, source_url string, source_date date, file_sha256 string, error string"
+        incoming = self.spark.createDataFrame([tuple(document.get(c.split()[0]) for c in columns.split(", "))], columns)
+        rows = [(document["document_id"], n, text, label) for n, (text, label) in enumerate(pages, 1)]
+        return self.add_documents(corpus_id, incoming, self.spark.createDataFrame(rows, "document_id string, page_number int, text string, page_label string")).first().asDict()
+
+    def upload(self, corpus_id: str, files: list[tuple[str, bytes]], parser: PdfParser) -> list[dict]:
+        """One request's files (name, content): checked, stored under their hash, parsed and added; a row for each says what became of it."""
+        limits, folder = self.settings.uploads, f"{self.root}/{corpus_id}/{self.settings.paths.uploads}"
+        self.get_corpus(corpus_id)
+        rows = [(n, prose.sanitize_filename(name), len(content), hashlib.sha256(content).hexdigest()) for n, (name, content) in enumerate(files)]
+        listed = self.spark.createDataFrame(rows, "place int, filename string, length long, file_sha256 string")
+        registry = ingest.current_versions(self.registry(corpus_id))
+        judged = [r.asDict() for r in accept_uploads(listed, registry, limits.max_bytes, limits.extensions).orderBy("place").collect()]
+        for r in judged:
+            if r["status"] == "accepted" and r["filename"].lower().endswith(".pdf") and (reason := inspect_pdf(files[r["place"]][1], limits.max_pages)):
+                r |= {"status": "rejected", "reason": reason}
+        held = self._stored(folder)
+        judged = within_limits(judged, registry.count(), sum(held.values()), limits.max_documents, limits.max_total)
+        taken = {r["file_sha256"]: r for r in judged if r["status"] == "accepted"}
+        for digest, r in taken.items():
+            sinks.store_upload(self.spark, folder, files[r["place"]][1], re.sub(r".*(\.[^.]+)$", r"\1", r["filename"]).lower())
+        if taken:
+            found = scan_files(self.spark, folder, "[0-9a-f]*").where(F.col("file_sha256").isin(list(taken)))
+            names = self.spark.createDataFrame([(d, r["filename"]) for d, r in taken.items()], "file_sha256 string, title string")
+            outcomes = {r["document_id"]: r for r in self._add_parsed(corpus_id, scan_pages(found, parser).join(F.broadcast(names), "file_sha256"), "user_document").collect()}
+            log.info("corpus %s: %s uploads, %s outcomes", corpus_id, len(taken), len(outcomes))
+        return [{k: r[k] for k in ("filename", "file_sha256", "status", "reason")} for r in judged]
+
+    def _stored(self, folder: str) -> dict[str, int]:
+        fs, p, _ = sinks._fs(self.spark, folder)
+        return {x.getPath().getName(): x.getLen() for x in fs.listStatus(p)} if fs.exists(p) else {}
+
     def add_directory(self, corpus_id: str, path: str, parser: PdfParser, source_type: str = "user_document", glob: str = "*.pdf") -> DataFrame:
         pages = scan_pages(scan_files(self.spark, path, glob), parser)
-        name = F.regexp_extract("path", r"([^/]*)$", 1)
-        named = pages.withColumns({"title": name, "source_url": F.concat(F.lit("upload://"), F.col("file_sha256"))})
-        named = named.withColumn("document_id", ingest.document_id(F.lit(corpus_id), F.lit(source_type), F.concat(F.lit("upload://"), name)))
-        incoming = named.groupBy("document_id").agg(F.first("title").alias("title"), F.first("source_url").alias("source_url"), F.first("file_sha256").alias("file_sha256"), F.max("extraction_error").alias("error"))
+        return self._add_parsed(corpus_id, pages.withColumn("title", F.regexp_extract("path", r"([^/]*)$", 1)), source_type)
+
+    def _add_parsed(self, corpus_id: str, pages: DataFrame, source_type: str) -> DataFrame:
+        """Parsed pages with their file's ``title``; a file is a document, and one without a readable page has failed."""
+        named = pages.withColumn("source_url", F.concat(F.lit("upload://"), F.col("file_sha256")))
+        named = snapshot(named.withColumn("document_id", ingest.document_id(F.lit(corpus_id), F.lit(source_type), F.concat(F.lit("upload://"), F.col("title")))))
+        failed = F.when(F.count_if(F.col("extraction_error").isNull()) == 0, F.max("extraction_error"))
+        incoming = named.groupBy("document_id").agg(F.first("title").alias("title"), F.first("source_url").alias("source_url"), F.first("file_sha256").alias("file_sha256"), failed.alias("error"))
         incoming = incoming.withColumns({"source_type": F.lit(source_type), "source_date": F.lit(None).cast("date")})
-        return self.add_documents(corpus_id, incoming, named.where("extraction_error IS NULL").select("document_id", "page_number", "text", "page_label"))
+        return self.add_documents(corpus_id, incoming, named.where("page_number IS NOT NULL").select("document_id", "page_number", "text", "page_label", "extraction_error"))
 
     def build_corpus(self, corpus_id: str) -> Corpus:
         """Chunk and index; a failure leaves the former index and says why."""
@@ -213,25 +321,67 @@ class Engine:
                 raise chunking.ChunkingError("the corpus has no documents")
             if not chunking.missing_documents(registry, pages).isEmpty():
                 raise chunking.ChunkingError("a registered document has no pages")
-            root = f"{self.root}/{corpus_id}/index"
-            chunks = chunking.with_rows(chunking.chunk_documents(pages, registry, self.settings.chunking))
-            sinks.publish({"chunks": chunks}, f"{self.root}/{corpus_id}/chunks")
-            chunks = sinks.load_published(self.spark, f"{self.root}/{corpus_id}/chunks", "chunks")
+            if not (broken := ingest.page_problems(pages, registry.where("replaced_by IS NULL").join(pages.groupBy(*ingest.KEY).agg(F.max("page_number").alias("page_count")), ingest.KEY))).isEmpty():
+                raise chunking.ChunkingError(f"{broken.first()['document_id']}: {broken.first()['problem']}")
+            root = f"{self.root}/{corpus_id}/{self.settings.paths.indexes}"
+            chunks = snapshot(chunking.with_rows(chunking.chunk_documents(pages, registry, self.settings.chunking)), "chunks")
             if chunks.isEmpty():
                 raise chunking.ChunkingError("the documents have no text")
+            if not (broken := chunking.invalid_chunks(chunks)).isEmpty():
+                raise chunking.ChunkingError(f"{broken.first()['chunk_id']}: {broken.first()['problem']}")
             if not ingest.foreign_rows(chunks, corpus_id).isEmpty():
                 raise CorpusError("chunks of another corpus")
             postings, stats = bm25.build(chunks)
-            vectors = dense.embed(chunks, self.embedder) if self.embedder else None
-            sinks.save_indexes(chunks, postings, stats, vectors, root, chunking.index_fingerprint(chunks), self.embedder.name if self.embedder else None)
+            report = {"chunks": chunks.count(), "vectors_used_again": 0}
+            vectors = None
+            if self.embedder:
+                cached = self._cached_vectors(root)
+                report["vectors_used_again"] = chunks.join(cached, "chunk_id", "left_semi").count()
+                vectors = dense.embed_missing(chunks, cached, self.embedder).join(chunks.select("chunk_id", "row"), "chunk_id").select("row", "embedding")
+            documents = sinks.read_pointer(self.spark, f"{self.root}/{corpus_id}/documents")["version"]
+            # chunks and index appear together: after a failed build both are the former ones
+            sinks.save_indexes(chunks, postings, stats, vectors, root, chunking.index_fingerprint(chunks), self.embedder.name if self.embedder else None, {"documents": documents})
+            corpus.report = report
             self._set(corpus, "ready")
         except Exception as e:
             self._set(corpus, "failed", str(e).splitlines()[0][:300])
             raise
         return corpus
 
+    def _cached_vectors(self, root: str) -> DataFrame:
+        """Vectors of the former index by chunk, if the same model made them."""
+        try:
+            index = sinks.load_indexes(self.spark, root, model=self.embedder.name)
+        except (sinks.IndexNotFoundError, sinks.InconsistentIndexError):
+            return self.spark.createDataFrame([], "chunk_id string, embedding array<float>, model string")
+        return index["vectors"].join(index["chunks"].select("row", "chunk_id"), "row").select("chunk_id", "embedding", F.lit(self.embedder.name).alias("model"))
+
+    def build_later(self, corpus_id: str) -> Future:
+        """A build in the background, one after another."""
+        self.get_corpus(corpus_id)
+        self._worker = self._worker or ThreadPoolExecutor(1, "build")
+        self._builds[corpus_id] = self._worker.submit(self.build_corpus, corpus_id)
+        return self._builds[corpus_id]
+
+    def wait(self, corpus_id: str, timeout: float | None = None) -> Corpus:
+        """The corpus after its build, which may have failed."""
+        if corpus_id in self._builds:
+            self._builds[corpus_id].exception(timeout)
+        return self.get_corpus(corpus_id)
+
+    def shutdown(self) -> None:
+        """No further builds; the one that runs ends first."""
+        if self._worker:
+            self._worker.shutdown(wait=True, cancel_futures=True)
+            self._worker = None
+
+    def load(self, corpus_id: str, model: str | None = None) -> dict[str, DataFrame]:
+        """The tables of a corpus's index; one that was built from other documents than the corpus has now is refused."""
+        documents = sinks.read_pointer(self.spark, f"{self.root}/{corpus_id}/documents")["version"]
+        return sinks.load_indexes(self.spark, f"{self.root}/{corpus_id}/{self.settings.paths.indexes}", model=model, documents=documents)
+
     def counts(self, corpus_id: str) -> DataFrame:
-        return ingest.corpus_counts(self.registry(corpus_id), sinks.load_published(self.spark, f"{self.root}/{corpus_id}/chunks", "chunks"))
+        return ingest.corpus_counts(self.registry(corpus_id), self.load(corpus_id)["chunks"])
 
     # questions
 
@@ -245,14 +395,14 @@ class Engine:
             raise CorpusNotReadyError(corpus_id)
         if not queries.where(F.trim(F.coalesce("query", F.lit(""))) == "").isEmpty():
             raise QueryError("a question is empty")
-        index = sinks.load_indexes(self.spark, f"{self.root}/{corpus_id}/index", model=self.embedder.name if self.embedder and mode != "bm25" else None)
+        if mode != "bm25" and self.embedder is None:
+            raise QueryError("there is no embedder")
+        index = self.load(corpus_id, self.embedder.name if mode != "bm25" else None)
         none = F.lit(None)
         if mode != "dense":
             words = bm25.ranked(bm25.score(index["postings"], index["stats"], bm25.query_terms(queries), s.k1, s.b), pool or s.top_bm25)
         if mode != "bm25":
-            if self.embedder is None:
-                raise QueryError("there is no embedder")
-            embedded = dense.embed(queries.withColumn("row", F.col("query_id")), self.embedder, "row", "query").withColumnRenamed("row", "query_id")
+            embedded = dense.embed_queries(queries, self.embedder, self.settings.embedding.query_instruction)
             near = dense.top_rows(index["vectors"], embedded, pool or s.top_dense, self.embedder.dim)
         if mode == "bm25":
             hits = words.withColumns({"bm25_rank": F.col("rank"), "bm25_score": F.col("score"), "dense_rank": none.cast("int"), "dense_score": none.cast("double")})
@@ -268,30 +418,59 @@ class Engine:
         if not 1 <= limits.top_k <= 20:
             raise QueryError("top_k must be from 1 to 20")
         registry = self.registry(corpus_id)
+        chunks = self.load(corpus_id)["chunks"]
         titles = registry.where("source_type = 'judgment' AND replaced_by IS NULL").select("document_id", "title")
-        analysis = understanding.analyze(queries, titles, library)
+        if library is not None:  # uploads that are known cases are named by their cases' titles, and no longer unknown
+            known = snapshot(understanding.identified_titles(chunks, library), "identified")
+            titles = titles.unionByName(known)
+            library = library.join(known.select("title"), "title", "left_anti")
+        # both are read many times by what follows
+        analysis = snapshot(understanding.analyze(queries, titles, library), "analysis")
         searched = analysis.select("query_id", F.coalesce("search_query", "query").alias("query"))
         hits = self.retrieve(corpus_id, searched, mode, self.settings.candidate_pool)
-        chunks = sinks.load_indexes(self.spark, f"{self.root}/{corpus_id}/index")["chunks"]
-        found = fusion.materialize_hits(hits, chunks.select("row", "chunk_id")).drop("row")
-        evidence = selection.select_evidence(analysis, found, chunks, registry, limits)
+        found = snapshot(fusion.materialize_hits(hits, chunks.select("row", "chunk_id")).drop("row"), "hits")
+        evidence = snapshot(selection.select_evidence(analysis, found, chunks, registry, limits), "evidence")
         questions = answers.questions_with_evidence(analysis, evidence, selection.notices(analysis, chunks), selection.assess_confidence(analysis, evidence, limits))
-        quotes = self.settings.quotes
-        return answers.answer_all(questions, generator or (lambda q, items: answers.extractive_answer(q, items, quotes)), quotes.show_author)
+        quotes, support, embedder = self.settings.quotes, self.settings.validation, self.embedder
+        review = lambda made, items: claims.validate_claims(made, items, support, embedder)
+        return answers.answer_all(questions, generator or (lambda q, items: answers.extractive_answer(q, items, quotes)), quotes.show_author, review)
+
+    def llm_generator(self, client: generation.LLMClient) -> generation.LLMAnswers:
+        """A generator for ``query_many`` as the settings say."""
+        s = self.settings.llm
+        return generation.LLMAnswers(client, self.settings.generation, s.model, s.retries, {"temperature": s.temperature, "max_output_tokens": s.max_output_tokens, "timeout_seconds": s.timeout_seconds})
+
+    @staticmethod
+    def describe(answer: dict) -> str:
+        """One line about an answer."""
+        checks = claims.status_counts([json.loads(x) for x in answer["claim_checks"]])
+        said = f", claims checked: {', '.join(f'{n} {k}' for k, n in checks.items() if n)}" if any(checks.values()) else ""
+        return f"{answer['query_type']} | {answer['status']} | {len(answer['claims'])} statement(s), {len(answer['citations'])} citation(s) | {answer['generator']}{said}"
 
     def query(self, corpus_id: str, question: str, **settings) -> dict:
         rows = self.query_many(corpus_id, self.spark.createDataFrame([("q", question)], "query_id string, query string"), **settings).collect()
         return rows[0].asDict(True)
 
-    def evaluate(self, corpus_id: str, questions: DataFrame, modes: tuple[str, ...] = ("bm25", "dense", "hybrid"), ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
-        """hit@k and MRR of each mode over evaluation questions (id, kind, question, relevant_documents, relevant_articles)."""
+    def evaluate(self, corpus_id: str, questions: DataFrame, modes: tuple[str, ...] = ("bm25", "dense", "hybrid"), ks: tuple[int, ...] = (1, 5, 10), scorer=None) -> DataFrame:
+        """hit@k and MRR of each mode over evaluation questions (id, kind, question, relevant_documents, relevant_articles); with a pair scorer also of each mode reranked."""
         own = questions.select(F.col("id").alias("query_id"), F.col("question").alias("query"), "kind", "relevant_documents", "relevant_articles")
-        chunks = sinks.load_indexes(self.spark, f"{self.root}/{corpus_id}/index")["chunks"].select("row", "document_id", "source_type", "article_number")
-        out = None
+        chunks = self.load(corpus_id)["chunks"].select("row", "document_id", "source_type", "article_number", "text")
+        relevant = evaluation.is_relevant(*map(F.col, ("kind", "relevant_documents", "relevant_articles", "document_id", "source_type", "article_number")))
+        parts = []
         for mode in modes:
-            hits = fusion.materialize_hits(self.retrieve(corpus_id, own.select("query_id", "query"), mode), chunks).join(own, "query_id")
-            relevant = evaluation.is_relevant(*map(F.col, ("kind", "relevant_documents", "relevant_articles", "document_id", "source_type", "article_number")))
-            ranks = evaluation.first_relevant(own.select("query_id", "kind"), hits.select("query_id", "rank", relevant.alias("relevant")))
-            part = evaluation.summary(ranks, ks).withColumn("mode", F.lit(mode))
-            out = part if out is None else out.unionByName(part)
-        return out
+            pool = self.settings.reranking.candidates if scorer else None
+            found = snapshot(self.retrieve(corpus_id, own.select("query_id", "query"), mode, pool).select("query_id", "row", "rank"), "found")
+            lists = {mode: found}
+            if scorer:
+                pairs = fusion.materialize_hits(found, chunks.select("row", "text")).join(own.select("query_id", "query"), "query_id")
+                lists[f"{mode}+{scorer.name}"] = fusion.rank_scores(dense.rerank(pairs, scorer)).select("query_id", "row", "rank")
+            for name, hits in lists.items():
+                judged = fusion.materialize_hits(hits, chunks.drop("text")).join(own, "query_id").select("query_id", "rank", relevant.alias("relevant"))
+                parts.append(evaluation.summary(evaluation.first_relevant(own.select("query_id", "kind"), judged), ks).withColumn("mode", F.lit(name)))
+        return reduce(DataFrame.unionByName, parts)
+
+    def evaluate_answers(self, corpus_id: str, questions: DataFrame, **settings) -> DataFrame:
+        """Shares of answerable questions answered and of the others refused, with the exceptions."""
+        asked = questions.select(F.col("id").alias("query_id"), F.col("question").alias("query"))
+        made = self.query_many(corpus_id, asked, **settings).select("query_id", "status")
+        return evaluation.answer_rates(made.join(questions.select(F.col("id").alias("query_id"), "kind"), "query_id"))

@@ -103,9 +103,9 @@ def expand_ligatures(text: str) -> str:
 
 
 def scan_pages(files: DataFrame, parser: PdfParser) -> DataFrame:
-    """A row for each page.  A file that cannot be parsed gives one row with its error and never fails the task.
+    """A row for each page.  A page that cannot be read has its error beside the other pages; a file that cannot be parsed gives one row with its error and never fails the task.
 
-    ``parser`` maps bytes to (text, label) of each page; no PDF library is assumed.
+    ``parser`` maps bytes to (text, label) of each page, or to an exception in the place of a page; no PDF library is assumed.
     """
     schema = "path string, file_sha256 string, page_number int, text string, is_empty boolean, page_label string, extraction_error string"
 
@@ -117,7 +117,9 @@ def scan_pages(files: DataFrame, parser: PdfParser) -> DataFrame:
                     pages = parser(bytes(content))
                     if not pages:
                         raise ValueError("the file has no pages")
-                    rows += [(path, digest, n, own := expand_ligatures(t or ""), not own.strip(), label, None) for n, (t, label) in enumerate(pages, 1)]
+                    for n, page in enumerate(pages, 1):
+                        text, label, error = ("", None, f"{type(page).__name__}: {page}") if isinstance(page, Exception) else (expand_ligatures(page[0] or ""), page[1], None)
+                        rows.append((path, digest, n, text, not text.strip(), label, error))
                 except Exception as e:  # noqa: BLE001 - whatever a parser raises is a property of the file
                     rows.append((path, digest, None, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
@@ -155,6 +157,18 @@ def load_cached_vectors(spark: SparkSession, path: str, model: str, dim: int) ->
     return df.where((F.col("model") == model) & (F.size("embedding") == dim))
 
 
+def inspect_pdf(content: bytes, max_pages: int = 500) -> str | None:
+    """Why a file is no acceptable PDF, as far as its plain bytes say; None if nothing is wrong."""
+    if not content[:1024].lstrip().startswith(b"%PDF-"):
+        return "The file is not a PDF."
+    if re.search(rb"/Encrypt\b", content):
+        return "The file is encrypted."
+    pages = len(re.findall(rb"/Type\s*/Page\b(?!s)", content))
+    if pages > max_pages:
+        return f"The file has {pages} pages; at most {max_pages} are accepted."
+    return None
+
+
 def accept_uploads(files: DataFrame, existing_hashes: DataFrame, max_bytes: int = 20 << 20, extensions: tuple[str, ...] = (".pdf",)) -> DataFrame:
     """accepted, unchanged or rejected for each file (filename, length, file_sha256), the first failing rule as the reason."""
     known = existing_hashes.select("file_sha256", F.lit(True).alias("_known")).distinct()

@@ -38,12 +38,20 @@ def test_from_documents_to_answers(spark, tmp_path):
     with pytest.raises(E.QueryError):
         own.retrieve("demo", spark.createDataFrame([(1, " ")], "query_id long, query string"))
     assert own.add_documents("demo", *documents(spark, "\n".join(["New words", *ACT]))).where("outcome = 'new_version' AND document_version = 2").count() == 1
-    own.build_corpus("demo")
+    with pytest.raises(sinks.StaleIndexError):
+        own.load("demo")
+    before = own.build_corpus("demo").report
+    assert before["vectors_used_again"] > 0
+    report = own.build_corpus("demo").report
+    assert report["vectors_used_again"] == report["chunks"] > before["vectors_used_again"]
     assert own.counts("demo").first().documents == 2
     assert E.Engine(spark, str(tmp_path)).get_corpus("demo").status == "ready"
     asked = spark.createDataFrame([("a", "provision", "equality before law", None, ["14"]), ("b", "case", "passport impounded", ["man"], None), ("c", "out_of_scope", "rivers", None, None)], "id string, kind string, question string, relevant_documents array<string>, relevant_articles array<string>")
     rates = {(r.mode, r.group): r for r in own.evaluate("demo", asked).collect()}
     assert rates["bm25", "all"].n == 2 and rates["bm25", "all"].hit_at_1 == 1.0 and len(rates) == 9
+    reranked = {r.mode for r in own.evaluate("demo", asked, ("bm25",), scorer=dense.OverlapScorer()).collect()}
+    assert reranked == {"bm25", "bm25+overlap"}
+    assert own.evaluate_answers("demo", asked).first().refused_share == 1.0
     assert [c.corpus_id for c in own.list_corpora()] == ["demo"]
     own.delete_corpus("demo")
     with pytest.raises(E.CorpusNotFoundError):
@@ -67,6 +75,61 @@ def test_directory_and_command_line(spark, tmp_path, capsys):
     main([root, "delete", "ships"])
 
 
+def test_generated_claims_are_checked(spark, tmp_path):
+    from lexweave.operators import generation
+
+    own = E.Engine(spark, str(tmp_path))
+    own.create_corpus("demo", "Demo")
+    own.add_documents("demo", *documents(spark))
+    own.build_later("demo").result(120)
+    assert own.wait("demo").status == "ready"
+    own.shutdown()
+    text = "No person shall be deprived of his life [E1]."
+    reply = json.dumps({"status": "answered", "direct_answer": [{"text": text, "citations": ["E1"]}], "explanation": [{"text": "Railways are taxed under many colonial statutes [E1].", "citations": ["E1"]}]})
+    got = own.query("demo", "What does Article 21 provide on life?", mode="bm25", generator=own.llm_generator(generation.ScriptedClient([reply])))
+    checks = [json.loads(x) for x in got["claim_checks"]]
+    assert [c["status"] for c in checks] == ["supported", "insufficient"] and got["status"] == "partial" and len(got["claims"]) == 1
+    assert "1 supported, 1 insufficient" in own.describe(got)
+
+
+def test_uploads(spark, tmp_path):
+    own = E.Engine(spark, str(tmp_path), E.Settings.load({"uploads": {"extensions": [".pdf", ".txt"], "max_bytes": 1000}}))
+    own.create_corpus("mine", "Mine")
+    case = b"Maneka Gandhi versus Union of India.\fThe passport was impounded without a hearing."
+    files = [("../a:case.txt", case), ("b.pdf", b"not a pdf"), ("c.pdf", b"%PDF-1.4 /Encrypt 3 0 R"), ("d.doc", b"x"), ("e.txt", b""), ("f.txt", b"y" * 1001)]
+    got = own.upload("mine", files, scans.text_pages)
+    assert [r["status"] for r in got] == ["accepted"] + ["rejected"] * 5 and "encrypted" in got[2]["reason"] and "not a PDF" in got[1]["reason"]
+    assert list(own._stored(f"{tmp_path}/mine/uploads")) == [f"{got[0]['file_sha256']}.txt"]
+    assert own.upload("mine", files[:1], scans.text_pages)[0]["status"] == "unchanged"
+    own.build_corpus("mine")
+    library = spark.createDataFrame([("lib1", "Maneka Gandhi v. Union of India"), ("lib2", "Kesavananda Bharati v. State of Kerala")], "document_id string, title string")
+    got = own.query("mine", "Was the passport impounded in Maneka Gandhi?", mode="bm25", library=library)
+    assert got["query_type"] == "case" and got["status"] == "answered" and "passport" in got["claims"][0]["quote"]
+    got = own.query("mine", "What did Kesavananda decide?", mode="bm25", library=library)
+    assert got["status"] == "insufficient_evidence" and any("Kesavananda" in n for n in got["notices"])
+
+
+def test_pages_that_cannot_be_read_leave_the_others(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_bytes(b"first page text\f!\fthird page text")
+    parser = lambda content: [ValueError("no page") if p == "!" else (p, None) for p in content.decode().split("\f")]
+    own = E.Engine(spark, str(tmp_path / "root"))
+    own.create_corpus("c", "C")
+    assert own.add_directory("c", str(tmp_path / "in"), parser, glob="*.txt").first().outcome == "added"
+    rows = own.pages("c").orderBy("page_number").collect()
+    assert [(r.page_number, r.is_empty, r.extraction_error) for r in rows] == [(1, False, None), (2, True, "ValueError: no page"), (3, False, None)]
+    assert own.build_corpus("c").status == "ready"
+
+
+def test_pointers_are_never_missing_and_old_versions_go(spark, tmp_path):
+    root = str(tmp_path / "t")
+    for n in range(1, 6):
+        sinks.publish({"a": spark.range(n)}, root)
+        assert sinks.load_published(spark, root, "a").count() == n
+    names = sorted(p.name for p in (tmp_path / "t").iterdir() if not p.name.startswith("."))
+    assert [n for n in names if n.startswith("CURRENT")] == ["CURRENT-000000000004", "CURRENT-000000000005"] and len(names) == 4
+
+
 def test_failed_build_says_why(spark, tmp_path):
     own = E.Engine(spark, str(tmp_path))
     own.create_corpus("empty", "x")
