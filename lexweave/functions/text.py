@@ -62,16 +62,23 @@ def _expand(token: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Index and query terms of the NFKC form in text order; null gives an empty array.
 
-    Texts without a reference, nearly all, take one pattern and one filter; the others are expanded token by token.
+    Repairs and references need a digit, so texts without one take one pattern and one filter; texts that hold a
+    reference are expanded token by token.
     """
 
-    def found(lowered):
-        words = F.regexp_extract_all(lowered, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    def plain(lowered):
+        return F.filter(F.regexp_extract_all(lowered, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda t: ~t.isin(fixed.STOPWORDS))
+
+    def numbered(lowered):
         mixed = F.regexp_extract_all(lowered, F.lit(rf"{fixed.REFERENCE}|[\p{{L}}\p{{N}}]+"), F.lit(0))
         expanded = F.flatten(F.transform(mixed, lambda t: _expand(F.regexp_replace(t, r"\s", ""))))
-        return F.when(lowered.rlike(fixed.REFERENCE), expanded).otherwise(F.filter(words, lambda t: ~t.isin(fixed.STOPWORDS)))
+        return F.when(lowered.rlike(fixed.REFERENCE), expanded).otherwise(plain(lowered))
+
+    def found(lowered):
+        repaired = let(F.regexp_replace(_repair_numbers(lowered), fixed.FIRST_CLAUSE, "$1(1)"), numbered)
+        return F.when(lowered.rlike("[0-9]"), repaired).otherwise(plain(lowered))
 
-    return let(F.regexp_replace(_repair_numbers(F.lower(nfkc(F.coalesce(text, F.lit(""))))), fixed.FIRST_CLAUSE, "$1(1)"), found)
+    return let(F.lower(nfkc(F.coalesce(text, F.lit("")))), found)
 
 
 def _without_suffix(word: Column, least: int, to_y: list[str], rest: list[str]) -> Column:

@@ -63,5 +63,15 @@ def ranked(scores: DataFrame, top_n: int, by: str = "score", decimals: int = 9)
 
 
 def search(chunks: DataFrame, queries: DataFrame, top_n: int = 20, k1: float = 1.5, b: float = 0.75, row: str = "row", text: str = "text") -> DataFrame:
-    postings, stats = build(chunks, row, text)
-    return ranked(score(postings, stats, query_terms(queries), k1, b), top_n)
+    """A search without a saved index: only the questions' terms leave the texts, so only they are counted and joined."""
+    terms = query_terms(queries)
+    wanted = terms.select("term").distinct().unionByName(queries.sparkSession.createDataFrame([("",)], "term string"))
+    if wanted.count() <= BROADCAST_TERMS:
+        wanted = F.broadcast(wanted)
+    # no term is empty: an empty one stands for the chunk itself, so that the texts are read once
+    own = chunks.select(F.col(row).alias("row"), X.tokens(F.col(text)).alias("_t")).withColumn("len", F.size("_t"))
+    found = own.select("row", "len", F.explode(F.array_append("_t", F.lit(""))).alias("term")).join(wanted, "term", "left_semi")
+    tf = found.groupBy("row", "len", "term").agg(F.count("*").cast("int").alias("tf"))
+    stats = tf.where("term = ''").agg(F.sum("tf").alias("n"), F.try_divide(F.sum((F.col("len") * F.col("tf")).cast("long")), F.sum("tf")).alias("avgdl"))
+    postings = tf.where("term <> ''")
+    return ranked(score(postings.join(document_frequency(postings), "term"), stats, terms, k1, b), top_n)

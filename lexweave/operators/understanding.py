@@ -1,7 +1,8 @@
 """Question analysis for any number of questions at once.
 
 Cases are recognised by name tokens that occur in exactly one title: an aggregate over titles, then an equi-join with
-the questions' words.  Words that match nothing are compared with the tokens of the same first letter for one typo.
+the questions' words.  Words that match nothing meet the tokens with which they share a form with one letter
+left out, and are compared for one typo.
 """
 
 from __future__ import annotations
@@ -30,14 +31,21 @@ def distinctive_tokens(titles: DataFrame) -> DataFrame:
     return title_tokens(titles).groupBy("token").agg(F.count_distinct("document_id").alias("_n"), F.min("document_id").alias("document_id")).where("_n = 1").drop("_n")
 
 
+def _deletions(word: Column) -> Column:
+    """The word, and each form of it without one letter, the first always kept."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.when(i == 1, word).otherwise(F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))))
+
+
 def match_cases(queries: DataFrame, titles: DataFrame) -> DataFrame:
     """query_id, document_id, word, token, and whether the word had to be corrected."""
     names = distinctive_tokens(titles)
     words = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit("[a-z]+"), F.lit(0)))).alias("word"))
     exact = words.join(names, F.col("word") == F.col("token")).select("query_id", "document_id", "word", "token", F.lit(False).alias("corrected"))
     open_ = words.where(F.length("word") >= 6).join(names.select("token"), F.col("word") == F.col("token"), "left_anti")
-    keyed = names.where(F.length("token") >= 6).withColumn("_a", F.substring("token", 1, 1)).withColumn("_len", F.explode(F.array(F.length("token") - 1, F.length("token"), F.length("token") + 1)))
-    near = open_.withColumns({"_a": F.substring("word", 1, 1), "_len": F.length("word")}).join(keyed, ["_a", "_len"]).where(X.is_one_typo(F.col("word"), F.col("token")))
+    # words at one edit, or with two neighbours swapped, share a form with at most one letter left out behind the first
+    spelt = names.where(F.length("token") >= 6).select("document_id", "token", F.explode(_deletions(F.col("token"))).alias("_form"))
+    asked = open_.select("query_id", "word", F.explode(_deletions(F.col("word"))).alias("_form"))
+    near = asked.join(spelt, "_form").where(X.is_one_typo(F.col("word"), F.col("token")))
     first = near.groupBy("query_id", "document_id", "word").agg(F.min("token").alias("token"))
     return exact.unionByName(first.select("query_id", "document_id", "word", "token", F.lit(True).alias("corrected")))
 
