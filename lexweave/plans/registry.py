@@ -6,6 +6,7 @@ passage word for word are relevant; embeddings whose id is divisible by 100 are
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from lexweave.functions import fixed, prose
 from lexweave.functions import text as X
 from lexweave.operators import answers, bm25, chunking, claims, dense, evaluation, fusion, ingest, lines, selection, understanding
+from lexweave.operators.tables import run_dir, snapshot
+from lexweave.sources import scans, sinks
 from lexweave.streaming import ingest as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,7 +88,10 @@ def rrf_fusion(s, d):
 
 
 def hybrid_topk(s, d):
-    hits = fusion.hybrid(_bm25(s, d, 20), _bm25(s, d, 20, 1.2, 0.0), TOP)
+    """BM25 over documents with inner products of the vectors of the same numbers; a question's vector is that of its number."""
+    vectors = _vectors(s, d)[0]
+    asked = vectors.join(_questions(s, d).select(F.col("query_id").alias("row")), "row", "left_semi").withColumnRenamed("row", "query_id")
+    hits = fusion.hybrid(_bm25(s, d, 20), dense.top_rows(vectors, asked, 20), TOP)
     return hits.select("query_id", "row", "rank", "bm25_rank", "dense_rank")
 
 
@@ -133,8 +139,156 @@ def chunk_documents(s, d):
     return chunking.chunk_documents(pages, registry, chunking.ChunkLimits(200, 250, 40))
 
 
+def _turns(s, d):
+    """Turns of conversations as chunks: the role is the method, the turn the page."""
+    own = _t(s, d, "conversations")
+    return own.select(F.col("conv_id").alias("document_id"), F.lit(1).alias("document_version"), F.col("role").alias("chunking_method"), F.col("turn").alias("chunk_index"), X.count_tokens(F.col("text")).alias("token_count"), F.col("turn").alias("page_start"), F.col("turn").alias("page_end"), "text", F.concat_ws(":", "conv_id", "turn").alias("chunk_id"))
+
+
 def chunk_report(s, d):
-    return chunking.chunk_report(chunk_documents(s, d))
+    return chunking.chunk_report(_turns(s, d))
+
+
+def opening_texts(s, d):
+    return understanding.opening_texts(_turns(s, d), 200)
+
+
+def invalid_chunks(s, d):
+    """Every third turn begins a page after its end, system turns claim an article."""
+    own = _turns(s, d).withColumns({"page_start": F.col("page_start") + (F.pmod("chunk_index", F.lit(3)) == 2).cast("int"), "article_number": F.when(F.col("chunking_method") == "system", "1"), "source_type": F.lit("judgment")})
+    return chunking.invalid_chunks(own)
+
+
+def stale_rows(s, d):
+    """The stored order of documents against one in which every tenth is another and the first hundred are missing."""
+    own = _t(s, d, "documents").select(F.col("doc_id").alias("row"), F.concat(F.lit("c"), "doc_id").alias("chunk_id"))
+    now = own.select("row", F.when(F.col("row") % 10 == 3, F.concat("chunk_id", F.lit("x"))).otherwise(F.col("chunk_id")).alias("chunk_id")).where("row >= 100")
+    return chunking.stale_rows(own, now)
+
+
+def page_problems(s, d):
+    """Lines of orders as pages; an order says that it has as many as its key's last digit."""
+    pages = _t(s, d, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.lit(1).alias("document_version"), F.col("l_linenumber").alias("page_number"), F.lit("c").alias("corpus_id"), F.lit("text").alias("text"), (F.col("l_linenumber") == 9).alias("is_empty"))
+    orders = _t(s, d, "orders").select(F.col("o_orderkey").alias("document_id"), F.lit(1).alias("document_version"), (F.col("o_orderkey") % 10).alias("page_count"), F.lit("c").alias("corpus_id"))
+    return ingest.page_problems(pages, orders).select("document_id", "problem")
+
+
+def duplicate_sources(s, d):
+    """Pages as a manifest by their URLs without what stands behind the path."""
+    own = _t(s, d, "pages").select(F.lit("judgment").alias("source_type"), F.regexp_replace("url", "/[^/]*$", "/").alias("source_url"))
+    return ingest.duplicate_sources(own)
+
+
+def undated_sources(s, d):
+    kinds = F.when(F.col("lang") == "en", "judgment").when(F.col("lang") == "de", "constitutional_text").otherwise("user_document")
+    own = _t(s, d, "documents").select("doc_id", kinds.alias("source_type"), F.when(F.col("doc_id") % 3 > 0, F.lit("2020-01-01")).cast("date").alias("source_date"))
+    return ingest.undated(own).select("doc_id", "source_type")
+
+
+def version_titles(s, d):
+    """The registry after new titles have come for every fifth document."""
+    own = _registry(s, d).withColumn("ingestion_date", F.lit(None).cast("timestamp")).withColumn("source_url", F.lit("u"))
+    latest = ingest.latest_versions(own)
+    fresh = latest.where("cast(substring(document_id, 5) AS BIGINT) % 5 = 0").select("document_id", F.concat("title", F.lit("*")).alias("title"), "file_sha256", "source_date", F.lit(None).cast("string").alias("error"))
+    return ingest.apply_ingest(own, ingest.plan_ingest(own, fresh)).select("document_id", "document_version", "title", "replaced_by")
+
+
+def saved_registry(s, d):
+    """The registry written as JSON and loaded again."""
+    folder = f"{run_dir(s)}/registry-{uuid.uuid4().hex}"
+    sinks.write_registry(_registry(s, d), folder)
+    return scans.load_registry(s, folder).select("document_id", "document_version", "title", "file_sha256", "replaced_by")
+
+
+def saved_index_topk(s, d):
+    """A search of a published index, loaded with its fingerprint."""
+    root, chunks = f"{run_dir(s)}/index-{uuid.uuid4().hex}", _chunks(s, d)
+    postings, stats = bm25.build(chunks)
+    sinks.save_indexes(chunks, postings, stats, None, root, "f")
+    return _searched(s, d, root)
+
+
+def _searched(s, d, root):
+    index = sinks.load_indexes(s, root, "f")
+    hits = bm25.ranked(bm25.score(index["postings"], index["stats"], bm25.query_terms(_questions(s, d))), TOP)
+    return hits.select("query_id", "row", F.round("score", 6).alias("score"), "rank")
+
+
+def accepted_uploads(s, d):
+    """Pages as uploads: the id's last digit gives the ending, pages of ids under 20 are there already."""
+    own = _t(s, d, "pages").select("page_id", F.concat(F.lit("f"), F.when(F.col("page_id") % 10 == 7, ".exe").when(F.col("page_id") % 10 == 8, ".PDF").otherwise(".pdf")).alias("filename"), F.octet_length(F.coalesce("html", F.lit(""))).alias("length"), F.sha2(F.coalesce("html", F.lit("")), 256).alias("file_sha256"))
+    return scans.accept_uploads(own, own.where("page_id < 20"), 5000).select("page_id", "status", "reason")
+
+
+def reranked_topk(s, d):
+    """The best ten of BM25 by the share of the question's words that they hold."""
+    pairs = fusion.materialize_hits(_bm25(s, d), _chunks(s, d)).join(_questions(s, d), "query_id")
+    return fusion.rank_scores(dense.rerank(pairs, dense.OverlapScorer())).select("query_id", "row", F.round("score", 9).alias("score"), "rank")
+
+
+def best_similarity(s, d):
+    """Each queried vector against the vectors of its own label."""
+    own = _t(s, d, "embeddings")
+    asked = own.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    passages = asked.select("query_id", "label").join(own.select("vec_id", "label", "embedding"), "label").where("vec_id <> query_id").select("query_id", "embedding")
+    return dense.best_similarity(asked.select("query_id", "embedding"), passages).select("query_id", F.round("score", 6).alias("score"))
+
+
+def reused_vectors(s, d):
+    """Which chunks keep their vector: those cached by the same model at the same size."""
+    own = _t(s, d, "embeddings")
+    chunks = own.select(F.col("vec_id").cast("string").alias("chunk_id"), F.lit("word").alias("text"))
+    marked = F.transform("embedding", lambda x: F.lit(2.0).cast("float"))
+    cached = own.where("label < 5").select(F.col("vec_id").cast("string").alias("chunk_id"), marked.alias("embedding"), F.when(F.col("vec_id") % 2 == 0, "hashing-64").otherwise("other").alias("model"))
+    return dense.embed_missing(chunks, cached, dense.HashingEmbedder()).select("chunk_id", (F.element_at("embedding", 1) == 2.0).alias("reused"), F.size("embedding").alias("dim"))
+
+
+def _letters(column, letters):
+    return F.translate(column.cast("string"), "0123456789", letters)
+
+
+def known_cases(s, d):
+    """Parts as a library of cases, first turns of conversations with the name of the part of their number as uploads."""
+    library = _t(s, d, "part").select(F.col("p_partkey").cast("string").alias("document_id"), F.concat(F.lit("matter kesho"), _letters(F.col("p_partkey"), "klmnopqrst")).alias("title"))
+    opening = F.concat("text", F.lit(" kesho"), _letters(F.col("conv_id"), "klmnopqrst"))
+    uploads = _t(s, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("document_id"), opening.alias("opening"))
+    return understanding.known_cases(uploads, library)
+
+
+def answer_rates(s, d):
+    """Turns as answers: those of assistants are answered, those of users refused."""
+    own = _t(s, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.when(F.col("conv_id") % 3 == 0, "out_of_scope").otherwise("case").alias("kind"), F.when(F.col("role") == "assistant", "answered").otherwise("insufficient_evidence").alias("status"))
+    rates = evaluation.answer_rates(own)
+    return rates.select("answered_share", "refused_share", F.size("not_answered").alias("not_answered"), F.size("not_refused").alias("not_refused"))
+
+
+def question_problems(s, d):
+    """Documents as evaluation questions: the language is the kind, texts of copies have one id."""
+    kind = F.when(F.col("lang") == "en", "case").when(F.col("lang") == "de", "provision").when(F.col("lang") == "fr", "out_of_scope").otherwise(F.col("lang"))
+    some = lambda n: F.when(F.col("doc_id") % n == 0, F.array(F.lit("d"))).otherwise(F.array().cast("array<string>"))
+    own = _t(s, d, "documents").select(F.sha2("text", 256).alias("id"), kind.alias("kind"), some(2).alias("relevant_documents"), some(3).alias("relevant_articles"))
+    return evaluation.question_problems(own).distinct()
+
+
+def relevant_rows(s, d):
+    """Documents as hits, judgments or articles by their number, of questions of two kinds."""
+    own = _t(s, d, "documents").select("doc_id", F.when(F.col("lang") == "en", "case").otherwise("provision").alias("kind"), F.concat(F.lit("d"), F.col("doc_id") % 7).alias("document_id"), F.when(F.col("doc_id") % 3 == 0, "constitutional_text").otherwise("judgment").alias("source_type"), (F.col("doc_id") % 5).cast("string").alias("article"))
+    ok = evaluation.is_relevant(F.col("kind"), F.array(F.lit("d1"), F.lit("d2")), F.array(F.lit("3"), F.lit("4")), F.col("document_id"), F.col("source_type"), F.col("article"))
+    return own.select("doc_id", ok.alias("relevant"))
+
+
+def provision_lookups(s, d):
+    """Questions that cite articles against chunks that are articles."""
+    chunks = _t(s, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("chunk_id"), F.when(F.col("l_returnflag") == "R", "constitutional_text").otherwise("judgment").alias("source_type"), F.col("l_suppkey").cast("string").alias("article_number"))
+    asked = _questions(s, d).select("query_id", F.array(F.col("query_id").cast("string"), F.lit("7")).alias("articles"))
+    return selection.provision_lookup(asked, chunks)
+
+
+def case_lookups(s, d):
+    """Two headnotes of a named case, else its first chunk: orders are cases, their returned lines headnotes."""
+    chunks = _t(s, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("chunk_id"), F.col("l_orderkey").cast("string").alias("document_id"), F.col("l_linenumber").alias("row"), F.lit("front_matter").alias("division"), F.when(F.col("l_returnflag") == "R", " held").alias("heading"))
+    asked = _questions(s, d).select("query_id", F.array(F.col("query_id").cast("string"), (F.col("query_id") + 100).cast("string")).alias("case_document_ids"))
+    return selection.case_lookup(asked, chunks)
 
 
 def latest_version(s, d):
@@ -164,7 +318,8 @@ def orphan_rows(s, d):
 
 
 def missing_versions(s, d):
-    orders = _t(s, d, "orders").select(F.col("o_custkey").alias("document_id"), F.lit(1).alias("document_version"))
+    """Customers without an order of over 300,000."""
+    orders = _t(s, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("document_id"), F.lit(1).alias("document_version"))
     known = _t(s, d, "customer").select(F.col("c_custkey").alias("document_id"), F.lit(1).alias("document_version"))
     return ingest.missing_versions(known, orders)
 
@@ -175,25 +330,29 @@ def corpus_counts(s, d):
 
 
 def content_hash_ids(s, d):
-    own = _t(s, d, "documents").join(_t(s, d, "pages").select(F.col("page_id").alias("doc_id"), "url"), "doc_id")
+    own = _t(s, d, "pages")
     ident = ingest.document_id(F.lit("c"), F.lit("judgment"), F.col("url"))
-    return own.select("doc_id", ident.alias("document_id"), ingest.chunk_id(ident, F.lit(1), F.col("doc_id"), F.col("text")).alias("chunk_id"))
+    return own.select("page_id", ident.alias("document_id"), ingest.chunk_id(ident, F.lit(1), F.col("page_id"), F.col("html")).alias("chunk_id"))
 
 
 def normalize_urls(s, d):
     return _t(s, d, "pages").select("page_id", X.normalize_url(F.col("url")).alias("url"))
 
 
+def _passages(s, d) -> DataFrame:
+    """Benchmark passages, whole, as titles."""
+    return _t(s, d, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("document_id"), F.col("text").alias("title"))
+
+
 def distinctive_tokens(s, d):
     titles = _t(s, d, "part").select(F.col("p_partkey").cast("string").alias("document_id"), F.concat_ws(" ", "p_name", "p_type").alias("title"))
-    titles = titles.unionByName(_t(s, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("document_id"), F.substring("text", 1, 80).alias("title")))
-    return understanding.distinctive_tokens(titles)
+    return understanding.distinctive_tokens(titles.unionByName(_passages(s, d)))
 
 
 def one_typo_pairs(s, d):
-    """Names of documents' first words against words of the benchmark passages."""
-    titles = _t(s, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("document_id"), F.substring("text", 1, 80).alias("title"))
-    return understanding.match_cases(_questions(s, d), titles).select("query_id", "document_id", "word", "token", "corrected")
+    """Words of conversations against the names in the passages."""
+    asked = _t(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+    return understanding.match_cases(asked, _passages(s, d)).select("query_id", "document_id", "word", "token", "corrected")
 
 
 def term_coverage(s, d):
@@ -227,8 +386,8 @@ def capped_selection(s, d):
     """Orders are questions, their lines candidates; returned lines play constitutional text."""
     li = _t(s, d, "lineitem")
     scored = li.select(
-        F.col("l_orderkey").alias("query_id"), F.lit("general").alias("query_type"), F.when(F.col("l_returnflag") == "R", "constitutional_text").otherwise("judicial").alias("role"), F.lit(False).alias("is_provision"), F.lit(False).alias("is_named_case"),
-        F.pmod("l_suppkey", F.lit(2)).cast("string").alias("document_id"), F.lit(0).alias("presentation_group"), F.col("l_quantity").alias("final_score"), F.col("l_linenumber").alias("rank"), F.col("l_linenumber").cast("long").alias("row"),
+        F.col("l_orderkey").alias("query_id"), F.lit("general").alias("query_type"), F.when(F.col("l_returnflag") == "R", "constitutional_text").otherwise("judicial").alias("role"), F.lit(False).alias("is_provision"), (F.col("l_partkey") % 5 == 0).alias("is_named_case"),
+        F.pmod("l_suppkey", F.lit(2)).cast("string").alias("document_id"), (F.col("l_linenumber") % 2).alias("presentation_group"), F.col("l_quantity").alias("final_score"), F.col("l_linenumber").alias("rank"), F.col("l_linenumber").cast("long").alias("row"),
     )
     return selection.choose(scored, selection.EvidenceLimits(top_k=4)).select("query_id", "row", "evidence_id", "evidence_rank")
 
@@ -300,9 +459,10 @@ def evidence_selection(s, d):
                          *[none.alias(c) for c in ("article_title", "heading", "opinion_author", "division", "page_label_start", "page_label_end", "part", "chapter")], F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.lit("u").alias("source_url"))
     registry = chunks.select("document_id", "document_version", F.col("text").alias("title"), F.lit(None).cast("date").alias("source_date"))
     judgments = chunks.where("source_type = 'judgment'").select("document_id")
-    analysis = understanding.analyze(_citing_questions(s, d), _titles(s, d).join(judgments, "document_id", "left_semi"))
+    # tables of their own: what follows reads them many times
+    analysis = snapshot(understanding.analyze(_citing_questions(s, d), _titles(s, d).join(judgments, "document_id", "left_semi")), "analysis")
     hits = bm25.search(_chunks(s, d), _citing_questions(s, d), 50).select("query_id", F.concat(F.lit("c"), "row").alias("chunk_id"), "rank", "score", F.col("rank").alias("bm25_rank"), F.col("score").alias("bm25_score"), F.lit(None).cast("int").alias("dense_rank"), F.lit(None).cast("double").alias("dense_score"))
-    return analysis, chunks, selection.select_evidence(analysis, hits, chunks, registry)
+    return analysis, chunks, snapshot(selection.select_evidence(analysis, snapshot(hits, "hits"), chunks, registry), "evidence")
 
 
 def selected_evidence(s, d):
@@ -320,7 +480,8 @@ QUERIES: list[Query] = [
     count_tokens, tokenize_tf, doc_lengths, doc_frequency, bm25_topk, dense_topk, rrf_fusion, hybrid_topk, first_relevant_rank, retrieval_summary, score_separation, running_lines, kept_lines,
     chunk_documents, chunk_report, latest_version, current_versions, relink_versions, change_detection, orphan_rows, missing_versions, corpus_counts, content_hash_ids, normalize_urls,
     distinctive_tokens, one_typo_pairs, term_coverage, light_stems, claim_stems, article_refs, article_mentions, capped_selection, canonical_texts, evidence_markers, normalized_vectors,
-    event_windows, event_sessions, sentence_split, claim_support, question_analysis, selected_evidence, extractive_answers,
+    event_windows, event_sessions, sentence_split, claim_support, question_analysis, selected_evidence, extractive_answers, opening_texts, invalid_chunks, stale_rows, page_problems, duplicate_sources, undated_sources, version_titles, saved_registry,
+    saved_index_topk, accepted_uploads, reranked_topk, best_similarity, reused_vectors, known_cases, answer_rates, question_problems, relevant_rows, provision_lookups, case_lookups,
 ]
 
 
@@ -371,14 +532,29 @@ def _stem_sql(suffixes: list[str], least: int, restore: dict[str, str], light: b
     return f"WITH {_TF}, terms AS (SELECT DISTINCT term FROM tf) " + (whole if light else strict)
 
 
+def _light_of_terms() -> str:
+    """term and stem of every row of a table ``terms``."""
+    return _stem_sql(fixed.LIGHT_SUFFIXES, 3, {"ied": "y", "ies": "y"}, True).split("FROM tf) ", 1)[1]
+
+
 _PAGES = """src AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), raw AS (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM src),
 solid AS (SELECT doc_id, i // 15 AS p, trim(line) AS line, row_number() OVER (PARTITION BY doc_id, i // 15 ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY doc_id, i // 15) AS n FROM raw WHERE trim(line) <> ''),
 keyed AS (SELECT *, (k < 2 OR k >= n - 2) AS at_edge, regexp_replace(regexp_replace(lower(line), '\\s+', ' ', 'g'), '\\d+', '#', 'g') AS key FROM solid)"""
 
-_WORDS80 = "SELECT DISTINCT document_id, unnest(regexp_extract_all(lower(title), '[a-z]+')) AS token FROM titles"
+_HEADER = r"(len(regexp_split_to_array(trim(line), '\s+')) <= 12 AND len(regexp_extract_all(line, '\p{L}')) > 0 AND len(regexp_extract_all(line, '\p{Lu}')) >= 0.7 * len(regexp_extract_all(line, '\p{L}')))"
+_KEPT = f"""{_PAGES}, fuzz AS (SELECT *, left(regexp_replace(lower(line), '[^a-z]', '', 'g'), 12) AS fuzzy, {_HEADER} AS header FROM keyed),
+total AS (SELECT doc_id, max(i) // 15 + 1 AS n_pages FROM raw GROUP BY 1),
+running AS (SELECT doc_id, key, count(DISTINCT p) AS pages FROM fuzz WHERE at_edge GROUP BY 1, 2),
+heads AS (SELECT doc_id, fuzzy FROM fuzz WHERE at_edge AND header AND length(fuzzy) >= 6 GROUP BY 1, 2 HAVING count(DISTINCT p) >= 3),
+marked AS (SELECT f.doc_id, regexp_matches(line, '^[A-Ha-h]$') OR (h.fuzzy IS NOT NULL AND header) OR (at_edge AND (regexp_matches(line, '(?i){fixed.PAGE_NUMBER}')
+  OR coalesce(len(string_split(f.key, ' ')) <= 12 AND r.pages >= 5 AND r.pages >= n_pages / 2.0, false))) AS gone
+  FROM fuzz f JOIN total t ON t.doc_id = f.doc_id LEFT JOIN running r ON r.doc_id = f.doc_id AND r.key = f.key LEFT JOIN heads h ON h.doc_id = f.doc_id AND h.fuzzy = f.fuzzy)"""
+
+_SPACED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+_PLAIN_QUOTES = "'" + "''" * 2 + '""--' + "'"
+_NAME_WORDS = "SELECT DISTINCT document_id, unnest(regexp_extract_all(lower(title), '[a-z]+')) AS token FROM titles"
 _GENERIC = "(" + ", ".join(f"'{w}'" for w in fixed.GENERIC_NAME_TOKENS) + ")"
-_NAMES = f"names AS (SELECT token, min(document_id) AS document_id FROM ({_WORDS80}) WHERE length(token) >= 4 AND token NOT IN {_GENERIC} GROUP BY token HAVING count(DISTINCT document_id) = 1)"
-_TITLES80 = "titles AS (SELECT 'd' || doc_id AS document_id, substring(text, 1, 80) AS title FROM documents)"
+_NAMES = f"names AS (SELECT token, min(document_id) AS document_id FROM ({_NAME_WORDS}) WHERE length(token) >= 4 AND token NOT IN {_GENERIC} GROUP BY token HAVING count(DISTINCT document_id) = 1)"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -391,7 +567,9 @@ def oracle_sql() -> dict[str, str]:
         "dense_topk": f"""SELECT query_id, row, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, row) AS INTEGER) AS rank
           FROM (SELECT q.vec_id AS query_id, v.vec_id AS row, list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= {TOP}""",
         "rrf_fusion": f"{_LISTS}, {_fused(1.0, 0.5)} SELECT query_id, row, round(score, 9) AS score, best_rank, rank FROM ranked",
-        "hybrid_topk": f"{_LISTS}, {_fused(1.0, 1.0)} SELECT r.query_id, r.row, r.rank, one.rank AS bm25_rank, two.rank AS dense_rank FROM ranked r LEFT JOIN one ON one.query_id = r.query_id AND one.row = r.row LEFT JOIN two ON two.query_id = r.query_id AND two.row = r.row",
+        "hybrid_topk": f"""WITH {_INDEX}, {_bm25_sql('one', 20)}, two AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, row) AS INTEGER) AS rank
+          FROM (SELECT q.vec_id AS query_id, v.vec_id AS row, list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings v, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark))) WHERE rank <= 20),
+          {_fused(1.0, 1.0)} SELECT r.query_id, r.row, r.rank, one.rank AS bm25_rank, two.rank AS dense_rank FROM ranked r LEFT JOIN one ON one.query_id = r.query_id AND one.row = r.row LEFT JOIN two ON two.query_id = r.query_id AND two.row = r.row""",
         "first_relevant_rank": f"{_JUDGED} SELECT query_id, kind, first_rank FROM ranks",
         "retrieval_summary": f"""{_JUDGED}, own AS (SELECT kind AS "group", first_rank FROM ranks WHERE kind <> 'out_of_scope' UNION ALL SELECT 'all', first_rank FROM ranks WHERE kind <> 'out_of_scope')
           SELECT "group", count(*) AS n, {', '.join(f'round_even(avg(CASE WHEN first_rank <= {k} THEN 1.0 ELSE 0.0 END), 3) AS hit_at_{k}' for k in (1, 5, 10))}, round_even(avg(CASE WHEN first_rank <= 10 THEN 1.0 / first_rank ELSE 0.0 END), 3) AS mrr_at_10 FROM own GROUP BY 1""",
@@ -407,23 +585,71 @@ def oracle_sql() -> dict[str, str]:
           CASE WHEN k % 11 = 0 THEN 'failed' WHEN k % 7 = 0 THEN 'added' WHEN k % 5 = 0 THEN 'new_version' ELSE 'unchanged' END AS outcome,
           CAST(CASE WHEN k % 11 = 0 AND k % 7 = 0 THEN NULL WHEN k % 11 = 0 THEN document_version WHEN k % 7 = 0 THEN 1 WHEN k % 5 = 0 THEN document_version + 1 ELSE document_version END AS INTEGER) AS document_version FROM own""",
         "orphan_rows": "SELECT o_custkey AS document_id, o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)",
-        "missing_versions": "SELECT c_custkey AS document_id, CAST(1 AS INTEGER) AS document_version FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+        "missing_versions": "SELECT c_custkey AS document_id, CAST(1 AS INTEGER) AS document_version FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
         "corpus_counts": "SELECT source AS corpus_id, count(*) AS documents, count(*) FILTER (n_chars > 500) AS chunks FROM documents GROUP BY 1",
         "content_hash_ids": """WITH u AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '://([^/?#]*)', 1)) || regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', '') || regexp_extract(url, '[?][^#]*') AS n FROM pages)
-          SELECT doc_id, 'JUDG-' || left(sha256('c|judgment|' || n), 12) AS document_id, 'JUDG-' || left(sha256('c|judgment|' || n), 12) || '@v1:' || printf('%04d', doc_id) || ':' || left(sha256(text), 8) AS chunk_id FROM documents JOIN u ON page_id = doc_id""",
+          SELECT page_id, 'JUDG-' || left(sha256('c|judgment|' || n), 12) AS document_id, 'JUDG-' || left(sha256('c|judgment|' || n), 12) || '@v1:' || printf('%04d', page_id) || ':' || left(sha256(html), 8) AS chunk_id FROM pages JOIN u USING (page_id)""",
         "normalize_urls": "SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '://([^/?#]*)', 1)) || regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', '') || regexp_extract(url, '[?][^#]*') AS url FROM pages",
-        "distinctive_tokens": f"WITH titles AS (SELECT CAST(p_partkey AS VARCHAR) AS document_id, p_name || ' ' || p_type AS title FROM part UNION ALL SELECT 'd' || doc_id, substring(text, 1, 80) FROM documents), {_NAMES} SELECT token, document_id FROM names",
-        "one_typo_pairs": f"""WITH {_TITLES80}, {_NAMES}, words AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark),
+        "distinctive_tokens": f"WITH titles AS (SELECT CAST(p_partkey AS VARCHAR) AS document_id, p_name || ' ' || p_type AS title FROM part UNION ALL SELECT 'b' || item_id, text FROM benchmark), {_NAMES} SELECT token, document_id FROM names",
+        "one_typo_pairs": f"""WITH titles AS (SELECT 'b' || item_id AS document_id, text AS title FROM benchmark), {_NAMES}, words AS (SELECT DISTINCT conv_id * 1000 + turn AS query_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations),
           open_ AS (SELECT * FROM words WHERE word NOT IN (SELECT token FROM names) AND length(word) >= 6)
           SELECT query_id, document_id, word, token, false AS corrected FROM words JOIN names ON token = word
           UNION ALL SELECT query_id, document_id, word, min(token), true FROM open_ JOIN names ON left(word, 1) = left(token, 1) AND length(token) >= 6 AND abs(length(word) - length(token)) <= 1
           WHERE damerau_levenshtein(word, token) = 1 AND NOT starts_with(word, token) AND NOT starts_with(token, word) GROUP BY 1, 2, 3""",
+        "kept_lines": f"WITH {_KEPT} SELECT 'D' || doc_id AS document_id, count(*) AS lines FROM marked WHERE NOT gone GROUP BY 1",
+        "chunk_report": r"SELECT conv_id AS document_id, role AS chunking_method, count(*) AS chunks, CAST(sum(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'))) AS BIGINT) AS tokens, min(turn) AS first_page, max(turn) AS last_page FROM conversations GROUP BY 1, 2",
+        "opening_texts": "SELECT conv_id AS document_id, left(arg_min(text, turn), 200) AS opening FROM conversations GROUP BY 1",
+        "invalid_chunks": "SELECT * FROM (SELECT conv_id || ':' || turn AS chunk_id, CASE WHEN turn % 3 = 2 THEN 'pages out of order' WHEN trim(text) = '' THEN 'blank text' WHEN role = 'system' THEN 'article outside constitutional text' END AS problem FROM conversations) WHERE problem IS NOT NULL",
+        "stale_rows": "SELECT doc_id AS row FROM documents WHERE doc_id < 100 OR doc_id % 10 = 3",
+        "page_problems": """WITH p AS (SELECT l_orderkey AS k, count(*) AS n, min(l_linenumber) AS lo, max(l_linenumber) AS hi, count(DISTINCT l_linenumber) AS d, count(*) FILTER (l_linenumber = 9) AS f FROM lineitem GROUP BY 1)
+          SELECT o_orderkey AS document_id, CASE WHEN NOT coalesce(lo = 1 AND hi = n AND d = n AND n = o_orderkey % 10, false) THEN 'pages are not numbered 1 to N' ELSE 'wrong empty flags' END AS problem
+          FROM orders LEFT JOIN p ON k = o_orderkey WHERE NOT coalesce(lo = 1 AND hi = n AND d = n AND n = o_orderkey % 10, false) OR f > 0""",
+        "duplicate_sources": """WITH u AS (SELECT regexp_replace(url, '/[^/]*$', '/') AS url FROM pages),
+          n AS (SELECT lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '://([^/?#]*)', 1)) || regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', '') || regexp_extract(url, '[?][^#]*') AS source FROM u)
+          SELECT 'judgment' AS source_type, source FROM n GROUP BY source HAVING count(*) > 1""",
+        "undated_sources": "SELECT doc_id, CASE lang WHEN 'en' THEN 'judgment' ELSE 'constitutional_text' END AS source_type FROM documents WHERE lang IN ('en', 'de') AND doc_id % 3 = 0",
+        "version_titles": f"""WITH {_REGISTRY_SQL}, fresh AS (SELECT document_id, max(document_version) + 1 AS document_version, max_by(title, document_version) || '*' AS title FROM registry WHERE CAST(substring(document_id, 5) AS BIGINT) % 5 = 0 GROUP BY 1),
+          both_ AS (SELECT document_id, document_version, title FROM registry UNION ALL SELECT * FROM fresh)
+          SELECT document_id, CAST(document_version AS INTEGER) AS document_version, title, CASE WHEN lead(document_version) OVER w IS NOT NULL THEN document_id || '@v' || lead(document_version) OVER w END AS replaced_by FROM both_ WINDOW w AS (PARTITION BY document_id ORDER BY document_version)""",
+        "saved_registry": f"WITH {_REGISTRY_SQL} SELECT document_id, CAST(document_version AS INTEGER) AS document_version, title, file_sha256, replaced_by FROM registry",
+        "saved_index_topk": f"WITH {_INDEX}, {_bm25_sql('hits', TOP)} SELECT query_id, row, round(score, 6) AS score, rank FROM hits",
+        "accepted_uploads": """WITH u AS (SELECT page_id, page_id % 10 = 7 AS exe, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+          r AS (SELECT *, CASE WHEN exe THEN 'Files of type .exe are not accepted.' WHEN n = 0 THEN 'The file is empty.' WHEN n > 5000 THEN 'The file is larger than 5000 bytes.' END AS reason FROM u)
+          SELECT page_id, CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN h IN (SELECT h FROM u WHERE page_id < 20) THEN 'unchanged' ELSE 'accepted' END AS status, reason FROM r""",
+        "reranked_topk": f"""WITH {_INDEX}, {_bm25_sql('hits', TOP)}, qw AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '\\S+')) AS w FROM benchmark),
+          dw AS (SELECT DISTINCT doc_id AS row, unnest(regexp_extract_all(lower(text), '\\S+')) AS w FROM documents WHERE doc_id IN (SELECT row FROM hits)),
+          s AS (SELECT h.query_id, h.row, h.rank, count(dw.w) * 1.0 / count(*) AS share FROM hits h JOIN qw ON qw.query_id = h.query_id LEFT JOIN dw ON dw.row = h.row AND dw.w = qw.w GROUP BY 1, 2, 3),
+          r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY share DESC, rank) AS k FROM s) SELECT query_id, row, round(1.0 / (60 + k), 9) AS score, CAST(k AS INTEGER) AS rank FROM r""",
+        "best_similarity": "SELECT a.vec_id AS query_id, round(max(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 GROUP BY 1",
+        "reused_vectors": "SELECT CAST(vec_id AS VARCHAR) AS chunk_id, label < 5 AND vec_id % 2 = 0 AS reused, CAST(64 AS INTEGER) AS dim FROM embeddings",
+        "known_cases": """WITH l AS (SELECT CAST(p_partkey AS VARCHAR) AS case_id, 'kesho' || translate(CAST(p_partkey AS VARCHAR), '0123456789', 'klmnopqrst') AS token FROM part),
+          u AS (SELECT conv_id AS document_id, list_distinct(regexp_extract_all(lower(text || ' kesho' || translate(CAST(conv_id AS VARCHAR), '0123456789', 'klmnopqrst')), '[a-z]+')) AS ws FROM conversations WHERE turn = 0)
+          SELECT document_id, case_id FROM (SELECT document_id, unnest(ws) AS token FROM u) JOIN l USING (token)""",
+        "answer_rates": """WITH a AS (SELECT conv_id % 3 <> 0 AS ok, role = 'assistant' AS said FROM conversations)
+          SELECT round_even(avg(CAST(said AS DOUBLE)) FILTER (ok), 3) AS answered_share, round_even(avg(CAST(NOT said AS DOUBLE)) FILTER (NOT ok), 3) AS refused_share, CAST(count(*) FILTER (ok AND NOT said) AS INTEGER) AS not_answered, CAST(count(*) FILTER (NOT ok AND said) AS INTEGER) AS not_refused FROM a""",
+        "question_problems": """WITH q AS (SELECT sha256(text) AS id, lang, doc_id FROM documents) SELECT DISTINCT id, problem FROM (
+          SELECT id, CASE WHEN lang IS NULL OR lang NOT IN ('en', 'de', 'fr') THEN 'unknown kind' WHEN lang = 'en' AND doc_id % 2 > 0 THEN 'no relevant documents' WHEN lang = 'de' AND doc_id % 3 > 0 THEN 'no relevant articles' END AS problem FROM q
+          UNION ALL SELECT id, 'duplicate id' FROM q GROUP BY id HAVING count(*) > 1) WHERE problem IS NOT NULL""",
+        "relevant_rows": "SELECT doc_id, CASE WHEN lang = 'en' THEN doc_id % 7 IN (1, 2) ELSE doc_id % 3 = 0 AND doc_id % 5 IN (3, 4) END AS relevant FROM documents",
+        "provision_lookups": "SELECT DISTINCT item_id AS query_id, l_orderkey || '-' || l_linenumber AS chunk_id FROM benchmark JOIN lineitem ON l_suppkey IN (item_id, 7) WHERE l_returnflag = 'R'",
+        "case_lookups": """WITH o AS (SELECT item_id AS query_id, l_orderkey, l_linenumber, l_returnflag = 'R' AS head FROM benchmark JOIN lineitem ON l_orderkey IN (item_id, item_id + 100)),
+          n AS (SELECT *, row_number() OVER (PARTITION BY query_id, l_orderkey ORDER BY head DESC, l_linenumber) AS k, bool_or(head) OVER (PARTITION BY query_id, l_orderkey) AS any_head FROM o)
+          SELECT DISTINCT query_id, l_orderkey || '-' || l_linenumber AS chunk_id FROM n WHERE CASE WHEN any_head THEN head AND k <= 2 ELSE k = 1 END""",
+        "term_coverage": f"""WITH {_INDEX}, {_bm25_sql('hits', 3)}, terms AS (SELECT DISTINCT term FROM tf UNION SELECT DISTINCT term FROM q), stems AS ({_light_of_terms()}),
+          forms AS (SELECT DISTINCT row, term AS form FROM tf WHERE row IN (SELECT row FROM hits) UNION SELECT row, stem FROM tf JOIN stems USING (term) WHERE row IN (SELECT row FROM hits)),
+          m AS (SELECT h.query_id, h.row, q.term, s.stem FROM hits h JOIN q ON q.query_id = h.query_id JOIN stems s ON s.term = q.term),
+          e AS (SELECT m.*, a.form IS NOT NULL OR b.form IS NOT NULL AS hit FROM m LEFT JOIN forms a ON a.row = m.row AND a.form = m.term LEFT JOIN forms b ON b.row = m.row AND b.form = m.stem)
+          SELECT query_id, row, round(avg(CAST(hit AS DOUBLE)), 6) AS coverage FROM e GROUP BY 1, 2""",
+        "article_refs": "SELECT l_orderkey, l_linenumber, l_linenumber || '(1)(g)|' || l_partkey % 400 || 'A|' || l_linenumber || '|21' AS refs, l_linenumber || '|' || l_partkey % 400 || 'A|21' AS articles FROM lineitem",
+        "canonical_texts": f"""WITH t AS (SELECT conv_id, turn, text, {_SPACED} AS spaced FROM conversations)
+          SELECT conv_id, turn, spaced, trim(regexp_replace(regexp_replace(lower(text), '[“”"‘’''`]', '', 'g'), '[^\\p{{L}}\\p{{N}}_()]+', ' ', 'g')) AS claim, trim(regexp_replace(lower(translate(text, '’‘“”–—', {_PLAIN_QUOTES})), '\\s+', ' ', 'g')) AS quote,
+          CASE WHEN length(spaced) <= 60 THEN spaced WHEN contains(left(spaced, 60), ' ') THEN regexp_replace(left(spaced, 60), ' [^ ]*$', '') || '{fixed.ELLIPSIS.rstrip()}' ELSE left(spaced, 60) || '{fixed.ELLIPSIS.rstrip()}' END AS short FROM t""",
         "light_stems": _stem_sql(fixed.LIGHT_SUFFIXES, 3, {"ied": "y", "ies": "y"}, True),
         "claim_stems": _stem_sql(fixed.CLAIM_SUFFIXES, 4, {"ied": "y", "ies": "y", "ural": "ure"}, False),
         "article_mentions": "SELECT l_orderkey, l_linenumber, l_linenumber = 3 AS a3, l_linenumber = 7 AS a7, true AS a21 FROM lineitem",
-        "capped_selection": """WITH own AS (SELECT l_orderkey AS query_id, CAST(l_linenumber AS BIGINT) AS row, l_returnflag = 'R' AS c, l_suppkey % 2 AS d, l_quantity AS s FROM lineitem),
-          caps AS (SELECT *, row_number() OVER (PARTITION BY query_id, c ORDER BY s DESC, row) AS nc, row_number() OVER (PARTITION BY query_id, c, d ORDER BY s DESC, row) AS nd FROM own),
-          kept AS (SELECT query_id, row, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, row) AS INTEGER) AS r FROM caps WHERE CASE WHEN c THEN nc <= 2 ELSE nd <= 2 END)
+        "capped_selection": """WITH own AS (SELECT l_orderkey AS query_id, CAST(l_linenumber AS BIGINT) AS row, l_returnflag = 'R' AS c, l_suppkey % 2 AS d, l_partkey % 5 = 0 AS named, l_linenumber % 2 AS g, l_quantity AS s FROM lineitem),
+          caps AS (SELECT *, row_number() OVER (PARTITION BY query_id, c ORDER BY g, s DESC, row) AS nc, row_number() OVER (PARTITION BY query_id, c, d ORDER BY g, s DESC, row) AS nd FROM own),
+          kept AS (SELECT query_id, row, CAST(row_number() OVER (PARTITION BY query_id ORDER BY g, s DESC, row) AS INTEGER) AS r FROM caps WHERE CASE WHEN c THEN nc <= 2 ELSE named OR nd <= 2 END)
           SELECT query_id, row, 'E' || r AS evidence_id, r AS evidence_rank FROM kept WHERE r <= 4""",
         "evidence_markers": r"""SELECT conv_id, turn, array_to_string(CASE WHEN turn IN (1, 2) THEN ['E1', 'E2'] ELSE ['E1', 'E2', 'E' || turn] END, ',') AS ids,
           regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g') || ' and.'), '\s+([.;,?!])', '\1', 'g') AS text FROM conversations""",
