@@ -383,11 +383,12 @@ def article_mentions(s, d):
 
 
 def capped_selection(s, d):
-    """Orders are questions, their lines candidates; returned lines play constitutional text."""
+    """Orders are questions, their lines candidates; returned lines play constitutional text.  Line numbers repeat in an order, so a row's number has part and supplier too."""
     li = _t(s, d, "lineitem")
     scored = li.select(
         F.col("l_orderkey").alias("query_id"), F.lit("general").alias("query_type"), F.when(F.col("l_returnflag") == "R", "constitutional_text").otherwise("judicial").alias("role"), F.lit(False).alias("is_provision"), (F.col("l_partkey") % 5 == 0).alias("is_named_case"),
-        F.pmod("l_suppkey", F.lit(2)).cast("string").alias("document_id"), (F.col("l_linenumber") % 2).alias("presentation_group"), F.col("l_quantity").alias("final_score"), F.col("l_linenumber").alias("rank"), F.col("l_linenumber").cast("long").alias("row"),
+        F.pmod("l_suppkey", F.lit(2)).cast("string").alias("document_id"), (F.col("l_linenumber") % 2).alias("presentation_group"), F.col("l_quantity").alias("final_score"), F.col("l_linenumber").alias("rank"),
+        (F.col("l_linenumber") * 10**15 + F.col("l_partkey") * 10**7 + F.col("l_suppkey")).alias("row"),
     )
     return selection.choose(scored, selection.EvidenceLimits(top_k=4)).select("query_id", "row", "evidence_id", "evidence_rank")
 
@@ -647,7 +648,7 @@ def oracle_sql() -> dict[str, str]:
         "light_stems": _stem_sql(fixed.LIGHT_SUFFIXES, 3, {"ied": "y", "ies": "y"}, True),
         "claim_stems": _stem_sql(fixed.CLAIM_SUFFIXES, 4, {"ied": "y", "ies": "y", "ural": "ure"}, False),
         "article_mentions": "SELECT l_orderkey, l_linenumber, l_linenumber = 3 AS a3, l_linenumber = 7 AS a7, true AS a21 FROM lineitem",
-        "capped_selection": """WITH own AS (SELECT l_orderkey AS query_id, CAST(l_linenumber AS BIGINT) AS row, l_returnflag = 'R' AS c, l_suppkey % 2 AS d, l_partkey % 5 = 0 AS named, l_linenumber % 2 AS g, l_quantity AS s FROM lineitem),
+        "capped_selection": """WITH own AS (SELECT l_orderkey AS query_id, l_linenumber * 1000000000000000 + l_partkey * 10000000 + l_suppkey AS row, l_returnflag = 'R' AS c, l_suppkey % 2 AS d, l_partkey % 5 = 0 AS named, l_linenumber % 2 AS g, l_quantity AS s FROM lineitem),
           caps AS (SELECT *, row_number() OVER (PARTITION BY query_id, c ORDER BY g, s DESC, row) AS nc, row_number() OVER (PARTITION BY query_id, c, d ORDER BY g, s DESC, row) AS nd FROM own),
           kept AS (SELECT query_id, row, CAST(row_number() OVER (PARTITION BY query_id ORDER BY g, s DESC, row) AS INTEGER) AS r FROM caps WHERE CASE WHEN c THEN nc <= 2 ELSE named OR nd <= 2 END)
           SELECT query_id, row, 'E' || r AS evidence_id, r AS evidence_rank FROM kept WHERE r <= 4""",
