@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import decontamination, html_extraction, language_id, license_scan, line_dedup, media_jpeg, ngram_jaccard, sentencepiece_codec, url_filters, warc_archive
+from lexweave.llm import decontamination, html_extraction, language_id, license_scan, line_dedup, media_jpeg, ngram_jaccard, sentencepiece_codec, sharding, spelling_variants, url_filters, vector_codes, warc_archive
 from lexweave.llm._common import read_table
 from lexweave.llm.license_templates import TEMPLATES
 
@@ -17,6 +18,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 BLOCKED_URLS = ["cheap-pills.example.com/", "spam-farm.example.org/"]
 
+#: Shards of op13, all alike.
+SHARD_WEIGHTS = [1.0] * 16
+
 
 def default_model_path() -> str:
     """The public tokenizer's file; only queries use it, operators take a path."""
@@ -72,6 +76,18 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read_table(spark, sf_dir, "documents"), SHARD_WEIGHTS)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_url_filters": op1_url_filters,
@@ -84,6 +100,9 @@ def queries() -> dict[str, Query]:
         "op8_media_columns": op8_media_columns,
         "op9_decontamination": op9_decontamination,
         "op10_ngram_jaccard": op10_ngram_jaccard,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_sharding": op13_sharding,
     }
 
 
@@ -149,5 +168,56 @@ SELECT r.doc_id, any_value(z.n) AS n_shingles, min(r.id) AS component_id FROM re
 """
 
 
+#: What CRC-32 (reversed polynomial EDB88320) makes of each byte, as a list for SQL.
+_CRC_BYTES = f"[{', '.join(str(reduce(lambda c, _: c >> 1 ^ 0xEDB88320 * (c & 1), range(8), byte)) for byte in range(256))}]"
+
+
+def _crc32_sql(string: str) -> str:
+    """CRC-32 of a string's UTF-8 in SQL."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({string})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, x: xor(c >> 8, ({_CRC_BYTES})[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE found AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+counted AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS marked, run, count(*) AS n FROM found GROUP BY ALL),
+summed AS (SELECT run, n, {_crc32_sql("marked")} AS h FROM counted),
+spelt AS (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM summed),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+cut AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS form, max(other_n) AS form_n FROM near GROUP BY 1),
+judged AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
+walk(word, top) AS (SELECT word, word FROM judged UNION ALL SELECT k.word, j.form FROM walk k JOIN judged j ON j.word = k.top WHERE j.form IS NOT NULL)
+SELECT j.word, j.form, k.top AS root, j.n, j.n_near, j.form_n FROM judged j JOIN walk k ON k.word = j.word JOIN judged e ON e.word = k.top WHERE e.form IS NULL
+"""
+
+_NEAREST_SQL = "SELECT x.vec_id, x.label, x.p, x.v, min((list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - b.v[i]) * (x.v[i] - b.v[i]))), b.e)) AS m FROM parts x JOIN book{k} b ON b.p = x.p GROUP BY ALL"
+_MOVED_SQL = """SELECT p, e, list(c ORDER BY i) AS v FROM (SELECT b.p, b.e, b.i, any_value(b.c) AS old, coalesce(CAST(floor(sum(x.v[b.i])::DOUBLE / count(x.v)) AS BIGINT), any_value(b.c)) AS c
+  FROM (SELECT p, e, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS c FROM book{k}) b LEFT JOIN near{k} x ON x.p = b.p AND x.m[2] = b.e GROUP BY b.p, b.e, b.i) GROUP BY p, e"""
+
+OP12_SQL = f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, label, p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] AS v FROM kept, range(16) t(p)),
+book0 AS MATERIALIZED (SELECT p, e, v FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < 64) USING (vec_id)),
+near0 AS MATERIALIZED ({_NEAREST_SQL.format(k=0)}), book1 AS MATERIALIZED ({_MOVED_SQL.format(k=0)}),
+near1 AS MATERIALIZED ({_NEAREST_SQL.format(k=1)}), book2 AS MATERIALIZED ({_MOVED_SQL.format(k=1)}),
+near2 AS MATERIALIZED ({_NEAREST_SQL.format(k=2)}),
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', m[2]), '' ORDER BY p) AS code, CAST(sum(m[1]) AS BIGINT) AS error FROM near2 GROUP BY ALL)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM book2) AS codebooks_sha256 FROM coded
+"""
+
+_SCORE_SQL = "list_transform(range({n}), lambda s: -1.0 / ln((('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || s), 1, 13))::BIGINT + 0.5) / 4503599627370496.0))"
+
+OP13_SQL = f"""
+WITH sized AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, {_crc32_sql("coalesce(text, '')")} AS text_crc32, {_SCORE_SQL.format(n=16)} AS s, {_SCORE_SQL.format(n=17)} AS g FROM documents),
+placed AS (SELECT doc_id, size, text_crc32, CAST(list_position(s, list_max(s)) - 1 AS INTEGER) AS shard, CAST(list_position(g, list_max(g)) - 1 AS INTEGER) AS grown_shard FROM sized)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard, row_number() OVER (PARTITION BY shard ORDER BY
+  ('0x' || substr(md5(coalesce('=' || doc_id, '') || '/' || '=' || text_crc32 || '/' || '=' || size), 1, 13))::BIGINT, doc_id, size, text_crc32, grown_shard) - 1 AS slot FROM placed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op3_warc": OP3_SQL, "op7_line_dedup": OP7_SQL, "op9_decontamination": OP9_SQL, "op10_ngram_jaccard": OP10_SQL}
+    return {"op1_url_filters": OP1_SQL, "op3_warc": OP3_SQL, "op7_line_dedup": OP7_SQL, "op9_decontamination": OP9_SQL, "op10_ngram_jaccard": OP10_SQL, "op11_spelling_variants": OP11_SQL, "op12_vector_codes": OP12_SQL, "op13_sharding": OP13_SQL}
