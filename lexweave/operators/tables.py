@@ -43,14 +43,22 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Spark removes a query's shuffle files when it ends, instead of when the driver happens to collect its plan as garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def snapshot(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written once to the shared folder and read back, which cuts its lineage.
 
-    Spark removes a plan's shuffle files when the driver collects the plan as garbage, which may be long after; so the
-    driver collects here, and a chain of tables holds the shuffles of one plan on disk and not of all.
+    The shuffle files of the plan go as soon as the table is written, so that a chain of tables holds on disk the
+    shuffles of one plan and not of all.
     """
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
