@@ -63,7 +63,7 @@ def test_chains_of_forms_and_ties(spark):
 
 
 def test_very_long_words(spark):
-    base = "".join(random.Random(1).choice("abc") for _ in range(60_000))
+    base = "".join(random.Random(1).choices("abc", k=60_000))
     counts = {base: 3, base[:30_000] + "z" + base[30_001:]: 9, base[1:]: 4, "a" * 50_000: 5, "a" * 50_001: 11}
     got = {r["word"]: r for r in spelling_variants.group_words(spark.createDataFrame(list(counts.items()), "word string, n long")).collect()}
     assert got[base]["n_near"] == 2 and got[base]["form_n"] == 9 and got[base[1:]]["n_near"] == 1 and got["a" * 50_000]["form_n"] == 11
