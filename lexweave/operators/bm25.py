@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexweave.functions import text as X
+from lexweave.operators.tables import snapshot
 
 BROADCAST_TERMS = 1_000_000
 
@@ -32,9 +33,12 @@ def document_frequency(postings: DataFrame) -> DataFrame:
 
 
 def build(chunks: DataFrame, row: str = "row", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Postings with df, and the one-row statistics (n, avgdl).  Chunks without terms count in both statistics."""
-    tf = term_frequencies(chunks, row, text)
-    total = tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("_all"))  # lengths add up to all occurrences, so the texts are read once
+    """Postings with df, and the one-row statistics (n, avgdl).  Chunks without terms count in both statistics.
+
+    The texts are read once: frequencies are a table that both start from.
+    """
+    tf = snapshot(term_frequencies(chunks, row, text), "frequencies")
+    total = tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("_all"))  # lengths add up to all occurrences
     stats = chunks.agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("n", F.try_divide(F.col("_all"), F.col("n")).alias("avgdl"))
     return tf.join(document_frequency(tf), "term"), stats
 
@@ -43,10 +47,14 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", query: str = "qu
     return queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(X.tokens(F.col(query)))).alias("term"))
 
 
+def broadcast_terms(terms: DataFrame) -> DataFrame:
+    """``terms``, marked for a broadcast if their number is checked to be small."""
+    return F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+
+
 def score(postings: DataFrame, stats: DataFrame, terms: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query_id, row, score of every chunk that holds a query term."""
-    if terms.count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
+    terms = broadcast_terms(terms)
     matched = postings.join(terms, "term").crossJoin(F.broadcast(stats))  # one row of statistics
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
@@ -66,12 +74,10 @@ def search(chunks: DataFrame, queries: DataFrame, top_n: int = 20, k1: float = 1
     """A search without a saved index: only the questions' terms leave the texts, so only they are counted and joined."""
     terms = query_terms(queries)
     wanted = terms.select("term").distinct().unionByName(queries.sparkSession.createDataFrame([("",)], "term string"))
-    if wanted.count() <= BROADCAST_TERMS:
-        wanted = F.broadcast(wanted)
-    # no term is empty: an empty one stands for the chunk itself, so that the texts are read once
+    # no term is empty: an empty one stands for the chunk itself, so that the texts are read once, into a table that all else starts from
     own = chunks.select(F.col(row).alias("row"), X.tokens(F.col(text)).alias("_t")).withColumn("len", F.size("_t"))
-    found = own.select("row", "len", F.explode(F.array_append("_t", F.lit(""))).alias("term")).join(wanted, "term", "left_semi")
-    tf = found.groupBy("row", "len", "term").agg(F.count("*").cast("int").alias("tf"))
+    found = own.select("row", "len", F.explode(F.array_append("_t", F.lit(""))).alias("term")).join(broadcast_terms(wanted), "term", "left_semi")
+    tf = snapshot(found.groupBy("row", "len", "term").agg(F.count("*").cast("int").alias("tf")), "frequencies")
     stats = tf.where("term = ''").agg(F.sum("tf").alias("n"), F.try_divide(F.sum((F.col("len") * F.col("tf")).cast("long")), F.sum("tf")).alias("avgdl"))
     postings = tf.where("term <> ''")
     return ranked(score(postings.join(document_frequency(postings), "term"), stats, terms, k1, b), top_n)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions import prose
-from lexweave.operators import answers, bm25, chunking, claims, dense, evaluation, fusion, generation, ingest, selection, understanding
+from lexweave.operators import answers, bm25, bm25_blocks, chunking, claims, dense, evaluation, fusion, generation, ingest, selection, understanding
 from lexweave.operators.tables import snapshot
 from lexweave.sources import sinks
 from lexweave.sources.scans import PAGE_SCHEMA, REGISTRY_SCHEMA, PdfParser, accept_uploads, inspect_pdf, read_or_empty, scan_files, scan_pages, within_limits
@@ -332,6 +332,7 @@ class Engine:
             if not ingest.foreign_rows(chunks, corpus_id).isEmpty():
                 raise CorpusError("chunks of another corpus")
             postings, stats = bm25.build(chunks)
+            postings = bm25_blocks.blocked(postings)
             report = {"chunks": chunks.count(), "vectors_used_again": 0}
             vectors = None
             if self.embedder:
@@ -400,7 +401,7 @@ class Engine:
         index = self.load(corpus_id, self.embedder.name if mode != "bm25" else None)
         none = F.lit(None)
         if mode != "dense":
-            words = bm25.ranked(bm25.score(index["postings"], index["stats"], bm25.query_terms(queries), s.k1, s.b), pool or s.top_bm25)
+            words = bm25_blocks.search(index["postings"], index["stats"], bm25.query_terms(queries), pool or s.top_bm25, s.k1, s.b)
         if mode != "bm25":
             embedded = dense.embed_queries(queries, self.embedder, self.settings.embedding.query_instruction)
             near = dense.top_rows(index["vectors"], embedded, pool or s.top_dense, self.embedder.dim)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import fixed, prose
 from lexweave.functions import text as X
-from lexweave.operators import answers, bm25, chunking, claims, dense, evaluation, fusion, ingest, lines, selection, understanding
+from lexweave.operators import answers, bm25, bm25_blocks, chunking, claims, dense, evaluation, fusion, ingest, lines, selection, understanding
 from lexweave.operators.tables import run_dir, snapshot
 from lexweave.sources import scans, sinks
 from lexweave.streaming import ingest as streaming
@@ -200,20 +200,26 @@ def saved_registry(s, d):
     return scans.load_registry(s, folder).select("document_id", "document_version", "title", "file_sha256", "replaced_by")
 
 
-def saved_index_topk(s, d):
-    """A search of a published index, loaded with its fingerprint."""
-    root, chunks = f"{run_dir(s)}/index-{uuid.uuid4().hex}", _chunks(s, d)
+def save_index(s, d, root):
+    """The documents' index, published under ``root``."""
+    chunks = _chunks(s, d)
     postings, stats = bm25.build(chunks)
-    sinks.save_indexes(chunks, postings, stats, None, root, "f")
-    return _searched(s, d, root)
+    sinks.save_indexes(chunks, bm25_blocks.blocked(postings), stats, None, root, "f")
 
 
-def _searched(s, d, root):
+def search_index(s, d, root):
+    """The passages' best rows in a published index, loaded with its fingerprint."""
     index = sinks.load_indexes(s, root, "f")
-    hits = bm25.ranked(bm25.score(index["postings"], index["stats"], bm25.query_terms(_questions(s, d))), TOP)
+    hits = bm25_blocks.search(index["postings"], index["stats"], bm25.query_terms(_questions(s, d)), TOP)
     return hits.select("query_id", "row", F.round("score", 6).alias("score"), "rank")
 
 
+def saved_index_topk(s, d):
+    root = f"{run_dir(s)}/index-{uuid.uuid4().hex}"
+    save_index(s, d, root)
+    return search_index(s, d, root)
+
+
 def accepted_uploads(s, d):
     """Pages as uploads: the id's last digit gives the ending, pages of ids under 20 are there already."""
     own = _t(s, d, "pages").select("page_id", F.concat(F.lit("f"), F.when(F.col("page_id") % 10 == 7, ".exe").when(F.col("page_id") % 10 == 8, ".PDF").otherwise(".pdf")).alias("filename"), F.octet_length(F.coalesce("html", F.lit(""))).alias("length"), F.sha2(F.coalesce("html", F.lit("")), 256).alias("file_sha256"))

@@ -119,9 +119,9 @@ def load_published(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def save_indexes(chunks: DataFrame, postings: DataFrame, stats: DataFrame, vectors: DataFrame | None, root: str, fingerprint: str, model: str | None = None, meta: dict | None = None) -> str:
-    """BM25 and dense index together: postings sorted by term so that a search prunes row groups."""
+    """BM25 and dense index together: blocks of postings sorted by term so that a search prunes row groups."""
     tables = {"chunks": chunks, "postings": postings, "stats": stats} | ({"vectors": vectors} if vectors is not None else {})
-    return publish(tables, root, {"fingerprint": fingerprint, "model": model} | (meta or {}), {"postings": ["term"]})
+    return publish(tables, root, {"fingerprint": fingerprint, "model": model} | (meta or {}), {"postings": ["term", "block"]})
 
 
 def load_indexes(spark: SparkSession, root: str, fingerprint: str | None = None, model: str | None = None, documents: str | None = None) -> dict[str, DataFrame]:
