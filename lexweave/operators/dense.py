@@ -1,8 +1,4 @@
-"""Dense retrieval: exact inner product of unit vectors, in blocks.
-
-Queries are a stated set against all rows; they are broadcast in blocks of a checked size, and an Arrow batch of vectors
-meets a block in one matrix product, after which only each batch's best rows leave the task.
-"""
+"""Dense retrieval: embedding, exact inner products of unit vectors (in blocks, see ``dense_blocks``), reranking."""
 
 from __future__ import annotations
 
@@ -15,11 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexweave.operators.bm25 import ranked
-
-#: Queries of a block: 4096 vectors of 1024 floats are 16 MB.
-BLOCK = 4096
-
+from lexweave.operators import dense_blocks
 
 class Embedder(Protocol):
     name: str
@@ -101,45 +93,12 @@ def embed_missing(chunks: DataFrame, cached: DataFrame, embedder: Embedder, key:
 
 
 def top_rows(vectors: DataFrame, queries: DataFrame, top_n: int = 20, dim: int | None = None) -> DataFrame:
-    """query_id, row, score, rank of the nearest rows of each query (columns row/query_id and embedding); a null vector is near nothing."""
-    vectors, queries = vectors.where("embedding IS NOT NULL"), queries.where("embedding IS NOT NULL")
-    sizes = queries.select(F.size("embedding").alias("d")).distinct().limit(2).collect()
-    if len(sizes) > 1 or (dim is not None and sizes and sizes[0]["d"] != dim):
-        raise ValueError("queries and index differ in dimension")
-    spark = vectors.sparkSession
-    row_type, id_type = vectors.schema["row"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    out = None
-    block: list = []
-
-    def scored(part: list) -> DataFrame:
-        shipped = spark.sparkContext.broadcast(([r["query_id"] for r in part], np.array([r["embedding"] for r in part], np.float64)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = shipped.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                values = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                rows = batch.column(0)
-                products = q @ values.T
-                edge = -np.inf  # of a larger batch, what reaches the n-th best score stays, ties included
-                if batch.num_rows > top_n:
-                    edge = np.partition(products, batch.num_rows - top_n, axis=1)[:, batch.num_rows - top_n, None] - 1e-12
-                a, b = np.nonzero(products >= edge)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in a]), rows.take(pa.array(b)), pa.array(products[a, b])], ["query_id", "row", "score"])
-
-        return vectors.select("row", "embedding").mapInArrow(run, f"query_id {id_type}, row {row_type}, score double")
-
-    for r in queries.select("query_id", "embedding").toLocalIterator():
-        block.append(r)
-        if len(block) == BLOCK:
-            out = scored(block) if out is None else out.unionByName(scored(block))
-            block = []
-    if block or out is None:
-        if not block:
-            return spark.createDataFrame([], f"query_id {id_type}, row {row_type}, score double, rank int")
-        out = scored(block) if out is None else out.unionByName(scored(block))
-    return ranked(out, top_n)
+    """query_id, row, score, rank of the nearest rows of each query (columns row/query_id and embedding); a null vector is near nothing.
+
+    For vectors without a saved index: all of them meet all queries, block by block.
+    """
+    dense_blocks.check_dimensions(queries.where("embedding IS NOT NULL"), dim)
+    return dense_blocks.search_all(dense_blocks.blocked(vectors), queries, top_n)
 
 
 def best_similarity(queries: DataFrame, passages: DataFrame) -> DataFrame:

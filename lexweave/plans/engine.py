@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions import prose
-from lexweave.operators import answers, bm25, bm25_blocks, chunking, claims, dense, evaluation, fusion, generation, ingest, selection, understanding
+from lexweave.operators import answers, bm25, bm25_blocks, chunking, claims, dense, dense_blocks, evaluation, fusion, generation, ingest, selection, understanding
 from lexweave.operators.tables import snapshot
 from lexweave.sources import sinks
 from lexweave.sources.scans import PAGE_SCHEMA, REGISTRY_SCHEMA, PdfParser, accept_uploads, inspect_pdf, read_or_empty, scan_files, scan_pages, within_limits
 
 RESERVED = "core"
+#: An index has a centroid for each so many vectors as it has centroids, and no more than this: they are fitted on the driver.
+MAX_CENTROIDS = 1024
 log = logging.getLogger("lexweave")
 
 
@@ -339,6 +341,8 @@ class Engine:
                 cached = self._cached_vectors(root)
                 report["vectors_used_again"] = chunks.join(cached, "chunk_id", "left_semi").count()
                 vectors = dense.embed_missing(chunks, cached, self.embedder).join(chunks.select("chunk_id", "row"), "chunk_id").select("row", "embedding")
+                vectors = snapshot(vectors, "vectors")  # a model's work is done once
+                vectors = dense_blocks.blocked(vectors, dense_blocks.fit_centroids(vectors, min(MAX_CENTROIDS, int(report["chunks"] ** 0.5) + 1)))
             documents = sinks.read_pointer(self.spark, f"{self.root}/{corpus_id}/documents")["version"]
             # chunks and index appear together: after a failed build both are the former ones
             sinks.save_indexes(chunks, postings, stats, vectors, root, chunking.index_fingerprint(chunks), self.embedder.name if self.embedder else None, {"documents": documents})
@@ -355,7 +359,7 @@ class Engine:
             index = sinks.load_indexes(self.spark, root, model=self.embedder.name)
         except (sinks.IndexNotFoundError, sinks.InconsistentIndexError):
             return self.spark.createDataFrame([], "chunk_id string, embedding array<float>, model string")
-        return index["vectors"].join(index["chunks"].select("row", "chunk_id"), "row").select("chunk_id", "embedding", F.lit(self.embedder.name).alias("model"))
+        return dense_blocks.unpacked(index["vectors"]).join(index["chunks"].select("row", "chunk_id"), "row").select("chunk_id", "embedding", F.lit(self.embedder.name).alias("model"))
 
     def build_later(self, corpus_id: str) -> Future:
         """A build in the background, one after another."""
@@ -404,7 +408,7 @@ class Engine:
             words = bm25_blocks.search(index["postings"], index["stats"], bm25.query_terms(queries), pool or s.top_bm25, s.k1, s.b)
         if mode != "bm25":
             embedded = dense.embed_queries(queries, self.embedder, self.settings.embedding.query_instruction)
-            near = dense.top_rows(index["vectors"], embedded, pool or s.top_dense, self.embedder.dim)
+            near = dense_blocks.search(index["vectors"], embedded, pool or s.top_dense, self.embedder.dim)
         if mode == "bm25":
             hits = words.withColumns({"bm25_rank": F.col("rank"), "bm25_score": F.col("score"), "dense_rank": none.cast("int"), "dense_score": none.cast("double")})
         elif mode == "dense":

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import fixed, prose
 from lexweave.functions import text as X
-from lexweave.operators import answers, bm25, bm25_blocks, chunking, claims, dense, evaluation, fusion, ingest, lines, selection, understanding
+from lexweave.operators import answers, bm25, bm25_blocks, chunking, claims, dense, dense_blocks, evaluation, fusion, ingest, lines, selection, understanding
 from lexweave.operators.tables import run_dir, snapshot
 from lexweave.sources import scans, sinks
 from lexweave.streaming import ingest as streaming
@@ -82,6 +82,14 @@ def dense_topk(s, d):
     return dense.top_rows(*_vectors(s, d), TOP).select("query_id", "row", F.round("score", 6).alias("score"), "rank")
 
 
+def saved_vectors_topk(s, d):
+    """A search of vectors that are saved in blocks around centroids."""
+    vectors, asked = _vectors(s, d)
+    root = f"{run_dir(s)}/vectors-{uuid.uuid4().hex}"
+    sinks.publish({"vectors": dense_blocks.blocked(vectors, dense_blocks.fit_centroids(vectors, 32), 256)}, root)
+    return dense_blocks.search(sinks.load_published(s, root, "vectors"), asked, TOP).select("query_id", "row", F.round("score", 6).alias("score"), "rank")
+
+
 def rrf_fusion(s, d):
     fused = fusion.reciprocal_rank_fusion([_bm25(s, d, 20), _bm25(s, d, 20, 1.2, 0.0)], 60, [1.0, 0.5], TOP)
     return fused.select("query_id", "row", F.round("score", 9).alias("score"), "best_rank", "rank")
@@ -484,7 +492,7 @@ def extractive_answers(s, d):
 
 
 QUERIES: list[Query] = [
-    count_tokens, tokenize_tf, doc_lengths, doc_frequency, bm25_topk, dense_topk, rrf_fusion, hybrid_topk, first_relevant_rank, retrieval_summary, score_separation, running_lines, kept_lines,
+    count_tokens, tokenize_tf, doc_lengths, doc_frequency, bm25_topk, dense_topk, saved_vectors_topk, rrf_fusion, hybrid_topk, first_relevant_rank, retrieval_summary, score_separation, running_lines, kept_lines,
     chunk_documents, chunk_report, latest_version, current_versions, relink_versions, change_detection, orphan_rows, missing_versions, corpus_counts, content_hash_ids, normalize_urls,
     distinctive_tokens, one_typo_pairs, term_coverage, light_stems, claim_stems, article_refs, article_mentions, capped_selection, canonical_texts, evidence_markers, normalized_vectors,
     event_windows, event_sessions, sentence_split, claim_support, question_analysis, selected_evidence, extractive_answers, opening_texts, invalid_chunks, stale_rows, page_problems, duplicate_sources, undated_sources, version_titles, saved_registry,
@@ -563,6 +571,9 @@ _NAME_WORDS = "SELECT DISTINCT document_id, unnest(regexp_extract_all(lower(titl
 _GENERIC = "(" + ", ".join(f"'{w}'" for w in fixed.GENERIC_NAME_TOKENS) + ")"
 _NAMES = f"names AS (SELECT token, min(document_id) AS document_id FROM ({_NAME_WORDS}) WHERE length(token) >= 4 AND token NOT IN {_GENERIC} GROUP BY token HAVING count(DISTINCT document_id) = 1)"
 
+_DENSE_SQL = f"""SELECT query_id, row, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, row) AS INTEGER) AS rank
+  FROM (SELECT q.vec_id AS query_id, v.vec_id AS row, list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= {TOP}"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -571,8 +582,8 @@ def oracle_sql() -> dict[str, str]:
         "doc_lengths": f"WITH {_TF} SELECT row, CAST(len(ts) AS INTEGER) AS len FROM tok",
         "doc_frequency": f"WITH {_TF} SELECT term, count(*) AS df FROM tf GROUP BY term",
         "bm25_topk": f"WITH {_INDEX}, {_bm25_sql('hits', TOP)} SELECT query_id, row, round(score, 6) AS score, rank FROM hits",
-        "dense_topk": f"""SELECT query_id, row, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, row) AS INTEGER) AS rank
-          FROM (SELECT q.vec_id AS query_id, v.vec_id AS row, list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= {TOP}""",
+        "dense_topk": _DENSE_SQL,
+        "saved_vectors_topk": _DENSE_SQL,
         "rrf_fusion": f"{_LISTS}, {_fused(1.0, 0.5)} SELECT query_id, row, round(score, 9) AS score, best_rank, rank FROM ranked",
         "hybrid_topk": f"""WITH {_INDEX}, {_bm25_sql('one', 20)}, two AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, row) AS INTEGER) AS rank
           FROM (SELECT q.vec_id AS query_id, v.vec_id AS row, list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings v, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark))) WHERE rank <= 20),

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexweave.operators import bm25, dense, evaluation, fusion
+from lexweave.operators import bm25, dense, dense_blocks, evaluation, fusion
 
 CHUNKS = [(0, "equality before the law"), (1, "liberty of the person"), (2, "equality of opportunity equality"), (3, ""), (4, "liberty of the person"), (5, "the the")]
 
@@ -61,7 +61,7 @@ def test_rrf_values(spark):
 
 
 def test_dense_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(dense, "BLOCK", 3)
+    monkeypatch.setattr(dense_blocks, "CHUNK", 3)
     r = np.random.default_rng(1)
     v = r.normal(size=(200, 8)).astype(np.float32)
     v[50] = v[60] = v[70]
