@@ -76,6 +76,15 @@ INTERPRETATION = (
 PAGE_NUMBER = r"^[\s\-–—]*(?:page\s+)?\d{1,4}(?:\s+of\s+\d{1,4})?[\s\-–—]*$"
 SENTENCE_BOUNDARY = r"[.;?!][\"'”’)]*\s+(?=[\"“‘(]?[A-Z0-9])"
 
+# Quotations, what stands for words left out of them, contractions of "not", and words as a speaker says them.
+QUOTED = r"“[^”]+”|\"[^\"]+\""
+GAP = r"\[?(?:…|\.\.\.)\]?"
+NOT_CONTRACTED = r"n['’]t\b"
+SPOKEN_WORD = r"[a-z0-9()]+"
+NAME_WORD = r"[A-Za-z][\w’'-]*"
+GUARD = r"\b(?:except|only)\b(.{0,80})"
+INTERPRETIVE = r"\b(?:interpret\w*|held|holds|construed|read|reads|observed|ruled|view)\b"
+
 # Structure of constitutional texts.
 LEAD = r"(?:\d{0,2}\s?\[)?\*{0,3}"
 ARTICLE = LEAD + r"(\d{1,3}[A-Z]{0,3})\.\s+([A-Z(‘'\"].{1,160}?)\.\s*(?:—|–|-{1,2})\s*(.*)$"

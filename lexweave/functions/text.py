@@ -205,3 +205,79 @@ def fuzzy_key(line: Column) -> Column:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+#: Words of a claim that cannot be checked.
+GENERIC = sorted({*fixed.GENERIC_CLAIM_WORDS, *fixed.STOPWORDS, *fixed.NEGATORS})
+
+
+def sentences(text: Column) -> Column:
+    """Array of the sentences of a text, with single spaces; abbreviations and initials end none.
+
+    Every candidate place becomes a line end; a piece whose last word cannot end a sentence is joined with the next one.
+    """
+
+    def closed(piece):
+        last = F.lower(F.regexp_extract(F.rtrim(F.regexp_extract(piece, r"(?U)([\w'.]*)\.[\"'”’)]*\s+$", 1), F.lit(".")), r"[^.]*$", 0))
+        goes_on = piece.rlike(r"\.[\"'”’)]*\s+$") & (last.isin(fixed.ABBREVIATIONS) | (F.length(last) == 1))
+        return F.when(goes_on, piece).otherwise(F.concat(piece, F.lit("\n")))
+
+    pieces = F.split(F.regexp_replace(normalize_space(F.coalesce(text, F.lit(""))), f"({fixed.SENTENCE_BOUNDARY})", "$1\n"), "\n")
+    joined = F.split(F.array_join(F.transform(pieces, closed), ""), "\n")
+    return F.filter(F.transform(joined, lambda s: F.trim(s)), lambda s: s != "")
+
+
+def spoken_words(text: Column) -> Column:
+    """Words in order in lower case, n't as not."""
+    return F.regexp_extract_all(F.regexp_replace(F.lower(text), f"(?U){fixed.NOT_CONTRACTED}", " not"), F.lit(fixed.SPOKEN_WORD), F.lit(0))
+
+
+def stems(text: Column) -> Column:
+    return F.array_distinct(F.transform(tokens(text), claim_stem))
+
+
+def content_stems(words: Column) -> Column:
+    """Stems of the words that can be checked, once each."""
+    return F.array_distinct(F.transform(F.filter(words, lambda w: ~w.isin(GENERIC)), claim_stem))
+
+
+def claim_terms(text: Column) -> Column:
+    return content_stems(tokens(F.regexp_replace(text, f"(?U){fixed.NOT_CONTRACTED}", " not")))
+
+
+def denied_stems(words: Column) -> Column:
+    """Stems in the scope of a negator: the four words behind it."""
+    scopes = F.transform(words, lambda w, i: F.when(w.isin(fixed.NEGATORS), F.slice(words, i + 2, 4)).otherwise(F.array().cast("array<string>")))
+    return content_stems(F.flatten(scopes))
+
+
+def entities(text: Column) -> Column:
+    """Numbers, and capitalised names; a sentence's first word counts only as the start of a longer name."""
+    numbers = F.filter(F.array_distinct(tokens(text)), lambda t: t.rlike("[0-9]") & ~F.contains(t, F.lit("(")))
+
+    def named(words):
+        def is_name(w, i):
+            after = F.coalesce(F.get(words, i + 1), F.lit(""))
+            starts = (i > 0) | (after.rlike(r"^\p{Lu}") & ~F.lower(after).isin(fixed.GENERIC_CAPITALIZED))
+            return starts & (F.length(w) > 2) & w.rlike(r"^\p{Lu}") & ~F.regexp_replace(F.lower(w), "^[’']+|[’']+$", "").isin(fixed.GENERIC_CAPITALIZED)
+
+        return F.filter(words, is_name)
+
+    names = F.flatten(F.transform(sentences(text), lambda s: let(F.regexp_extract_all(s, F.lit(f"(?U){fixed.NAME_WORD}"), F.lit(0)), named)))
+    return F.array_distinct(F.concat(numbers, names))
+
+
+def unverified_quotations(text: Column, sources: Column) -> Column:
+    """Quotations of four words or more that stand in none of the sources; an ellipsis stands for what is left out."""
+    quotes = F.transform(F.regexp_extract_all(text, F.lit(fixed.QUOTED), F.lit(0)), lambda q: F.substr(q, F.lit(2), F.length(q) - 2))
+    long = F.filter(quotes, lambda q: F.size(F.split(normalize_space(q), " ")) >= 4)
+    held = F.transform(sources, canonical_quote)
+
+    def parts(q):
+        return F.filter(F.transform(F.split(q, fixed.GAP), lambda p: F.btrim(canonical_quote(p), F.lit(" ,;."))), lambda p: p != "")
+
+    return F.filter(long, lambda q: F.forall(held, lambda s: F.exists(parts(q), lambda p: ~F.contains(s, p))))
+
+
+def unquoted(text: Column) -> Column:
+    return F.regexp_replace(text, "“[^”]*”|\"[^\"]*\"", " ")

@@ -6,6 +6,7 @@ import hashlib
 import json
 import logging
 import re
+from collections import Counter
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
@@ -436,9 +437,10 @@ class Engine:
         found = snapshot(fusion.materialize_hits(hits, chunks.select("row", "chunk_id")).drop("row"), "hits")
         evidence = snapshot(selection.select_evidence(analysis, found, chunks, registry, limits), "evidence")
         questions = answers.questions_with_evidence(analysis, evidence, selection.notices(analysis, chunks), selection.assess_confidence(analysis, evidence, limits))
-        quotes, support, embedder = self.settings.quotes, self.settings.validation, self.embedder
-        review = lambda made, items: claims.validate_claims(made, items, support, embedder)
-        return answers.answer_all(questions, generator or (lambda q, items: answers.extractive_answer(q, items, quotes)), quotes.show_author, review)
+        quotes = self.settings.quotes
+        if generator is None:  # quotations, which the grounding check covers
+            return answers.answer_all(questions, lambda q, items: answers.extractive_answer(q, items, quotes), quotes.show_author)
+        return answers.answer_all(questions, generator, quotes.show_author, self.settings.validation, self.embedder)
 
     def llm_generator(self, client: generation.LLMClient) -> generation.LLMAnswers:
         """A generator for ``query_many`` as the settings say."""
@@ -448,8 +450,8 @@ class Engine:
     @staticmethod
     def describe(answer: dict) -> str:
         """One line about an answer."""
-        checks = claims.status_counts([json.loads(x) for x in answer["claim_checks"]])
-        said = f", claims checked: {', '.join(f'{n} {k}' for k, n in checks.items() if n)}" if any(checks.values()) else ""
+        checks = Counter(json.loads(x)["status"] for x in answer["claim_checks"])
+        said = f", claims checked: {', '.join(f'{checks[k]} {k}' for k in ('supported', 'contradicted', 'insufficient') if checks[k])}" if checks else ""
         return f"{answer['query_type']} | {answer['status']} | {len(answer['claims'])} statement(s), {len(answer['citations'])} citation(s) | {answer['generator']}{said}"
 
     def query(self, corpus_id: str, question: str, **settings) -> dict:

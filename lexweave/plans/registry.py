@@ -12,10 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.functions import fixed, prose
+from lexweave.functions import fixed
 from lexweave.functions import text as X
 from lexweave.operators import answers, bm25, bm25_blocks, chunking, claims, dense, dense_blocks, evaluation, fusion, ingest, lines, selection, understanding
 from lexweave.operators.tables import run_dir, snapshot
+from lexweave.plans.answer_sql import claim_support_sql, sentences_sql
 from lexweave.sources import scans, sinks
 from lexweave.streaming import ingest as streaming
 
@@ -431,22 +432,24 @@ def event_sessions(s, d):
 
 
 def sentence_split(s, d):
-    def run(frames):
-        import pandas as pd
-
-        for pdf in frames:
-            yield pd.DataFrame([(r.conv_id, r.turn, i, x) for r in pdf.itertuples() for i, x in enumerate(prose.split_sentences(r.text or ""))], columns=["conv_id", "turn", "place", "sentence"])
-
-    return _t(s, d, "conversations").select("conv_id", "turn", "text").mapInPandas(run, "conv_id long, turn long, place int, sentence string")
+    """Sentences of whole conversations, and of whole documents as turn -1."""
+    own = _t(s, d, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "text").unionByName(_t(s, d, "documents").select(F.col("doc_id").alias("conv_id"), F.lit(-1).cast("long").alias("turn"), "text"))
+    return own.select("conv_id", "turn", F.posexplode(X.sentences(F.col("text"))).alias("place", "sentence"))
 
 
 def claim_support(s, d):
-    """Assistant turns as claims about the document of the same number."""
-    own = _t(s, d, "conversations").where("role = 'assistant'").join(_t(s, d, "documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("t")), "conv_id")
+    """Passages as claims about the three best documents, which they cite: as they are, in another order, denied, under a stranger's name, and with an item that was not retrieved."""
+    hits = snapshot(_bm25(s, d, 3).select("query_id", "row", "rank"), "hits")
     none = F.lit(None).cast("string")
-    item = F.struct(F.lit("E1").alias("evidence_id"), F.col("t").alias("text"), F.lit("title").alias("document_title"), F.lit("user_document").alias("source_type"), none.alias("case_name"), none.alias("article_title"), none.alias("article_number"), none.alias("heading"), F.lit(None).cast("date").alias("source_date"))
-    rows = own.select(F.concat_ws(".", "conv_id", "turn").alias("claim_id"), F.col("text").alias("claim"), F.array(F.lit("E1")).alias("citation_ids"), F.array(item).alias("evidence"))
-    return claims.check_claims(rows)
+    item = F.struct(F.concat(F.lit("E"), "rank").alias("evidence_id"), "text", F.lit("").alias("document_title"), F.lit("user_document").alias("source_type"), none.alias("case_name"), none.alias("article_title"), none.alias("article_number"), none.alias("heading"), F.lit(None).cast("date").alias("source_date"))
+    evidence = fusion.materialize_hits(hits, _chunks(s, d)).groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("evidence"))
+    ids = F.transform("evidence", lambda e: e["evidence_id"])
+    words = F.split("query", " ")
+    turned = F.array_join(F.concat(F.slice(words, 2, F.size(words)), F.slice(words, 1, 1)), " ")
+    said = {"a": (F.col("query"), ids), "b": (turned, ids), "c": (F.concat(F.lit("never "), turned), ids), "d": (F.concat(turned, F.lit(" by Qqzz")), ids), "e": (F.col("query"), F.array_append(ids, F.lit("E9")))}
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("claim"), i.alias("ids")) for k, (c, i) in said.items()]))
+    rows = evidence.join(_questions(s, d), "query_id").select("query_id", "evidence", kinds.alias("k")).select(F.concat_ws(".", "query_id", "k.kind").alias("claim_id"), "k.claim", F.col("k.ids").alias("citation_ids"), "evidence")
+    return claims.check_claims(rows).select("claim_id", "status", F.round("score", 4).alias("score"), F.round("coverage", 4).alias("coverage"), "rule", F.array_join("supporting_ids", ",").alias("supporting"))
 
 
 def _titles(s, d) -> DataFrame:
@@ -578,6 +581,9 @@ _DENSE_SQL = f"""SELECT query_id, row, round(score, 6) AS score, rank FROM (SELE
 def oracle_sql() -> dict[str, str]:
     return {
         "count_tokens": r"SELECT doc_id AS row, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS INTEGER) AS token_count FROM documents",
+        "sentence_split": f"""WITH t AS (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT doc_id, -1, text FROM documents), x AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, {sentences_sql('text')} AS ss FROM t)
+          SELECT conv_id, turn, CAST(unnest(range(len(ss))) AS INTEGER) AS place, unnest(ss) AS sentence FROM x""",
+        "claim_support": claim_support_sql(_INDEX, _bm25_sql("hits", 3), _tokens_sql),
         "tokenize_tf": f"WITH {_TF} SELECT row, term, tf, len FROM tf",
         "doc_lengths": f"WITH {_TF} SELECT row, CAST(len(ts) AS INTEGER) AS len FROM tok",
         "doc_frequency": f"WITH {_TF} SELECT term, count(*) AS df FROM tf GROUP BY term",

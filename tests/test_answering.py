@@ -99,36 +99,68 @@ def test_grounding_checks():
             A.check_grounding(made | change, ITEMS)
 
 
-BY_ID = {i["evidence_id"]: i for i in ITEMS}
 VERDICTS = [
-    ("No person shall be deprived of his life or personal liberty except according to procedure established by law.", ["E2"], "supported"),
-    ("Personal liberty and life are protected by procedure established by law. [E2]", ["E2"], "supported"),
-    ("A person can be deprived of life without procedure established by law.", ["E2"], "contradicted"),
-    ("The passport of Sharma was impounded after hearing.", ["E3"], "insufficient"),
-    ("Something wholly different about railways and taxation statutes.", ["E2"], "insufficient"),
-    ("Cited nowhere at all.", [], "insufficient"),
-    ("Unknown evidence cited here.", ["E99"], "insufficient"),
-    ("It says “these words are not there at all”.", ["E2"], "insufficient"),
-    ("Liberty.", ["E2"], "insufficient"),
-    ("[E2]", ["E2"], "insufficient"),
+    ("No person shall be deprived of his life or personal liberty except according to procedure established by law.", ["E2"], "supported", "verbatim"),
+    ("Personal liberty and life are protected by procedure established by law. [E2]", ["E2"], "supported", "covered"),
+    ("A person can be deprived of life without procedure established by law.", ["E2"], "contradicted", "conflict"),
+    ("The passport of Sharma was impounded after hearing.", ["E3"], "insufficient", "stranger"),
+    ("Something wholly different about railways and taxation statutes.", ["E2"], "insufficient", "uncovered"),
+    ("Cited nowhere at all.", [], "insufficient", "uncited"),
+    ("Unknown evidence cited here.", ["E99"], "insufficient", "unknown"),
+    ("It says “these words are not there at all”.", ["E2"], "insufficient", "misquoted"),
+    ("Liberty.", ["E2"], "insufficient", "thin"),
+    ("[E2]", ["E2"], "insufficient", "empty"),
+    (None, None, "insufficient", "empty"),
+    ("The amendment was upheld by the bench.", ["X1"], "contradicted", "conflict"),
+    ("The amendment was struck down by the bench.", ["X1"], "supported", "covered"),
+    ("Freedom of speech is absolute.", ["X2"], "contradicted", "conflict"),
+    ("Freedom of speech is not absolute.", ["X2"], "insufficient", "unconfirmed"),
+    ("Citizens never enjoy freedom of speech.", ["X2"], "contradicted", "conflict"),
+    ("The levy does not burden small traders.", ["X3"], "supported", "covered"),
+    ("The levy does not help small traders.", ["X3"], "insufficient", "unconfirmed"),
+    ("Speech of citizens, in 1950, was free.", ["X2", "X4"], "supported", "covered"),
+    ("Words about nothing here.", ["X5"], "insufficient", "blank"),
 ]
+FURTHER = [("X1", "The bench struck down the amendment. It was long."), ("X2", "Citizens enjoy freedom of speech, subject to reasonable restrictions."), ("X3", "The levy shall not burden any small traders."), ("X4", "Speech was free in 1950."), ("X5", " ")]
 
 
-@pytest.mark.parametrize("claim,ids,status", VERDICTS)
-def test_claims(claim, ids, status):
-    assert claims.check_claim(claim, ids, BY_ID).status == status
+def test_claims(spark):
+    items = [{"evidence_id": i, "text": t, "document_title": "", "source_type": "user_document", "case_name": None, "article_title": None, "article_number": None, "heading": None, "source_date": None} for i, t in FURTHER] + ITEMS
+    fields = [x.split(":")[0] for x in claims.EVIDENCE[14:-2].split(",")]
+    rows = [(n, c, ids, [tuple(i.get(f) for f in fields) for i in items]) for n, (c, ids, _, _) in enumerate(VERDICTS)] + [(99, "Nothing is sent.", ["E1"], None)]
+    got = {r["claim_id"]: r for r in claims.check_claims(spark.createDataFrame(rows, f"claim_id int, claim string, citation_ids array<string>, evidence {claims.EVIDENCE}")).collect()}
+    assert [(got[n]["status"], got[n]["rule"]) for n in range(len(VERDICTS))] == [v[2:] for v in VERDICTS] and got[99]["rule"] == "unknown"
+    assert got[0]["supporting_ids"] == ["E2"] and got[18]["supporting_ids"] == ["X2", "X4"] and "only" in got[2]["detail"] or "except" in got[2]["detail"]
 
 
-def test_claims_of_answers_and_retries():
+def test_claims_in_meaning(spark):
+    from lexweave.operators.dense import HashingEmbedder
+
+    item = [("E1", "liberty and life are protected", "", "user_document", None, None, None, None, None)]
+    rows = [(1, "liberty and life are protected", ["E1"], item), (2, "liberty and life stay guarded somehow", ["E1"], item), (3, "taxes rise sharply yearly", ["E1"], item)]
+    own = spark.createDataFrame(rows, f"claim_id int, claim string, citation_ids array<string>, evidence {claims.EVIDENCE}")
+    got = {r["claim_id"]: r for r in claims.check_claims(own, claims.SupportLimits("semantic", semantic_coverage=0.3, semantic_threshold=0.4), HashingEmbedder()).collect()}
+    assert got[1]["rule"] == "verbatim" and got[2]["status"] == "supported" and 0.4 <= got[2]["semantic"] < 1 and got[3]["status"] == "insufficient" and got[3]["semantic"] < 0.4
+    with pytest.raises(RuntimeError):
+        claims.check_claims(own, claims.SupportLimits("semantic"))
+    with pytest.raises(ValueError):
+        claims.SupportLimits(coverage=1.2)
+
+
+def test_claims_of_answers_and_retries(spark):
     reply = {"status": "answered", "direct_answer": [{"text": "Life and personal liberty are protected by procedure established by law [e2].", "citations": [{"id": "E2"}]}], "explanation": [{"text": "Railways are taxed under many statutes.", "citations": ["[E2]"], "basis": "inference"}, {"text": "No id.", "citations": []}, {"text": "Not sent.", "citations": ["E9"]}]}
     client = generation.ScriptedClient(["no json", f"```json\n{json.dumps(reply)}\n```"])
     made = generation.LLMAnswers(client)(Q, ITEMS)
     A.check_grounding(made, ITEMS)
     assert made["status"] == "partial" and len(made["claims"]) == 2 and len(client.requests) == 2 and "could not be used" in client.requests[1].user
-    checked, records = claims.validate_claims(made, ITEMS)
-    assert [r["status"] for r in records] == ["supported", "insufficient"] and len(checked["claims"]) == 1 and checked["status"] == "partial"
-    assert checked["claims"][0]["statement"].endswith("[E2].")
+    statements = spark.createDataFrame([(c["claim_id"], c["statement"], [f"E{n}" for n in c["citation_ids"]], c["basis"]) for c in made["claims"]], "statement_id string, statement string, citation_ids array<string>, basis string")
+    own = claims.statement_claims(statements).orderBy("claim_id").collect()
+    assert [(r["claim_id"], r["citation_ids"], r["claim_type"]) for r in own] == [("C1.1", ["E2"], "propositional"), ("C2.1", ["E2"], "interpretational")]
+    checks = [{"statement_id": "C1", "text": own[0]["claim"], "status": "supported", "reason": "", "kept": True, "supporting_ids": ["E2"], "shown": own[0]["sentence"]}, {"statement_id": "C2", "text": own[1]["claim"], "status": "insufficient", "reason": "r", "kept": False, "supporting_ids": [], "shown": None}]
+    checked = A.keep_supported(made, checks)
+    assert len(checked["claims"]) == 1 and checked["status"] == "partial" and checked["claims"][0]["statement"].endswith("[E2].") and "insufficient" in checked["notices"][-1]
     A.check_grounding(checked, ITEMS)
+    assert A.keep_supported(made, checks[1:])["status"] == "insufficient_evidence" and A.keep_supported(made, []) == made
     assert generation.LLMAnswers(generation.ScriptedClient([generation.LLMTimeoutError("60 s")]))(Q, ITEMS)["status"] == "generation_failed"
     assert generation.LLMAnswers(generation.ScriptedClient(["x", "y"]))(Q, ITEMS)["status"] == "generation_failed"
     assert generation.LLMAnswers(generation.ScriptedClient(['{"status": "insufficient_evidence"}']))(Q, ITEMS)["status"] == "insufficient_evidence"
