@@ -1,29 +1,30 @@
 """Chunks: sections cut into bounded, overlapping pieces.
 
-Furniture is removed with joins (``lines``); what follows depends on earlier cuts, so each document is one group of
-``applyInPandas``.  Identifiers are hashes of content, so a rebuilt corpus has the same chunk ids.
+Furniture is removed with joins (``lines``).  A structured document's lines are marked with their sections in one group
+of ``applyInPandas``; a document without structure is one section and stays in columns, as does all that follows.
+
+Packing: where a piece that begins at a unit ends, and where the next one begins, depends on that unit alone.  So both are
+worked out for every unit at once, by windows over ranges of cumulated sizes, and one fold over a section's units follows
+the chain from the first.  A section's units are one array, bounded by a document.
+
+Identifiers are hashes of content, so a rebuilt corpus has the same chunk ids.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
-from bisect import bisect_right
 from dataclasses import dataclass
-from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexweave.functions import fixed
+from lexweave.functions import text as X
 from lexweave.operators.lines import DOC, document_lines
-from lexweave.operators.sections import Section, detect_sections
-
-_TOKEN = re.compile(r"\w+|[^\w\s]")
-_ENDS = re.compile(fixed.TERMINAL)
-_STARTS = re.compile(f"{fixed.NUMBERED_PARAGRAPH}|{fixed.CLAUSE}")
+from lexweave.operators.sections import detect_sections
+from lexweave.operators.tables import snapshot
 
 CHUNK_SCHEMA = (
     "chunk_id string, corpus_id string, document_id string, document_version int, source_type string, source_url string, chunk_index int, "
@@ -48,93 +49,81 @@ class ChunkLimits:
             raise ValueError("limits must satisfy 0 < target <= most and 0 <= overlap < target")
 
 
-@dataclass(frozen=True)
-class Unit:
-    page: int
-    text: str
-    tokens: int
-    clause: str | None
-    clean: bool  # may a piece begin here?
-
-
-def token_count(text: str) -> int:
-    return len(_TOKEN.findall(text))
-
-
-def section_units(section: Section, lines: list[str], pages: list[int], most: int) -> list[Unit]:
-    """Lines with tokens; a line of more than ``most`` is cut between words."""
-    out: list[Unit] = []
-    for i in section.lines:
-        size = token_count(lines[i])
-        if not size:
-            continue
-        label = section.clauses.get(i)
-        clean = bool(label or _STARTS.match(lines[i]) or (out and _ENDS.search(out[-1].text)))
-        for k, part in enumerate([lines[i]] if size <= most else _wrap(lines[i].split(), most)):
-            out.append(Unit(pages[i], part, token_count(part), label if k == 0 else None, clean and k == 0))
-    return out
-
-
-def _wrap(words: list[str], most: int) -> list[str]:
-    """Words joined to pieces of at most ``most`` tokens; a longer single word is a piece.  Tokens never span a space, so they add up."""
-    parts: list[list[str]] = []
-    size = most + 1
-    for w in words:
-        own = token_count(w)
-        if size + own > most and (not parts or parts[-1]):
-            parts.append([])
-            size = 0
-        parts[-1].append(w)
-        size += own
-    return [" ".join(p) for p in parts]
-
-
-def pack(units: list[Unit], limits: ChunkLimits) -> list[tuple[int, int, int]]:
-    """Pieces (start, end, first new unit); units before the first new one repeat the end of the piece before.
-
-    The cumulated sizes make each bound one binary search: how far the target and the limit reach, and how far back the
-    overlap goes.
+#: What a section says of its lines.
+_SECTION = ["structural", "division", "part", "chapter", "article_number", "article_title", "heading", "opinion_author"]
+_MARKED = "document_id string, document_version int, line_no int, page_number int, line string, section int, clause string, structural boolean, " + ", ".join(f"{c} string" for c in _SECTION[1:])
+
+
+def section_lines(kept: DataFrame, registry: DataFrame) -> DataFrame:
+    """Lines with their section's number and columns, and the label of a clause that begins there; ``registry``: DOC, source_type."""
+    typed = kept.join(registry.select(*DOC, "source_type"), DOC)
+    structured = F.col("source_type").isin("constitutional_text", "judgment")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("line_no")
+        lines, rows = pdf["line"].tolist(), []
+        for n, s in enumerate(detect_sections(lines, pdf["source_type"].iloc[0])):
+            rows += [(i, n, s.clauses.get(i), *(getattr(s, c) for c in _SECTION)) for i in s.lines]
+        marks = pd.DataFrame(rows, columns=["i", "section", "clause", *_SECTION]).set_index("i")
+        own = pdf.reset_index(drop=True).drop(columns="source_type").join(marks, how="inner")
+        return own[[x.split()[0] for x in _MARKED.split(", ")]]
+
+    marked = typed.where(structured).groupBy(*DOC).applyInPandas(run, _MARKED)
+    plain = typed.where(~structured).select(*DOC, F.col("line_no").cast("int"), F.col("page_number").cast("int"), "line", F.lit(0).alias("section"), F.lit(None).cast("string").alias("clause"), F.lit(False).alias("structural"), *[F.lit(None).cast("string").alias(c) for c in _SECTION[1:]])
+    return marked.unionByName(plain)
+
+
+def wrapped(line: Column, most: int) -> Column:
+    """A line of more than ``most`` tokens as pieces of whole words that have no more; a longer single word is a piece.  Tokens never span a space, so they add up."""
+
+    def add(state: Column, word: Column) -> Column:
+        size = X.count_tokens(word)
+        full = state["now"].isNotNull() & (state["size"] + size > most)
+        return F.when(full, F.struct(F.array_append(state["done"], state["now"]).alias("done"), word.alias("now"), size.alias("size"))).otherwise(
+            F.struct(state["done"].alias("done"), F.concat_ws(" ", state["now"], word).alias("now"), (state["size"] + size).alias("size"))
+        )
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"), F.lit(0).alias("size"))
+    pieces = F.aggregate(F.split(X.normalize_space(line), " "), start, add, lambda s: F.array_append(s["done"], s["now"]))
+    return F.when(X.count_tokens(line) <= most, F.array(line)).otherwise(pieces)
+
+
+def units(lines: DataFrame, most: int) -> DataFrame:
+    """Lines with tokens as units: DOC, section, ``k`` (place in the section), text, page, tokens, clause, and ``clean``: may a piece begin here?"""
+    each = lines.where(X.count_tokens(F.col("line")) > 0).select(*DOC, "section", "line_no", F.col("page_number").alias("page"), "clause", "line", F.posexplode(wrapped(F.col("line"), most)).alias("part", "text"))
+    order = Window.partitionBy(*DOC, "section").orderBy("line_no", "part")
+    starts = F.col("clause").isNotNull() | F.col("line").rlike(f"^(?:{fixed.NUMBERED_PARAGRAPH}|{fixed.CLAUSE})") | F.coalesce(F.lag("text").over(order).rlike(fixed.TERMINAL), F.lit(False))
+    first = F.col("part") == 0
+    return each.select(*DOC, "section", (F.row_number().over(order) - 1).alias("k"), "text", "page", X.count_tokens(F.col("text")).alias("tokens"), F.when(first, F.col("clause")).alias("clause"), (first & starts).alias("clean"))
+
+
+def pieces(own: DataFrame, limits: ChunkLimits, keys: list[str]) -> DataFrame:
+    """By section (``keys``): its ``units`` in order, and its ``pieces`` (start, end, fresh): units before ``fresh`` repeat the end of the piece before.
+
+    A piece reaches as far as ``target`` tokens go, back to the last clean unit of its second half, else on to the first
+    clean one within ``most``; what is left is the last piece if it fits into ``most``.  The next piece begins as far back
+    as ``overlap`` tokens go.
     """
-    total = [0, *accumulate(u.tokens for u in units)]
-    n, start, new, out = len(units), 0, 0, []
-    while start < n:
-        reach = bisect_right(total, total[start] + limits.most) - 1
-        if reach >= n:
-            out.append((start, n, new))
-            break
-        end = max(start + 1, bisect_right(total, total[start] + limits.target) - 1)
-        half = limits.target // 2
-        inside = [k for k in range(start + 1, end + 1) if k < n and units[k].clean and total[k] - total[start] >= half]
-        ahead = [k for k in range(end + 1, min(reach, n - 1) + 1) if units[k].clean]
-        cut = inside[-1] if inside else ahead[0] if ahead else end
-        out.append((start, cut, new))
-        back = next((k for k in range(start + 1, cut + 1) if total[cut] - total[k] <= limits.overlap), cut)
-        start, new = back, cut
-    return out
-
-
-def chunk_lines(rows: pd.DataFrame, document: dict, labels: dict[int, str | None], limits: ChunkLimits) -> list[dict]:
-    """Chunks of one document from its kept lines (page_number, line) in order."""
-    lines, pages = rows["line"].tolist(), [int(p) for p in rows["page_number"]]
-    out: list[dict] = []
-    for s in detect_sections(lines, document["source_type"]):
-        units = section_units(s, lines, pages, limits.most)
-        pieces = pack(units, limits) if units else []
-        for start, end, new in pieces:
-            own = units[start:end]
-            text = "\n".join(u.text for u in own)
-            first, last = min(u.page for u in own), max(u.page for u in own)
-            method = "fallback" if not s.structural else "structure_split" if len(pieces) > 1 else "structure"
-            digest = hashlib.sha256(text.encode()).hexdigest()[:8]
-            out.append({
-                **{k: document[k] for k in ("corpus_id", "document_id", "document_version", "source_type", "source_url")},
-                "chunk_id": f"{document['document_id']}@v{document['document_version']}:{len(out):04d}:{digest}", "chunk_index": len(out),
-                "page_start": first, "page_end": last, "page_label_start": labels.get(first), "page_label_end": labels.get(last),
-                "text": text, "token_count": sum(u.tokens for u in own), "chunking_method": method, "division": s.division, "part": s.part, "chapter": s.chapter,
-                "article_number": s.article_number, "article_title": s.article_title, "clause_labels": [u.clause for u in units[max(start, new) : end] if u.clause],
-                "heading": s.heading, "opinion_author": s.opinion_author, "case_name": document["title"] if document["source_type"] == "judgment" else None, "paragraph_number": None,
-            })
-    return out
+    part = Window.partitionBy(*keys)
+    sized = own.withColumns({"_at": F.coalesce(F.sum("tokens").over(part.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("tokens").over(part), "_n": F.count("*").over(part)})
+    by = part.orderBy("_at")
+    clean = F.when(F.col("clean"), F.col("k"))
+    end = F.greatest(F.col("k") + 1, F.max("k").over(by.rangeBetween(0, limits.target)))
+    inside = F.max(clean).over(by.rangeBetween(max(limits.target // 2, 1), limits.target))
+    ahead = F.min(clean).over(by.rangeBetween(limits.target + 1, limits.most)) if limits.target < limits.most else F.lit(None)
+    cut = F.when(F.col("_all") - F.col("_at") <= limits.most, F.col("_n")).otherwise(F.coalesce(inside, ahead, end))
+    judged = sized.withColumns({"cut": cut.cast("int"), "back": F.min("k").over(by.rangeBetween(-limits.overlap, 0)).cast("int")})
+    gathered = judged.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "text", "page", "tokens", "clause", "cut", "back"))).alias("units"))
+
+    def follow(state: Column, u: Column) -> Column:
+        piece = F.struct(u["k"].alias("start"), u["cut"].alias("end"), state["fresh"].alias("fresh"))
+        after = F.coalesce(F.get(state["backs"], u["cut"]), u["cut"])
+        return F.when(u["k"] == state["next"], F.struct(F.greatest(u["k"] + 1, after).alias("next"), u["cut"].alias("fresh"), F.array_append(state["found"], piece).alias("found"), (u["cut"] >= F.size(state["backs"])).alias("over"), state["backs"].alias("backs"))).otherwise(state)
+
+    # a piece that takes in the last unit is the last one: no unit follows "next" then
+    begin = F.struct(F.lit(0).alias("next"), F.lit(0).alias("fresh"), F.array().cast("array<struct<start:int,end:int,fresh:int>>").alias("found"), F.lit(False).alias("over"), F.transform("units", lambda u: u["back"]).alias("backs"))
+    found = F.aggregate("units", begin, lambda state, u: F.when(state["over"], state).otherwise(follow(state, u)), lambda state: state["found"])
+    return gathered.withColumn("pieces", found)
 
 
 def chunk_documents(pages: DataFrame, registry: DataFrame, limits: ChunkLimits | None = None) -> DataFrame:
@@ -144,21 +133,29 @@ def chunk_documents(pages: DataFrame, registry: DataFrame, limits: ChunkLimits |
     """
     limits = limits or ChunkLimits()
     current = registry.where("replaced_by IS NULL")
-    kept = document_lines(pages.join(current.select(*DOC), DOC, "left_semi"))
-    own_labels = pages.groupBy(*DOC).agg(F.map_from_entries(F.collect_list(F.struct(F.col("page_number").cast("string"), "page_label"))).alias("labels"))  # a page's label each: bounded by one document
-    known = current.select(*DOC, "corpus_id", "source_type", "source_url", "title").join(own_labels, DOC)
-    joined = kept.join(known, DOC)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no")
-        head = pdf.iloc[0]
-        document = {k: head[k] for k in (*DOC, "corpus_id", "source_type", "source_url", "title")}
-        document["document_version"] = int(document["document_version"])
-        labels = {int(k): v for k, v in (dict(head["labels"]) or {}).items()}
-        names = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
-        return pd.DataFrame(chunk_lines(pdf, document, labels, limits), columns=names)
-
-    return joined.groupBy(*DOC).applyInPandas(run, CHUNK_SCHEMA)
+    lines = section_lines(document_lines(pages.join(current.select(*DOC), DOC, "left_semi")), current)
+    lines = snapshot(lines, "section-lines")
+    keys = [*DOC, "section"]
+    about = lines.groupBy(*keys).agg(*[F.any_value(c).alias(c) for c in _SECTION])
+    cut = pieces(units(lines, limits.most), limits, keys).select(*keys, "units", F.size("pieces").alias("n_pieces"), F.posexplode("pieces").alias("piece", "p"))
+    own = F.slice("units", F.col("p.start") + 1, F.col("p.end") - F.col("p.start"))
+    fresh = F.filter(own, lambda u: (u["k"] >= F.col("p.fresh")) & u["clause"].isNotNull())
+    text = F.array_join(F.transform(own, lambda u: u["text"]), "\n")
+    made = cut.select(
+        *keys, "piece", "n_pieces", text.alias("text"), F.aggregate(own, F.lit(0), lambda s, u: s + u["tokens"]).alias("token_count"), F.array_min(F.transform(own, lambda u: u["page"])).alias("page_start"),
+        F.array_max(F.transform(own, lambda u: u["page"])).alias("page_end"), F.transform(fresh, lambda u: u["clause"]).alias("clause_labels"),
+    )
+    labels = pages.groupBy(*DOC).agg(F.map_from_entries(F.collect_list(F.struct(F.col("page_number").cast("int"), "page_label"))).alias("labels"))  # a page's label each: bounded by one document
+    known = current.select(*DOC, "corpus_id", "source_type", "source_url", "title").join(labels, DOC)
+    index = F.row_number().over(Window.partitionBy(*DOC).orderBy("section", "piece")) - 1
+    rows = made.join(about, keys).join(known, DOC).withColumn("chunk_index", index)
+    named = {
+        "chunk_id": F.format_string("%s@v%d:%04d:%s", "document_id", "document_version", "chunk_index", F.substring(F.sha2("text", 256), 1, 8)),
+        "page_label_start": F.try_element_at("labels", F.col("page_start")), "page_label_end": F.try_element_at("labels", F.col("page_end")),
+        "chunking_method": F.when(~F.col("structural"), "fallback").when(F.col("n_pieces") > 1, "structure_split").otherwise("structure"),
+        "case_name": F.when(F.col("source_type") == "judgment", F.col("title")), "paragraph_number": F.lit(None).cast("string"),
+    }
+    return rows.withColumns(named).select(*[F.col(c).cast(kind) for c, kind in (x.split(" ", 1) for x in CHUNK_SCHEMA.split(", "))])
 
 
 def missing_documents(registry: DataFrame, pages: DataFrame) -> DataFrame:

@@ -61,16 +61,24 @@ def _without(terms: str, aside: str) -> str:
     return f"list_filter({terms}, lambda t: NOT list_contains({aside}, t))"
 
 
+def _behind(words: str) -> str:
+    return _content(f"CASE WHEN list_contains({words}, 'without') THEN {words}[list_position({words}, 'without') + 1:list_position({words}, 'without') + 4] ELSE [] END")
+
+
+def _subjects() -> str:
+    """Columns of a claim: its terms but for those that each kind of conflict turns on."""
+    pairs = [f"{_without('terms', _stems(listed([w for side in pair for w in side])))} AS about{n}" for n, pair in enumerate(fixed.ANTONYMS)]
+    return ", ".join([f"{_without('terms', 'list_append(behind, $$without$$)')} AS about_guard", f"{_without('terms', _stems(listed(fixed.ABSOLUTE)))} AS about_absolute", *pairs])
+
+
 def _conflict() -> str:
     """Does sentence s contradict claim c?"""
-    behind = _content("c.words[list_position(c.words, 'without') + 1:list_position(c.words, 'without') + 4]")
-    kinds = [f"list_contains(c.words, 'without') AND list_has_any({behind}, s.guards) AND {_share(_without('c.terms', f'list_append({behind}, $$without$$)'), 's.stems')} >= 0.5"]
-    for pair in fixed.ANTONYMS:
-        aside = _stems(listed([w for side in pair for w in side]))
+    kinds = [f"list_has_any(c.behind, s.guards) AND {_share('c.about_guard', 's.stems')} >= 0.5"]
+    for n, pair in enumerate(fixed.ANTONYMS):
         for own, other in (pair, pair[::-1]):
-            kinds.append(f"list_has_any(c.words, {listed(own)}) AND list_has_any(s.words, {listed(other)}) AND NOT list_has_any(s.words, {listed(own)}) AND {_share(_without('c.terms', aside), 's.stems')} >= 0.5")
+            kinds.append(f"list_has_any(c.words, {listed(own)}) AND list_has_any(s.words, {listed(other)}) AND NOT list_has_any(s.words, {listed(own)}) AND {_share(f'c.about{n}', 's.stems')} >= 0.5")
     limits = " OR ".join(f"contains(s.low, '{q}')" for q in fixed.QUALIFIERS)
-    kinds.append(f"list_has_any(c.words, {listed(fixed.ABSOLUTE)}) AND ({limits}) AND {_share(_without('c.terms', _stems(listed(fixed.ABSOLUTE))), 's.stems')} >= 0.5")
+    kinds.append(f"list_has_any(c.words, {listed(fixed.ABSOLUTE)}) AND ({limits}) AND {_share('c.about_absolute', 's.stems')} >= 0.5")
     kinds.append(f"NOT list_has_any(s.words, {listed([*fixed.NEGATORS, 'without'])}) AND list_has_any(c.denies, s.stems) AND {_share('c.terms', 's.stems')} >= 0.5")
     return " OR ".join(f"({k})" for k in kinds)
 
@@ -87,13 +95,15 @@ cited AS (SELECT h.query_id, h.rank, d.doc_id, coalesce(d.text, '') AS text FROM
 base AS (SELECT item_id, text AS a, array_to_string(list_concat(string_split(text, ' ')[2:], string_split(text, ' ')[1:1]), ' ') AS b FROM benchmark WHERE item_id IN (SELECT query_id FROM hits)),
 said AS (SELECT item_id, 'a' AS kind, a AS claim FROM base UNION ALL SELECT item_id, 'b', b FROM base UNION ALL SELECT item_id, 'c', 'never ' || b FROM base UNION ALL SELECT item_id, 'd', b || ' by Qqzz' FROM base UNION ALL SELECT item_id, 'e', a FROM base),
 spoken AS (SELECT *, {_spoken('claim')} AS words, {tokens(_with_not('claim'))} AS ts, {tokens('claim')} AS plain, {_canonical('claim')} AS canonical, {sentences_sql('claim')} AS sentences FROM said),
-c AS MATERIALIZED (SELECT item_id, kind, words, canonical, {_content('ts')} AS terms, {_denied('words')} AS denies, list_filter(list_distinct(plain), lambda t: regexp_matches(t, '[0-9]') AND NOT contains(t, '(')) AS numbers, sentences FROM spoken),
+termed AS MATERIALIZED (SELECT item_id, kind, words, canonical, {_content('ts')} AS terms, {_behind('words')} AS behind, {_denied('words')} AS denies, list_filter(list_distinct(plain), lambda t: regexp_matches(t, '[0-9]') AND NOT contains(t, '(')) AS numbers, sentences FROM spoken),
+c AS MATERIALIZED (SELECT *, {_subjects()} FROM termed),
 pieces AS (SELECT item_id, kind, regexp_extract_all(sentence, '[A-Za-z][\p{{L}}\p{{N}}_’''-]*') AS w FROM (SELECT item_id, kind, unnest(sentences) AS sentence FROM c)),
 name_places AS (SELECT item_id, kind, w, unnest(list_filter(range(1, len(w) + 1), lambda i: {named} AND length(w[i]) > 2 AND (i > 1 OR ({led})))) AS i FROM pieces),
 names AS (SELECT item_id, kind, w[i] AS name FROM name_places UNION SELECT item_id, kind, unnest(numbers) FROM c),
 texts AS (SELECT DISTINCT doc_id, text FROM cited), items AS MATERIALIZED (SELECT doc_id, text, {_canonical('text')} AS canonical, {_stems(tokens('text'))} AS stems FROM texts),
 split AS (SELECT doc_id, unnest({sentences_sql('text')}) AS sentence FROM texts),
-s AS MATERIALIZED (SELECT doc_id, lower(sentence) AS low, {_spoken('sentence')} AS words, {_denied(_spoken('sentence'))} AS denies, {_stems(tokens('sentence'))} AS stems, {_stems(guard)} AS guards FROM split),
+heard AS MATERIALIZED (SELECT doc_id, sentence, {_spoken('sentence')} AS words, {tokens('sentence')} AS ts FROM split),
+s AS MATERIALIZED (SELECT doc_id, lower(sentence) AS low, words, {_denied('words')} AS denies, {_stems('ts')} AS stems, {_stems(guard)} AS guards FROM heard),
 judged AS (SELECT c.item_id, c.kind, bool_or({_conflict()}) AS conflict, bool_or(list_has_any(c.denies, s.denies) AND {_share('c.terms', 's.stems')} >= 0.5) AS confirmed
   FROM c JOIN cited h ON h.query_id = c.item_id JOIN s ON s.doc_id = h.doc_id GROUP BY 1, 2),
 shares AS (SELECT c.item_id, c.kind, h.rank, i.stems, {_share('c.terms', 'i.stems')} AS share, len(string_split(c.canonical, ' ')) >= 4 AND contains(i.canonical, c.canonical) AS verbatim, i.text FROM c JOIN cited h ON h.query_id = c.item_id JOIN items i ON i.doc_id = h.doc_id),

@@ -142,12 +142,16 @@ def kept_lines(s, d):
     return lines.document_lines(_pages(s, d)).groupBy("document_id").agg(F.count("*").alias("lines"))
 
 
-def chunk_documents(s, d):
+def _all_chunks(s, d):
     pages = _pages(s, d)
     registry = pages.select("document_id", "document_version").distinct().withColumns({"corpus_id": F.lit("c"), "source_type": F.lit("user_document"), "source_url": F.lit("u"), "title": F.col("document_id"), "replaced_by": F.lit(None).cast("string")})
     return chunking.chunk_documents(pages, registry, chunking.ChunkLimits(200, 250, 40))
 
 
+def chunk_documents(s, d):
+    return _all_chunks(s, d).select("chunk_id", "chunk_index", "page_start", "page_end", "text", "token_count", "chunking_method")
+
+
 def _turns(s, d):
     """Turns of conversations as chunks: the role is the method, the turn the page."""
     own = _t(s, d, "conversations")
@@ -155,7 +159,7 @@ def _turns(s, d):
 
 
 def chunk_report(s, d):
-    return chunking.chunk_report(_turns(s, d))
+    return chunking.chunk_report(_all_chunks(s, d))
 
 
 def opening_texts(s, d):
@@ -564,10 +568,36 @@ _KEPT = f"""{_PAGES}, fuzz AS (SELECT *, left(regexp_replace(lower(line), '[^a-z
 total AS (SELECT doc_id, max(i) // 15 + 1 AS n_pages FROM raw GROUP BY 1),
 running AS (SELECT doc_id, key, count(DISTINCT p) AS pages FROM fuzz WHERE at_edge GROUP BY 1, 2),
 heads AS (SELECT doc_id, fuzzy FROM fuzz WHERE at_edge AND header AND length(fuzzy) >= 6 GROUP BY 1, 2 HAVING count(DISTINCT p) >= 3),
-marked AS (SELECT f.doc_id, regexp_matches(line, '^[A-Ha-h]$') OR (h.fuzzy IS NOT NULL AND header) OR (at_edge AND (regexp_matches(line, '(?i){fixed.PAGE_NUMBER}')
+marked AS (SELECT f.doc_id, f.p, f.k, f.line, regexp_matches(line, '^[A-Ha-h]$') OR (h.fuzzy IS NOT NULL AND header) OR (at_edge AND (regexp_matches(line, '(?i){fixed.PAGE_NUMBER}')
   OR coalesce(len(string_split(f.key, ' ')) <= 12 AND r.pages >= 5 AND r.pages >= n_pages / 2.0, false))) AS gone
   FROM fuzz f JOIN total t ON t.doc_id = f.doc_id LEFT JOIN running r ON r.doc_id = f.doc_id AND r.key = f.key LEFT JOIN heads h ON h.doc_id = f.doc_id AND h.fuzzy = f.fuzzy)"""
 
+_COUNT = r"len(regexp_extract_all({c}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]'))"
+
+
+def _chunks_sql(target: int, most: int, overlap: int) -> str:
+    """Pages of documents without structure, packed piece by piece: ``chunks``."""
+    words = r"string_split(trim(regexp_replace(line, '\s+', ' ', 'g')), ' ')"
+    states = f"list_transform({words}, lambda w: {{'done': CAST([] AS VARCHAR[]), 'now': w, 'size': {_COUNT.format(c='w')}}})"
+    merged = f"list_reduce({states}, lambda a, x: CASE WHEN a.size + x.size > {most} THEN {{'done': list_append(a.done, a.now), 'now': x.now, 'size': x.size}} ELSE {{'done': a.done, 'now': a.now || ' ' || x.now, 'size': a.size + x.size}} END)"
+    size = lambda a, b: f"(sums[{b} + 1] - sums[{a} + 1])"
+    ends = f"greatest(begin + 1, list_max(list_filter(range(begin, n), lambda k: {size('begin', 'k')} <= {target})))"
+    inside = f"list_max(list_filter(range(begin + 1, n), lambda k: clean[k + 1] AND {size('begin', 'k')} BETWEEN {max(target // 2, 1)} AND {target}))"
+    ahead = f"list_min(list_filter(range(begin + 1, n), lambda k: clean[k + 1] AND {size('begin', 'k')} BETWEEN {target + 1} AND {most}))"
+    cut = f"CASE WHEN {size('begin', 'n')} <= {most} THEN n ELSE coalesce({inside}, {ahead}, {ends}) END"
+    back = f"coalesce(list_min(list_filter(range(begin + 1, cut + 1), lambda k: {size('k', 'cut')} <= {overlap})), cut)"
+    return f"""{_KEPT}, long_ AS (SELECT doc_id, p, k, line, {_COUNT.format(c='line')} AS tokens FROM marked WHERE NOT gone),
+wrapped AS (SELECT doc_id, p, k, line, CASE WHEN tokens <= {most} THEN [line] ELSE list_transform([{merged}], lambda m: list_append(m.done, m.now))[1] END AS ws FROM long_ WHERE tokens > 0),
+parts AS (SELECT doc_id, p, k, line, unnest(range(len(ws))) AS part, unnest(ws) AS text FROM wrapped),
+own AS (SELECT *, {_COUNT.format(c='text')} AS tokens, part = 0 AND (regexp_matches(line, '^(?:{fixed.NUMBERED_PARAGRAPH}|{fixed.CLAUSE})') OR coalesce(regexp_matches(lag(text) OVER (PARTITION BY doc_id ORDER BY p, k, part), '{fixed.TERMINAL.replace("'", "''")}'), false)) AS clean FROM parts),
+docs AS MATERIALIZED (SELECT doc_id, count(*) AS n, list(text ORDER BY p, k, part) AS texts, list(p + 1 ORDER BY p, k, part) AS on_page, list(clean ORDER BY p, k, part) AS clean, list_prepend(0, list(upto ORDER BY p, k, part)) AS sums
+  FROM (SELECT *, sum(tokens) OVER (PARTITION BY doc_id ORDER BY p, k, part ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM own) GROUP BY doc_id),
+steps(doc_id, chunk_index, begin, cut) AS (SELECT doc_id, 0, 0::BIGINT, {cut.replace('begin', '0')} FROM docs
+  UNION ALL SELECT doc_id, chunk_index + 1, begin, {cut} FROM (SELECT s.doc_id, chunk_index, {back} AS begin, d.n, d.sums, d.clean FROM steps s JOIN docs d ON d.doc_id = s.doc_id WHERE s.cut < d.n)),
+chunks AS (SELECT s.doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(list_min(on_page[begin + 1:cut]) AS INTEGER) AS page_start, CAST(list_max(on_page[begin + 1:cut]) AS INTEGER) AS page_end, array_to_string(texts[begin + 1:cut], chr(10)) AS text,
+  CAST(sums[cut + 1] - sums[begin + 1] AS INTEGER) AS token_count, 'fallback' AS chunking_method FROM steps s JOIN docs d ON d.doc_id = s.doc_id)"""
+
+
 _SPACED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 _PLAIN_QUOTES = "'" + "''" * 2 + '""--' + "'"
 _NAME_WORDS = "SELECT DISTINCT document_id, unnest(regexp_extract_all(lower(title), '[a-z]+')) AS token FROM titles"
@@ -621,7 +651,8 @@ def oracle_sql() -> dict[str, str]:
           UNION ALL SELECT query_id, document_id, word, min(token), true FROM open_ JOIN names ON left(word, 1) = left(token, 1) AND length(token) >= 6 AND abs(length(word) - length(token)) <= 1
           WHERE damerau_levenshtein(word, token) = 1 AND NOT starts_with(word, token) AND NOT starts_with(token, word) GROUP BY 1, 2, 3""",
         "kept_lines": f"WITH {_KEPT} SELECT 'D' || doc_id AS document_id, count(*) AS lines FROM marked WHERE NOT gone GROUP BY 1",
-        "chunk_report": r"SELECT conv_id AS document_id, role AS chunking_method, count(*) AS chunks, CAST(sum(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'))) AS BIGINT) AS tokens, min(turn) AS first_page, max(turn) AS last_page FROM conversations GROUP BY 1, 2",
+        "chunk_documents": f"WITH RECURSIVE {_chunks_sql(200, 250, 40)} SELECT 'D' || doc_id || '@v1:' || printf('%04d', chunk_index) || ':' || left(sha256(text), 8) AS chunk_id, chunk_index, page_start, page_end, text, token_count, chunking_method FROM chunks",
+        "chunk_report": f"WITH RECURSIVE {_chunks_sql(200, 250, 40)} SELECT 'D' || doc_id AS document_id, chunking_method, count(*) AS chunks, CAST(sum(token_count) AS BIGINT) AS tokens, min(page_start) AS first_page, max(page_end) AS last_page FROM chunks GROUP BY 1, 2",
         "opening_texts": "SELECT conv_id AS document_id, left(arg_min(text, turn), 200) AS opening FROM conversations GROUP BY 1",
         "invalid_chunks": "SELECT * FROM (SELECT conv_id || ':' || turn AS chunk_id, CASE WHEN turn % 3 = 2 THEN 'pages out of order' WHEN trim(text) = '' THEN 'blank text' WHEN role = 'system' THEN 'article outside constitutional text' END AS problem FROM conversations) WHERE problem IS NOT NULL",
         "stale_rows": "SELECT doc_id AS row FROM documents WHERE doc_id < 100 OR doc_id % 10 = 3",

@@ -1,7 +1,9 @@
 import hashlib
 import random
+from collections import namedtuple
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexweave.operators import chunking as C
 from lexweave.operators import ingest, lines, sections
@@ -53,11 +55,14 @@ def test_judgments():
     assert sections.detect_sections(["plain", "text"], "judgment")[0].structural is False
 
 
+Unit = namedtuple("Unit", "tokens clean")
+
+
 def greedy(units, limits):
     """The packing rule, step by step."""
     n, start, new, out = len(units), 0, 0, []
     size = lambda a, b: sum(u.tokens for u in units[a:b])
-    while True:
+    while start < n:
         if size(start, n) <= limits.most:
             return [*out, (start, n, new)]
         end = start + 1
@@ -79,21 +84,30 @@ def greedy(units, limits):
         while back - 1 > start and size(back - 1, cut) <= limits.overlap:
             back -= 1
         start, new = back, cut
+    return out
 
 
-def test_packing():
+def test_packing(spark):
     r = random.Random(3)
-    for _ in range(500):
-        limits = C.ChunkLimits(60, 80, 15)
-        units = [C.Unit(1, "x", r.randrange(1, 40), None, r.random() < 0.3) for _ in range(r.randrange(1, 60))]
-        got = C.pack(units, limits)
-        assert got == greedy(units, limits)
-        assert all(sum(u.tokens for u in units[a:b]) <= 80 for a, b, _ in got)
-        assert [i for a, b, new in got for i in range(max(a, new), b)] == list(range(len(units)))
+    sections_ = [[(k, r.randrange(1, 40) if r.random() < 0.97 else 90, r.random() < 0.3) for k in range(r.randrange(1, 60))] for _ in range(300)]
+    rows = [(n, k, f"t{k}", 1, size, None, clean) for n, own in enumerate(sections_) for k, size, clean in own]
+    df = spark.createDataFrame(rows, "n int, k int, text string, page int, tokens int, clause string, clean boolean")
+    for limits in (C.ChunkLimits(60, 80, 15), C.ChunkLimits(50, 50, 0), C.ChunkLimits(1, 40, 0)):
+        got = {x.n: [tuple(p) for p in x.pieces] for x in C.pieces(df, limits, ["n"]).collect()}
+        for n, own in enumerate(sections_):
+            units = [Unit(size, clean) for _, size, clean in own]
+            assert got[n] == greedy(units, limits), (n, limits)
+            assert [i for a, b, new in got[n] for i in range(max(a, new), b)] == list(range(len(units)))
     with pytest.raises(ValueError):
         C.ChunkLimits(10, 5, 1)
 
 
+def test_long_lines_are_cut_between_words(spark):
+    line = "one two, three. " + "x" * 50 + " four-five six"
+    got = spark.createDataFrame([(line,), ("a b c",), ("-",)], "x string").select(C.wrapped(F.col("x"), 4).alias("w")).collect()
+    assert [r.w for r in got] == [["one two,", "three. " + "x" * 50, "four-five six"], ["a b c"], ["-"]]
+
+
 def pages_of(spark, texts, document="D"):
     return spark.createDataFrame([(document, 1, i + 1, t, str(100 + i)) for i, t in enumerate(texts)], "document_id string, document_version int, page_number int, text string, page_label string")
 
@@ -132,8 +146,6 @@ def test_versions(spark):
     one = ingest.apply_ingest(none, ingest.plan_ingest(none, first))
     assert {(r.document_id, r.document_version) for r in one.collect()} == {("a", 1), ("b", 1)}
     assert {r.outcome for r in ingest.plan_ingest(one, first).collect()} == {"unchanged", "failed"}
-    from pyspark.sql import functions as F
-
     second = first.where("document_id = 'a'").withColumn("file_sha256", F.lit("h2"))
     two = ingest.apply_ingest(one, ingest.plan_ingest(one, second))
     assert {(r.document_id, r.document_version, r.replaced_by) for r in two.collect()} == {("a", 1, "a@v2"), ("a", 2, None), ("b", 1, None)}
