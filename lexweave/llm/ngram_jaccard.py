@@ -271,6 +271,9 @@ class _Join:
         for r in met.collect():  # a row for each bucket at most
             counts[r["bucket"]] = r["count"]
         prefix = sets.mapInArrow(_prefixes(sets.sparkSession.sparkContext.broadcast(counts), self.percent), "_key long, _cid long, _n long, _place int")
+        # close copies meet under hundreds of signatures: groups of the same classes, at most HOT each, count once
+        alike = usual.groupBy("_key").agg(F.array_sort(F.collect_set("_cid")).alias("_cids")).where(F.size("_cids") > 1).select("_cids").distinct()
+        usual = alike.select(F.xxhash64("_cids").alias("_key"), F.explode("_cids").alias("_cid"))
         usual = usual.distinct().join(self.sketches.select("_cid", "_n"), "_cid").withColumn("_place", F.lit(0))
         columns = ["_key", "_cid", "_n", "_place"]
         return materialize(usual.select(columns).unionByName(prefix), "candidate-groups")
