@@ -49,7 +49,12 @@ _NAMES = frozenset(
     "header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion related "
     "recommended replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
-_UNLESS = frozenset("with has no without".split())
+#: Words beside those names that say where or how, not what.
+_PLACES = frozenset(
+    "site page main global top bottom left right inner outer primary secondary mobile desktop sticky fixed floating small large list box area block container wrapper wrap section group panel "
+    "item items bar row column col links link button buttons icon icons unit slot text title body content user users reader readers visitor post posts article articles story stories news "
+    "entry thread form field input bottom middle center hidden close open js el widget area my the our".split()
+)
 
 _TAG = re.compile(r"<(?:!--|[!?][^>]*>|/?[a-zA-Z][^\s/>]*)")
 _REST = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*>""")
@@ -64,11 +69,12 @@ def _named_furniture(name: str, attributes: str, inside: bool) -> bool:
             return True
         if key in ("class", "id"):
             for own in value.split():
-                parts = re.split(r"[-_:]+", own)
-                if _UNLESS.isdisjoint(parts) and not _NAMES.isdisjoint(parts):
+                parts = [x for x in re.split(r"[-_:]+", own) if x and not x.isdigit()]
+                # a name says so only if all of it does: a "cookie-notice" is furniture, a "notice-of-appeal" is not
+                if not _NAMES.isdisjoint(parts) and (_NAMES | _PLACES).issuperset(parts):
                     if name in _TITLES and "comment" not in parts and "comments" not in parts:
                         continue
-                    if inside and parts[-1] == "header":
+                    if inside and (parts[-1] == "header" or _NAMES.intersection(parts) == {"menu"}):
                         continue
                     return True
     return False

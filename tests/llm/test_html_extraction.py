@@ -164,3 +164,8 @@ def test_articles_of_the_tables(spark, tiny):
 
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1|br)>", inner)]
         assert r.text == "\n".join(b for b in blocks if b)
+
+
+def test_a_name_says_furniture_only_as_a_whole():
+    page = "<body><article><p class='notice-of-appeal'>Appeal text</p><ul class='menu'><li>Soup</li></ul><p class='without-ads'>Free</p><div class='cookie-notice'>Cookies</div><div class='reader-comments'>Nice</div><p id='ad-2'>Buy</p></article></body>"
+    assert H.main_text(H.page_lines(page), [])[0] == "Appeal text\nSoup\nFree"
