@@ -117,7 +117,7 @@ VERDICTS = [
     ("Freedom of speech is not absolute.", ["X2"], "insufficient", "unconfirmed"),
     ("Citizens never enjoy freedom of speech.", ["X2"], "contradicted", "conflict"),
     ("The levy does not burden small traders.", ["X3"], "supported", "covered"),
-    ("The levy does not help small traders.", ["X3"], "insufficient", "unconfirmed"),
+    ("The levy does not help big importers.", ["X3"], "insufficient", "unconfirmed"),
     ("Speech of citizens, in 1950, was free.", ["X2", "X4"], "supported", "covered"),
     ("Words about nothing here.", ["X5"], "insufficient", "blank"),
 ]
@@ -126,7 +126,7 @@ FURTHER = [("X1", "The bench struck down the amendment. It was long."), ("X2", "
 
 def test_claims(spark):
     items = [{"evidence_id": i, "text": t, "document_title": "", "source_type": "user_document", "case_name": None, "article_title": None, "article_number": None, "heading": None, "source_date": None} for i, t in FURTHER] + ITEMS
-    fields = [x.split(":")[0] for x in claims.EVIDENCE[14:-2].split(",")]
+    fields = [x.split(":")[0] for x in claims.EVIDENCE[13:-2].split(",")]
     rows = [(n, c, ids, [tuple(i.get(f) for f in fields) for i in items]) for n, (c, ids, _, _) in enumerate(VERDICTS)] + [(99, "Nothing is sent.", ["E1"], None)]
     got = {r["claim_id"]: r for r in claims.check_claims(spark.createDataFrame(rows, f"claim_id int, claim string, citation_ids array<string>, evidence {claims.EVIDENCE}")).collect()}
     assert [(got[n]["status"], got[n]["rule"]) for n in range(len(VERDICTS))] == [v[2:] for v in VERDICTS] and got[99]["rule"] == "unknown"
