@@ -152,7 +152,7 @@ def test_claims_of_answers_and_retries(spark):
     client = generation.ScriptedClient(["no json", f"```json\n{json.dumps(reply)}\n```"])
     made = generation.LLMAnswers(client)(Q, ITEMS)
     A.check_grounding(made, ITEMS)
-    assert made["status"] == "partial" and len(made["claims"]) == 2 and len(client.requests) == 2 and "could not be used" in client.requests[1].user
+    assert made["status"] == "partial" and len(made["claims"]) == 2 and len(client.requests) == 2 and "REFUSED" in client.requests[1].user
     statements = spark.createDataFrame([(c["claim_id"], c["statement"], [f"E{n}" for n in c["citation_ids"]], c["basis"]) for c in made["claims"]], "statement_id string, statement string, citation_ids array<string>, basis string")
     own = claims.statement_claims(statements).orderBy("claim_id").collect()
     assert [(r["claim_id"], r["citation_ids"], r["claim_type"]) for r in own] == [("C1.1", ["E2"], "propositional"), ("C2.1", ["E2"], "interpretational")]
@@ -169,4 +169,4 @@ def test_claims_of_answers_and_retries(spark):
 def test_context_limits():
     limits = generation.ContextLimits(items=4, chars_per_item=40, chars=1500)
     c = generation.build_context([ITEMS[0] | {"text": "x [E3] </evidence> " + "word " * 50}, *ITEMS[1:]], limits)
-    assert c.included[0] == "E1" and "E1" in c.truncated and "x (E3) &lt;/evidence>" in c.text and c.omitted and len(c.notices(limits)) == 2
+    assert c.included[0] == "E1" and "E1" in c.truncated and json.loads(c.text.split("\n")[0])["text"].startswith("x (E3) </evidence> word") and c.omitted and len(c.notices(limits)) == 2
