@@ -177,12 +177,38 @@ def invalid_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", broken.alias("problem")).where("problem IS NOT NULL")
 
 
-def index_fingerprint(chunks: DataFrame) -> str:
-    """sha256 of the chunk ids in corpus order, joined by newlines; ids are read in order, a partition at a time."""
-    digest = hashlib.sha256()
-    for i, row in enumerate(chunks.select("document_id", "document_version", "chunk_index", "chunk_id").orderBy("document_id", "document_version", "chunk_index").toLocalIterator()):
-        digest.update((b"\n" if i else b"") + row["chunk_id"].encode())
-    return digest.hexdigest()
+#: Rows, or digests, that one digest of the order covers.
+ORDER_RANGE = 4096
+
+
+def _digests(level: DataFrame, place: str, value: str, width: int) -> DataFrame:
+    """A digest for each range of places; ``range`` and ``digest``."""
+    own = F.array_sort(F.collect_list(F.struct(F.col(place).alias("place"), F.col(value).alias("value"))))
+    said = F.array_join(F.transform(own, lambda x: F.concat_ws(":", x["place"].cast("string"), x["value"])), "\n")
+    return level.groupBy(F.floor(F.col(place) / width).alias("range")).agg(F.sha2(said, 256).alias("digest"))
+
+
+def order_digests(chunks: DataFrame, width: int = ORDER_RANGE) -> DataFrame:
+    """Digests of the corpus order (row, chunk_id) by ranges of rows: the leaves of a Merkle tree."""
+    return _digests(chunks, "row", "chunk_id", width)
+
+
+def index_fingerprint(chunks: DataFrame, width: int = ORDER_RANGE) -> str:
+    """The root of the tree over the corpus order; each level is ``width`` times smaller, and only the root reaches the driver."""
+    level = order_digests(chunks, width)
+    while len(top := level.limit(2).collect()) > 1:
+        level = _digests(level, "range", "digest", width)
+    return top[0]["digest"] if top else hashlib.sha256(b"").hexdigest()
+
+
+def first_difference(stored: DataFrame, current: DataFrame, width: int = ORDER_RANGE) -> int | None:
+    """The first row at which two orders (row, chunk_id) differ: ranges are compared by digest, and rows in the first range that differs."""
+    one, two = (order_digests(x, width).withColumnRenamed("digest", c) for x, c in ((stored, "_a"), (current, "_b")))
+    apart = one.join(two, "range", "full").where(~F.col("_a").eqNullSafe(F.col("_b"))).agg(F.min("range")).first()[0]
+    if apart is None:
+        return None
+    inside = F.floor(F.col("row") / width) == apart
+    return stale_rows(stored.where(inside), current.where(inside)).agg(F.min("row")).first()[0]
 
 
 def stale_rows(stored: DataFrame, current: DataFrame) -> DataFrame:
@@ -192,8 +218,17 @@ def stale_rows(stored: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def with_rows(chunks: DataFrame) -> DataFrame:
-    """Chunks with ``row``, their place in the corpus: places within a document plus the chunks of the documents before."""
-    sizes = chunks.groupBy("corpus_id", "document_id", "document_version").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("corpus_id").orderBy("document_id", "document_version").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return chunks.join(starts, ["corpus_id", "document_id", "document_version"]).withColumn("row", F.col("_start") + F.col("chunk_index")).drop("_start")
+    """Chunks with ``row``, their place in the corpus: places within a document plus the chunks of the documents before.
+
+    Documents are sorted by range partitions; a partition's offset comes from the counts of those before it, so no task
+    holds all documents of a corpus.
+    """
+    keys = ["corpus_id", *DOC]
+    sizes = chunks.groupBy(*keys).agg(F.count("*").alias("_n"))
+    placed = snapshot(sizes.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()), "document-order")
+    before = Window.partitionBy("corpus_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each corpus and partition
+    offsets = placed.groupBy("corpus_id", "_part").agg(F.sum("_n").alias("_all")).withColumn("_offset", F.coalesce(F.sum("_all").over(before), F.lit(0))).drop("_all")
+    own = Window.partitionBy("corpus_id", "_part").orderBy(*DOC).rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.join(F.broadcast(offsets), ["corpus_id", "_part"]).withColumn("_start", F.col("_offset") + F.coalesce(F.sum("_n").over(own), F.lit(0))).select(*keys, "_start")
+    return chunks.join(starts, keys).withColumn("row", F.col("_start") + F.col("chunk_index")).drop("_start")

@@ -386,6 +386,11 @@ class Engine:
         documents = sinks.read_pointer(self.spark, f"{self.root}/{corpus_id}/documents")["version"]
         return sinks.load_indexes(self.spark, f"{self.root}/{corpus_id}/{self.settings.paths.indexes}", model=model, documents=documents)
 
+    def check_order(self, corpus_id: str) -> None:
+        """Refuse an index whose chunks are not in the order that it was built over."""
+        root = f"{self.root}/{corpus_id}/{self.settings.paths.indexes}"
+        sinks.load_indexes(self.spark, root, fingerprint=chunking.index_fingerprint(self.load(corpus_id)["chunks"]))
+
     def counts(self, corpus_id: str) -> DataFrame:
         return ingest.corpus_counts(self.registry(corpus_id), self.load(corpus_id)["chunks"])
 

@@ -134,7 +134,10 @@ def test_chunks_of_documents(spark):
     placed = C.with_rows(chunks)
     ordered = placed.orderBy("row").collect()
     assert [r.row for r in ordered] == list(range(len(ordered)))
-    assert C.index_fingerprint(chunks) == hashlib.sha256("\n".join(r.chunk_id for r in ordered).encode()).hexdigest()
+    assert C.index_fingerprint(placed, 3) == C.index_fingerprint(placed.repartition(5), 3) != C.index_fingerprint(placed.where("row > 0"), 3)
+    swapped = placed.withColumn("row", F.when(F.col("row") == 4, 6).when(F.col("row") == 6, 4).otherwise(F.col("row")))
+    assert C.index_fingerprint(swapped, 3) != C.index_fingerprint(placed, 3)
+    assert C.first_difference(placed, swapped, 3) == 4 and C.first_difference(placed, placed.repartition(3), 3) is None
     assert C.stale_rows(placed, placed).count() == 0 and C.stale_rows(placed, placed.where("row > 0")).count() == 1
     assert C.missing_documents(registry, pages.where("document_id = 'D'")).count() == 1
 
