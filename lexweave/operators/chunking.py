@@ -163,6 +163,14 @@ def missing_documents(registry: DataFrame, pages: DataFrame) -> DataFrame:
     return registry.where("replaced_by IS NULL").select(*DOC).join(pages.select(*DOC).distinct(), DOC, "left_anti")
 
 
+def hit_line() -> Column:
+    """One line about a chunk (its columns and its document's ``title``): the first of case, article, heading, part, title and id that it has, its author, its pages."""
+    article = F.when(F.col("article_number") != "", F.concat_ws(" — ", F.concat(F.lit("Article "), "article_number"), "article_title"))
+    named = [F.when(F.col(c) != "", F.col(c)) for c in ("case_name", "heading", "part", "title", "document_id")]
+    pages = F.format_string("pp. %d-%d", "page_start", "page_end")
+    return F.concat_ws(" | ", F.coalesce(named[0], article, *named[1:]), F.when(F.col("opinion_author") != "", F.col("opinion_author")), pages)
+
+
 def chunk_report(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("document_id", "chunking_method").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"), F.min("page_start").alias("first_page"), F.max("page_end").alias("last_page"))
 

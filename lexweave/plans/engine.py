@@ -122,6 +122,32 @@ class LLMSettings:
     max_output_tokens: int = 1024
 
 
+#: Least and largest of each setting; None: no bound.
+BOUNDS: dict[str, dict[str, tuple[float | None, float | None]]] = {
+    "uploads": {"max_bytes": (1, None), "max_documents": (1, None), "max_total": (1, None), "max_pages": (1, None)},
+    "reranking": {"candidates": (1, None)},
+    "generation": {"items": (1, None), "chars_per_item": (200, None), "chars": (1000, None)},
+    "llm": {"retries": (0, 3), "timeout_seconds": (1e-9, None), "temperature": (0, 2), "max_output_tokens": (16, None)},
+    "validation": {"coverage": (1e-9, 1), "min_terms": (1, None), "contribution": (0, 1), "overlap": (1e-9, 1), "semantic_floor": (-1, 1), "semantic_threshold": (-1, 1), "semantic_coverage": (1e-9, 1)},
+    "chunking": {"target": (50, None), "most": (50, None), "overlap": (0, None)},
+    "retrieval": {"k1": (1e-9, None), "b": (0, 1), "top_bm25": (1, None), "top_dense": (1, None), "top_n": (1, None), "rrf_k": (1, None), "bm25_weight": (0, None), "dense_weight": (0, None)},
+    "evidence": {"top_k": (1, None), "max_constitutional": (0, None), "max_per_document": (1, None), "provision_boost": (0, None), "case_boost": (0, None), "mention_boost": (0, None), "min_term_coverage": (0, 1), "min_dense_score": (-1, 1)},
+    "quotes": {"sentences": (1, None), "chars": (80, None)},
+}
+
+
+def check_bounds(section: str, values: dict) -> None:
+    """Refuse a number out of its bounds, and what is no number where one is asked for."""
+    for name, (low, high) in BOUNDS.get(section, {}).items():
+        value = values.get(name, low)
+        if value is None:  # switched off
+            continue
+        if isinstance(value, bool) or not isinstance(value, (int, float)) or (low is not None and value < low) or (high is not None and value > high):
+            raise ValueError(f"{section}.{name} must be a number from {low} to {'any' if high is None else high}, not {value!r}")
+    if section == "uploads" and not values.get("extensions", True):
+        raise ValueError("uploads.extensions must name at least one ending")
+
+
 @dataclass(frozen=True)
 class Settings:
     corpus: CorpusSettings = field(default_factory=CorpusSettings)
@@ -141,7 +167,7 @@ class Settings:
 
     @classmethod
     def load(cls, values: dict, env: dict[str, str] | None = None) -> Settings:
-        """From nested values; ``LEXWEAVE_<SECTION>_<NAME>`` of ``env`` wins; unknown keys are refused."""
+        """From nested values; ``LEXWEAVE_<SECTION>_<NAME>`` of ``env`` wins; unknown keys and values out of bounds are refused."""
         own = cls()
         known = {k: v for k, v in own.__dict__.items() if hasattr(v, "__dataclass_fields__")}
         for name, value in (env or {}).items():
@@ -150,10 +176,13 @@ class Settings:
                 values = values | {m[1].lower(): values.get(m[1].lower(), {}) | {m[2].lower(): json.loads(value)}}
         for section, part in values.items():
             if section == "candidate_pool":
+                if isinstance(part, bool) or not isinstance(part, int) or part < 1:
+                    raise ValueError("candidate_pool must be at least 1")
                 own = replace(own, candidate_pool=part)
             elif section not in known or set(part) - set(asdict(known[section])):
                 raise ValueError(f"unknown settings in {section}")
             else:
+                check_bounds(section, part)
                 own = replace(own, **{section: replace(known[section], **part)})
         return own
 
@@ -459,6 +488,13 @@ class Engine:
         said = f", claims checked: {', '.join(f'{checks[k]} {k}' for k in ('supported', 'contradicted', 'insufficient') if checks[k])}" if checks else ""
         return f"{answer['query_type']} | {answer['status']} | {len(answer['claims'])} statement(s), {len(answer['citations'])} citation(s) | {answer['generator']}{said}"
 
+    def describe_hits(self, corpus_id: str, hits: DataFrame) -> DataFrame:
+        """``hits`` with ``line``: where each is from (case, article, heading, part, title or id), its author and its pages."""
+        titles = ingest.latest_versions(self.registry(corpus_id)).select("document_id", "title")
+        columns = ["row", "document_id", "case_name", "article_number", "article_title", "heading", "part", "opinion_author", "page_start", "page_end"]
+        chunks = self.load(corpus_id)["chunks"].select(*columns).join(titles, "document_id", "left").select("row", chunking.hit_line().alias("line"))
+        return hits.join(chunks, "row", "left")
+
     def query(self, corpus_id: str, question: str, **settings) -> dict:
         rows = self.query_many(corpus_id, self.spark.createDataFrame([("q", question)], "query_id string, query string"), **settings).collect()
         return rows[0].asDict(True)

@@ -156,3 +156,9 @@ def test_versions(spark):
     assert ingest.duplicate_keys(two.unionByName(two)).count() == 3
     ident = spark.range(1).select(ingest.document_id(F.lit("c"), F.lit("judgment"), F.lit("HTTPS://X.org/a/")).alias("d")).first().d
     assert ident == "JUDG-" + hashlib.sha256(b"c|judgment|https://x.org/a").hexdigest()[:12]
+
+
+def test_lines_about_hits(spark):
+    rows = [("M v. U", "21", "Life", "H", "P", "T", "d", "BHAGWATI, J.", 1, 2), (None, "21", "Life", "H", "P", "T", "d", None, 3, 3), (None, "7", None, None, None, None, "d", "", 1, 1), ("", None, None, "H", "P", "T", "d", None, 1, 1), (None, None, None, None, "P", "T", "d", None, 1, 1), (None, None, None, None, None, "T", "d", None, 1, 1), (None, None, None, None, None, None, "d", None, 1, 9)]
+    df = spark.createDataFrame(rows, "case_name string, article_number string, article_title string, heading string, part string, title string, document_id string, opinion_author string, page_start int, page_end int")
+    assert [r.line for r in df.select(C.hit_line().alias("line")).collect()] == ["M v. U | BHAGWATI, J. | pp. 1-2", "Article 21 — Life | pp. 3-3", "Article 7 | pp. 1-1", "H | pp. 1-1", "P | pp. 1-1", "T | pp. 1-1", "d | pp. 1-9"]

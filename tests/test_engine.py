@@ -183,6 +183,11 @@ def test_settings():
         E.Settings.load({"retrieval": {"k9": 1}})
     with pytest.raises(ValueError):
         E.RetrievalSettings(bm25_weight=0, dense_weight=0)
+    bad = {"uploads": {"max_pages": 0}, "reranking": {"candidates": 0}, "generation": {"chars": 10}, "llm": {"temperature": 2.5}, "validation": {"coverage": 1.5}, "chunking": {"target": 10}, "retrieval": {"top_n": -1}, "evidence": {"min_term_coverage": 2}, "quotes": {"chars": "many"}}
+    for section, values in [*bad.items(), ("uploads", {"extensions": []}), ("candidate_pool", 0), ("retrieval", {"b": True})]:
+        with pytest.raises(ValueError):
+            E.Settings.load({section: values})
+    assert E.Settings.load({"evidence": {"min_dense_score": None, "top_k": 3}, "llm": {"retries": 0}}).evidence.top_k == 3
 
 
 def test_streams(spark, tiny, tmp_path):
