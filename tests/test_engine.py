@@ -69,6 +69,8 @@ def test_directory_and_command_line(spark, tmp_path, capsys):
     main([root, "add", "ships", str(tmp_path / "in")])
     main([root, "build", "ships"])
     main([root, "query", "ships", "What filled airships with hydrogen?"])
+    main([root, "hits", "ships", "What filled airships with hydrogen?", "--mode", "bm25"])
+    main([root, "check", "ships"])
     main([root, "list"])
     said = capsys.readouterr().out
     assert "failed" in said and "hydrogen" in said and "air.txt" in said and '"status": "ready"' in said
