@@ -223,7 +223,7 @@ def test_queries_match_sql(spark, tiny):
 
 
 def test_entry_without_the_llm_folders(tmp_path):
-    """The whole repository but the two folders, as the driver leaves it, with and without the pipeline's file."""
+    """The whole repository but the two folders, as the driver leaves it, with and without the pipeline's file: it imports, and the other tests are found and run."""
     import shutil
     import subprocess
     import sys
@@ -238,6 +238,7 @@ def test_entry_without_the_llm_folders(tmp_path):
         subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env={"PATH": "/usr/bin:/usr/local/bin", "PYTHONPATH": str(tmp_path / "r")})
         subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=tmp_path / "r", check=True, capture_output=True, env={"PATH": "/usr/bin:/usr/local/bin", "HOME": str(tmp_path)})
         (tmp_path / "r" / "corpus_pipeline.py").unlink(missing_ok=True)
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "tests/test_dense_blocks.py"], cwd=tmp_path / "r", check=True, capture_output=True, env={"PATH": "/usr/bin:/usr/local/bin", "HOME": str(tmp_path), "PYSPARK_PYTHON": sys.executable})
 
 
 def test_titles_are_whole_and_lookups_act_in_the_registered_queries(spark, tiny):
