@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexweave.functions import text as X
 from lexweave.operators import dense_blocks
 
 class Embedder(Protocol):
@@ -56,7 +57,7 @@ def inner_product(a: Column, b: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: x.cast("double") / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
+    return X.let(F.when(norm == 0, F.lit(1.0)).otherwise(norm), lambda n: F.transform(v, lambda x: x.cast("double") / n))
 
 
 def embed(chunks: DataFrame, embedder: Embedder, row: str = "row", text: str = "text") -> DataFrame:
