@@ -8,6 +8,10 @@ with a window that Spark prunes before the shuffle (WindowGroupLimit).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,10 +22,40 @@ from lexweave.operators.tables import snapshot
 BROADCAST_TERMS = 1_000_000
 
 
+def _counts(own: DataFrame, marked: bool) -> DataFrame:
+    """row, term, tf and len of each row's terms ``_t``, counted where they are: a batch of rows needs no shuffle.  ``marked``: an empty term for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
+            lists = batch.column("_t")
+            sizes = np.diff(lists.offsets.to_numpy())
+            named = lists.flatten().dictionary_encode()
+            n = max(len(named.dictionary), 1)
+            met, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n + named.indices.to_numpy(), return_counts=True)
+            of, term = met // n, named.dictionary.take(pa.array(met % n))
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(of)), term, pa.array(tf.astype(np.int32)), pa.array(sizes[of].astype(np.int32))], ["row", "term", "tf", "len"])
+            if marked:
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([""] * len(sizes), pa.string()), pa.array(np.ones(len(sizes), np.int32)), pa.array(sizes.astype(np.int32))], ["row", "term", "tf", "len"])
+
+    return own.mapInArrow(run, f"row {own.schema['row'].dataType.simpleString()}, term string, tf int, len int")
+
+
+def _tokenised(chunks: DataFrame, row: str, text: str) -> DataFrame:
+    return chunks.select(F.col(row).alias("row"), X.tokens(F.col(text)).alias("_t"))
+
+
+def _added_up(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("row", "len", "term").agg(F.sum("tf").cast("int").alias("tf")).select("row", "term", "tf", "len")
+
+
 def term_frequencies(chunks: DataFrame, row: str = "row", text: str = "text") -> DataFrame:
-    """row, term, tf and len (terms of the chunk, repeated ones included)."""
-    own = chunks.select(F.col(row).alias("row"), X.tokens(F.col(text)).alias("_t")).withColumn("len", F.size("_t"))
-    return own.select("row", "len", F.explode("_t").alias("term")).groupBy("row", "len", "term").agg(F.count("*").cast("int").alias("tf")).select("row", "term", "tf", "len")
+    """row, term, tf and len (terms of the chunk, repeated ones included).
+
+    Rows are counted each by itself; only if one stands in the table twice, which its column alone tells, are counts added up in a shuffle.
+    """
+    counts = _counts(_tokenised(chunks, row, text), False)
+    twice = chunks.groupBy(row).agg(F.count("*").alias("n")).where("n > 1")
+    return counts if twice.isEmpty() else _added_up(counts)
 
 
 def chunk_lengths(chunks: DataFrame, row: str = "row", text: str = "text") -> DataFrame:
@@ -32,15 +66,19 @@ def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def statistics(chunks: DataFrame, tf: DataFrame) -> DataFrame:
+    """One row: n and avgdl.  Chunks without terms count in both."""
+    total = tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("_all"))  # lengths add up to all occurrences
+    return chunks.agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("n", F.try_divide(F.col("_all"), F.col("n")).alias("avgdl"))
+
+
 def build(chunks: DataFrame, row: str = "row", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Postings with df, and the one-row statistics (n, avgdl).  Chunks without terms count in both statistics.
 
     The texts are read once: frequencies are a table that both start from.
     """
     tf = snapshot(term_frequencies(chunks, row, text), "frequencies")
-    total = tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("_all"))  # lengths add up to all occurrences
-    stats = chunks.agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("n", F.try_divide(F.col("_all"), F.col("n")).alias("avgdl"))
-    return tf.join(document_frequency(tf), "term"), stats
+    return tf.join(document_frequency(tf), "term"), statistics(chunks, tf)
 
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", query: str = "query") -> DataFrame:
@@ -70,14 +108,33 @@ def ranked(scores: DataFrame, top_n: int, by: str = "score", decimals: int = 9)
     return scores.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= top_n)
 
 
-def search(chunks: DataFrame, queries: DataFrame, top_n: int = 20, k1: float = 1.5, b: float = 0.75, row: str = "row", text: str = "text") -> DataFrame:
-    """A search without a saved index: only the questions' terms leave the texts, so only they are counted and joined."""
-    terms = query_terms(queries)
-    wanted = terms.select("term").distinct().unionByName(queries.sparkSession.createDataFrame([("",)], "term string"))
-    # no term is empty: an empty one stands for the chunk itself, so that the texts are read once, into a table that all else starts from
-    own = chunks.select(F.col(row).alias("row"), X.tokens(F.col(text)).alias("_t")).withColumn("len", F.size("_t"))
-    found = own.select("row", "len", F.explode(F.array_append("_t", F.lit(""))).alias("term")).join(broadcast_terms(wanted), "term", "left_semi")
-    tf = snapshot(found.groupBy("row", "len", "term").agg(F.count("*").cast("int").alias("tf")), "frequencies")
+def question_counts(chunks: DataFrame, terms: DataFrame, row: str = "row", text: str = "text") -> DataFrame:
+    """row, term, tf and len of the questions' terms alone, as a table for any number of searches; the texts are read once.
+
+    No term is empty: an empty one stands for the chunk itself.
+    """
+    wanted = terms.select("term").distinct().unionByName(terms.sparkSession.createDataFrame([("",)], "term string"))
+    found = _counts(_tokenised(chunks, row, text), True).join(broadcast_terms(wanted), "term", "left_semi")
+    return snapshot(_added_up(found), "frequencies")
+
+
+def search_counts(tf: DataFrame, terms: DataFrame, top_n: int = 20, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """A search in ``question_counts``: blocks of postings are scored as arrays, so no posting becomes a row of a join with the questions.
+
+    Rows that are no numbers, or null, are in no block; with any of them postings are joined as rows.
+    """
+    from lexweave.operators import bm25_blocks
+
     stats = tf.where("term = ''").agg(F.sum("tf").alias("n"), F.try_divide(F.sum((F.col("len") * F.col("tf")).cast("long")), F.sum("tf")).alias("avgdl"))
     postings = tf.where("term <> ''")
-    return ranked(score(postings.join(document_frequency(postings), "term"), stats, terms, k1, b), top_n)
+    if tf.schema["row"].dataType.simpleString() not in ("int", "bigint") or not tf.where("row IS NULL").isEmpty():
+        return ranked(score(postings.join(document_frequency(postings), "term"), stats, terms, k1, b), top_n)
+    blocks = bm25_blocks.blocked(postings.withColumn("df", F.lit(0))).drop("df").join(document_frequency(postings), "term")
+    best = bm25_blocks.best_of_ranges(blocks, stats, broadcast_terms(bm25_blocks.asked(terms, "term")), ["term"], top_n, k1, b)
+    return ranked(best.withColumn("row", F.col("row").cast(tf.schema["row"].dataType)), top_n)
+
+
+def search(chunks: DataFrame, queries: DataFrame, top_n: int = 20, k1: float = 1.5, b: float = 0.75, row: str = "row", text: str = "text") -> DataFrame:
+    """A search without a saved index: only the questions' terms leave the texts, so only they are joined."""
+    terms = query_terms(queries)
+    return search_counts(question_counts(chunks, terms, row, text), terms, top_n, k1, b)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexweave.operators.bm25 import broadcast_terms, ranked
+from lexweave.operators.bm25 import broadcast_terms, document_frequency, ranked, statistics, term_frequencies
 from lexweave.operators.tables import snapshot
 
 #: Rows of a range.
@@ -34,10 +34,34 @@ SLACK = 1e-6
 
 
 def blocked(postings: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Postings (row, term, tf, len, df) as blocks; a block has at most ``width`` entries."""
-    entries = F.array_sort(F.collect_list(F.struct("row", "tf", "len")))
-    found = postings.where("row IS NOT NULL").groupBy("term", "df", F.floor(F.col("row") / width).alias("block")).agg(F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.count("*").cast("int").alias("held"), entries.alias("e"))
-    return found.select("term", "df", "block", "max_tf", "min_len", "held", F.col("e.row").alias("rows"), F.col("e.tf").alias("tfs"), F.col("e.len").alias("lens"))
+    """Postings (row, term, tf, len, df) as blocks; a block has at most ``width`` entries.
+
+    The postings of a range of rows meet in one task, which sorts them as arrays; ``width`` bounds what it holds.
+    """
+    own = postings.where("row IS NOT NULL").select(F.floor(F.col("row") / width).cast("long").alias("block"), "term", F.col("df").cast("long").alias("df"), "row", "tf", "len")
+    kind = own.schema["row"].dataType.simpleString()
+
+    def gather(table: pa.Table) -> pa.Table:
+        named = table.column("term").combine_chunks().dictionary_encode()
+        at = named.indices.to_numpy()
+        row, tf, length, df = (table.column(c).to_numpy() for c in ("row", "tf", "len", "df"))
+        order = np.lexsort((length, tf, row, at))
+        at, row, tf, length = at[order], row[order], tf[order], length[order]
+        cuts = np.flatnonzero(np.diff(at, prepend=-1))
+        offsets = pa.array(np.append(cuts, len(at)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (row, tf, length)]
+        block = np.full(len(cuts), table.column("block")[0].as_py(), np.int64)
+        columns = [named.dictionary.take(pa.array(at[cuts])), pa.array(df[order][cuts]), pa.array(block), pa.array(np.maximum.reduceat(tf, cuts)), pa.array(np.minimum.reduceat(length, cuts)), pa.array(np.diff(offsets.to_numpy())), *lists]
+        return pa.Table.from_arrays(columns, ["term", "df", "block", "max_tf", "min_len", "held", "rows", "tfs", "lens"])
+
+    return own.groupBy("block").applyInArrow(gather, f"term string, df long, block long, max_tf int, min_len int, held int, rows array<{kind}>, tfs array<int>, lens array<int>")
+
+
+def build(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks and statistics of chunks (row, text): ``blocked`` of ``bm25.build``, but the frequencies of terms join the blocks and not their postings."""
+    tf = snapshot(term_frequencies(chunks), "frequencies")
+    blocks = blocked(tf.withColumn("df", F.lit(0))).drop("df").join(document_frequency(tf), "term")
+    return blocks.select("term", "df", "block", "max_tf", "min_len", "held", "rows", "tfs", "lens"), statistics(chunks, tf)
 
 
 def _weight(idf, tf, length, avgdl, k1: float, b: float):
@@ -56,10 +80,10 @@ def range_bounds(blocks: DataFrame, stats: DataFrame, terms: DataFrame, k1: floa
     return met.groupBy("query_id", "block").agg(F.sum(bound).alias("bound"), F.sum("held").alias("held"))
 
 
-def _best_of_ranges(blocks: DataFrame, stats: DataFrame, asked: DataFrame, on: list[str], top_n: int, k1: float, b: float) -> DataFrame:
-    """query_id, row, score of each range's best rows for each question; ``asked``: ``queries``, an array of ids, by the columns ``on`` of a block."""
-    ids = asked.schema["queries"].dataType.elementType
-    found = blocks.join(asked, on).crossJoin(F.broadcast(stats)).select("block", "rows", "tfs", "lens", "queries", _idf().alias("idf"), "avgdl")
+def best_of_ranges(blocks: DataFrame, stats: DataFrame, wanted: DataFrame, on: list[str], top_n: int, k1: float, b: float) -> DataFrame:
+    """query_id, row, score of each range's best rows for each question; ``wanted``: ``queries``, an array of ids, by the columns ``on`` of a block."""
+    ids = wanted.schema["queries"].dataType.elementType
+    found = blocks.join(wanted, on).crossJoin(F.broadcast(stats)).select("block", "rows", "tfs", "lens", "queries", _idf().alias("idf"), "avgdl")
 
     def score(table: pa.Table) -> pa.Table:
         flat = {c: table.column(c).combine_chunks() for c in ("rows", "tfs", "lens", "queries")}
@@ -90,7 +114,7 @@ def _best_of_ranges(blocks: DataFrame, stats: DataFrame, asked: DataFrame, on: l
     return found.groupBy("block").applyInArrow(score, f"query_id {ids.simpleString()}, row long, score double")
 
 
-def _asked(terms: DataFrame, *on: str) -> DataFrame:
+def asked(terms: DataFrame, *on: str) -> DataFrame:
     return terms.groupBy(*on).agg(F.collect_list("query_id").alias("queries"))
 
 
@@ -98,8 +122,8 @@ def choose_ranges(blocks: DataFrame, stats: DataFrame, terms: DataFrame, top_n:
     """The first step: the best rows of the opening ranges (query_id, row, score), and all ranges with their ``place`` and whether they are ``needed``."""
     own = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
     ranges = snapshot(range_bounds(blocks, stats, terms, k1, b).withColumn("place", F.row_number().over(own)), "ranges")
-    begun = _asked(ranges.where(F.col("place") <= opening).join(terms, "query_id"), "term", "block")
-    first = snapshot(ranked(_best_of_ranges(blocks, stats, begun, ["term", "block"], top_n, k1, b), top_n), "opening")
+    begun = asked(ranges.where(F.col("place") <= opening).join(terms, "query_id"), "term", "block")
+    first = snapshot(ranked(best_of_ranges(blocks, stats, begun, ["term", "block"], top_n, k1, b), top_n), "opening")
     # a question with fewer rows than asked for has no threshold
     reached = first.where(F.col("rank") == top_n).select("query_id", F.col("score").alias("reached"))
     judged = ranges.join(reached, "query_id", "left")
@@ -109,10 +133,10 @@ def choose_ranges(blocks: DataFrame, stats: DataFrame, terms: DataFrame, top_n:
 def search(blocks: DataFrame, stats: DataFrame, terms: DataFrame, top_n: int = 20, k1: float = 1.5, b: float = 0.75, opening: int = OPENING) -> DataFrame:
     """query_id, row, score, rank of the best rows; ``terms`` as of ``bm25.query_terms``."""
     if blocks.agg(F.max("block") - F.min("block")).first()[0] in (None, *range(opening)):  # every range is an opening one
-        return ranked(_best_of_ranges(blocks, stats, broadcast_terms(_asked(terms, "term")), ["term"], top_n, k1, b), top_n)
+        return ranked(best_of_ranges(blocks, stats, broadcast_terms(asked(terms, "term")), ["term"], top_n, k1, b), top_n)
     first, ranges = choose_ranges(blocks, stats, terms, top_n, k1, b, opening)
     rest = ranges.where(F.col("needed") & (F.col("place") > opening)).select("query_id", "block").join(terms, "query_id")
-    return ranked(first.unionByName(_best_of_ranges(blocks, stats, _asked(rest, "term", "block"), ["term", "block"], top_n, k1, b)), top_n)
+    return ranked(first.unionByName(best_of_ranges(blocks, stats, asked(rest, "term", "block"), ["term", "block"], top_n, k1, b)), top_n)
 
 
 def postings_read(blocks: DataFrame, stats: DataFrame, terms: DataFrame, top_n: int = 20, k1: float = 1.5, b: float = 0.75, opening: int = OPENING) -> DataFrame:
