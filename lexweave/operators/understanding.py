@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import fixed
 from lexweave.functions import text as X
+from lexweave.operators.tables import snapshot
 
 
 
@@ -36,9 +37,10 @@ def _deletions(word: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.when(i == 1, word).otherwise(F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))))
 
 
-def match_cases(queries: DataFrame, titles: DataFrame) -> DataFrame:
-    """query_id, document_id, word, token, and whether the word had to be corrected."""
-    names = distinctive_tokens(titles)
+def match_cases(queries: DataFrame, titles: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """query_id, document_id, word, token, and whether the word had to be corrected; ``names``: the titles' ``distinctive_tokens``."""
+    # a table of its own: three joins read it
+    names = snapshot(distinctive_tokens(titles), "names") if names is None else names
     words = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit("[a-z]+"), F.lit(0)))).alias("word"))
     exact = words.join(names, F.col("word") == F.col("token")).select("query_id", "document_id", "word", "token", F.lit(False).alias("corrected"))
     open_ = words.where(F.length("word") >= 6).join(names.select("token"), F.col("word") == F.col("token"), "left_anti")
@@ -51,12 +53,13 @@ def match_cases(queries: DataFrame, titles: DataFrame) -> DataFrame:
 
 
 def _matched(queries: DataFrame, titles: DataFrame, prefix: str) -> DataFrame:
-    found = match_cases(queries, titles)
+    names = snapshot(distinctive_tokens(titles), "names")
+    found = snapshot(match_cases(queries, titles, names), "named-cases")
     named = found.join(titles.select("document_id", "title"), "document_id")
     # of several documents that a misspelt word could name, the last one's token is the reading
     fixes = found.where("corrected").groupBy("query_id", "word").agg(F.max_by("token", "document_id").alias("token")).groupBy("query_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", "token")))).alias(f"{prefix}_corrections"))
     ids = named.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_set(F.struct("document_id", "title"))), lambda x: x["document_id"]).alias(f"{prefix}_ids"), F.transform(F.array_sort(F.collect_set(F.struct("document_id", "title"))), lambda x: x["title"]).alias(f"{prefix}_titles"))
-    terms = found.select("query_id", "document_id").distinct().join(distinctive_tokens(titles), "document_id").groupBy("query_id").agg(F.array_sort(F.collect_set("token")).alias(f"{prefix}_terms"))
+    terms = found.select("query_id", "document_id").distinct().join(names, "document_id").groupBy("query_id").agg(F.array_sort(F.collect_set("token")).alias(f"{prefix}_terms"))
     return ids.join(fixes, "query_id", "left").join(terms, "query_id", "left")
 
 
