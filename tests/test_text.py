@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexweave.functions import prose
+from lexweave.functions import fixed, prose
 from lexweave.functions import text as X
 
 
@@ -126,3 +126,11 @@ def test_denials_and_quotations_in_the_jvm(spark):
     source = F.array(F.lit("The State shall not deny to any person equality before the law."))
     quoted = ["It says “the state shall not deny … equality before the law”.", 'It says "the state shall deny any person".', "a “short term” only"]
     assert column(spark, quoted, lambda c: X.unverified_quotations(c, source)) == [[], ["the state shall deny any person"], []]
+
+
+def test_sentences_end_at_last_words_only(spark):
+    """Every abbreviation and letter, in any case and behind dots, with what may stand around it."""
+    words = [w for a in fixed.ABBREVIATIONS for w in (a, a.upper(), a.title(), f"x{a}", f"{a}x")] + ["é", "É", "İ", "ﬀ", "'", "'v", "_", "7", "x.y", "x.yz", "K", "noſ", ""]
+    said = [f"{before}{w}{dots}{behind} Next one" for w in words for before in ("", "One ", "(", "1.") for dots in (".", "..", "?") for behind in ("", "'", "\")", "'.'")]
+    assert column(spark, said, X.sentences) == [prose.split_sentences(t) for t in said]
+    assert "substring_index" in str(X.sentences(F.lit("a")))  # no pattern runs over a whole piece
