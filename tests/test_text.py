@@ -128,6 +128,17 @@ def test_denials_and_quotations_in_the_jvm(spark):
     assert column(spark, quoted, lambda c: X.unverified_quotations(c, source)) == [[], ["the state shall deny any person"], []]
 
 
+def test_references_are_worked_out_once(spark):
+    """Each row's references come from two patterns over a block, in a plan that names the first pattern once."""
+    said = ["Articles 14 ( 1 ) (g) , 21a and 243zd\t( 2 )(B) or art. 7", "arts 1 & 2(\n3\x0b)", None, "article x", "ARTICLE 5(a)(b), 5(a)(b)"]
+    assert column(spark, said, X.article_refs) == [["14(1)(g)", "21A", "243ZD(2)(B)", "7"], ["1", "2(3)"], None, [], ["5(a)(b)"]]
+    from lexweave.plans import registry
+
+    tiny = "/root/testdata/sf0.001"
+    plan = registry.queries()["article_refs"](spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("articles?|arts?") == 1
+
+
 def test_sentences_end_at_last_words_only(spark):
     """Every abbreviation and letter, in any case and behind dots, with what may stand around it."""
     words = [w for a in fixed.ABBREVIATIONS for w in (a, a.upper(), a.title(), f"x{a}", f"{a}x")] + ["é", "É", "İ", "ﬀ", "'", "'v", "_", "7", "x.y", "x.yz", "K", "noſ", ""]
