@@ -73,8 +73,8 @@ def section_lines(kept: DataFrame, registry: DataFrame) -> DataFrame:
     return marked.unionByName(plain)
 
 
-def wrapped(line: Column, most: int) -> Column:
-    """A line of more than ``most`` tokens as pieces of whole words that have no more; a longer single word is a piece.  Tokens never span a space, so they add up."""
+def wrapped(line: Column, most: int, tokens: Column | None = None) -> Column:
+    """A line (of so many ``tokens``, if they are known) of more than ``most`` tokens as pieces of whole words that have no more; a longer single word is a piece.  Tokens never span a space, so they add up."""
 
     def add(state: Column, word: Column) -> Column:
         size = X.count_tokens(word)
@@ -85,16 +85,16 @@ def wrapped(line: Column, most: int) -> Column:
 
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"), F.lit(0).alias("size"))
     pieces = F.aggregate(F.split(X.normalize_space(line), " "), start, add, lambda s: F.array_append(s["done"], s["now"]))
-    return F.when(X.count_tokens(line) <= most, F.array(line)).otherwise(pieces)
+    return F.when((X.count_tokens(line) if tokens is None else tokens) <= most, F.array(line)).otherwise(pieces)
 
 
 def units(lines: DataFrame, most: int) -> DataFrame:
-    """Lines with tokens as units: DOC, section, ``k`` (place in the section), text, page, tokens, clause, and ``clean``: may a piece begin here?"""
-    each = lines.where(X.count_tokens(F.col("line")) > 0).select(*DOC, "section", "line_no", F.col("page_number").alias("page"), "clause", "line", F.posexplode(wrapped(F.col("line"), most)).alias("part", "text"))
+    """Lines with ``tokens``, if any, as units: DOC, section, ``k`` (place in the section), text, page, tokens, clause, and ``clean``: may a piece begin here?"""
+    each = lines.where("tokens > 0").select(*DOC, "section", "line_no", F.col("page_number").alias("page"), "clause", "line", F.col("tokens").alias("_whole"), F.posexplode(wrapped(F.col("line"), most, F.col("tokens"))).alias("part", "text"))
     order = Window.partitionBy(*DOC, "section").orderBy("line_no", "part")
     starts = F.col("clause").isNotNull() | F.col("line").rlike(f"^(?:{fixed.NUMBERED_PARAGRAPH}|{fixed.CLAUSE})") | F.coalesce(F.lag("text").over(order).rlike(fixed.TERMINAL), F.lit(False))
     first = F.col("part") == 0
-    return each.select(*DOC, "section", (F.row_number().over(order) - 1).alias("k"), "text", "page", X.count_tokens(F.col("text")).alias("tokens"), F.when(first, F.col("clause")).alias("clause"), (first & starts).alias("clean"))
+    return each.select(*DOC, "section", (F.row_number().over(order) - 1).alias("k"), "text", "page", F.when(F.col("_whole") <= most, F.col("_whole")).otherwise(X.count_tokens(F.col("text"))).alias("tokens"), F.when(first, F.col("clause")).alias("clause"), (first & starts).alias("clean"))
 
 
 def pieces(own: DataFrame, limits: ChunkLimits, keys: list[str]) -> DataFrame:
@@ -134,7 +134,7 @@ def chunk_documents(pages: DataFrame, registry: DataFrame, limits: ChunkLimits |
     limits = limits or ChunkLimits()
     current = registry.where("replaced_by IS NULL")
     lines = section_lines(document_lines(pages.join(current.select(*DOC), DOC, "left_semi")), current)
-    lines = snapshot(lines, "section-lines")
+    lines = snapshot(lines.withColumn("tokens", X.count_tokens(F.col("line"))), "section-lines")  # counted once
     keys = [*DOC, "section"]
     about = lines.groupBy(*keys).agg(*[F.any_value(c).alias(c) for c in _SECTION])
     cut = pieces(units(lines, limits.most), limits, keys).select(*keys, "units", F.size("pieces").alias("n_pieces"), F.posexplode("pieces").alias("piece", "p"))
