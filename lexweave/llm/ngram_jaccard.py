@@ -18,8 +18,8 @@ shingles have 64 bits, and every link between different sets is found.
    place of the shared one.
 5. Candidates are compared with one class of their group, in a few rounds with another each; what is then still in
    different components of one group is compared too.  No pair inside a component is made, so a group of mutual copies costs a star.
-6. A pair is dropped early if the parities of 1024 buckets differ in more places than similar sets can; the others are
-   verified on their full sets.
+6. A pair is dropped early if the parities of buckets, at least as many as a set has shingles, differ in more places than
+   similar sets can, so that this tells as much of long texts as of short ones; the others are verified on their full sets.
 
 Defined results: null, empty or blank texts have no shingles and link with nothing; repeated rows and rows with equal
 ids are each returned; a null id takes the smallest id of its component (null if there is none).
@@ -42,7 +42,8 @@ from lexweave.llm._components import components
 HOT = 8
 #: Tag of a row that says that a class has too many empty parts.
 DEEP = -1
-PARITY_WORDS = 16
+#: Words of 64 buckets in the smallest parity sketch.
+PARITY_WORDS = 4
 #: Shingles of deep classes are counted in so many buckets (2 MB); any order of shingles keeps the join exact, this one keeps it small.
 BUCKET_BITS = 18
 #: Rounds of comparing the classes of a group with one of them, another in each round.
@@ -91,11 +92,18 @@ def digest(u: np.ndarray) -> tuple[int, int]:
 
 
 def parity(u: np.ndarray) -> np.ndarray:
-    """For each of 1024 buckets, whether it holds an odd number of the set's elements."""
-    odd = np.bincount((u >> np.uint64(54)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    """Whether a bucket holds an odd number of the set's elements, for as many buckets as the next power of two; half as many are the exclusive or of both halves."""
+    buckets = max(64 * PARITY_WORDS, 1 << (len(u) - 1).bit_length())
+    odd = np.bincount((u & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def folded(marks, other):
+    """A parity sketch in as few words as the other one; sketches of similar sets differ in length by half at most."""
+    n = F.size(other)
+    return F.when(F.size(marks) > n, F.zip_with(F.slice(marks, F.lit(1), n), F.slice(marks, n + 1, n), lambda x, y: x.bitwiseXOR(y))).otherwise(marks)
+
+
 def least_shared(a: int, b: int, percent: int) -> int:
     """Elements that sets of a and b elements must share at least to be similar."""
     return -(-percent * (a + b) // (100 + percent))
@@ -287,13 +295,14 @@ class _Join:
         """Those of the pairs (a < b) whose sets are similar enough."""
         one = self.sketches.select(F.col("_cid").alias("a"), F.col("_n").alias("_na"), F.col("_marks").alias("_ma"))
         two = self.sketches.select(F.col("_cid").alias("b"), F.col("_n").alias("_nb"), F.col("_marks").alias("_mb"))
-        differ = F.aggregate(F.zip_with("_ma", "_mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        differ = F.aggregate(F.zip_with(folded(F.col("_ma"), F.col("_mb")), folded(F.col("_mb"), F.col("_ma")), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         total = F.col("_na") + F.col("_nb")
         most = total - 2 * F.ceil(total * self.percent / F.lit(100 + self.percent))
         close = F.least("_na", "_nb") * 100 >= F.greatest("_na", "_nb") * self.percent
         kept = materialize(pairs.join(one, "a").join(two, "b").where(close & (differ <= most)).select("a", "b"), "close-pairs")
         ids = kept.select(F.col("a").alias("_cid")).union(kept.select("b")).distinct()
-        sets = materialize(self.texts(ids).mapInArrow(_full_sets(self.width), "_cid long, _set binary").dropDuplicates(["_cid"]), "pair-sets")
+        sets = materialize(self.texts(ids).mapInArrow(_full_sets(self.width), "_cid long, _set binary"), "pair-sets")
+        sets = sets.dropDuplicates(["_cid"])  # by the same shuffle for both sides of the join
         both = kept.join(sets.select(F.col("_cid").alias("a"), F.col("_set").alias("_sa")), "a").join(sets.select(F.col("_cid").alias("b"), F.col("_set").alias("_sb")), "b")
         return materialize(both.select("a", "b", "_sa", "_sb").mapInArrow(_verify(self.percent), "a long, b long"), "links")
 

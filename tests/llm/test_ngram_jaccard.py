@@ -97,3 +97,21 @@ def test_columns_of_any_name_pass_through(spark):
     df = spark.createDataFrame([(i, text if i < 2 else f"{text} {text[::-1]}", 1, 2, 3, 4) for i in range(3)], "doc_id long, text string, _gone_id int, _GONE_TH int, _id int, `a.b` int")
     out = J.keep_one_of_each(df)
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [0, 2]
+
+
+@pytest.mark.parametrize("size", [3, 40, 300, 1024, 5000])
+def test_sketches_tell_long_sets_apart_and_never_similar_ones(spark, size):
+    """Sketches of any length: a set against a longer similar one, whose sketch may be twice as long, and against one of half its elements."""
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(size)
+    u = np.unique(r.integers(0, 2**63, size, dtype=np.uint64))
+    more = np.unique(np.concatenate([u, r.integers(0, 2**63, size // 4, dtype=np.uint64)]))
+    half = np.unique(np.concatenate([u[::2], r.integers(0, 2**63, size - len(u[::2]), dtype=np.uint64)]))
+    rows = spark.createDataFrame([(k, J.parity(u).tolist(), J.parity(v).tolist()) for k, v in enumerate([u, more, half])], "k long, x array<long>, y array<long>")
+    x, y = F.col("x"), F.col("y")
+    differ = F.aggregate(F.zip_with(J.folded(x, y), J.folded(y, x), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, b: s + b)
+    same, longer, other = (row.d for row in rows.orderBy("k").select(differ.alias("d")).collect())
+    most = lambda v: len(u) + len(v) - 2 * J.least_shared(len(u), len(v), 80)
+    assert same == 0 and longer <= len(more) - len(u) <= most(more)
+    assert size < 40 or other > most(half)
