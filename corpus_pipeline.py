@@ -49,26 +49,33 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents of the smallest id of each group of linked documents.
 
-    Line dedup leaves of a near copy only the lines in which it differs, and such a remnant resembles nothing.  So the
-    documents that are left are compared by their whole texts, as ``documents`` has them; a doc_id that is not there by
-    the text it has here.  The rows returned are those of ``docs``.  Rows with one doc_id stay or go together: they stay
-    if one of its texts is first in its group.  A text without words links with nothing and stays; a null doc_id goes if
-    its text links with one that has an id.
+    Line dedup leaves of a near copy only the lines in which it differs, and such a remnant resembles nothing; of other
+    texts it cuts what kept them apart.  So a row is compared by its own text and, where that is not what ``documents``
+    has under its doc_id, by the whole texts there as well: it goes if either is not first in its group.  A text without
+    words links with nothing and stays; a null doc_id goes if its text links with one that has an id.  Rows with one
+    doc_id and text stay or go together; of several whole texts under one doc_id it is enough that one is first.
     """
     texts = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    left = materialize(docs.select(F.col("doc_id").alias("own")).distinct(), "ids-left")
-    known = texts.select(F.col("doc_id").alias("known")).distinct()
-    other = materialize(left.join(known, F.col("own").eqNullSafe(F.col("known")), "left_anti"), "ids-elsewhere")
-    few = left.count() <= BROADCAST_IDS
+    hashed = [F.col("doc_id").alias("own"), F.xxhash64("text").alias("own_text")]
     here = F.col("doc_id").eqNullSafe(F.col("own"))
-    whole = texts.join(F.broadcast(left) if few else left, here, "left_semi")
-    if not other.isEmpty():
-        whole = whole.unionByName(docs.select("doc_id", "text").join(F.broadcast(other) if few else other, here, "left_semi"))
+    this = here & (F.xxhash64("text") == F.col("own_text"))
+    known = texts.select(F.col("doc_id").alias("known"), F.xxhash64("text").alias("known_text")).distinct()
+    same = F.col("own").eqNullSafe(F.col("known")) & (F.col("own_text") == F.col("known_text"))
+    cut = materialize(docs.select(*hashed).distinct().join(known, same, "left_anti"), "texts-cut")
+    left = materialize(docs.select("doc_id").distinct().select(F.col("doc_id").alias("own")), "ids-left")
+    few = left.count() <= BROADCAST_IDS and cut.count() <= BROADCAST_IDS
+    near = F.broadcast if few else lambda table: table
+    whole = texts.join(near(left), here, "left_semi").withColumn("is_whole", F.lit(True))
+    own = docs.select("doc_id", "text").join(near(cut), this, "left_semi").withColumn("is_whole", F.lit(False))
     # the join reads the texts several times: what a broadcast filters needs no table of its own
-    found = ngram_jaccard.jaccard_components(whole if few else materialize(whole, "whole-texts"))
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
-    rows = docs.select("doc_id", whole_row(docs).alias("row"))
-    return rows.join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").select("row.*")
+    both = whole.unionByName(own)
+    both = both if few else materialize(both, "compared-texts")
+    first = materialize(ngram_jaccard.keep_one_of_each(both).select(*hashed, "is_whole").distinct(), "texts-first")
+    gone = cut.join(first.where("NOT is_whole").select(F.col("own").alias("known"), F.col("own_text").alias("known_text")), same, "left_anti")
+    elsewhere = left.join(known.select("known").distinct(), F.col("own").eqNullSafe(F.col("known")), "left_anti")
+    stay = first.where("is_whole").select("own").union(elsewhere).distinct()
+    rows = docs.select("doc_id", "text", whole_row(docs).alias("row"))
+    return rows.join(stay, here, "left_semi").join(gone, this, "left_anti").select("row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

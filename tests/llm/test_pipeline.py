@@ -171,3 +171,16 @@ def test_every_stage_with_odd_rows_and_names(spark, tmp_path):
     assert not {"1", "2", "3", "7", "9"} & set(kept["language_id"]) and {"5", "6", "8"} <= set(kept["language_id"])
     last = P.STAGES[-1][1](spark, docs, sf).collect()
     assert len(last) == len(rows) and all(r.n_tokens == len(r.token_ids) for r in last) and {r.doc_id for r in last if r.n_tokens == 0} == {1, 2}
+
+
+def test_what_line_dedup_cuts_decides_on_near_copies(spark, tmp_path):
+    """Two long lines that differ in two words, each under a heading of its own that an earlier document has."""
+    heads = [" ".join(f"h{k}w{j}" for j in range(150)) for k in range(2)]
+    body = [f"b{j}" for j in range(200)]
+    other = [*body[:50], "new", *body[51:120], "newer", *body[121:]]
+    texts = [*heads, f"{heads[0]}\n{' '.join(body)}", f"{heads[1]}\n{' '.join(other)}"]
+    sf = folder(spark, tmp_path, table(spark, [(i, t, "en") for i, t in enumerate(texts)]), [])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert sorted(x.doc_id for x in P.near_duplicate_stage(spark, docs, sf).collect()) == [0, 1, 2, 3]
+    cut = materialize(P.line_stage(spark, docs, sf), "cut")
+    assert sorted(x.doc_id for x in P.near_duplicate_stage(spark, cut, sf).collect()) == [0, 1, 2]
