@@ -58,24 +58,24 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     texts = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     hashed = [F.col("doc_id").alias("own"), F.xxhash64("text").alias("own_text")]
     here = F.col("doc_id").eqNullSafe(F.col("own"))
-    this = here & (F.xxhash64("text") == F.col("own_text"))
+    this = here & (F.col("text_hash") == F.col("own_text"))
     known = texts.select(F.col("doc_id").alias("known"), F.xxhash64("text").alias("known_text")).distinct()
     same = F.col("own").eqNullSafe(F.col("known")) & (F.col("own_text") == F.col("known_text"))
     cut = materialize(docs.select(*hashed).distinct().join(known, same, "left_anti"), "texts-cut")
     left = materialize(docs.select("doc_id").distinct().select(F.col("doc_id").alias("own")), "ids-left")
     few = left.count() <= BROADCAST_IDS and cut.count() <= BROADCAST_IDS
     near = F.broadcast if few else lambda table: table
-    whole = texts.join(near(left), here, "left_semi").withColumn("is_whole", F.lit(True))
-    own = docs.select("doc_id", "text").join(near(cut), this, "left_semi").withColumn("is_whole", F.lit(False))
+    whole = texts.join(near(left), here, "left_semi")
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(near(cut), this, "left_semi").drop("text_hash")
     # the join reads the texts several times: what a broadcast filters needs no table of its own
     both = whole.unionByName(own)
     both = both if few else materialize(both, "compared-texts")
-    first = materialize(ngram_jaccard.keep_one_of_each(both).select(*hashed, "is_whole").distinct(), "texts-first")
-    gone = cut.join(first.where("NOT is_whole").select(F.col("own").alias("known"), F.col("own_text").alias("known_text")), same, "left_anti")
+    first = ngram_jaccard.first_of_each(both).select(F.col("id").alias("known"), F.col("text_hash").alias("known_text"))
+    gone = cut.join(first, same, "left_anti")
     elsewhere = left.join(known.select("known").distinct(), F.col("own").eqNullSafe(F.col("known")), "left_anti")
-    stay = first.where("is_whole").select("own").union(elsewhere).distinct()
-    rows = docs.select("doc_id", "text", whole_row(docs).alias("row"))
-    return rows.join(stay, here, "left_semi").join(gone, this, "left_anti").select("row.*")
+    stay = first.join(cut, same, "left_anti").select(F.col("known").alias("own")).union(elsewhere).distinct()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), whole_row(docs).alias("row"))
+    return rows.join(near(stay), here, "left_semi").join(near(gone), this, "left_anti").select("row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ shingles have 64 bits, and every link between different sets is found.
    the instance of its band and of the band below.  Two similar sets of an instance differ in at most k shingles.  The
    shingle domain is partitioned by hash into k + 1 + m parts, and a signature is the content of one part: the subset
    enumeration of PartEnum with one part to a subset.  Similar sets agree on at least m + 1 parts.
-3. Groups.  A signature shared by at most ``HOT`` classes gives candidates.  A more frequent one (passages that many
+3. Groups.  Rows meet by signature, sorted; of those of one task only the distinct sets of classes that share one go on.
+   A signature shared by at most ``HOT`` classes gives candidates.  A more frequent one (passages that many
    documents share) is *hot*, and so is every empty part, which is therefore never sent.  As similar sets agree on m + 1 parts, a set with at most m hot signatures in
    an instance agrees with each partner on one that is not hot, so hot groups are needed for the others only.
 4. Those others (*deep* classes) are joined exactly among themselves by their rarest shingles, as a fixed number of
@@ -19,25 +20,31 @@ shingles have 64 bits, and every link between different sets is found.
 5. Candidates are compared with one class of their group, in a few rounds with another each; what is then still in
    different components of one group is compared too.  No pair inside a component is made, so a group of mutual copies costs a star.
 6. A pair is dropped early if the parities of buckets, at least as many as a set has shingles, differ in more places than
-   similar sets can, so that this tells as much of long texts as of short ones; the others are verified on their full sets.
+   similar sets can, so that this tells as much of long texts as of short ones; the others are verified on their full sets,
+   which are made where a pair's packed texts meet: a packed text is a third of the hashes of its shingles.
 
 Defined results: null, empty or blank texts have no shingles and link with nothing; repeated rows and rows with equal
 ids are each returned; a null id takes the smallest id of its component (null if there is none).
+
+Intermediate tables are removed as soon as nothing reads them any more.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.llm._common import bounded_batches, free_names, materialize, pieces, quoted, text_bytes
 from lexweave.llm._components import components
+from lexweave.operators.tables import remove, run_dir
 
 HOT = 8
 #: Tag of a row that says that a class has too many empty parts.
@@ -49,6 +56,8 @@ BUCKET_BITS = 18
 #: Rounds of comparing the classes of a group with one of them, another in each round.
 STAR_ROUNDS = 2
 BROADCAST_ROWS = 1_000_000
+#: Signatures that a task looks at together.
+ROWS_AT_ONCE = 500_000
 #: Words whose hashes a task keeps.
 MAX_WORDS_KEPT = 150_000
 _GOLDEN, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -191,6 +200,67 @@ def _signature_rows(width: int, percent: int):
     return run
 
 
+def _shared_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in the order of ``_sig`` and ``_cid``: the classes of each signature that 2 to ``HOT`` of them have (no tag), and one by one those of a hot signature (with their tag)."""
+
+    def rows(cids, tags):
+        lengths = pa.array(np.concatenate([[0], np.cumsum([c.shape[1] for c in cids for _ in range(len(c))])]).astype(np.int32))
+        flat = pa.array(np.concatenate([c.ravel() for c in cids]) if cids else np.zeros(0, np.int64), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(lengths, flat), tags], ["_cids", "_tag"])
+
+    def gathered():
+        held, n = [], 0
+        for batch in batches:
+            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)])
+            n += batch.num_rows
+            if n >= ROWS_AT_ONCE:
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                held, n = [], 0
+        if held:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+        yield None
+
+    over, hot_row = [np.zeros(0, np.int64)] * 3, None
+    for part in gathered():
+        sig, cid, tag = over if part is None else (np.concatenate(x) for x in zip(over, part, strict=True))
+        deep = tag == DEEP
+        alone = cid[deep]
+        sig, cid, tag = sig[~deep], cid[~deep], tag[~deep]
+        if len(sig):  # repeated rows have their class's signatures again
+            new = np.concatenate([[hot_row != (sig[0], cid[0])], (sig[1:] != sig[:-1]) | (cid[1:] != cid[:-1])])
+            sig, cid, tag = sig[new], cid[new], tag[new]
+        begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+        count = np.diff(np.append(begin, len(sig)))
+        is_hot = (count > HOT) | (sig[begin] == hot_row[0] if hot_row else False)
+        ended = np.ones(len(begin), bool)
+        over = [np.zeros(0, np.int64)] * 3
+        if len(begin) and part is not None:
+            # the last signature may go on: a hot one is remembered, the few rows of another wait
+            hot_row = (sig[-1], cid[-1]) if is_hot[-1] else None
+            if not is_hot[-1]:
+                ended[-1] = False
+                over = [x[begin[-1] :] for x in (sig, cid, tag)]
+        cids = []
+        for size in range(2, HOT + 1):
+            of = begin[ended & ~is_hot & (count == size)]
+            if len(of):
+                several = cid[of[:, None] + np.arange(size)]
+                _, first = np.unique(mix((several.astype(np.uint64) * (mix(np.arange(1, size + 1, dtype=np.uint64) * _GOLDEN) | np.uint64(1))).sum(axis=1, dtype=np.uint64)), return_index=True)
+                cids.append(several[first])
+        hot = np.repeat(is_hot, count)
+        tags = np.concatenate([np.full(len(alone), DEEP, np.int32), tag[hot].astype(np.int32)])
+        ones = np.concatenate([alone, cid[hot]])
+        n = sum(map(len, cids))
+        if n or len(ones):
+            yield rows([*cids, ones[:, None]], pa.array(np.concatenate([np.zeros(n, np.int32), tags]), pa.int32(), mask=np.arange(n + len(ones)) < n))
+
+
+def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in pieces(batches):
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t) for t in text_bytes(batch.column(1).to_pylist())], pa.binary())], ["_cid", "_pack"])
+
+
 def _full_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ShingleHasher(width)
@@ -230,12 +300,16 @@ def _prefixes(shipped, percent: int):
     return run
 
 
-def _verify(percent: int):
+def _verify(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, unpack = ShingleHasher(width), zstandard.ZstdDecompressor().decompress
         for batch in pieces(batches):
-            a, b, keep = batch.column(2).to_pylist(), batch.column(3).to_pylist(), []
-            for x, y in zip(a, b, strict=True):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            a, b, keep, sets = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [], {}
+            for x, y, p, q in zip(a, b, batch.column(2), batch.column(3), strict=True):
+                for cid, data in ((x, p), (y, q)):
+                    if cid not in sets:
+                        sets[cid] = hasher.hashes(unpack(data.as_py()))
+                u, v = sets[x], sets[y]
                 shared = len(np.intersect1d(u, v, assume_unique=True))
                 keep.append(100 * shared >= percent * (len(u) + len(v) - shared))
             kept = pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -250,11 +324,20 @@ class _Join:
     def __init__(self, docs: DataFrame, width: int, percent: int):
         self.width, self.percent = width, percent
         self.docs = docs
-        self.rows = materialize(docs.mapInArrow(_set_rows(width), f"_id {docs.schema['_id'].dataType.simpleString()}, _th long, _n long, _d1 long, _d2 long, _marks array<long>"), "shingle-sets")
+        self.folder = f"ngram-jaccard-{uuid.uuid4().hex}"
+        self.rows = self.table(docs.mapInArrow(_set_rows(width), f"_id {docs.schema['_id'].dataType.simpleString()}, _th long, _n long, _d1 long, _d2 long, _marks array<long>"), "shingle-sets")
         grouped = self.rows.where("_n > 0").groupBy("_n", "_d1", "_d2").agg(F.min("_id").alias("_least"), F.min(F.struct("_id", "_th")).alias("_row"), F.any_value("_marks").alias("_marks"))
-        self.classes = materialize(grouped.withColumn("_cid", F.monotonically_increasing_id()), "classes")
+        self.classes = self.table(grouped.withColumn("_cid", F.monotonically_increasing_id()), "classes")
         self.sketches = self.classes.select("_cid", "_n", "_marks")
 
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """A table of this join's; those of a subfolder go with it, all of them with the join."""
+        return materialize(df, f"{self.folder}/{name}")
+
+    def drop(self, folder: str = "") -> None:
+        spark = self.docs.sparkSession
+        remove(spark, f"{run_dir(spark)}/{self.folder}/{folder}".rstrip("/"))
+
     def texts(self, cids: DataFrame | None = None) -> DataFrame:
         """A text of each class."""
         wanted = self.classes if cids is None else self.classes.join(cids, "_cid", "left_semi")
@@ -265,26 +348,24 @@ class _Join:
 
     def groups(self) -> DataFrame:
         """Candidate groups: ``_key`` and ``_cid``."""
-        from pyspark.sql.window import Window
-
         signed = self.texts().mapInArrow(_signature_rows(self.width, self.percent), "_sig long, _cid long, _tag int")
-        shared = materialize(signed.withColumn("_c", F.count("*").over(Window.partitionBy("_sig"))).where(f"_c > 1 OR _tag = {DEEP}"), "signatures")
-        usual = shared.where((F.col("_c") <= HOT) & (F.col("_tag") != DEEP)).select(F.col("_sig").alias("_key"), "_cid")
-        hot = F.when(F.col("_tag") == DEEP, F.lit(1)).when(F.col("_c") > HOT, F.lit(1)).otherwise(F.lit(0))
-        deep = shared.groupBy("_cid", "_tag").agg(F.sum(hot).alias("_hot")).where((F.col("_hot") > 0) & (F.col("_hot") > F.shiftright("_tag", 1))).select("_cid").distinct()
-        deep = materialize(deep, "deep-classes")
-        sets = materialize(self.texts(deep).mapInArrow(_full_sets(self.width), "_cid long, _set binary").dropDuplicates(["_cid"]), "deep-sets")
+        # close copies meet under hundreds of signatures: groups of the same classes, at most HOT each, count once
+        met = signed.repartition("_sig").sortWithinPartitions("_sig", "_cid").mapInArrow(_shared_signatures, "_cids array<long>, _tag int")
+        shared = self.table(met.groupBy("_cids", "_tag").agg(F.count("*").alias("_hot")), "groups/shared-signatures")
+        deep = shared.where("_hot > shiftright(_tag, 1)").select(F.col("_cids")[0].alias("_cid")).distinct()
+        deep = self.table(deep, "groups/deep-classes")
+        sets = self.table(self.texts(deep).mapInArrow(_full_sets(self.width), "_cid long, _set binary").dropDuplicates(["_cid"]), "groups/deep-sets")
         met = sets.mapInArrow(_bucket_counts, "bucket long, count long").groupBy("bucket").agg(F.sum("count").alias("count"))
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
         for r in met.collect():  # a row for each bucket at most
             counts[r["bucket"]] = r["count"]
         prefix = sets.mapInArrow(_prefixes(sets.sparkSession.sparkContext.broadcast(counts), self.percent), "_key long, _cid long, _n long, _place int")
-        # close copies meet under hundreds of signatures: groups of the same classes, at most HOT each, count once
-        alike = usual.groupBy("_key").agg(F.array_sort(F.collect_set("_cid")).alias("_cids")).where(F.size("_cids") > 1).select("_cids").distinct()
-        usual = alike.select(F.xxhash64("_cids").alias("_key"), F.explode("_cids").alias("_cid"))
+        usual = shared.where("_tag IS NULL").select(F.xxhash64("_cids").alias("_key"), F.explode("_cids").alias("_cid"))
         usual = usual.distinct().join(self.sketches.select("_cid", "_n"), "_cid").withColumn("_place", F.lit(0))
         columns = ["_key", "_cid", "_n", "_place"]
-        return materialize(usual.select(columns).unionByName(prefix), "candidate-groups")
+        found = self.table(usual.select(columns).unionByName(prefix), "candidate-groups")
+        self.drop("groups")
+        return found
 
     def reachable(self, a: str, b: str):
         """Can sets of these sizes whose rarest common shingle stands at these places share enough?  Place 0: unknown."""
@@ -299,12 +380,14 @@ class _Join:
         total = F.col("_na") + F.col("_nb")
         most = total - 2 * F.ceil(total * self.percent / F.lit(100 + self.percent))
         close = F.least("_na", "_nb") * 100 >= F.greatest("_na", "_nb") * self.percent
-        kept = materialize(pairs.join(one, "a").join(two, "b").where(close & (differ <= most)).select("a", "b"), "close-pairs")
+        kept = self.table(pairs.join(one, "a").join(two, "b").where(close & (differ <= most)).select("a", "b"), "similar/close-pairs")
         ids = kept.select(F.col("a").alias("_cid")).union(kept.select("b")).distinct()
-        sets = materialize(self.texts(ids).mapInArrow(_full_sets(self.width), "_cid long, _set binary"), "pair-sets")
-        sets = sets.dropDuplicates(["_cid"])  # by the same shuffle for both sides of the join
-        both = kept.join(sets.select(F.col("_cid").alias("a"), F.col("_set").alias("_sa")), "a").join(sets.select(F.col("_cid").alias("b"), F.col("_set").alias("_sb")), "b")
-        return materialize(both.select("a", "b", "_sa", "_sb").mapInArrow(_verify(self.percent), "a long, b long"), "links")
+        texts = self.table(self.texts(ids).mapInArrow(_packed_texts, "_cid long, _pack binary"), "similar/pair-texts")
+        texts = texts.dropDuplicates(["_cid"])  # by the same shuffle for both sides of the join
+        both = kept.join(texts.select(F.col("_cid").alias("a"), F.col("_pack").alias("_pa")), "a").join(texts.select(F.col("_cid").alias("b"), F.col("_pack").alias("_pb")), "b")
+        links = self.table(both.select("a", "b", "_pa", "_pb").mapInArrow(_verify(self.width, self.percent), "a long, b long"), "links")
+        self.drop("similar")
+        return links
 
     def links(self) -> DataFrame:
         """Links that connect whatever similar sets are connected: stars first, then what stars leave open."""
@@ -318,14 +401,14 @@ class _Join:
             members = open_.withColumnsRenamed({"_n": "_m_n", "_place": "_m_place"})
             spokes = members.join(centre, "_key").where((F.col("_comp") != F.col("_x_comp")) & self.reachable("_m", "_x"))
             stars = spokes.select(F.least("_cid", "_xc").alias("a"), F.greatest("_cid", "_xc").alias("b")).distinct()
-            stars = materialize(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "star-pairs")
+            stars = self.table(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "star-pairs")
             own = self.similar(stars)
             tried = stars if tried is None else tried.unionByName(stars)
             links = own if links is None else links.unionByName(own)
             found = components(links).withColumnsRenamed({"id": "_cid", "component": "_found"})
             labelled = open_.drop("_comp").join(found, "_cid", "left").withColumn("_comp", F.coalesce("_found", "_cid")).drop("_found")
             mixed = labelled.groupBy("_key").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo < _hi").select("_key")
-            open_ = materialize(labelled.join(mixed, "_key", "left_semi"), "open-groups")
+            open_ = self.table(labelled.join(mixed, "_key", "left_semi"), "open-groups")
         one, two = (open_.select("_key", F.col("_cid").alias(c), *[F.col(x).alias(f"{c}{x}") for x in ("_comp", "_n", "_place")]) for c in "ab")
         rest = one.join(two, "_key").where((F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & self.reachable("a", "b")).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
         return links.unionByName(self.similar(rest))
@@ -341,7 +424,9 @@ def _component_rows(df: DataFrame, id_col: str, text_col: str, width: int, perce
     named = classes.join(lowest, "_comp").select("_n", "_d1", "_d2", "_component_id")
     joined = join.rows.select("_id", "_th", "_n", "_d1", "_d2").join(named, ["_n", "_d1", "_d2"], "left")
     own = F.when(F.col("_n") > 0, F.col("_component_id")).otherwise(F.col("_id"))
-    return joined.select("_id", "_th", "_n", own.alias("_component_id"))
+    found = materialize(joined.select("_id", "_th", "_n", own.alias("_component_id")), "component-rows")
+    join.drop()
+    return found
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -359,3 +444,9 @@ def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one, two = free_names(df, "_gone_id", "_gone_th")
     gone = gone.select(F.col("_id").alias(one), F.col("_th").alias(two)).distinct()
     return df.join(gone, F.col(quoted(id_col)).eqNullSafe(F.col(one)) & (F.xxhash64(F.col(quoted(text_col))) == F.col(two)), "left_anti")
+
+
+def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """``id`` and ``text_hash`` (xxhash64), once each, of the rows that ``keep_one_of_each`` keeps, without their texts."""
+    first = _component_rows(df, id_col, text_col, width, percent).where(F.col("_id").eqNullSafe(F.col("_component_id")))
+    return first.select(F.col("_id").alias("id"), F.col("_th").alias("text_hash")).distinct()

@@ -115,3 +115,44 @@ def test_sketches_tell_long_sets_apart_and_never_similar_ones(spark, size):
     most = lambda v: len(u) + len(v) - 2 * J.least_shared(len(u), len(v), 80)
     assert same == 0 and longer <= len(more) - len(u) <= most(more)
     assert size < 40 or other > most(half)
+
+
+def test_a_join_leaves_only_its_result(spark, docs):
+    """Tables between the steps go when nothing reads them any more."""
+    import os
+
+    from lexweave.operators.tables import run_dir
+
+    there = lambda: set(os.listdir(run_dir(spark).removeprefix("file:")))
+    before = there()
+    text = " ".join(f"w{i}" for i in range(60))
+    found = J.jaccard_components(docs([(1, text), (2, f"{text} more"), (3, "something else"), (3, "something else")]))
+    assert sorted(map(tuple, found.collect())) == [(1, 56, 1), (2, 57, 1), (3, 1, 3), (3, 1, 3)]
+    assert {name.rpartition("-")[0] for name in there() - before} == {"component-rows", "edges"}
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1_000_000])
+def test_groups_of_a_signature_wherever_its_rows_are_cut(monkeypatch, at_once):
+    from collections import Counter, defaultdict
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(J, "ROWS_AT_ONCE", at_once)
+    r = random.Random(at_once)
+    rows = [(sig, cid, cid % 5) for sig in range(60) for cid in r.sample(range(100), r.choice([1, 2, 2, 3, J.HOT, J.HOT + 1, 30])) for _ in range(r.choice([1, 1, 1, 2]))]
+    rows += [(sig, cid, cid % 5) for sig in (70, 71) for cid in (4, 6)] + [(sig, sig, J.DEEP) for sig in (3, 99)]
+    rows.sort()
+    batches, k = [], 0
+    while k < len(rows):
+        n = r.randrange(1, 12)
+        batches.append(pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + n], strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["_sig", "_cid", "_tag"]))
+        k += n
+    got = Counter((tuple(x["_cids"]), x["_tag"]) for b in J._shared_signatures(iter(batches)) for x in b.to_pylist())
+    holders = defaultdict(set)
+    for sig, cid, tag in rows:
+        if tag != J.DEEP:
+            holders[sig].add(cid)
+    want = Counter(((c,), c % 5) for v in holders.values() if len(v) > J.HOT for c in v) + Counter([((3,), J.DEEP), ((99,), J.DEEP)])
+    assert {x: n for x, n in got.items() if x[1] is not None} == want
+    assert {x for x, tag in got if tag is None} == {tuple(sorted(v)) for v in holders.values() if 1 < len(v) <= J.HOT}
+    assert list(J._shared_signatures(iter([]))) == []
