@@ -22,19 +22,24 @@ from lexweave.operators.tables import snapshot
 BROADCAST_TERMS = 1_000_000
 
 
+def count_rows(row: pa.Array, lists: pa.ListArray) -> list[pa.Array]:
+    """row, term, tf and len of the terms of a few rows."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    named = lists.flatten().dictionary_encode()
+    n = max(len(named.dictionary), 1)
+    met, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n + named.indices.to_numpy(), return_counts=True)
+    of, term = met // n, named.dictionary.take(pa.array(met % n))
+    return [row.take(pa.array(of)), term, pa.array(tf.astype(np.int32)), pa.array(sizes[of].astype(np.int32))]
+
+
 def _counts(own: DataFrame, marked: bool) -> DataFrame:
     """row, term, tf and len of each row's terms ``_t``, counted where they are: a batch of rows needs no shuffle.  ``marked``: an empty term for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
-            lists = batch.column("_t")
-            sizes = np.diff(lists.offsets.to_numpy())
-            named = lists.flatten().dictionary_encode()
-            n = max(len(named.dictionary), 1)
-            met, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n + named.indices.to_numpy(), return_counts=True)
-            of, term = met // n, named.dictionary.take(pa.array(met % n))
-            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(of)), term, pa.array(tf.astype(np.int32)), pa.array(sizes[of].astype(np.int32))], ["row", "term", "tf", "len"])
+            yield pa.RecordBatch.from_arrays(count_rows(batch.column("row"), batch.column("_t")), ["row", "term", "tf", "len"])
             if marked:
+                sizes = np.diff(batch.column("_t").offsets.to_numpy())
                 yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([""] * len(sizes), pa.string()), pa.array(np.ones(len(sizes), np.int32)), pa.array(sizes.astype(np.int32))], ["row", "term", "tf", "len"])
 
     return own.mapInArrow(run, f"row {own.schema['row'].dataType.simpleString()}, term string, tf int, len int")
@@ -129,8 +134,8 @@ def search_counts(tf: DataFrame, terms: DataFrame, top_n: int = 20, k1: float =
     postings = tf.where("term <> ''")
     if tf.schema["row"].dataType.simpleString() not in ("int", "bigint") or not tf.where("row IS NULL").isEmpty():
         return ranked(score(postings.join(document_frequency(postings), "term"), stats, terms, k1, b), top_n)
-    blocks = bm25_blocks.blocked(postings.withColumn("df", F.lit(0))).drop("df").join(document_frequency(postings), "term")
-    best = bm25_blocks.best_of_ranges(blocks, stats, broadcast_terms(bm25_blocks.asked(terms, "term")), ["term"], top_n, k1, b)
+    asked = terms.join(document_frequency(postings), "term")
+    best = bm25_blocks.best_of_ranges(bm25_blocks.blocked(postings), stats, asked, top_n, k1, b)
     return ranked(best.withColumn("row", F.col("row").cast(tf.schema["row"].dataType)), top_n)
 
 

@@ -363,8 +363,6 @@ class Engine:
                 raise chunking.ChunkingError(f"{broken.first()['chunk_id']}: {broken.first()['problem']}")
             if not ingest.foreign_rows(chunks, corpus_id).isEmpty():
                 raise CorpusError("chunks of another corpus")
-            postings, stats = bm25.build(chunks)
-            postings = bm25_blocks.blocked(postings)
             report = {"chunks": chunks.count(), "vectors_used_again": 0}
             vectors = None
             if self.embedder:
@@ -375,7 +373,8 @@ class Engine:
                 vectors = dense_blocks.blocked(vectors, dense_blocks.fit_centroids(vectors, min(MAX_CENTROIDS, int(report["chunks"] ** 0.5) + 1)))
             documents = sinks.read_pointer(self.spark, f"{self.root}/{corpus_id}/documents")["version"]
             # chunks and index appear together: after a failed build both are the former ones
-            sinks.save_indexes(chunks, postings, stats, vectors, root, chunking.index_fingerprint(chunks), self.embedder.name if self.embedder else None, {"documents": documents})
+            with bm25_blocks.built(chunks) as (postings, stats):
+                sinks.save_indexes(chunks, postings, stats, vectors, root, chunking.index_fingerprint(chunks), self.embedder.name if self.embedder else None, {"documents": documents})
             corpus.report = report
             self._set(corpus, "ready")
         except Exception as e:

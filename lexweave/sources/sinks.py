@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.operators.tables import shuffles_removed
+
 
 class IndexNotFoundError(Exception):
     """There is no index."""
@@ -98,14 +100,14 @@ def store_upload(spark: SparkSession, root: str, content: bytes, suffix: str = "
     return final.toString()
 
 
-def publish(tables: dict[str, DataFrame], root: str, meta: dict | None = None, bucket: dict[str, list[str]] | None = None) -> str:
+def publish(tables: dict[str, DataFrame], root: str, meta: dict | None = None) -> str:
     """Stage all tables, then switch to them at once; if one fails, the former version stays."""
     spark = next(iter(tables.values())).sparkSession
     version = uuid.uuid4().hex
     try:
         for name, df in tables.items():
-            order = (bucket or {}).get(name)
-            (df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df).write.parquet(f"{root}/{version}/{name}")
+            with shuffles_removed(spark):
+                df.write.parquet(f"{root}/{version}/{name}")
     except Exception:
         fs, _, jvm = _fs(spark, root)
         fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/{version}"), True)
@@ -119,9 +121,9 @@ def load_published(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def save_indexes(chunks: DataFrame, postings: DataFrame, stats: DataFrame, vectors: DataFrame | None, root: str, fingerprint: str, model: str | None = None, meta: dict | None = None) -> str:
-    """BM25 and dense index together: blocks of postings sorted by term so that a search prunes row groups."""
-    tables = {"chunks": chunks, "postings": postings, "stats": stats} | ({"vectors": vectors} if vectors is not None else {})
-    return publish(tables, root, {"fingerprint": fingerprint, "model": model} | (meta or {}), {"postings": ["term", "block"]})
+    """BM25 and dense index together."""
+    tables = {"postings": postings, "stats": stats} | ({"vectors": vectors} if vectors is not None else {}) | {"chunks": chunks}
+    return publish(tables, root, {"fingerprint": fingerprint, "model": model} | (meta or {}))
 
 
 def load_indexes(spark: SparkSession, root: str, fingerprint: str | None = None, model: str | None = None, documents: str | None = None) -> dict[str, DataFrame]:

@@ -1,9 +1,13 @@
+import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexweave.operators import bm25, bm25_blocks
+from lexweave.operators.tables import run_dir
+from lexweave.plans import registry
 
 
 def _rows(found):
@@ -44,3 +48,41 @@ def test_nothing_indexed(spark):
     postings, stats = bm25.build(spark.createDataFrame([], "row long, text string"))
     terms = bm25.query_terms(spark.createDataFrame([(1, "word")], "query_id long, query string"))
     assert bm25_blocks.search(bm25_blocks.blocked(postings), stats, terms).collect() == []
+
+
+def test_rows_that_are_null_or_stand_twice(spark):
+    rows = [(1, "air air ship"), (1, "air ship"), (1, "ship air"), (2, None), (7, "ship"), (8, "hull"), (None, "air"), (None, "keel"), (9, "keel keel ship")]
+    chunks = spark.createDataFrame(rows, "row long, text string").repartition(3)
+    plain, stats = bm25.build(chunks)
+    plain = plain.where("row IS NOT NULL")
+    blocks, own = bm25_blocks.build(chunks, 2)
+    held = blocks.where("block IS NOT NULL")
+    assert sorted(map(str, held.collect())) == sorted(map(str, bm25_blocks.blocked(plain, 2).select(*blocks.columns).collect()))
+    assert own.collect() == stats.collect()
+    terms = bm25.query_terms(spark.createDataFrame([(1, "air keel"), (2, "ship"), (3, "hull none")], "query_id long, query string"))
+    for opening in (1, 4):
+        assert _rows(bm25_blocks.search(blocks, own, terms, 3, opening=opening)) == _rows(bm25.ranked(bm25.score(plain, stats, terms), 3))
+
+
+def test_packed_arrays_are_read_back(spark):
+    rows = spark.createDataFrame([(0, "a", [1.0], 1.5, 2.0, [3, 2**40], [1, 70000], [900, 2]), (0, "b", [2.0], 0.5, 2.0, [5], [2], [7])], "block long, term string, queries array<double>, idf double, avgdl double, rows array<long>, tfs array<int>, lens array<int>")
+    found = rows.drop("term").coalesce(1).mapInArrow(bm25_blocks._packed, "block long, queries array<double>, idf double, avgdl double, held int, pack binary").toArrow()
+    assert [x.tolist() for x in bm25_blocks._unpacked(found.column("pack"), found.column("held").to_numpy())] == [[3, 2**40, 5], [1, 70000, 2], [900, 2, 7]]
+
+
+def test_a_search_sends_only_blocks_of_its_terms(spark, corpus):
+    words, postings, stats = corpus
+    terms = bm25.query_terms(spark.createDataFrame([(1, f"rare {words[0]}")], "query_id long, query string"))
+    blocks = bm25_blocks.blocked(postings, 16).cache()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = bm25_blocks.search(blocks, stats, terms, 2, opening=1)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"BroadcastHashJoin \[term", plan) and not re.search(r"SortMergeJoin \[term", plan)
+
+
+def test_a_saved_index_leaves_no_other_table(spark, tiny, tmp_path):
+    before = set(os.listdir(run_dir(spark).removeprefix("file:")))
+    registry.save_index(spark, tiny, str(tmp_path / "index"))
+    assert set(os.listdir(run_dir(spark).removeprefix("file:"))) <= before
